@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import packing, token_store
+from marginalia.llm import forced_bpe, near_dedup, packing, substring_dedup, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_forced_bpe": forced_bpe.op3_forced_bpe,
+        "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op7_packing": packing.op7_packing,
         "op8_token_store": token_store.op8_token_store,
+        "op9_near_dedup": near_dedup.op9_near_dedup,
     }
 
 
