@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import forced_bpe, near_dedup, packing, substring_dedup, token_store
+from marginalia.llm import forced_bpe, language_id, media, near_dedup, packing, quality, secrets, substring_dedup, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_media": media.op1_media,
+        "op2_language_id": language_id.op2_language_id,
         "op3_forced_bpe": forced_bpe.op3_forced_bpe,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+        "op5_secrets": secrets.op5_secrets,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_packing": packing.op7_packing,
         "op8_token_store": token_store.op8_token_store,
         "op9_near_dedup": near_dedup.op9_near_dedup,
+        "op10_quality": quality.op10_quality,
     }
 
 
