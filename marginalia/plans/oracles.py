@@ -20,6 +20,11 @@ def _pick(values: str, number: str) -> str:
 
 _TYPES, _BASES, _RELATIONS = "definition claim method question background", "author author-data reported", "defines supports contrasts elaborates exemplifies motivates"
 
+def singular(w: str) -> str:
+    known = " ".join(f"when {w} = '{a}' then '{b}'" for a, b in {"wives": "wife", "lives": "life", "children": "child", "women": "woman", "men": "man", "feet": "foot", "teeth": "tooth"}.items())
+    return f"case {known} when length({w}) <= 3 or ends_with({w}, 'ss') then {w} when ends_with({w}, 'ies') then left({w}, length({w}) - 3) || 'y' when regexp_matches({w}, '(ses|xes|zes|ches|shes)$') then left({w}, length({w}) - 2) when ends_with({w}, 's') then left({w}, length({w}) - 1) else {w} end"
+
+
 #: Each view's SQL; a view may use any that stands before it.
 VIEWS = {
     "page_no": "select doc_id, source || '-' || (doc_id // 2000)::varchar as book_id, row_number() over (partition by source || '-' || (doc_id // 2000)::varchar order by doc_id) - 1 as page_index from documents",
@@ -86,6 +91,45 @@ VIEWS = {
         string_split(regexp_replace(norm, '([.!?]) ([A-Z''"(])', '\\1' || chr(10) || '\\2', 'g'), chr(10)) as s from streams where norm <> ''))))""",
     "gaps": """select book_id, page_index, stream, sent_no, text, coverage from (select p.book_id, p.page_index, p.stream, p.sent_no, p.sent as text, coalesce(sum(greatest(0, least(p.b, i.end_at) - greatest(p.a, i.start_at))), 0)::double / (p.b - p.a) as coverage
         from places p left join intervals i using (book_id, page_index, stream) where length(p.sent) >= 15 group by p.book_id, p.page_index, p.stream, p.sent_no, p.sent, p.a, p.b) where coverage < 0.5""",
+    "hdr": """select book_id, top_line, count(*) as n, min(page_index) as f from heads where top_line <> '' group by all having count(*) >= 2 or
+        (length(regexp_replace(top_line, '[^\\pL]', '', 'g')) >= 4 and 5 * length(regexp_replace(top_line, '[^\\p{Lu}]', '', 'g')) >= 4 * length(regexp_replace(top_line, '[^\\pL]', '', 'g')))""",
+    "titles": "select book_id, top_line as title from (select *, row_number() over (partition by book_id order by n desc, f) as r from (select book_id, top_line, count(*) as n, min(page_index) as f from heads where top_line <> '' group by all)) where r = 1",
+    "grouped": """select book_id, page_index, header, chapter_key, sum(new) over (partition by book_id order by page_index rows unbounded preceding)::bigint as chapter_no from (select *, case when lag(chapter_key) over w is null or lag(chapter_key) over w <> chapter_key then 1 else 0 end as new
+        from (select *, coalesce(last_value(own_key ignore nulls) over (partition by book_id order by page_index rows unbounded preceding), 'FRONT-MATTER') as chapter_key from (select book_id, page_index, header,
+        case when regexp_matches(header, '^CHAPTER\\s+([0-9]+|[IVXLCDM]+)\\b') then 'CHAPTER ' || regexp_extract(header, '^CHAPTER\\s+([0-9]+|[IVXLCDM]+)\\b', 1) else header end as own_key
+        from (select h.book_id, h.page_index, case when r.top_line is not null and h.top_line <> t.title then h.top_line end as header from heads h left join hdr r using (book_id, top_line) left join titles t using (book_id)))) window w as (partition by book_id order by page_index))""",
+    "chapters": """select book_id, chapter_no, chapter_key, coalesce(first(header order by case when header is null then 2 when contains(header, ':') then 0 else 1 end, length(header) desc, page_index), 'Front matter') as title, list(page_index order by page_index) as pages from grouped group by book_id, chapter_no, chapter_key""",
+    "sections": """select book_id, unnest(pages) as page_index, chapter_no, title, not (starts_with(upper(title), 'TABLE ') or starts_with(upper(title), 'INDEX ') or starts_with(upper(title), 'FIGURE')) and upper(title) not in ('FRONT MATTER', 'BIBLIOGRAPHY') as prose from chapters""",
+    "cited": f"""select distinct r.book_id, 'p' || r.page_index::varchar || ':' || r.statement_id as key, r.page_index, s.type, e.quote from refs r join (select book_id, page_index, evidence_id, {_norm('excerpt')} as quote from evidence) e using (book_id, page_index, evidence_id)
+        join statements s using (book_id, page_index, statement_id) where length(e.quote) >= 25""",
+    "edges": """select distinct book_id || '/' || key as u, v from cited join (select book_id, type, quote, min(book_id || '/' || key) as v from cited group by all having count(*) > 1) f using (book_id, type, quote) where book_id || '/' || key <> v""",
+    "labels_v": """select book_id, chapter_no, place, label from (select book_id, chapter_no, word as label, row_number() over (partition by book_id, chapter_no order by count(*) desc, word) as place
+        from (select s.book_id, c.chapter_no, unnest(regexp_extract_all(lower(s.text), '[a-z]{5,}')) as word from statements s join sections c using (book_id, page_index) where c.prose) group by book_id, chapter_no, word) where place <= 10""",
+    "store": f"""select book_id, term_id, label, key, n_chapters, row_number() over (partition by book_id order by n_chapters desc, key) as place from (select *, row_number() over (partition by book_id, term_id order by n_chapters desc, key) as r
+        from (select book_id, key, count(*) as n_chapters, first(label order by chapter_no, place) as label, 't-' || first(label order by chapter_no, place) as term_id from (select *, {singular('label')} as key from labels_v) group by book_id, key)) where r = 1""",
+    "words_of": f"""select book_id, page_index, statement_id, array_to_string(list_transform(list_filter(string_split_regex(lower(text), '[\\s\\pZ]+'), lambda w: w <> ''), lambda w: {singular('w')}), ' ') as words from statements""",
+    "links": "select w.book_id, w.page_index, w.statement_id, s.term_id, s.place from words_of w join store s on w.book_id = s.book_id and contains(w.words, s.key)",
+    "candidates": """select distinct i.book_id, i.chapter_no, i.page_index, i.statement_id from (select l.*, c.chapter_no from links l join sections c using (book_id, page_index) where c.prose) i
+        semi join (select l.book_id, c.chapter_no, l.term_id from links l join sections c using (book_id, page_index) where c.prose group by all having count(*) between 2 and 12 and count(distinct l.page_index) >= 2) t using (book_id, chapter_no, term_id)""",
+    "proposed": f"""select book_id, chapter_no, src, dst, rel_type, place from (select book_id, chapter_no, key as src, lead(key) over w as dst, row_number() over w as place, {_pick(_RELATIONS, 'row_number() over w')} as rel_type
+        from (select book_id, chapter_no, page_index, statement_id, 'p' || page_index::varchar || ':' || statement_id as key from candidates) window w as (partition by book_id, chapter_no order by page_index, statement_id)) where dst is not null""",
+    "accepted": "select book_id, min(chapter_no) as chapter_no, src, dst, rel_type, min(place) as place from proposed where regexp_extract(src, '^p([0-9]+):', 1) <> regexp_extract(dst, '^p([0-9]+):', 1) group by book_id, src, dst, rel_type",
+    "reach": """select node, min(other) as cluster from (with recursive r(node, other) as (select u, v from edges union select v, u from edges union select r.node, x.b from r join (select u as a, v as b from edges union select v, u from edges) x on r.other = x.a) select node, least(node, other) as other from r) group by node""",
+    "merges": """select book_id, merge_no, key, text, member_no from (select m.*, first_value(s.text) over (partition by m.merge_no order by m.member_no) as text from (select split_part(cluster, '/', 1) as book_id, split_part(node, '/', 2) as key, cluster as merge_no,
+        row_number() over (partition by cluster order by regexp_extract(node, '/p([0-9]+):', 1)::int, node) as member_no, count(*) over (partition by cluster) as size from reach) m join (select book_id, 'p' || page_index::varchar || ':' || statement_id as key, text from statements) s using (book_id, key) where size <= 6)""",
+    "own": "select k.*, c.chapter_no, 'p' || k.page_index::varchar || ':' || k.statement_id as key from kept k join sections c using (book_id, page_index)",
+    "member_merge": """select * from (select o.book_id, o.chapter_no, o.key, m.merge_no, m.member_no, m.text as merge_text, count(*) over (partition by o.book_id, o.chapter_no, m.merge_no) as n from own o join merges m using (book_id, key)) where n >= 2""",
+    "unit_rows": "select o.*, m.merge_no, coalesce(m.member_no, 0) as member_no, m.merge_text, coalesce('m' || m.merge_no, o.key) as unit from own o left join member_merge m using (book_id, chapter_no, key)",
+    "finals": """select book_id, chapter_no, unit, row_number() over (partition by book_id, chapter_no order by pg, st) as final_no, type, basis, text from (select book_id, chapter_no, unit, min(page_index) as pg, first(statement_id order by page_index, statement_id) as st,
+        first(type order by member_no) as type, first(basis order by member_no) as basis, coalesce(any_value(merge_text), first(text)) as text from unit_rows group by book_id, chapter_no, unit)""",
+    "members": "select u.book_id, u.chapter_no, u.page_index, u.statement_id, u.key, f.final_no, u.member_no, u.refs from unit_rows u join finals f using (book_id, chapter_no, unit)",
+    "used": """select m.book_id, m.chapter_no, m.page_index, m.final_no, m.member_no, m.pos, m.evidence_id, e.kind, e.source, e.excerpt from (select *, refs[n] as evidence_id, n - 1 as pos from (select *, unnest(range(1, len(refs) + 1)) as n from members)) m
+        join kept_evidence e using (book_id, page_index, evidence_id)""",
+    "records": """select book_id, chapter_no, page_index, evidence_id, kind, source, excerpt, row_number() over (partition by book_id, chapter_no order by f, m, p) as evidence_no from (select *, final_no as f, member_no as m, pos as p,
+        row_number() over (partition by book_id, chapter_no, page_index, evidence_id order by final_no, member_no, pos) as r from used) where r = 1""",
+    "final_terms": "select m.book_id, m.chapter_no, m.final_no, list_sort(list_distinct(list(l.term_id))) as terms from members m join links l using (book_id, page_index, statement_id) group by all",
+    "final_relations": """select distinct a.book_id, a.chapter_no, a.final_no as src_no, b.final_no as dst_no, r.rel_type from (select book_id, 'p' || page_index::varchar || ':' || src as src, 'p' || page_index::varchar || ':' || dst as dst, rel_type from kept_relations
+        union all select book_id, src, dst, rel_type from accepted) r join members a on a.book_id = r.book_id and a.key = r.src join members b on b.book_id = r.book_id and b.key = r.dst and b.chapter_no = a.chapter_no where a.final_no <> b.final_no""",
 }
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.operators import anchor, coverage, score, validate
+from marginalia.operators import anchor, assemble, chapters, coverage, dedup, score, terms, validate
 from marginalia.plans.oracles import sql
-from marginalia.sources.derived import Corpus, page_numbers
+from marginalia.sources.derived import RELATIONS, Corpus, page_numbers, pick
 
 PAGE = anchor.PAGE
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,9 +157,9 @@ def _(c: Corpus) -> DataFrame:
 
 
 @query("f7_problems", """select * from ref_problems union all select * from schema_problems union all select * from untraced
-    union all select book_id, null, 'completeness', book_id, missing_pages from floor_book where missing_pages <> '' union all select book_id, null, 'generation', book_id, distinct_settings from generation_book where setting = 'mixed'""")
+    union all select book_id, -1, 'completeness', book_id, missing_pages from floor_book where missing_pages <> '' union all select book_id, -1, 'generation', book_id, distinct_settings from generation_book where setting = 'mixed'""")
 def _(c: Corpus) -> DataFrame:
-    none = F.lit(None).cast("long").alias("page_index")
+    none = F.lit(-1).cast("long").alias("page_index")
     lost = floor_book(c).where("missing_pages <> ''").select("book_id", none, F.lit("completeness").alias("rule"), F.col("book_id").alias("item"), F.col("missing_pages").alias("detail"))
     mixed = score.generation_book(generation(c)).where("setting = 'mixed'").select("book_id", none, F.lit("generation").alias("rule"), F.col("book_id").alias("item"), F.col("distinct_settings").alias("detail"))
     return ref_problems(c).unionByName(validate.schema(c.evidence, c.statements, c.relations)).unionByName(validate.traceability(c.evidence, c.norm)).unionByName(lost).unionByName(mixed)
@@ -210,3 +210,207 @@ def _(c: Corpus) -> DataFrame:
 @query("g4_gaps", "select * from gaps")
 def _(c: Corpus) -> DataFrame:
     return coverage.gaps(c.norm, merged(c))
+
+
+# --- chapters ---
+
+
+@query("l9_running_headers", "select book_id, top_line, n from hdr")
+def _(c: Corpus) -> DataFrame:
+    return chapters.running_headers(c.heads).select("book_id", "top_line", "n")
+
+
+@query("c1_book_title", "select * from titles")
+def _(c: Corpus) -> DataFrame:
+    return chapters.book_title(c.heads)
+
+
+@query("c2_group_chapters", "select book_id, page_index, chapter_no, chapter_key from grouped")
+def _(c: Corpus) -> DataFrame:
+    return chapters.grouped(c.heads).select(*PAGE, "chapter_no", "chapter_key")
+
+
+def chapter_rows(c: Corpus) -> DataFrame:
+    return chapters.chapters(chapters.grouped(c.heads))
+
+
+@query("c3_chapter_titles", "select book_id, chapter_no, chapter_key, title, len(pages) as n_pages from chapters")
+def _(c: Corpus) -> DataFrame:
+    return chapter_rows(c).select("book_id", "chapter_no", "chapter_key", "title", F.size("pages").alias("n_pages"))
+
+
+@query("c4_merge_oscillating")
+def _(c: Corpus) -> DataFrame:
+    return chapters.merged_oscillating(chapter_rows(c)).select("book_id", "chapter_no", "chapter_key", "title", joined("pages"))
+
+
+_REF = "(starts_with(upper(title), 'TABLE ') or starts_with(upper(title), 'INDEX ') or starts_with(upper(title), 'FIGURE') or starts_with(upper(title), 'ACCESSORIES'))"
+
+
+@query("c5_absorb_stray", f"""select book_id, target as chapter_no, first(chapter_key order by chapter_no) as chapter_key, first(title order by chapter_no) as title, array_to_string(list_sort(flatten(list(pages))), ',') as pages from (select *, sum(1 - stray::int) over (partition by book_id order by chapter_no) as target
+    from (select *, coalesce(len(pages) <= 2 and not regexp_matches(chapter_key, '^(CHAPTER [0-9]+|PART )') and not {_REF} and lag({_REF}) over w and lead({_REF}) over w, false) as stray from chapters window w as (partition by book_id order by chapter_no))) group by book_id, target""")
+def _(c: Corpus) -> DataFrame:
+    return chapters.absorbed_strays(chapter_rows(c)).select("book_id", "chapter_no", "chapter_key", "title", joined("pages"))
+
+
+def sections(c: Corpus) -> DataFrame:
+    return chapters.page_sections(chapter_rows(c))
+
+
+query("c7_page_sections", "select * from sections")(sections)
+
+
+@query("c8_chapter_summaries", """select book_id, chapter_no, chapter_key, title, count(*) as pages, count(*) filter (s is not null or e is not null) as with_notes, coalesce(sum(s), 0)::bigint as statements, coalesce(sum(e), 0)::bigint as evidence
+    from (select book_id, chapter_no, chapter_key, title, unnest(pages) as page_index from chapters) left join (select book_id, page_index, count(*) as s from statements group by all) using (book_id, page_index)
+    left join (select book_id, page_index, count(*) as e from evidence group by all) using (book_id, page_index) group by all""")
+def _(c: Corpus) -> DataFrame:
+    return chapters.summaries(chapter_rows(c), c.statements, c.evidence)
+
+
+@query("c9_find_stitches")
+def _(c: Corpus) -> DataFrame:
+    return chapters.stitches(c.evidence, c.pages, c.norm)
+
+
+@query("g5_redo_list", """select book_id, page_index, ratio, row_number() over (partition by book_id order by ratio, page_index) as place, string_agg((page_index + 1)::varchar, ',' order by page_index) over (partition by book_id rows between unbounded preceding and unbounded following) as page_spec
+    from coverage join sections using (book_id, page_index) where stream = 'body' and ratio < 0.3 and prose""")
+def _(c: Corpus) -> DataFrame:
+    return coverage.redo_list(coverage.coverage(c.norm, merged(c)), sections(c), 0.3)
+
+
+# --- duplicates ---
+
+
+def edge_rows(c: Corpus) -> DataFrame:
+    return dedup.edges(dedup.cited_quotes(c.statements, c.references, c.evidence))
+
+
+query("c10_dedup_blocking", "select * from edges")(edge_rows)
+
+
+@query("c11_dedup_clusters", "select node, cluster from reach")
+def _(c: Corpus) -> DataFrame:
+    return dedup.clusters(edge_rows(c))
+
+
+@query("k3_dedup_counts", "select size, count(*) as clusters from (select count(*) as size from reach group by cluster) group by size")
+def _(c: Corpus) -> DataFrame:
+    return dedup.cluster_lists(dedup.clusters(edge_rows(c))).groupBy("size").agg(F.count("*").alias("clusters"))
+
+
+def merges(c: Corpus) -> DataFrame:
+    """Rule-made decisions: each cluster of up to six becomes one, with its first member's text."""
+    members = dedup.clusters(edge_rows(c)).select("cluster", "node", F.split_part("node", F.lit("/"), F.lit(1)).alias("book_id"), F.split_part("node", F.lit("/"), F.lit(2)).alias("key"))
+    page = F.regexp_extract("node", r"/p(\d+):", 1).cast("int")
+    order = Window.partitionBy("cluster").orderBy(page, "node")
+    small = members.withColumns({"member_no": F.row_number().over(order), "size": F.count("*").over(Window.partitionBy("cluster"))}).where("size <= 6")
+    texts = c.statements.select("book_id", dedup.statement_key().alias("key"), "text")
+    first = small.join(texts, ["book_id", "key"]).withColumn("text", F.first("text").over(Window.partitionBy("cluster").orderBy("member_no")))
+    return first.select("book_id", F.col("cluster").alias("merge_no"), "key", "text", "member_no")
+
+
+@query("c12_apply_adjudication", "select merge_no as cluster, book_id || '/' || key as node, text from merges")
+def _(c: Corpus) -> DataFrame:
+    decided = merges(c).select(F.col("merge_no").alias("cluster"), "merge_no", F.concat_ws("/", "book_id", "key").alias("node"), "text")
+    return dedup.accepted(dedup.clusters(edge_rows(c)), decided).select("cluster", "node", "text")
+
+
+# --- terms and relations ---
+
+
+def labels(c: Corpus) -> DataFrame:
+    words = c.statements.join(sections(c).where("prose"), PAGE).select("book_id", "chapter_no", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), 1)).alias("label"))
+    order = Window.partitionBy("book_id", "chapter_no").orderBy(F.desc("n"), "label")
+    return words.groupBy("book_id", "chapter_no", "label").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(order)).where("place <= 10").drop("n")
+
+
+@query("t1_term_store", "select book_id, term_id, label, key, n_chapters, place from store")
+def _(c: Corpus) -> DataFrame:
+    return terms.term_store(labels(c)).select("book_id", "term_id", "label", "key", "n_chapters", "place")
+
+
+def links(c: Corpus) -> DataFrame:
+    return terms.link_terms(c.statements, terms.term_store(labels(c)))
+
+
+query("t2_link_terms", "select * from links")(links)
+
+
+@query("k3_term_counts", "select book_id, n_chapters, count(*) as terms from store group by all")
+def _(c: Corpus) -> DataFrame:
+    return terms.term_store(labels(c)).groupBy("book_id", "n_chapters").agg(F.count("*").alias("terms"))
+
+
+def candidates(c: Corpus) -> DataFrame:
+    return terms.relation_candidates(links(c), sections(c))
+
+
+query("r1_relation_candidates", "select * from candidates")(candidates)
+
+
+@query("r2_candidate_payload", """select c.book_id, c.chapter_no, c.page_index, c.statement_id, s.type, s.text, coalesce(t.terms, '') as terms from candidates c semi join (select book_id, chapter_no from candidates group by all having count(*) >= 2) m using (book_id, chapter_no)
+    join statements s using (book_id, page_index, statement_id) left join (select book_id, page_index, statement_id, string_agg(term_id, ',' order by place, term_id) as terms from links group by all) t using (book_id, page_index, statement_id)""")
+def _(c: Corpus) -> DataFrame:
+    return terms.candidate_payload(candidates(c), c.statements, links(c))
+
+
+def across(c: Corpus) -> DataFrame:
+    """Rule-made proposals between neighbouring candidates of a chapter, as far as they are accepted."""
+    found = candidates(c)
+    order = Window.partitionBy("book_id", "chapter_no").orderBy("page_index", "statement_id")
+    key = dedup.statement_key()
+    proposed = found.select("book_id", "chapter_no", key.alias("src"), F.lead(key).over(order).alias("dst"), F.row_number().over(order).alias("place")).where("dst is not null").withColumn("rel_type", pick(RELATIONS, F.col("place")))
+    return terms.accepted_relations(proposed, found)
+
+
+query("r3_accept_relations", "select * from accepted")(across)
+
+
+@query("k3_relation_type_counts", "select rel_type, count(*) as n from (select rel_type from relations union all select rel_type from accepted) group by rel_type")
+def _(c: Corpus) -> DataFrame:
+    return c.relations.select("rel_type").union(across(c).select("rel_type")).groupBy("rel_type").agg(F.count("*").alias("n"))
+
+
+# --- assembly ---
+
+
+def assembled(c: Corpus) -> dict[str, DataFrame]:
+    kept, parts = gated(c)[1], sections(c)
+    finals, members = assemble.chapter_statements(kept["statements"], parts, merges(c))
+    records, lists = assemble.chapter_evidence(members, kept["evidence"])
+    return {"finals": finals, "members": members, "records": records, "lists": lists, "kept": kept}
+
+
+@query("a1_chapter_statements", "select book_id, chapter_no, final_no, type, basis, text from finals")
+def _(c: Corpus) -> DataFrame:
+    return assembled(c)["finals"]
+
+
+@query("a2_chapter_evidence", "select book_id, chapter_no, page_index, evidence_id, kind, source, excerpt, evidence_no from records")
+def _(c: Corpus) -> DataFrame:
+    return assembled(c)["records"]
+
+
+@query("a2_statement_evidence", "select u.book_id, u.chapter_no, u.final_no, string_agg(r.evidence_no::varchar, ',' order by u.member_no, u.pos) as evidence from used u join records r using (book_id, chapter_no, page_index, evidence_id) group by all")
+def _(c: Corpus) -> DataFrame:
+    return assembled(c)["lists"].select("book_id", "chapter_no", "final_no", joined("evidence"))
+
+
+@query("a3_chapter_terms", "select book_id, chapter_no, final_no, array_to_string(terms, ',') as terms from final_terms")
+def _(c: Corpus) -> DataFrame:
+    return assemble.chapter_terms(assembled(c)["members"], links(c)).select("book_id", "chapter_no", "final_no", joined("terms"))
+
+
+@query("a4_chapter_relations", "select * from final_relations")
+def _(c: Corpus) -> DataFrame:
+    made = assembled(c)
+    return assemble.chapter_relations(made["members"], made["kept"]["relations"], across(c))
+
+
+@query("a5_assemble_document", """select f.book_id, f.chapter_no, row_number() over (partition by f.book_id order by f.chapter_no) as file_no, c.chapter_key, c.title, c.pages[1] as first_page, c.pages[len(c.pages)] as last_page, f.statements, coalesce(e.n, 0) as evidence, coalesce(t.n, 0) as terms, coalesce(r.n, 0) as relations
+    from (select book_id, chapter_no, count(*) as statements from finals group by all) f join chapters c using (book_id, chapter_no) left join (select book_id, chapter_no, count(*) as n from records group by all) e using (book_id, chapter_no)
+    left join (select book_id, chapter_no, count(distinct t) as n from (select book_id, chapter_no, unnest(terms) as t from final_terms) group by all) t using (book_id, chapter_no) left join (select book_id, chapter_no, count(*) as n from final_relations group by all) r using (book_id, chapter_no)""")
+def _(c: Corpus) -> DataFrame:
+    made = assembled(c)
+    found = assemble.chapter_terms(made["members"], links(c))
+    return assemble.document(made["finals"], made["records"], found, assemble.chapter_relations(made["members"], made["kept"]["relations"], across(c)), chapter_rows(c))
