@@ -19,7 +19,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the least doc_id stays (of rows with that same doc_id, the least text)."""
+    """Of each component the document with the least doc_id stays (of rows with that same doc_id, one)."""
     groups = near_dedup.near_groups(docs)
     ids = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     kept = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
@@ -31,13 +31,20 @@ def _repeats(groups: DataFrame) -> bool:
     return groups.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
 
 
+def _counted(docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """changed with the columns of docs, its character counts brought up to date."""
+    rows = changed.select(*docs.columns)
+    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else rows
+
+
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in 50-word windows that an earlier document has go; texts without such stay as they are."""
-    return substring_dedup.removed(docs).select(*docs.columns)
+    return _counted(docs, substring_dedup.removed(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redacted(docs, secrets.trained(docs))
+    """Every found secret becomes a mark; the document stays."""
+    return _counted(docs, secrets.redacted(docs, secrets.trained(docs)))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
