@@ -141,11 +141,32 @@ def normalized_passage(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BLANK, " ")))
 
 
+#: Fixed patterns: a citation (linked or bare), a run of citations within a line, the heading that the sources stand under.
+CITATION = r"\[s-[0-9a-z-]+\](?:\(#[^)\n]*\))?"
+CITATION_RUN = r"\[s-[^\]\n]*\](?:[ \t,]*\[s-[^\]\n]*\])*"
+STATEMENT_ID = "s-[0-9a-z-]+"
+SOURCES = r"(?s)\n+(?:-{3,}\n+)?#{2,4} +Notes & Sources\b.*\z"
+
+
 def without_citations(text: Column) -> Column:
-    """Study text without statement ids in square brackets and without the list of sources at its end."""
-    t = F.regexp_replace(text, r"(?s)\n#+ Sources\b.*\z", "")
-    t = F.regexp_replace(t, r"\s*\[s-[0-9a-z-]+(?:[,;\s]+s-[0-9a-z-]+)*\]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, " {2,}", " "), r"\s+([.,;:!?])", "$1"))
+    """A study text for reading: no sources at its end, no citations, and no gaps, empty brackets or double spaces left by them."""
+    t = F.regexp_replace(F.regexp_replace(text, SOURCES, ""), rf"[ \t]*{CITATION}(?:[ \t,]*{CITATION})*", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+([.,;:!?)])", "$1"), r"\(\s*\)", "")
+    return F.concat(F.regexp_replace(F.regexp_replace(t, r"(?<=\S) {2,}(?=\S)", " "), r"\s+\z", ""), F.lit("\n"))
+
+
+def linked_citations(text: Column, known: Column) -> Column:
+    """Each run of citations as a comma-joined list: links for ids in the array `known`, bare ids for others.
+
+    The runs are taken out in order and put back between the parts around them, so no text is scanned twice."""
+    runs = F.regexp_extract_all(text, F.lit(f"({CITATION_RUN})"), 1)
+    parts = F.split(text, CITATION_RUN, -1)
+
+    def shown(run: Column) -> Column:
+        ids = F.regexp_extract_all(run, F.lit(f"({STATEMENT_ID})"), 1)
+        return F.array_join(F.transform(ids, lambda i: F.when(F.array_contains(known, i), F.concat(F.lit("["), i, F.lit("](#note-"), i, F.lit(")"))).otherwise(i)), ", ")
+
+    return F.array_join(F.zip_with(parts, F.transform(runs, shown), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
 
 
 def generation_label(g: Column) -> Column:

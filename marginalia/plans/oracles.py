@@ -130,6 +130,29 @@ VIEWS = {
     "final_terms": "select m.book_id, m.chapter_no, m.final_no, list_sort(list_distinct(list(l.term_id))) as terms from members m join links l using (book_id, page_index, statement_id) group by all",
     "final_relations": """select distinct a.book_id, a.chapter_no, a.final_no as src_no, b.final_no as dst_no, r.rel_type from (select book_id, 'p' || page_index::varchar || ':' || src as src, 'p' || page_index::varchar || ':' || dst as dst, rel_type from kept_relations
         union all select book_id, src, dst, rel_type from accepted) r join members a on a.book_id = r.book_id and a.key = r.src join members b on b.book_id = r.book_id and b.key = r.dst and b.chapter_no = a.chapter_no where a.final_no <> b.final_no""",
+    "tokens": """select doc_id, n - 1 as word_no, tok, sum(length(tok) + 1) over (partition by doc_id order by n rows unbounded preceding) - length(tok) - 1 as c0, total, last_line
+        from (select doc_id, toks[n] as tok, n, total, last_line from (select *, unnest(range(1, len(toks) + 1)) as n from (select doc_id, string_split_regex(text, '[ \\n]') as toks, length(text) as total, case when contains(text, chr(10)) then length(list_last(string_split(text, chr(10)))) else 0 end as last_line from documents)))""",
+    "words": """select p.book_id, p.page_index, t.word_no, t.tok as text, (6 * ((c0 % 100) % 50) + 320 * ((c0 % 100) // 50))::double as x0, (6 * ((c0 % 100) % 50) + 320 * ((c0 % 100) // 50) + 6 * length(tok))::double as x1, (12 * (c0 // 100))::double as top, (12 * (c0 // 100) + 10)::double as bottom,
+        case when last_line > 0 and c0 >= total - last_line then 7.0::double else 10.0::double end as size from tokens t join page_no p using (doc_id) where tok <> ''""",
+    "sizes": "select p.book_id, p.page_index, 640 as width, (12 * (coalesce(length(d.text), 0) // 100 + 1)) as height from page_no p join documents d using (doc_id)",
+    "line_rows": """select book_id, page_index, line_no, line_top, max(bottom) as line_bottom, median(size) as line_size, count(*) as n_words, trim(string_agg(text, ' ' order by x0, word_no)) as line_text
+        from (select *, dense_rank() over (partition by book_id, page_index order by top) as line_no, top as line_top from words) group by book_id, page_index, line_no, line_top""",
+    "body_sizes": "select book_id, page_index, median(size) as body_size from words group by all",
+    "crossings": """select s.book_id, s.page_index, x.x, coalesce(c.n, 0) as n from (select book_id, page_index, unnest(range(0, 642)) as x from sizes) x join sizes s using (book_id, page_index)
+        left join (select book_id, page_index, x, count(*) as n from (select book_id, page_index, unnest(range(x0::int, least(641, x1::int) + 1)) as x from words) group by book_id, page_index, x) c on c.book_id = s.book_id and c.page_index = s.page_index and c.x = x.x""",
+    "gutters": """select s.book_id, s.page_index, g.gutter from sizes s left join (select book_id, page_index, arg_max(a + long / 2, long * 1000 - a) as gutter from (select book_id, page_index, min(x) as a, count(*) as long from (select *, x - row_number() over (partition by book_id, page_index order by x) as island
+        from (select *, min(n) filter (x between 192 and 448) over (partition by book_id, page_index) as least_n, max(n) over (partition by book_id, page_index) as top_n from crossings) where x between 192 and 448 and n = least_n and top_n > 0 and least_n < 0.5 * top_n) group by book_id, page_index, island) group by book_id, page_index) g using (book_id, page_index)""",
+    "column_words": "select w.*, case when gutter is not null and (x0 + x1) / 2 >= gutter then 1 else 0 end as column_no from words w join gutters using (book_id, page_index)",
+    "column_lines": """select *, row_number() over (partition by book_id, page_index, column_no order by line_top desc) as r, coalesce(n_words = 1 and (regexp_matches(trim(line_text, '.'), '^[0-9]+$') or regexp_matches(lower(trim(line_text, '.')), '^[ivxlcdm]+$')), false) as label, line_size < 0.85 * body_size as small
+        from (select book_id, page_index, column_no, top as line_top, median(size) as line_size, count(*) as n_words, trim(string_agg(text, ' ' order by x0, word_no)) as line_text from column_words group by all) join body_sizes using (book_id, page_index)""",
+    "fn_tops": """select f.book_id, f.page_index, f.column_no, coalesce(found, s.height::double) as fn_top from (select book_id, page_index, column_no, min(line_top) filter (not label and small and (stop is null or r < stop)) as found
+        from (select *, min(r) filter (not label and not small) over (partition by book_id, page_index, column_no) as stop from column_lines) group by all) f join sizes s using (book_id, page_index)""",
+    "usage_v": """select conv_id, ['m-small', 'm-mid', 'm-large', 'm-other'][conv_id % 4 + 1] as model, i as input_tokens, o as output_tokens, i // 2 as cache_create, i // 8 as cache_1h, i // 3 as cache_read
+        from (select conv_id, coalesce(sum(length(text)) filter (role = 'user'), 0)::bigint as i, coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as o from conversations group by conv_id)""",
+    "prices_v": "select * from (values ('m-small', 1.0::double, 5.0::double, 1.25::double, 2.0::double, 0.1::double), ('m-mid', 3.0, 15.0, 3.75, 6.0, 0.3), ('m-large', 5.0, 25.0, 6.25, 10.0, 0.5)) p(model, p_input, p_output, p_write_5m, p_write_1h, p_read)",
+    "costs": "select u.*, (input_tokens::double * p_input + output_tokens::double * p_output + greatest(cache_create::double - cache_1h::double, 0.0) * p_write_5m + cache_1h::double * p_write_1h + cache_read::double * p_read) / 1000000 as cost from usage_v u left join prices_v using (model)",
+    "outlines": "select book_id, string_agg(case when prose then '## ' else '### ' end || chapter_no::varchar || '. ' || title, chr(10) order by chapter_no) as text from (select distinct book_id, chapter_no, title, prose from sections) group by book_id",
+    "spec_v": "select * from (values ('a', '14'), ('b', '14-18'), ('c', '14,16'), ('d', ' 3 , 2-4'), ('e', 'x,5'), ('f', '9-7'), ('g', '0-2'), ('h', '')) s(spec_id, spec)",
 }
 
 

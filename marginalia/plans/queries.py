@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.operators import anchor, assemble, chapters, coverage, dedup, score, terms, validate
+from marginalia.functions import text as T
+from marginalia.operators import anchor, assemble, chapters, cost, coverage, dedup, export, layout, locate, propose, score, terms, validate
 from marginalia.plans.oracles import sql
+from marginalia.sources import notes
 from marginalia.sources.derived import RELATIONS, Corpus, page_numbers, pick
+from marginalia.streaming import incremental
 
 PAGE = anchor.PAGE
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -414,3 +417,404 @@ def _(c: Corpus) -> DataFrame:
     made = assembled(c)
     found = assemble.chapter_terms(made["members"], links(c))
     return assemble.document(made["finals"], made["records"], found, assemble.chapter_relations(made["members"], made["kept"]["relations"], across(c)), chapter_rows(c))
+
+
+# --- layout ---
+
+
+def words(c: Corpus) -> DataFrame:
+    """The texts laid out on a grid of 100 characters a row, in two columns; the last line is set small."""
+    last = F.when(F.contains("text", F.lit("\n")), F.length(F.substring_index("text", "\n", -1))).otherwise(0)
+    tokens = c.table("documents").select("doc_id", F.length("text").alias("total"), last.alias("last_line"), F.posexplode(F.split("text", "[ \n]", -1)).alias("word_no", "tok"))
+    before = F.sum(F.length("tok") + 1).over(Window.partitionBy("doc_id").orderBy("word_no").rowsBetween(Window.unboundedPreceding, 0)) - F.length("tok") - 1
+    placed = tokens.withColumn("c0", before).where("tok <> ''")
+    x0 = 6 * (F.col("c0") % 100 % 50) + 320 * F.expr("(c0 % 100) div 50")
+    top = 12 * F.expr("c0 div 100")
+    small = (F.col("last_line") > 0) & (F.col("c0") >= F.col("total") - F.col("last_line"))
+    return page_numbers(c.spark, c.sf_dir).join(placed, "doc_id").select(*PAGE, F.col("word_no").cast("long").alias("word_no"), F.col("tok").alias("text"), x0.cast("double").alias("x0"), (x0 + 6 * F.length("tok")).cast("double").alias("x1"), top.cast("double").alias("top"), (top + 10).cast("double").alias("bottom"), F.when(small, 7.0).otherwise(10.0).alias("size"))
+
+
+def sizes(c: Corpus) -> DataFrame:
+    return page_numbers(c.spark, c.sf_dir).join(c.table("documents").select("doc_id", (12 * (F.expr("coalesce(length(text), 0) div 100") + 1)).alias("height")), "doc_id").select(*PAGE, F.lit(640).alias("width"), "height")
+
+
+@query("l1_group_lines", "select * from line_rows")
+def _(c: Corpus) -> DataFrame:
+    return layout.lines(layout.lined(words(c)))
+
+
+@query("l3_body_size", "select * from body_sizes")
+def _(c: Corpus) -> DataFrame:
+    return layout.body_size(words(c))
+
+
+@query("l4_detect_gutter", "select * from gutters")
+def _(c: Corpus) -> DataFrame:
+    return layout.gutters(words(c), sizes(c))
+
+
+def column_words(c: Corpus) -> DataFrame:
+    return layout.columns(words(c), layout.gutters(words(c), sizes(c)))
+
+
+@query("l5_assign_column", "select book_id, page_index, word_no, column_no from column_words")
+def _(c: Corpus) -> DataFrame:
+    return column_words(c).select(*PAGE, "word_no", "column_no")
+
+
+def fn_tops(c: Corpus) -> DataFrame:
+    return layout.footnote_tops(column_words(c), sizes(c), layout.body_size(words(c)))
+
+
+query("l6_footnote_top", "select * from fn_tops")(fn_tops)
+
+
+@query("l7_page_label", """select book_id, page_index, arg_max(trim(text, '.'), word_no) as page_label from words join sizes using (book_id, page_index)
+    where top > 0.92 * height and (regexp_matches(trim(text, '.'), '^[0-9]+$') or regexp_matches(lower(trim(text, '.')), '^[ivxlcdm]+$')) group by all""")
+def _(c: Corpus) -> DataFrame:
+    return layout.page_labels(words(c), sizes(c))
+
+
+@query("l8_top_line", "select book_id, page_index, line_text as top_line from line_rows where line_no = 1")
+def _(c: Corpus) -> DataFrame:
+    return layout.top_lines(layout.lined(words(c)))
+
+
+def header_bottoms(c: Corpus) -> DataFrame:
+    return layout.header_bottoms(layout.lines(layout.lined(words(c))), layout.body_size(words(c)))
+
+
+query("l10_header_band_bottom", """select book_id, page_index, case when count(*) < 2 then 0.0::double else coalesce(arg_min((reach + next_top) / 2, line_no) filter (next_top - line_top > 1.8 * body_size), arg_min(reach + 0.5 * body_size, line_no)) end as header_bottom
+    from (select *, lead(line_top) over w as next_top, max(line_bottom) over (partition by book_id, page_index order by line_no rows unbounded preceding) as reach from line_rows join body_sizes using (book_id, page_index) window w as (partition by book_id, page_index order by line_no)) group by book_id, page_index""")(header_bottoms)
+
+
+@query("l11_classify_page", """select p.book_id, p.page_index, case when coalesce(w.n, 0) < 5 and p.doc_id % 13 <> 0 and p.doc_id % 17 <> 0 then 'blank' when p.doc_id % 17 = 0 then 'table' when p.doc_id % 13 = 0 and coalesce(w.n, 0) < 200 then 'figure' else 'text' end as page_type
+    from page_no p left join (select book_id, page_index, count(*) as n from words group by all) w using (book_id, page_index)""")
+def _(c: Corpus) -> DataFrame:
+    numbers = page_numbers(c.spark, c.sf_dir)
+    images = numbers.where("doc_id % 13 = 0").select(*PAGE)
+    rules = numbers.where("doc_id % 17 = 0").select(*PAGE, F.explode(F.sequence(F.lit(1), F.lit(70))).alias("rule"))
+    return layout.classified(numbers, words(c), images, rules)
+
+
+@query("l12_demote_empty_text", "select book_id, page_index, case when page_type = 'text' and length(trim(foot_norm)) < 20 then 'blank' else page_type end as page_type from norm")
+def _(c: Corpus) -> DataFrame:
+    return layout.demoted(c.norm.select(*PAGE, "page_type", F.col("foot_norm").alias("text"))).select(*PAGE, "page_type")
+
+
+@query("l14_stream_text")
+def _(c: Corpus) -> DataFrame:
+    return layout.stream_texts(column_words(c), fn_tops(c), header_bottoms(c))
+
+
+@query("l15_dehyphenate", """select book_id, page_index, run as line_no, string_agg(line, '' order by n) as line from (select *, sum(1 - j::int) over (partition by book_id, page_index order by n) as run from (select *, coalesce(regexp_matches(lag(line) over w, '\\pL-$') and regexp_matches(line, '^\\pL'), false) as j
+    from (select book_id, page_index, n - 1 as n, s[n] as line from (select book_id, page_index, s, unnest(range(1, len(s) + 1)) as n from (select book_id, page_index, string_split(replace(body, ', ', '-' || chr(10)), chr(10)) as s from pages))) window w as (partition by book_id, page_index order by n))) group by all""")
+def _(c: Corpus) -> DataFrame:
+    broken = F.replace("body", F.lit(", "), F.lit("-\n"))
+    return layout.dehyphenated(c.pages.select(*PAGE, F.posexplode(F.split(broken, "\n", -1)).alias("line_no", "line")), PAGE)
+
+
+@query("l18_text_layer_report", """select book_id, count(*) as pages, sum(length(trim(coalesce(body, ''))))::bigint as chars, sum(length(trim(coalesce(body, ''))))::double / count(*) as mean_chars, count(*) filter (length(trim(coalesce(body, ''))) < 40) as low_pages,
+    count(*) filter (length(trim(coalesce(body, ''))) < 40) * 2 > count(*) as needs_ocr from pages group by book_id""")
+def _(c: Corpus) -> DataFrame:
+    return layout.text_layer_report(c.pages)
+
+
+@query("l19_layout_distribution", "select book_id, page_type, count(*) as pages, string_agg(page_index::varchar, ',' order by page_index) as page_indices from pages group by all")
+def _(c: Corpus) -> DataFrame:
+    return layout.layout_distribution(c.pages).select("book_id", "page_type", "pages", joined("page_indices"))
+
+
+@query("l20_region_map")
+def _(c: Corpus) -> DataFrame:
+    return layout.region_map(sizes(c), header_bottoms(c), layout.gutters(words(c), sizes(c)), fn_tops(c))
+
+
+# --- locators ---
+
+
+@query("x1_label_index", "select book_id, page_label as label, string_agg(page_index::varchar, ',' order by page_index) as page_indices from pages where page_label is not null group by all")
+def _(c: Corpus) -> DataFrame:
+    return locate.label_index(c.pages).select("book_id", "label", joined("page_indices"))
+
+
+@query("x2_resolve_printed", """select q.book_id, q.folio, q.label, coalesce(i.page_indices, '') as page_indices, i.label is not null as matched from (select distinct book_id, f[1] as folio, f[2] as label from page_no cross join (select unnest([['p.12', '12'], ['P3', '3'], ['ii', 'ii'], [' 999 ', '999']]) as f)) q
+    left join (select book_id, page_label as label, string_agg(page_index::varchar, ',' order by page_index) as page_indices from pages where page_label is not null group by all) i using (book_id, label)""")
+def _(c: Corpus) -> DataFrame:
+    asked = c.heads.select("book_id").distinct().select("book_id", F.explode(F.array(*map(F.lit, ("p.12", "P3", "ii", " 999 ")))).alias("folio"))
+    return locate.printed(asked, locate.label_index(c.pages)).withColumn("page_indices", joined("page_indices"))
+
+
+def specs(c: Corpus) -> DataFrame:
+    """Eight page specs for each book."""
+    rows = F.explode(F.array(*(F.struct(F.lit(i).alias("id"), F.lit(s).alias("spec")) for i, s in (("a", "14"), ("b", "14-18"), ("c", "14,16"), ("d", " 3 , 2-4"), ("e", "x,5"), ("f", "9-7"), ("g", "0-2"), ("h", ""))))).alias("s")
+    return c.heads.groupBy("book_id").agg((F.max("page_index") + 1).alias("max_page")).select("book_id", "max_page", rows).select(F.concat_ws("/", "book_id", "s.id").alias("spec_id"), "s.spec", "max_page")
+
+
+_LENIENT = """(select book_id, spec_id, place, lo, hi from (select b.book_id, s.spec_id, s.place, case when contains(s.part, '-') then try_cast(trim(split_part(s.part, '-', 1)) as bigint) else try_cast(s.part as bigint) end as lo, case when contains(s.part, '-') then try_cast(trim(split_part(s.part, '-', 2)) as bigint) else try_cast(s.part as bigint) end as hi
+    from (select distinct book_id from page_no) b cross join (select spec_id, trim(parts[n]) as part, n as place from (select spec_id, parts, unnest(range(1, len(parts) + 1)) as n from (select spec_id, string_split(spec, ',') as parts from spec_v))) s where s.part <> '') where lo <= hi)"""
+
+
+@query("x3_lenient_page_spec", f"select distinct book_id || '/' || spec_id as spec_id, page - 1 as page_index from (select book_id, spec_id, unnest(range(lo, hi + 1)) as page from {_LENIENT}) where page >= 1")
+def _(c: Corpus) -> DataFrame:
+    return locate.lenient_spec(specs(c))
+
+
+@query("n17_strict_page_spec", f"""select book_id || '/' || spec_id as spec_id, row_number() over (partition by book_id, spec_id order by place, page) - 1 as place, page from (select book_id, spec_id, min(place) as place, page from (select book_id, spec_id, place, unnest(range(lo, hi + 1)) as page from {_LENIENT} where spec_id <> 'e')
+    join (select book_id, max(page_index) + 1 as max_page from page_no group by book_id) using (book_id) where page between 1 and max_page group by book_id, spec_id, page)""")
+def _(c: Corpus) -> DataFrame:
+    return locate.strict_spec(specs(c).where("spec <> 'x,5'"))
+
+
+_PASS = "lower(trim(regexp_replace({0}, '[\\s\\pZ]+', ' ', 'g')))"
+
+
+@query("j6_passages_in_pages", f"""select distinct b.item_id as passage_id, p.book_id, p.page_index from (select item_id, {_PASS.format('text')} as needle from benchmark) b join (select book_id, page_index, {_PASS.format('body')} as hay from pages) p on contains(hay, needle) or contains(needle, hay)
+    where needle <> '' and hay <> ''""")
+def _(c: Corpus) -> DataFrame:
+    return locate.passages(c.table("benchmark").select(F.col("item_id").alias("passage_id"), "text"), c.pages.select(*PAGE, F.col("body").alias("excerpt")))
+
+
+@query("x4_resolve_passage", f"""select distinct b.item_id as passage_id, p.book_id, p.page_index from (select item_id, {_PASS.format('text')} as needle from benchmark) b join (select book_id, page_index, {_PASS.format('excerpt')} as hay from evidence where kind = 'text') p on contains(hay, needle) or contains(needle, hay)
+    where needle <> '' and hay <> ''""")
+def _(c: Corpus) -> DataFrame:
+    return locate.passages(c.table("benchmark").select(F.col("item_id").alias("passage_id"), "text"), c.evidence.where("kind = 'text'"))
+
+
+# --- export tables ---
+
+
+@query("x5_citation_audit", """select distinct book_id, page_index, statement_id, known as cited from (select book_id, page_index, statement_id, true as known from statements union all select s.book_id, s.page_index, 's-9' || s.k::varchar as statement_id, x.statement_id is not null as known
+    from statements s left join statements x on x.book_id = s.book_id and x.page_index = s.page_index and x.statement_id = 's-9' || s.k::varchar)""")
+def _(c: Corpus) -> DataFrame:
+    cite = F.concat(F.lit("Claim ["), "statement_id", F.lit("] and [s-9"), F.col("k").cast("string"), F.lit("]"))
+    texts = c.statements.groupBy(*PAGE).agg(F.array_join(F.sort_array(F.collect_list(cite)), "\n").alias("text"))
+    return export.citation_audit(texts, c.statements)
+
+
+@query("n20_link_citations", """select book_id, page_index, string_agg('See [' || statement_id || '](#note-' || statement_id || '), s-x' || k::varchar || '.', chr(10) order by k) as text from statements group by all""")
+def _(c: Corpus) -> DataFrame:
+    line = F.concat(F.lit("See ["), "statement_id", F.lit("] [s-x"), F.col("k").cast("string"), F.lit("]."))
+    texts = c.statements.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"), F.collect_set("statement_id").alias("known"))
+    return texts.select(*PAGE, T.linked_citations(F.col("text"), F.col("known")).alias("text"))
+
+
+@query("n19_strip_citations", "select book_id, page_index, statement_id, 'It is so.' || chr(10) as text from statements")
+def _(c: Corpus) -> DataFrame:
+    cited = F.concat(F.lit("It is so ["), "statement_id", F.lit("][s-x], [s-2].\n\n---\n## Notes & Sources\n["), "statement_id", F.lit("] text"))
+    return c.statements.select(*PAGE, "statement_id", T.without_citations(cited).alias("text"))
+
+
+@query("x6_appendix")
+def _(c: Corpus) -> DataFrame:
+    made = assembled(c)
+    labels_of = c.pages.select(*PAGE, "page_label")
+    records = made["records"].join(labels_of, PAGE).withColumn("locator", F.lit(None).cast("string"))
+    return export.appendix(made["finals"].where("final_no % 3 = 1").select("book_id", "chapter_no", "final_no"), made["finals"], records, made["lists"])
+
+
+def outlines(c: Corpus) -> DataFrame:
+    rows = sections(c).select("book_id", "chapter_no", "title", "prose").distinct()
+    line = F.concat(F.when(F.col("prose"), "## ").otherwise("### "), F.col("chapter_no").cast("string"), F.lit(". "), "title")
+    return rows.groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter_no", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+
+
+@query("x7_toc", """select book_id, line_no, case when main then 1 else 2 end as level, case when main then c1::varchar else c1::varchar || '.' || c2::varchar end as number, title, case when main then 'sec-' || c1::varchar else 'sec-' || c1::varchar || '-' || c2::varchar end as anchor
+    from (select *, sum(1 - main::int) over (partition by book_id, c1 order by line_no)::bigint as c2 from (select *, sum(main::int) over (partition by book_id order by line_no)::bigint as c1 from (select distinct book_id, chapter_no - 1 as line_no, prose as main, title from sections)))""")
+def _(c: Corpus) -> DataFrame:
+    return export.toc(outlines(c))
+
+
+@query("x8_book_toc")
+def _(c: Corpus) -> DataFrame:
+    parts = outlines(c).withColumn("file_no", F.lit(1))
+    return export.book_toc(parts.select("book_id", "file_no", F.col("book_id").alias("title")), export.toc(parts.select("book_id", "file_no", "text")))
+
+
+@query("x9_digest")
+def _(c: Corpus) -> DataFrame:
+    made = assembled(c)
+    named = assemble.chapter_terms(made["members"], links(c)).withColumnRenamed("terms", "labels")
+    return export.digest(made["finals"], named, assemble.chapter_relations(made["members"], made["kept"]["relations"], across(c)))
+
+
+@query("x10_translation_coverage", "select book_id, page_index, count(*) as asked, count(*) filter (k % 4 >= 2 and trim(upper(text)) <> trim(text)) as kept, count(*) filter (not (k % 4 >= 2 and trim(upper(text)) <> trim(text))) as missing from statements group by all")
+def _(c: Corpus) -> DataFrame:
+    asked = c.statements.select(*PAGE, F.col("statement_id").alias("item"), "text", "k")
+    results = asked.where("k % 4 <> 0").select(*PAGE, "item", F.when(F.col("k") % 4 == 1, F.col("text")).otherwise(F.upper("text")).alias("translation"))
+    return export.translation_coverage(asked.drop("k"), results, PAGE)
+
+
+@query("x11_request_batches", "select book_id, page_index, statement_id as item, ceil(row_number() over (partition by book_id, page_index order by statement_id) / 5)::bigint as batch from statements")
+def _(c: Corpus) -> DataFrame:
+    return export.request_batches(c.statements.select(*PAGE, F.col("statement_id").alias("item")), PAGE, 5)
+
+
+@query("x11_retry_batches", "select book_id, page_index, statement_id as item, ceil(row_number() over (partition by book_id, page_index order by statement_id) / 5)::bigint as batch from statements where k % 4 < 2")
+def _(c: Corpus) -> DataFrame:
+    items = c.statements.select(*PAGE, F.col("statement_id").alias("item"), "k")
+    return export.retry_batches(items.drop("k"), items.where("k % 4 >= 2"), PAGE, 8)
+
+
+@query("x12_select_book_chapters", """select book_id, file_no, coalesce(title, 'Chapter ' || file_no::varchar) as title, text from (select book_id, chapter_no as file_no, case when chapter_no % 5 = 0 then chapter_key when chapter_no % 7 = 0 then null else title end as title, '## ' || title as text, chapter_no from chapters where chapter_no % 2 = 0)
+    where title is null or not ((starts_with(upper(title), 'TABLE ') or starts_with(upper(title), 'INDEX ') or starts_with(upper(title), 'FIGURE')) or upper(title) in ('FRONT MATTER', 'BIBLIOGRAPHY'))""")
+def _(c: Corpus) -> DataFrame:
+    rows = chapter_rows(c).withColumn("file_no", F.col("chapter_no"))
+    exports = rows.select("book_id", "file_no", F.lit("outline").alias("style"), F.when(F.col("file_no") % 2 == 0, "en").otherwise("de").alias("language"), F.concat(F.lit("## "), "title").alias("text"))
+    known = rows.where("file_no % 7 <> 0 or file_no % 5 = 0").select("book_id", "file_no", F.when(F.col("file_no") % 5 != 0, F.col("title")).alias("title"), "chapter_key")
+    return export.book_chapters(exports, known, "outline", "en")
+
+
+# --- cost ---
+
+
+def costs(c: Corpus) -> DataFrame:
+    size = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, F.length("text"))), F.lit(0))
+    sums = c.table("conversations").groupBy("conv_id").agg(size("user").alias("i"), size("assistant").alias("o"))
+    usage = sums.select("conv_id", pick(("m-small", "m-mid", "m-large", "m-other"), F.col("conv_id")).alias("model"), F.col("i").alias("input_tokens"), F.col("o").alias("output_tokens"), F.expr("i div 2").alias("cache_create"), F.expr("i div 8").alias("cache_1h"), F.expr("i div 3").alias("cache_read"))
+    sheet = [("m-small", 1.0, 5.0, 1.25, 2.0, 0.1), ("m-mid", 3.0, 15.0, 3.75, 6.0, 0.3), ("m-large", 5.0, 25.0, 6.25, 10.0, 0.5)]
+    return cost.estimate(usage, c.spark.createDataFrame(sheet, "model string, p_input double, p_output double, p_write_5m double, p_write_1h double, p_read double"))
+
+
+query("k1_estimate_cost", "select * from costs")(costs)
+
+
+@query("k2_run_cost", "select model, round(sum(cost), 6) as cost, count(cost) as priced, count(*) as calls from costs group by model")
+def _(c: Corpus) -> DataFrame:
+    return cost.run_cost(costs(c), ["model"]).withColumn("cost", F.round("cost", 6))
+
+
+# --- sources, proposals, incremental runs ---
+
+
+def stored_notes(c: Corpus) -> DataFrame:
+    """The derived notes in their nested form, as read back; every 31st document's is spoilt."""
+    tables = notes.nested(c.evidence.withColumn("pos", F.coalesce("k", F.lit(1 << 30))), c.statements.withColumn("pos", F.col("k")), c.relations.withColumn("pos", F.regexp_extract("src", r"s-(\d+)", 1).cast("int")))
+    raw = tables.join(page_numbers(c.spark, c.sf_dir), PAGE).select(*PAGE, F.when(F.col("doc_id") % 31 == 0, "{broken").otherwise(F.col("notes")).alias("raw"))
+    return notes.parsed_notes(raw)
+
+
+@query("s2_read_notes", "select book_id, page_index, doc_id % 31 <> 0 as readable from (select distinct book_id, page_index, doc_id from (select book_id, page_index, doc_id from evidence union all select book_id, page_index, doc_id from statements))")
+def _(c: Corpus) -> DataFrame:
+    return stored_notes(c).select(*PAGE, "readable")
+
+
+@query("s3_page_index_of", "select book_id, page_index, case when page_index % 5 = 4 then -1 else page_index end as parsed from page_no")
+def _(c: Corpus) -> DataFrame:
+    path = F.concat(F.lit("/x/"), "book_id", F.when(F.col("page_index") % 5 == 4, "/page-x.notes.yaml").otherwise(F.concat(F.lit("/page-"), F.lpad(F.col("page_index").cast("string"), 4, "0"), F.lit(".notes.yaml"))))
+    return c.heads.select(*PAGE, F.coalesce(notes.page_index_of(path), F.lit(-1)).alias("parsed"))
+
+
+@query("s4_flatten_statements", "select book_id, page_index, statement_id, type, nullif(basis, 'author') as basis, text, array_to_string(refs, ',') as refs from statements where doc_id % 31 <> 0")
+def _(c: Corpus) -> DataFrame:
+    return notes.flattened(stored_notes(c))["statements"].select(*PAGE, "statement_id", "type", "basis", "text", joined("refs"))
+
+
+@query("s4_flatten_evidence", "select book_id, page_index, evidence_id, kind, source, excerpt from evidence where doc_id % 31 <> 0")
+def _(c: Corpus) -> DataFrame:
+    return notes.flattened(stored_notes(c))["evidence"].select(*PAGE, "evidence_id", "kind", "source", "excerpt")
+
+
+@query("s6_merge_source_pages", """select book_id, page_index, case when page_index % 2 = 0 and body <> '' then body else body || ' new' end as text, footnotes, case when page_index % 2 = 0 then true end as expected_notes from pages""")
+def _(c: Corpus) -> DataFrame:
+    mark = F.when(F.col("page_index") % 2 == 0, True)
+    old = c.pages.where("page_index % 3 <> 2").select(*PAGE, F.when(F.col("page_index") % 2 == 0, F.col("body")).otherwise("").alias("text"), "footnotes", mark.alias("expected_notes"))
+    late = c.pages.select(*PAGE, F.when((F.col("page_index") % 3 == 2) & (F.col("page_index") % 2 == 0), F.col("body")).otherwise(F.concat("body", F.lit(" new"))).alias("text"), "footnotes", mark.alias("expected_notes"))
+    return notes.merged_pages(old, late)
+
+
+@query("s7_capture_doc", "select p.book_id, p.page_index, p.page_type, p.page_type = 'text' as expected_notes, n.page_index is not null as has_notes, p.page_type = 'text' and n.page_index is null as missing from pages p left join (select *, page_index as pi from present) n on n.book_id = p.book_id and n.page_index = p.page_index")
+def _(c: Corpus) -> DataFrame:
+    return notes.captured(c.pages, present(c))
+
+
+@query("s8_select_bundle", "select book_id, page_index, statement_id from statements where page_index between 13 and 17")
+def _(c: Corpus) -> DataFrame:
+    chosen = locate.lenient_spec(c.heads.select(F.col("book_id").alias("spec_id"), F.lit("14-18").alias("spec")).distinct()).withColumnRenamed("spec_id", "book_id")
+    return locate.bundle(c.statements, chosen).select(*PAGE, "statement_id")
+
+
+@query("p1_page_context", "select a.book_id, a.page_index, b.page_index as context_index from pages a join pages b on a.book_id = b.book_id and abs(a.page_index - b.page_index) = 1 and b.page_type = 'text' where a.page_type = 'text'")
+def _(c: Corpus) -> DataFrame:
+    return propose.page_context(c.pages, c.pages.where("page_type = 'text'"))
+
+
+@query("p2_worklist", "select book_id, page_index from pages where page_type = 'text' and (book_id, page_index) not in (select book_id, page_index from present)")
+def _(c: Corpus) -> DataFrame:
+    return propose.worklist(c.pages, present(c))
+
+
+def proposals(c: Corpus) -> DataFrame:
+    """Proposals made from the derived statements: each cites its own quote, with two terms of its text and a relation to the next."""
+    words_of = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), 1)), 1, 2)
+    one = F.struct(F.concat(F.lit("k"), F.col("k").cast("string")).alias("key"), "type", "basis", F.concat(F.lit(" "), "text", F.lit(" ")).alias("text"), words_of.alias("terms"), F.array(F.struct(F.col("text").alias("excerpt"), F.lit("body").alias("source"))).alias("evidence"))
+    edge = F.struct(F.concat(F.lit("k"), F.col("k").cast("string")).alias("from"), F.concat(F.lit("k"), (F.col("k") + 3).cast("string")).alias("to"), F.lit("supports").alias("type"))
+    lists = c.statements.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", one.alias("s"), edge.alias("e")))), lambda x: x).alias("rows"))
+    body = F.struct(F.transform("rows", lambda x: x["s"]).alias("statements"), F.transform("rows", lambda x: x["e"]).alias("relations"))
+    return propose.parsed(lists.select(*PAGE, F.lit("ok").alias("status"), F.to_json(body).alias("proposal")))
+
+
+@query("p4_canonical_statements", "select book_id, page_index, 's-' || (row_number() over (partition by book_id, page_index order by k))::varchar as statement_id, type, nullif(basis, 'author') as basis, trim(text) as text from statements")
+def _(c: Corpus) -> DataFrame:
+    return propose.canonical_statements(proposals(c)).select(*PAGE, "statement_id", "type", "basis", "text")
+
+
+@query("p4_canonical_evidence", "select book_id, page_index, 's-' || n::varchar as statement_id, 'e-' || n::varchar as evidence_id, text as excerpt from (select *, row_number() over (partition by book_id, page_index order by k) as n from statements)")
+def _(c: Corpus) -> DataFrame:
+    return propose.canonical_evidence(propose.canonical_statements(proposals(c))).select(*PAGE, "statement_id", "evidence_id", "excerpt")
+
+
+@query("p4_canonical_terms", """select book_id, page_index, 't-' || label as term_id, label, row_number() over (partition by book_id, page_index order by k, pos) - 1 as place from (select book_id, page_index, label, min(k * 10 + pos) // 10 as k, min(k * 10 + pos) % 10 as pos from (select book_id, page_index, k, unnest(l) as label, unnest(range(1, len(l) + 1)) as pos
+    from (select book_id, page_index, k, list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, 2) as l from (select book_id, page_index, k, regexp_extract_all(lower(text), '[a-z]{5,}') as w from statements))) group by book_id, page_index, label)""")
+def _(c: Corpus) -> DataFrame:
+    p = proposals(c)
+    return propose.canonical_terms(p, propose.canonical_statements(p))
+
+
+@query("p5_resolve_relations", """select a.book_id, a.page_index, 's-' || a.n::varchar as src, 's-' || b.n::varchar as dst, 'supports' as rel_type from (select *, row_number() over (partition by book_id, page_index order by k) as n from statements) a
+    join (select *, row_number() over (partition by book_id, page_index order by k) as n from statements) b on a.book_id = b.book_id and a.page_index = b.page_index and b.k = a.k + 3""")
+def _(c: Corpus) -> DataFrame:
+    p = proposals(c)
+    s = propose.canonical_statements(p)
+    return propose.canonical_relations(p, s, propose.canonical_terms(p, s)).select(*PAGE, "src", "dst", "rel_type")
+
+
+@query("p9_stamp_source", "select k.book_id, k.page_index, k.statement_id, p.doc_id, p.page_label, 'page' as scope from kept k join pages p using (book_id, page_index)")
+def _(c: Corpus) -> DataFrame:
+    return propose.stamped(gated(c)[1]["statements"].select(*PAGE, "statement_id"), c.pages)
+
+
+_LANGUAGE = "select book_id, case when count(distinct lower(trim(lang))) = 0 then 'unknown' when count(distinct lower(trim(lang))) = 1 then max(lower(trim(lang))) else 'mixed' end as language from page_no join (select doc_id, case when doc_id // 20 % 3 = 1 then lang end as lang from documents where doc_id // 20 % 13 <> 0) using (doc_id) where page_index < 12 group by book_id"
+
+
+def page_languages(c: Corpus) -> DataFrame:
+    lang = c.table("documents").where("doc_id div 20 % 13 <> 0").select("doc_id", F.when(F.expr("doc_id div 20 % 3 = 1"), F.col("lang")).alias("language"))
+    return propose.roll_up_language(page_numbers(c.spark, c.sf_dir).where("page_index < 12").join(lang, "doc_id"))
+
+
+query("p10_roll_up_language", _LANGUAGE)(page_languages)
+
+
+@query("p11_translation_decision", f"select book_id, language, case when language = 'en' then 'native' when language in ('unknown', 'mixed') then 'native' when book_id like 'src1%' then 'en' else 'native' end as reading from ({_LANGUAGE})")
+def _(c: Corpus) -> DataFrame:
+    books = page_languages(c)
+    return propose.translation_decision(books, "en", decided=books.where("book_id like 'src1%'").select("book_id", F.lit(True).alias("translate")))
+
+
+@query("v4_validate_chapters", "select book_id, count(distinct chapter_no) as failing from finals where type = 'remark' group by book_id")
+def _(c: Corpus) -> DataFrame:
+    """Chapters whose assembled statements break the rules; their evidence numbers are known to exist by construction."""
+    finals = assembled(c)["finals"].select("book_id", F.col("chapter_no").alias("page_index"), F.concat(F.lit("s-"), F.col("final_no").cast("string")).alias("statement_id"), "type", "basis", "text", F.array(F.lit("e-1")).alias("refs"))
+    none = c.evidence.limit(0), c.relations.limit(0)
+    return validate.schema(none[0], finals, none[1]).groupBy("book_id").agg(F.count_distinct("page_index").alias("failing"))
+
+
+@query("i1_input_fingerprint", "select book_id, sha256(string_agg(sha256(page_index::varchar || chr(31) || coalesce(body, '') || chr(31) || coalesce(footnotes, '')), '' order by page_index) || chr(30) || 'effort=low') as fingerprint from pages group by book_id")
+def _(c: Corpus) -> DataFrame:
+    return incremental.fingerprints(c.pages.withColumnRenamed("body", "text"), "effort=low")
+
+
+@query("c13_similar_texts", """select a.book_id, a.key as a, b.key as b, len(list_intersect(a.t, b.t))::double / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) as jaccard from (select book_id, 'p' || page_index::varchar || ':' || statement_id as key, list_distinct(list_filter(string_split_regex(lower(text), '[\\s\\pZ]+'), lambda x: x <> '')) as t from statements) a
+    join (select book_id, 'p' || page_index::varchar || ':' || statement_id as key, list_distinct(list_filter(string_split_regex(lower(text), '[\\s\\pZ]+'), lambda x: x <> '')) as t from statements) b on a.book_id = b.book_id and a.key < b.key where len(list_intersect(a.t, b.t)) >= 0.8 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))""")
+def _(c: Corpus) -> DataFrame:
+    return dedup.similar_texts(c.statements)
