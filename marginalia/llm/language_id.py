@@ -1,8 +1,9 @@
 """Language identification by compression with per-language zstandard dictionaries.
 
 Each language's dictionary is raw content: the distinct words of a bounded sample of labelled training documents (at
-most `sample_docs` a language, chosen by a hash of doc_id, of each at most `sample_chars` characters, of all at most
-`dictionary_bytes`). A text is reduced to its distinct lower-case words of letters, in order, and compressed in blocks
+most `sample_docs` a language, chosen by a hash of doc_id, of each at most `sample_chars` characters). Words that more
+of these documents have stand nearer to its end, and the last `dictionary_bytes` are used, so words of another language
+in a few mixed documents hardly matter. A text is reduced to its distinct lower-case words of letters, in order, and compressed in blocks
 of `block` bytes with each dictionary; the language of the smallest total wins. The margin is what the second needs
 more, in proportion. A text with at least `guard_letters` letters in those words is rejected if its margin is under
 `least_margin`: it is in none of the languages, or in several.
@@ -18,6 +19,7 @@ input are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,12 +48,12 @@ def dictionaries(train: DataFrame, sample_docs: int = 200, sample_chars: int = 2
     ids = train.where("lang is not null").select("doc_id", "lang").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= sample_docs)
     chosen = [r[0] for r in ids.select("doc_id").distinct().collect()]
     rows = train.where(F.col("lang").isNotNull() & F.col("doc_id").isin(chosen)).select("doc_id", "lang", F.substring("text", 1, sample_chars).alias("text")).collect() if chosen else []
-    out: dict[str, dict[str, None]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"] or "")):
-        out.setdefault(r["lang"], {}).update(dict.fromkeys(distinct_words(r["text"] or "")))
+    out: dict[str, Counter] = {}
+    for r in rows:
+        out.setdefault(r["lang"], Counter()).update(distinct_words(r["text"] or ""))
     often = {r["lang"]: r["count"] for r in train.where("lang is not null").groupBy("lang").count().collect()}
     order = sorted((lang for lang in out if out[lang]), key=lambda lang: (-often[lang], lang))
-    return {lang: " ".join(out[lang]).encode()[-dictionary_bytes:] for lang in order}
+    return {lang: " ".join(sorted(out[lang], key=lambda w: (out[lang][w], w))).encode()[-dictionary_bytes:] for lang in order}
 
 
 class Compressed:
@@ -77,7 +79,7 @@ class Compressed:
         return self.langs[first], (second - sizes[first]) / second, letters
 
 
-def languages(docs: DataFrame, contents: dict[str, bytes], level: int = 6, min_match: int = 4, block: int = 1024, least_margin: float = 0.02, guard_letters: int = 60, sure_margin: float = 0.1) -> DataFrame:
+def languages(docs: DataFrame, contents: dict[str, bytes], level: int = 6, min_match: int = 4, block: int = 1024, least_margin: float = 0.01, guard_letters: int = 60, sure_margin: float = 0.1) -> DataFrame:
     """doc_id, lang_pred, score, margin and rejected of each row. score: the margin as a share of sure_margin, at most 1."""
     contents = dict(contents)
 
@@ -93,7 +95,7 @@ def languages(docs: DataFrame, contents: dict[str, bytes], level: int = 6, min_m
 
 def kept(docs: DataFrame, contents: dict[str, bytes], **how) -> DataFrame:
     """The rows of docs, all columns, whose text is not rejected; decided where the row is read, so nothing is shuffled."""
-    limit = {"level": 6, "min_match": 4, "block": 1024, "least_margin": 0.02, "guard_letters": 60} | how
+    limit = {"level": 6, "min_match": 4, "block": 1024, "least_margin": 0.01, "guard_letters": 60} | how
     contents = dict(contents)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
