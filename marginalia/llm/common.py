@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: tables in the shared folder, Arrow batches cut to a byte bound."""
+"""What the operators of this subpackage share: Arrow batches cut to a byte bound, columns as numpy, gathers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,30 +9,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that an operator holds in numpy form at once in one task; a longer single text comes alone.
-SLICE_BYTES = 4 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where none is set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="marginalia-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+from marginalia.sources.shared import new_path, shared_dir, written
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["SLICE_BYTES", "column", "ints", "new_path", "offsets", "ragged", "shared_dir", "slices", "table", "texts", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: cuts the lineage and survives lost executors.
-
-    The table stays until the folder is cleaned, since the frame returned reads it lazily."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of text that an operator holds in numpy form at once in one task; a longer single text comes alone.
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from marginalia.llm import golay
 from marginalia.llm import wordspans as ws
 from marginalia.llm.common import column, ints, slices, table, written
-from marginalia.llm.components import components
+from marginalia.operators.components import components
 
 SEED, SHINGLE, BITS = 42, 4, 4
 
@@ -248,7 +248,9 @@ def links(nodes: DataFrame, bits: int = BITS, group_limit: int = 1 << 16) -> Dat
                 u, v = forest(np.frombuffer(a, np.uint64), bits, None if a == b else np.frombuffer(b, np.uint64))
                 yield rows(u, v).select(["u", "v"])
 
-    found = written(nodes.select("fp").mapInArrow(spread, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(meet, _EDGES), "links")
+    # few narrow rows become many: keep all tasks busy with them
+    wide = nodes.select("fp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    found = written(wide.mapInArrow(spread, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(meet, _EDGES), "links")
     blocks = found.where("key is not null").select("key", "block", F.xxhash64("block").alias("id"))
     two = blocks.select("key", F.col("block").alias("a"), F.col("id").alias("ia")).join(blocks.select("key", F.col("block").alias("b"), F.col("id").alias("ib")), "key").where("ia <= ib")
     large = two.repartition(F.col("ia"), F.col("ib")).select("a", "b").mapInArrow(pairs, "u long, v long")
