@@ -231,3 +231,14 @@ def removed(docs: DataFrame, window: int = WINDOW, all_joined: bool = False) ->
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = removed(table(spark, sf_dir, "documents").select("doc_id", "text"), all_joined=True)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+with words as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+windows as (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from words where len(w) >= 50)),
+first as (select h, min(doc_id) as d from windows group by h),
+marked as (select distinct doc_id, unnest(range(i, i + 50)) as p from windows join first using (h) where d < doc_id),
+gone as (select doc_id, list(p) as ps, count(*) as n from marked group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n, 0) as n_removed, sha256(array_to_string(case when n is null then w else list_transform(list_filter(range(1, len(w) + 1), lambda p: not list_contains(ps, p)), lambda p: w[p]) end, ' ')) as kept_sha256
+from words left join gone using (doc_id)
+"""
