@@ -53,8 +53,8 @@ def by_font(text: Column, font: Column) -> Column:
 
 
 def footnote_marker(text: Column, size: Column, median: Column) -> Column:
-    """Small digits become a note marker."""
-    return F.when((size < 0.75 * median) & text.rlike(r"^\D*\d+\D*$"), F.concat(F.lit("[^"), F.regexp_extract(text, r"(\d+)", 1), F.lit("]"))).otherwise(text)
+    """The one run of digits of a small word becomes a note marker."""
+    return F.when((size < 0.75 * median) & text.rlike(r"^\D*\d+\D*$"), F.regexp_replace(text, r"^(\D*)(\d+)(\D*)$", "$1[^$2]$3")).otherwise(text)
 
 
 def is_page_label(text: Column) -> Column:
