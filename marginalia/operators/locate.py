@@ -53,21 +53,24 @@ def passages(passages: DataFrame, streams: DataFrame, shingle: int = 5) -> DataF
     the shorter text has at least shingle + 2 words, its words but the first and last (which may be cut) stand whole in
     the longer one, so its first run of `shingle` of them is looked up among all runs of the longer text, and the hit is
     then checked in full. Shorter texts are compared with all of the other side, in a nested loop; of those there are few words to compare."""
-    p = passages.select("passage_id", T.normalized_passage(F.col("text")).alias("needle")).where("needle <> ''")
-    s = streams.select(*PAGE, T.normalized_passage(F.col("excerpt")).alias("hay")).where("hay <> ''").distinct()
-
-    def first_run(text: str) -> F.Column:
-        return F.xxhash64(F.array_join(F.slice(F.split(text, " "), 2, shingle), " "))
-
-    def runs(text: str) -> F.Column:
-        words = F.split(text, " ")
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - shingle + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, shingle), " "))))
-
-    long = lambda text: F.size(F.split(text, " ")) >= shingle + 2
-    within = p.where(long("needle")).withColumn("run", first_run("needle")).join(s.withColumn("run", F.explode(runs("hay"))), "run").where(F.contains("hay", F.col("needle")))
-    around = s.where(long("hay")).withColumn("run", first_run("hay")).join(p.withColumn("run", F.explode(runs("needle"))), "run").where(F.contains("needle", F.col("hay")))
-    short = p.where(~long("needle")).join(s, F.contains(F.col("hay"), F.col("needle")))
-    brief = s.where(~long("hay")).join(p, F.contains(F.col("needle"), F.col("hay")))
+    words = lambda c: F.split(c, " ")
+    p = passages.select("passage_id", T.normalized_passage(F.col("text")).alias("needle")).where("needle <> ''").withColumn("words", words("needle"))
+    s = streams.select(*PAGE, T.normalized_passage(F.col("excerpt")).alias("hay")).where("hay <> ''").distinct().withColumn("words", words("hay"))
+
+    def probe(rows: DataFrame) -> DataFrame:
+        """Long texts with the hash of their first run of whole words."""
+        return rows.where(F.size("words") >= shingle + 2).withColumn("run", F.xxhash64(F.array_join(F.slice("words", 2, shingle), " "))).drop("words")
+
+    def all_runs(rows: DataFrame) -> DataFrame:
+        """A row for each different run of `shingle` words of a text. The words are a column, so they are split once."""
+        last = F.size("words") - shingle + 1
+        runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice("words", i, shingle), " ")))
+        return rows.where(F.size("words") >= shingle).withColumn("run", F.explode(F.array_distinct(runs))).drop("words")
+
+    within = probe(p).join(all_runs(s), "run").where(F.contains("hay", F.col("needle")))
+    around = probe(s).join(all_runs(p), "run").where(F.contains("needle", F.col("hay")))
+    short = p.where(F.size("words") < shingle + 2).join(s, F.contains(F.col("hay"), F.col("needle")))
+    brief = s.where(F.size("words") < shingle + 2).join(p, F.contains(F.col("needle"), F.col("hay")))
     names = ["passage_id", *PAGE]
     return within.select(*names).union(around.select(*names)).union(short.select(*names)).union(brief.select(*names)).distinct()
 
