@@ -28,7 +28,8 @@ def covered_spans(evidence: DataFrame, norm: DataFrame) -> DataFrame:
 
 
 def intervals(spans: DataFrame) -> DataFrame:
-    """Spans merged where they overlap or touch: start_at, end_at."""
+    """Spans merged where they overlap or touch: start_at, end_at. Equal spans count once, so the order has no ties."""
+    spans = spans.distinct()
     order = Window.partitionBy(*STREAM).orderBy("a", "b")
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("new", F.when(reach.isNull() | (F.col("a") > reach), 1).otherwise(0))

@@ -80,7 +80,7 @@ VIEWS = {
         case when len(settings) = 0 then 'unknown' when len(settings) = 1 and not unk then settings[1] else 'mixed' end as setting
         from (select book_id, coalesce(list_sort(list_distinct(list(setting) filter (setting is not null))), []) as settings, bool_or(setting is null) as unk from generation group by book_id))""",
     "streams": "select book_id, page_index, 'body' as stream, body_norm as norm from norm union all select book_id, page_index, 'footnote', foot_norm from norm",
-    "covered_spans": f"""select book_id, page_index, stream, strpos(norm, q) - 1 as a, strpos(norm, q) - 1 + length(q) as b from (select book_id, page_index, source as stream, {_norm('excerpt')} as q from evidence where kind = 'text') e
+    "covered_spans": f"""select distinct book_id, page_index, stream, strpos(norm, q) - 1 as a, strpos(norm, q) - 1 + length(q) as b from (select book_id, page_index, source as stream, {_norm('excerpt')} as q from evidence where kind = 'text') e
         join streams using (book_id, page_index, stream) where q <> '' and strpos(norm, q) > 0""",
     "intervals": """select book_id, page_index, stream, min(a) as start_at, max(b) as end_at from (select *, sum(new) over (partition by book_id, page_index, stream order by a, b rows unbounded preceding) as island
         from (select *, case when r is null or a > r then 1 else 0 end as new from (select *, max(b) over (partition by book_id, page_index, stream order by a, b rows between unbounded preceding and 1 preceding) as r from covered_spans))) group by book_id, page_index, stream, island""",
