@@ -11,7 +11,7 @@ from marginalia.functions import text as T
 from marginalia.operators import anchor, assemble, chapters, cost, coverage, dedup, export, layout, locate, propose, score, terms, validate
 from marginalia.plans.oracles import sql
 from marginalia.sources import notes
-from marginalia.sources.derived import RELATIONS, Corpus, page_numbers, pick
+from marginalia.sources.derived import RELATIONS, Corpus, documents, page_numbers, pick
 from marginalia.streaming import incremental
 
 PAGE = anchor.PAGE
@@ -425,7 +425,7 @@ def _(c: Corpus) -> DataFrame:
 def words(c: Corpus) -> DataFrame:
     """The texts laid out on a grid of 100 characters a row, in two columns; the last line is set small."""
     last = F.when(F.contains("text", F.lit("\n")), F.length(F.substring_index("text", "\n", -1))).otherwise(0)
-    tokens = c.table("documents").select("doc_id", F.length("text").alias("total"), last.alias("last_line"), F.posexplode(F.split("text", "[ \n]", -1)).alias("word_no", "tok"))
+    tokens = documents(c.spark, c.sf_dir).select("doc_id", F.length("text").alias("total"), last.alias("last_line"), F.posexplode(F.split("text", "[ \n]", -1)).alias("word_no", "tok"))
     before = F.sum(F.length("tok") + 1).over(Window.partitionBy("doc_id").orderBy("word_no").rowsBetween(Window.unboundedPreceding, 0)) - F.length("tok") - 1
     placed = tokens.withColumn("c0", before).where("tok <> ''")
     x0 = 6 * (F.col("c0") % 100 % 50) + 320 * F.expr("(c0 % 100) div 50")

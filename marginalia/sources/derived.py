@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.sources.shared import spread
 
 TYPES = ("definition", "claim", "method", "question", "background")
 BASES = ("author", "author-data", "reported")
@@ -24,7 +25,7 @@ def pick(values: tuple[str, ...], number: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
 
 
 def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
