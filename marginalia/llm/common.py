@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.sources.shared import new_path, shared_dir, written
+from marginalia.sources.shared import new_path, shared_dir, spread, written
 
 __all__ = ["SLICE_BYTES", "column", "ints", "new_path", "offsets", "ragged", "shared_dir", "slices", "table", "texts", "written"]
 
@@ -18,7 +18,7 @@ SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

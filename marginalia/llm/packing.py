@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import byte_bpe
-from marginalia.llm.common import column, slices, table, written
+from marginalia.llm.common import column, slices, written
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, closed boolean, filled long, ids binary"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("window", pa.int64()), ("offset", pa.int64()), ("closed", pa.bool_()), ("filled", pa.int64()), ("ids", pa.binary())])
@@ -148,4 +148,4 @@ def pack(docs: DataFrame, vocabulary: tuple[str, str, str] | None = None, length
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents")).drop("ids")
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")  # as it is split: fewer tasks leave fewer windows
