@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import language_id, near_dedup, packing, secrets, substring_dedup
+from marginalia.llm import language_id, near_copies, packing, secrets, substring_dedup
 from marginalia.llm.common import table, written
 
 
@@ -19,16 +19,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the least doc_id stays (of rows with that same doc_id, one)."""
-    groups = near_dedup.near_groups(docs)
-    ids = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if _repeats(groups) else kept
-
-
-def _repeats(groups: DataFrame) -> bool:
-    """Whether some doc_id stands in several rows."""
-    return groups.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    """Of each component of texts whose 5-word shingles are alike by 0.8 or more, the row with the least doc_id stays."""
+    return near_copies.kept(docs)
 
 
 def _counted(docs: DataFrame, changed: DataFrame) -> DataFrame:
