@@ -8,7 +8,10 @@ of the sample and of whose documents at least `precision` are toxic, stems befor
 Matching. The lexicon is a trie. A word runs through the trie and the Levenshtein automata of all terms at once: a state
 is the set of (trie node, edits so far), made when it is first met and then kept, so a word costs one table look-up a
 letter and most words end after a few. Words of 5 letters or more may have one edit, of 9 or more two; a stem also
-takes what follows it. Each distinct word of a slice of texts is matched once.
+takes what follows it. Besides, a term of 5 letters or more may have one edit and of 9 or more two at any place, its first
+letter included, whatever the length of the word; good words stay in the lexicon beside a shorter stem of theirs that may
+have fewer. Where no part of a token matches, the token is matched as it stands, with the digits and marks inside it.
+Each distinct word of a slice of texts is matched once.
 
 Context. A hit weighs 1, or less for each edit. Within `context` words on either side, an opening quotation mark before
 it and a closing one after it, or a word of reporting or naming, mark it as quoted; quoted and free hits are
@@ -38,6 +41,7 @@ from marginalia.llm.language_id import id_hash_mod
 
 STEMS = range(4, 8)
 _WORD = re.compile(r"[^\W\d_]+")
+_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 #: Marks that open or close a quotation, and words of reporting or naming beside one.
 _QUOTES = "\"“”„«»‘’‹›"
 _REPORTS = frozenset("said says quote quoted quotes called word term wrote dit écrit mot sagte schrieb wort dijo escribió palabra".split())
@@ -56,6 +60,15 @@ def terms_of(text: str) -> set[str]:
     return out
 
 
+def edits_of(letters: int) -> int:
+    """Edits that a word or a term of so many letters may have."""
+    return 0 if letters < 5 else 1 if letters < 9 else 2
+
+
+#: In place of a number of edits: each term's own.
+OWN = 3
+
+
 class Lexicon:
     """Trie and Levenshtein automata of all terms, determinised as words meet them."""
 
@@ -73,6 +86,10 @@ class Lexicon:
                     self.word.append(-1)
                     self.stem.append(-1)
             (self.stem if term.endswith("*") else self.word)[node] = i
+        self.own = [edits_of(len(term.rstrip("*"))) for term in terms]
+        self.allow = [max((self.own[i] for i in (self.word[n], self.stem[n]) if i >= 0), default=0) for n in range(len(self.child))]
+        for node in range(len(self.child) - 1, -1, -1):  # children have higher numbers
+            self.allow[node] = max([self.allow[node], *(self.allow[c] for c in self.child[node].values())])
         self._reset()
 
     def _reset(self) -> None:
@@ -80,7 +97,7 @@ class Lexicon:
         self.sets: list[tuple] = []
         self.next: list[dict[str, int]] = []
         self.accepts: list[tuple[int, int] | None] = []
-        self.start = [self._state(self._closed({(0, e, e): 0 for e in (0,)}, e)) for e in range(3)]
+        self.start = [self._state(self._closed({(0, e, e): 0 for e in (0,)}, e)) for e in range(OWN + 1)]
 
     def _closed(self, at: dict, most: int) -> tuple:
         """Adds letters of the term that the word leaves out. A part of a state: node (or -1 - stem once a stem is
@@ -89,13 +106,14 @@ class Lexicon:
         best: dict[int, int] = {}
         while todo:
             node, k = todo.pop()
-            if k > most or best.get(node, most + 1) <= k:
+            allowed = most if most < OWN else self.allow[node] if node >= 0 else self.own[-1 - node]
+            if k > allowed or best.get(node, allowed + 1) <= k:
                 continue
             best[node] = k
             if node >= 0:
                 if self.stem[node] >= 0:
                     todo.append((-1 - self.stem[node], k))
-                if node:  # a term's first letter must be there, changed or not
+                if node or most == OWN:  # else a term's first letter must be there, changed or not
                     todo += [(c, k + 1) for c in self.child[node].values()]
         return (most, tuple(sorted(best.items())))
 
@@ -105,7 +123,7 @@ class Lexicon:
             got = self.known[state] = len(self.sets)
             self.sets.append(state)
             self.next.append({})
-            ends = [(k, self.word[n] if n >= 0 else -1 - n) for n, k in state[1] if n < 0 or self.word[n] >= 0]
+            ends = [(k, self.word[n] if n >= 0 else -1 - n) for n, k in state[1] if n < 0 or self.word[n] >= 0 and (state[0] < OWN or k <= self.own[self.word[n]])]
             self.accepts.append(min(ends)[::-1] if ends else None)
         return got
 
@@ -118,16 +136,12 @@ class Lexicon:
                 continue
             for letter, child in self.child[node].items():
                 out[child, k + (letter != c), 0] = 0  # the same letter, or a changed one
-            if node:
+            if node or most == OWN:
                 out[node, k + 1, 0] = 0  # a letter too many
         new = self._closed(out, most)
         return self._state(new) if new[1] else -1
 
-    def match(self, word: str) -> tuple[int, int] | None:
-        """Term and edits of the best match, or None."""
-        if len(self.sets) > self.most:
-            self._reset()
-        at = self.start[0 if len(word) < 5 else 1 if len(word) < 9 else 2]
+    def _run(self, at: int, word: str) -> tuple[int, int] | None:
         for c in word:
             to = self.next[at].get(c)
             if to is None:
@@ -137,6 +151,26 @@ class Lexicon:
             at = to
         return self.accepts[at]
 
+    def match(self, word: str) -> tuple[int, int] | None:
+        """Term and edits of the best match by the word's length, or None."""
+        if len(self.sets) > self.most:
+            self._reset()
+        return self._run(self.start[edits_of(len(word))], word)
+
+    def best(self, word: str) -> tuple[int, int] | None:
+        """The better one of the matches by the word's length and by the terms' own."""
+        got = self.match(word)
+        return got if got and not got[1] else min((m for m in (got, self._run(self.start[OWN], word)) if m), key=lambda m: m[1], default=None)
+
+    def hits(self, token: str) -> list[tuple[int, int]]:
+        """The matches of a token's words, or of the token with its inner digits and marks."""
+        words = words_of(token)
+        found = [m for w in words if (m := self.best(w))]
+        whole = _EDGES.sub("", token.lower())
+        if not found and words and whole not in words and (m := self._run(self.start[OWN], whole)):
+            found = [m]
+        return found
+
 
 FEATURES = ("free", "quoted", "share", "different", "edited", "exact")
 
@@ -159,7 +193,7 @@ def featured(array: pa.Array, lexicon: Lexicon, context: int) -> np.ndarray:
     raw = buf[: off[-1]].tobytes()
     got: list[list[tuple[int, int]]] = []
     for a, b in zip(start[first].tolist(), end[first].tolist()):
-        got.append([m for w in words_of(raw[a:b].decode("utf-8")) if (m := lexicon.match(w))] if lexicon.terms else [])
+        got.append(lexicon.hits(raw[a:b].decode("utf-8")) if lexicon.terms else [])
     has = np.array([bool(g) for g in got] or [False])
     at = np.flatnonzero(has[number]) if len(number) else np.zeros(0, np.int64)
     hits: list[list[tuple[int, int, bool]]] = [[] for _ in range(len(off) - 1)]
@@ -186,15 +220,19 @@ def chosen_terms(counts: list[tuple[str, int, int]], least_docs: int, precision:
     """counts: term, toxic and other documents."""
     good = sorted((c for c in counts if c[1] >= least_docs and c[1] / (c[1] + c[2]) >= precision), key=lambda c: (len(c[0]), -c[1], c[0]))
     stems: set[str] = set()
-    out = []
+    out, beside = [], []
     for term, toxic, _ in good:
         bare = term.rstrip("*")
-        if any(bare[:k] in stems for k in STEMS):
+        cover = [bare[:k] for k in STEMS if bare[:k] in stems]
+        if cover:
+            if term == bare and edits_of(len(bare)) > max(edits_of(len(c)) for c in cover):
+                beside.append((cover, term))
             continue
         out.append((toxic, term))
         if term.endswith("*"):
             stems.add(bare)
-    return [t for _, t in sorted(out, key=lambda x: (-x[0], x[1]))[:most_terms]]
+    chosen = [t for _, t in sorted(out, key=lambda x: (-x[0], x[1]))[:most_terms]]
+    return chosen + [t for cover, t in beside if any(c + "*" in chosen for c in cover)]
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample_docs: int = 12_000, least_docs: int = 5, precision: float = 0.9, most_terms: int = 400, context: int = 6) -> Model:
