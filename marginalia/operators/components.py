@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from marginalia.sources.shared import written
 
 
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total: int, share: int = 1000) -> DataFrame:
+    """left joined with right, which has one row a key and, as `count`, how many of left's `total` rows have it.
+
+    Keys with over one in `share` of the rows, of which there are fewer than `share`, are broadcast, so that no task gets
+    all rows of a hot key; the others meet in a shuffle. left is read twice."""
+    hot = F.broadcast(right.where(F.col(count) * share > total))
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(count) * share <= total), key)
+    return left.join(hot, key).unionByName(rest).drop(count)
+
+
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node goes to the node's least neighbour (or itself)."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
