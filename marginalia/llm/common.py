@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.sources.shared import new_path, shared_dir, spread, written
 
-__all__ = ["SLICE_BYTES", "column", "ints", "new_path", "offsets", "ragged", "shared_dir", "slices", "table", "texts", "written"]
+__all__ = ["SLICE_BYTES", "column", "fresh", "ints", "new_path", "offsets", "ragged", "shared_dir", "slices", "table", "texts", "written"]
 
 #: Bytes of text that an operator holds in numpy form at once in one task; a longer single text comes alone.
 SLICE_BYTES = 4 << 20
@@ -25,6 +25,14 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the text column of each piece has at most so many bytes (or one row)."""
     for batch in batches:

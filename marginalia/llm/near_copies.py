@@ -1,21 +1,26 @@
-"""Near copies by the Jaccard similarity of word shingles, as the pipeline drops them: MinHash for the search, exact checks.
+"""Near copies by the Jaccard similarity of 5-word shingles: SimHash and MinHash for the search, exact checks.
 
 Nodes. Words (A-Z lowered) in 5-word shingles, a 64-bit hash of each (a text of fewer words is one shingle); rows whose
-texts have the same set of shingles are one node. A row is known by its doc_id and a hash of its text, so rows that share
-a doc_id, or have none, are told apart.
-
-Search. `BANDS` keys of `ROWS` minima each; two texts of similarity 0.8 miss each other with probability
-(1 - 0.8^5)^25 = 0.00005, more alike ones with less. Nodes that share a key are candidates.
-
-Check. Candidates are joined with their whole sets and linked if at least `LEAST` (in fifths) of the union is shared.
-Groups of a key of up to `SMALL` nodes are compared in full. In larger ones pivots, those with the most candidates first,
-are compared with all later nodes of the group, a round at a time with four times as many pivots, until the group is
-connected or each pair of it that isn't connected has been compared. So no candidate is left out, and a large group of
-copies of one text takes a pair or so for each member and key.
+texts have the same set of shingles are one node. A row is known by its doc_id and a hash of all its columns, so rows
+that share a doc_id, or have none, are told apart; rows alike in all columns are one.
+
+Search. First the SimHash fingerprints of these shingles, which meet as in `near_dedup` (Golay indices of segments,
+pigeonhole): texts within 4 bits are candidates. Texts of similarity 0.8 differ by some ten of 64 bits, more than that
+search can bridge, so MinHash adds the rest: `BANDS` keys of `ROWS` minima each, of which two texts of similarity 0.8
+miss all with probability (1 - 0.8^5)^25 = 0.00005, more alike ones with less. Nodes that share a key are candidates.
+
+Check. Candidates are joined with their whole sets and linked if at least `LEAST` fifths of the union are shared. Groups
+of a key of up to `SMALL` nodes are checked in full. In larger ones similarity is first estimated, in tasks, from a byte
+of each of the 125 minima: a pair needs `AGREE` equal bytes (of similarity 0.8, a pair has fewer with probability
+0.000004), and each node's best few partners that it isn't connected with yet are checked; then, in groups where some
+node had more, sixteen times as many, until no node has more. So every candidate is checked or already connected, and a
+large group of copies takes a few checks for each member and key. A group of over `BLOCK` nodes is cut into
+blocks at random, and pairs of blocks are compared as tasks of their own.
 
 Links become components by star joins; of each the row with the least doc_id stays (nulls last).
 
-Nulls: a null text, or one without words, is the empty set, and all of those are one node.
+Nulls: a null text, or one without words, is the empty set, and all of those are one node. A null doc_id is kept as it
+is. An empty table gives no rows. All columns of the input are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,15 +30,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from marginalia.llm import near_dedup
 from marginalia.llm import wordspans as ws
-from marginalia.llm.common import column, ints, slices, written
+from marginalia.llm.common import column, fresh, ints, slices, written
 from marginalia.llm.substring_dedup import window_hashes
 from marginalia.operators.components import components
 
 SHINGLE, BANDS, ROWS, LEAST, SMALL = 5, 25, 5, 4, 8
+AGREE, FEW, BLOCK = 80, 3, 4096
 _SEEDS = np.random.default_rng(42).integers(0, 2**64, (BANDS * ROWS, 2), dtype=np.uint64) | np.array([0, 1], np.uint64)
 
 
@@ -53,36 +61,43 @@ def shingle_sets(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.searchsorted(of[new], np.arange(len(array) + 1))
 
 
-def sketches(h: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The node of each set, and the keys of each (none for the empty set: a row of zeros)."""
-    node, keys = np.zeros(len(bound) - 1, np.uint64), np.zeros((len(bound) - 1, BANDS), np.uint64)
+def sketches(h: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The node of each set, its keys and a byte of each minimum (for the empty set: zeros)."""
+    n = len(bound) - 1
+    node, keys, minima = np.zeros(n, np.uint64), np.zeros((n, BANDS), np.uint64), np.zeros((n, BANDS * ROWS), np.uint8)
     has = np.flatnonzero(np.diff(bound))
     if not len(has):
-        return node, keys
+        return node, keys, minima
     at = bound[has]
     node[has] = ws.mixed(np.add.reduceat(ws.mixed(h), at) ^ np.diff(bound)[has].astype(np.uint64))
     for band in range(BANDS):
         key = np.full(len(has), band, np.uint64)
-        for flip, times in _SEEDS[band * ROWS : (band + 1) * ROWS]:
-            key = ws.mixed(key + np.minimum.reduceat((h ^ flip) * times, at))
+        for i in range(band * ROWS, (band + 1) * ROWS):
+            flip, times = _SEEDS[i]
+            least = np.minimum.reduceat((h ^ flip) * times, at)
+            key = ws.mixed(key + least)
+            minima[has, i] = ws.mixed(least) & np.uint64(255)
         keys[has, band] = key
-    return node, keys
+    return node, keys, minima
 
 
-def row_key() -> Column:
-    return F.xxhash64("text")
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns that can be hashed."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))))
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, row (with doc_id: the row's key), node and keys of each row."""
+    """doc_id, row (with doc_id: the row's key), node, fp, keys and minima of each row."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            node, keys = sketches(*shingle_sets(column(batch, "text")))
+            text = column(batch, "text")
+            node, keys, minima = sketches(*shingle_sets(text))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "row"), pa.array(node.view(np.int64)), lists], names=["doc_id", "row", "node", "keys"])
+            fp = near_dedup.simhashes(text, SHINGLE)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "row"), pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), lists, pa.array([m.tobytes() for m in minima], pa.binary())], names=["doc_id", "row", "node", "fp", "keys", "minima"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text").mapInArrow(task, "doc_id long, row long, node long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), "text").mapInArrow(task, "doc_id long, row long, node long, fp long, keys array<long>, minima binary")
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +143,7 @@ def _sets(docs: DataFrame, first: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(h.view(np.int64)))], names=["node", "set"])
 
     rows = first.join(nodes, "node", "left_semi").select("node", F.col("first.doc_id").alias("of"), F.col("first.row").alias("row"))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("hash"), "text")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("hash"), "text")
     found = text.join(rows, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("row")))
     return found.select("node", "text").mapInArrow(task, "node long, set array<long>").dropDuplicates(["node"])
 
@@ -144,29 +159,80 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
+def partners(nodes: np.ndarray, component: np.ndarray, minima: np.ndarray, second: np.ndarray, few: int) -> tuple[np.ndarray, bool]:
+    """Pairs of nodes that aren't connected and agree in at least AGREE minima: for each node those with the `few`
+    highest estimates; and whether some node has more. second: rows of the second block (none: one block, all pairs)."""
+    left = np.flatnonzero(~second)
+    right = np.flatnonzero(second) if second.any() else left
+    out, more = [np.zeros((0, 2), np.int64)], False
+    for rows, others in ((left, right), (right, left))[: 2 if second.any() else 1]:
+        step = max(1, (1 << 20) // max(1, len(others)))
+        theirs = np.ascontiguousarray(minima[others].T)
+        for at in range(0, len(rows), step):
+            mine = rows[at : at + step]
+            agree = np.zeros((len(mine), len(others)), np.uint8)
+            for i, theirs_i in enumerate(theirs):
+                agree += minima[mine, i][:, None] == theirs_i
+            agree[(component[mine][:, None] == component[others]) | (agree < AGREE)] = 0
+            more |= bool(((agree > 0).sum(axis=1) > few).any())
+            best = np.argpartition(-agree.astype(np.int16), few, axis=1)[:, :few] if few < len(others) else np.broadcast_to(np.arange(len(others)), agree.shape)
+            row, col = np.nonzero(np.take_along_axis(agree, best, axis=1))
+            out.append(np.stack([nodes[mine[row]], nodes[others[best[row, col]]]], axis=1))
+    pair = np.concatenate(out)
+    return np.unique(np.sort(pair, axis=1), axis=0), more
+
+
+def _estimated(big: DataFrame, few: int) -> DataFrame:
+    """Pairs to check within large groups (key, u, v), and a row without u for each group in which some node has more."""
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        k, a, b = (x.as_py() for x in key)
+        minima = np.frombuffer(b"".join(rows["minima"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+        second = rows["block"].to_numpy() != a if a != b else np.zeros(rows.num_rows, bool)
+        pair, more = partners(rows["node"].to_numpy(), rows["component"].to_numpy(), minima, second, few)
+        u, v = ([*pair[:, i].tolist(), *([None] * more)] for i in range(2))
+        return pa.table({"key": pa.array([k] * len(u), pa.int64()), "u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = big.withColumn("block", F.pmod(F.xxhash64("node", "key"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.select("key", "node", "component", "minima", "block", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b")).groupBy("key", "a", "b").applyInArrow(compare, "key long, u long, v long")
+
+
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """u, v: nodes whose fingerprints are equal or linked in the search of `near_dedup`; nodes: node, fp."""
+    of = written(nodes.groupBy("fp").agg(F.min("node").alias("of")), "fingerprints")
+    same = nodes.join(of, "fp").where("node <> of").select(*_pair("node", "of"))
+    met = near_dedup.links(of.select("fp"))
+    for end in ("u", "v"):
+        met = met.join(of.select(F.col("fp").alias(end), F.col("of").alias(f"{end}_of")), end)
+    return same.union(met.select(*_pair("u_of", "v_of")))
+
+
 def joined(docs: DataFrame, marks: DataFrame, first: DataFrame) -> DataFrame:
     """node and component of every node that has a link."""
-    keys = marks.groupBy("node").agg(F.first("keys").alias("keys")).where("node <> 0").select("node", F.explode("keys").alias("key"))
-    met = written(keys.select("key", "node").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, "u long, v long, key long, size long"), "candidates")
-    pairs = met.where("size = 0").select(*_pair("u", "v")).distinct()
-    big = met.where("size > 0").select("key", F.col("u").alias("node"), "size")
-    sets = written(_sets(docs, first, met.select(F.explode(F.when(F.col("size") > 0, F.array("u")).otherwise(F.array("u", "v"))).alias("node")).distinct()), "sets")
-    links = written(_checked(pairs, sets), "copies")
-    weight = big.groupBy("node").agg(F.sum("size").alias("weight"))
-    order = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
-    big = written(big.join(weight, "node").withColumn("n", F.row_number().over(order)).select("key", "node", "size", "n"), "groups")
-    done, pivots = 0, 1
+    nodes = written(marks.where("node <> 0").groupBy("node").agg(F.first("keys").alias("keys"), F.first("minima").alias("minima"), F.first("fp").alias("fp")), "nodes")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = written(nodes.select("node", F.explode("keys").alias("key")).repartition(tasks, "key").sortWithinPartitions("key", "node").mapInArrow(_meet, "u long, v long, key long, size long"), "candidates")
+    big = written(met.where("size > 0").select("key", F.col("u").alias("node"), "size").join(nodes.select("node", "minima"), "node"), "groups")
+    found = _estimated(big.withColumn("component", F.col("node")), FEW)
+    simhash = written(_simhash_pairs(nodes.select("node", "fp")), "simhash")
+    small = met.where("size = 0").select(*_pair("u", "v"))
+    known = simhash.select(F.explode(F.array("u", "v")).alias("node")).union(small.select(F.explode(F.array("u", "v")).alias("node"))).union(big.select("node")).distinct()
+    sets = written(_sets(docs, first, known), "sets")
+    few, links = FEW, None
     while True:
+        tried = written(found, "tried")
+        pairs = tried.where("u is not null").select("u", "v")
+        pairs = (pairs.union(small).union(simhash) if links is None else pairs).distinct()
+        new = written(_checked(pairs, sets), "copies")
+        links = new if links is None else links.union(new)
         group = components(links)
-        named = big.where(F.col("size") > done + 1).join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-        left = written(named.join(apart, "key", "left_semi"), "apart")
-        if not left.limit(1).count():
+        more = tried.where("u is null").select("key").distinct()
+        if not more.limit(1).count():
             return group
-        pivot = left.where(F.col("n").between(done + 1, done + pivots)).select("key", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
-        pairs = left.join(pivot, "key").where("n > pn and component <> pc").select(*_pair("node", "p")).distinct()
-        links = written(links.union(_checked(pairs, sets)), "copies")
-        done, pivots = done + pivots, 4 * pivots
+        few *= 16
+        left = big.join(more, "key", "left_semi").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        found = _estimated(left, few)
 
 
 def kept(docs: DataFrame) -> DataFrame:
@@ -174,8 +240,9 @@ def kept(docs: DataFrame) -> DataFrame:
     marks = written(prints(docs), "prints")
     first = marks.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
     named = first.join(joined(docs, marks, first), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__of"), F.col("first.row").alias("__row"))
-    rows = docs.withColumn("__hash", row_key()).join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__of")) & (F.col("__hash") == F.col("__row")), "left_semi")
+    of, row, mine = fresh(docs, "of"), fresh(docs, "row"), fresh(docs, "mine")
+    stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(of), F.col("first.row").alias(row))
+    rows = docs.withColumn(mine, row_key(docs)).join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.col(mine) == F.col(row)), "left_semi")
     if marks.groupBy("doc_id", "row").count().where("count > 1").limit(1).count():
-        rows = rows.dropDuplicates(["doc_id", "__hash"])
-    return rows.select(*docs.columns)
+        rows = rows.dropDuplicates(["doc_id", mine])
+    return rows.select(*(f"`{c}`" for c in docs.columns))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from marginalia.llm import golay
 from marginalia.llm import wordspans as ws
 from marginalia.llm.common import column, ints, slices, table, written
-from marginalia.operators.components import components
+from marginalia.operators.components import components, join_counted
 
 SEED, SHINGLE, BITS = 42, 4, 4
 
@@ -248,8 +248,9 @@ def links(nodes: DataFrame, bits: int = BITS, group_limit: int = 1 << 16) -> Dat
                 u, v = forest(np.frombuffer(a, np.uint64), bits, None if a == b else np.frombuffer(b, np.uint64))
                 yield rows(u, v).select(["u", "v"])
 
-    # few narrow rows become many: keep all tasks busy with them
-    wide = nodes.select("fp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # few narrow rows become many: dealt out by number alone, since by fp they lie in a few coalesced partitions already
+    tasks = max(nodes.sparkSession.sparkContext.defaultParallelism, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    wide = nodes.select("fp").repartition(tasks)
     found = written(wide.mapInArrow(spread, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(meet, _EDGES), "links")
     blocks = found.where("key is not null").select("key", "block", F.xxhash64("block").alias("id"))
     two = blocks.select("key", F.col("block").alias("a"), F.col("id").alias("ia")).join(blocks.select("key", F.col("block").alias("b"), F.col("id").alias("ib")), "key").where("ia <= ib")
@@ -260,12 +261,12 @@ def links(nodes: DataFrame, bits: int = BITS, group_limit: int = 1 << 16) -> Dat
 def near_groups(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable over links of up to `bits` differing bits) of each row."""
     prints = written(fingerprints(docs), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    group = components(links(nodes, bits))
-    nodes = nodes.join(group.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = nodes.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "nodes")
+    group = components(links(nodes, bits)).withColumnRenamed("node", "fp")
+    members = written(nodes.join(group, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "members")
+    ids = members.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
+    named = written(join_counted(members, ids, "component", "nodes", members.count()).select("fp", "component_id", "rows"), "named")
+    return join_counted(prints, named, "fp", "rows", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

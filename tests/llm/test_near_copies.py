@@ -3,7 +3,11 @@
 import itertools
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from marginalia.llm import near_copies
 
 STAGE = dict(corpus_pipeline.STAGES)["near_dedup"]
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,3 +63,48 @@ def test_rows_of_one_doc_id_with_other_texts_stay(spark, sf):
     rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (2, texts[3])]
     got = STAGE(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, texts[0]), (1, texts[1]), (None, texts[2]), (2, texts[3])], key=str)
+
+
+def test_columns_whose_names_clash(spark, sf):
+    rows = [(1, "a b c d e f g", "x", "y", "z", "u"), (2, "a b c d e f g", "x", "y", "z", "u"), (3, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, of string, row string, mine string, kept_id string")
+    got = STAGE(spark, docs, sf)
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 3]
+
+
+def test_rows_alike_but_for_a_column_leave_the_same_one_each_time(spark, sf):
+    rows = [(5, "a b c d e f g", lang) for lang in ("en", "fr", "de")] + [(5, "other words here", "en")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [sorted((r["text"], r["lang"]) for r in STAGE(spark, d, sf).collect()) for d in (docs, docs.orderBy("lang"), docs.orderBy(F.desc("lang")))]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 2
+
+
+def test_estimates_offer_all_unconnected_candidates():
+    r = np.random.default_rng(2)
+    minima = r.integers(0, 256, (1, 125)).repeat(300, axis=0).astype(np.uint8)
+    for row in minima:
+        at = r.choice(125, r.integers(0, 70), replace=False)
+        row[at] = r.integers(0, 256, len(at))
+    agree = (minima[:, None] == minima[None]).sum(axis=2)
+    nodes, component = np.arange(300) * 7, np.arange(300) // 3
+    want = {(7 * a, 7 * b) for a in range(300) for b in range(a + 1, 300) if agree[a, b] >= near_copies.AGREE and a // 3 != b // 3}
+    for second in (np.zeros(300, bool), np.arange(300) % 2 == 1):
+        pairs, more = near_copies.partners(nodes, component, minima, second, 300)
+        mine = {p for p in want if not second.any() or second[p[0] // 7] != second[p[1] // 7]}
+        assert set(map(tuple, pairs.tolist())) == mine and not more
+        pairs, more = near_copies.partners(nodes, component, minima, second, 3)
+        assert more and set(map(tuple, pairs.tolist())) < mine and len(pairs) <= 900
+
+
+def test_blocks_of_a_large_group_equal_one_group(spark, sf, monkeypatch):
+    r = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for j in r.choice(200, r.integers(1, 8), replace=False):
+            w[j] = f"x{i}y{j}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
+    got = STAGE(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert sorted(r["doc_id"] for r in got.collect()) == kept_ids(rows)
