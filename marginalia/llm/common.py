@@ -14,7 +14,7 @@ from marginalia.sources.shared import new_path, shared_dir, spread, written
 __all__ = ["SLICE_BYTES", "column", "fresh", "ints", "new_path", "offsets", "ragged", "shared_dir", "slices", "table", "texts", "written"]
 
 #: Bytes of text that an operator holds in numpy form at once in one task; a longer single text comes alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -67,7 +67,10 @@ def simhashes(array: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     begin = np.repeat(bound[has] - at, count) + np.arange(int(count.sum()))
     stop = np.minimum(begin + shingle, np.repeat(bound[has + 1], count)) - 1
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(raw[a:b], SEED) for a, b in zip(start[begin].tolist(), end[stop].tolist())), np.uint64, len(begin))
+    h = np.empty(len(begin), np.uint64)
+    for i in range(0, len(h), 50_000):  # Python's integers take four times the room
+        part = slice(i, i + 50_000)
+        h[part] = [digest(raw[a:b], SEED) for a, b in zip(start[begin[part]].tolist(), end[stop[part]].tolist())]
     sums = np.zeros((len(has), 64), np.int64)
     for byte in range(8):  # a byte at a time, to bound memory
         bits = np.unpackbits(((h >> np.uint64(8 * byte)) & np.uint64(255)).astype(np.uint8)[:, None], axis=1, bitorder="little")

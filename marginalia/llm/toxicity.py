@@ -1,27 +1,25 @@
 """Toxicity by a learned lexicon, with Levenshtein automata for misspelled terms and context windows for quotation.
 
-Learning, on a bounded sample of labelled documents (about `sample_docs`, chosen by hash): a term is a lower-case word,
-or the first 4 to 7 letters of words (a stem); the lexicon has those that stand in at least `least_docs` toxic documents
-of the sample and of whose documents at least `precision` are toxic, stems before the longer terms they cover, at most
-`most_terms`. Sums per term are made in Spark; the lexicon and the features of the sample go to the driver.
+Learning, on a bounded sample of labelled documents (at most `sample_docs` rows, chosen by hash): a term is a lower-case
+word, or the first 5 to 7 letters of words (a stem); the lexicon has all that stand in at least `least_docs` toxic documents
+of the sample and of whose documents at least `precision` are toxic; longer terms that a stem covers are left out, unless they
+may have more edits than it. Sums per term are made in Spark; the lexicon and the features of the sample go to the driver.
 
 Matching. The lexicon is a trie. A word runs through the trie and the Levenshtein automata of all terms at once: a state
 is the set of (trie node, edits so far), made when it is first met and then kept, so a word costs one table look-up a
-letter and most words end after a few. Words of 5 letters or more may have one edit, of 9 or more two; a stem also
-takes what follows it. Besides, a term of 5 letters or more may have one edit and of 9 or more two at any place, its first
-letter included, whatever the length of the word; good words stay in the lexicon beside a shorter stem of theirs that may
-have fewer. Where no part of a token matches, the token is matched as it stands, with the digits and marks inside it.
-Each distinct word of a slice of texts is matched once.
+letter and most words end after a few. A term of 5 letters or more may have one edit and one of 9 or more two, at any
+place, its first letter included; a stem also takes what follows it. Where no part of a token matches, the token is
+matched as it stands, with the digits and marks inside it. Each distinct word of a slice of texts is matched once.
 
-Context. A hit weighs 1, or less for each edit. Within `context` words on either side, an opening quotation mark before
-it and a closing one after it, or a word of reporting or naming, mark it as quoted; quoted and free hits are
-counted apart. A logistic regression over free and quoted hits, their share of the words, the number of different
-terms and the edits gives the score; its weights are fitted on the same sample.
+Context. A hit weighs 1, or half of that for each edit. An opening quotation mark at most `context` words before it and a
+closing one at most as many after it mark it as quoted; quoted and free hits are counted apart. A logistic regression over
+free and quoted hits, their share of the words, the number of different terms and the edits gives the score; its weights are
+fitted on the same sample.
 
 Nulls: a null text is empty; empty texts get the score of no hits. Labels that are null are not used; if a document has
-several, the highest counts. Where the sample has no toxic document, the lexicon is empty and every score is the share
-of toxic labels (0). Repeated rows give equal results. Two passes over texts (the first over the sample), no shuffle of
-texts beyond the sample.
+several, the highest counts. Where the sample has no toxic document (an empty table, say), the lexicon is empty and every
+score is the share of toxic labels (0). Repeated rows give equal results. Columns other than doc_id, text and toxic are
+not read, whatever their names. Two passes over texts (the first over the sample), no shuffle of texts beyond the sample.
 """
 
 from __future__ import annotations
@@ -36,15 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import wordspans as ws
-from marginalia.llm.common import column, slices, table, texts
+from marginalia.llm.common import column, slices, table, texts, written
 from marginalia.llm.language_id import id_hash_mod
 
-STEMS = range(4, 8)
+STEMS = range(5, 8)
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-#: Marks that open or close a quotation, and words of reporting or naming beside one.
+#: Marks that open or close a quotation.
 _QUOTES = "\"“”„«»‘’‹›"
-_REPORTS = frozenset("said says quote quoted quotes called word term wrote dit écrit mot sagte schrieb wort dijo escribió palabra".split())
 
 
 def words_of(text: str) -> list[str]:
@@ -61,14 +58,10 @@ def terms_of(text: str) -> set[str]:
 
 
 def edits_of(letters: int) -> int:
-    """Edits that a word or a term of so many letters may have."""
+    """Edits that a term of so many letters may have."""
     return 0 if letters < 5 else 1 if letters < 9 else 2
 
 
-#: In place of a number of edits: each term's own.
-OWN = 3
-
-
 class Lexicon:
     """Trie and Levenshtein automata of all terms, determinised as words meet them."""
 
@@ -97,51 +90,48 @@ class Lexicon:
         self.sets: list[tuple] = []
         self.next: list[dict[str, int]] = []
         self.accepts: list[tuple[int, int] | None] = []
-        self.start = [self._state(self._closed({(0, e, e): 0 for e in (0,)}, e)) for e in range(OWN + 1)]
+        self.start = self._state(self._closed([(0, 0)]))
 
-    def _closed(self, at: dict, most: int) -> tuple:
-        """Adds letters of the term that the word leaves out. A part of a state: node (or -1 - stem once a stem is
-        complete), edits, edits allowed."""
-        todo = [(n, k) for (n, k, _) in at]
+    def _closed(self, todo: list[tuple[int, int]]) -> tuple:
+        """Adds letters of the terms that the word leaves out. A part of a state: node (or -1 - stem once a stem is
+        complete) and edits; each node once, with the fewest."""
         best: dict[int, int] = {}
         while todo:
             node, k = todo.pop()
-            allowed = most if most < OWN else self.allow[node] if node >= 0 else self.own[-1 - node]
+            allowed = self.allow[node] if node >= 0 else self.own[-1 - node]
             if k > allowed or best.get(node, allowed + 1) <= k:
                 continue
             best[node] = k
             if node >= 0:
                 if self.stem[node] >= 0:
                     todo.append((-1 - self.stem[node], k))
-                if node or most == OWN:  # else a term's first letter must be there, changed or not
-                    todo += [(c, k + 1) for c in self.child[node].values()]
-        return (most, tuple(sorted(best.items())))
+                todo += [(c, k + 1) for c in self.child[node].values()]
+        return tuple(sorted(best.items()))
 
-    def _state(self, state: tuple) -> int:
-        got = self.known.get(state)
+    def _state(self, parts: tuple) -> int:
+        got = self.known.get(parts)
         if got is None:
-            got = self.known[state] = len(self.sets)
-            self.sets.append(state)
+            got = self.known[parts] = len(self.sets)
+            self.sets.append(parts)
             self.next.append({})
-            ends = [(k, self.word[n] if n >= 0 else -1 - n) for n, k in state[1] if n < 0 or self.word[n] >= 0 and (state[0] < OWN or k <= self.own[self.word[n]])]
+            ends = [(k, self.word[n] if n >= 0 else -1 - n) for n, k in parts if n < 0 or self.word[n] >= 0 and k <= self.own[self.word[n]]]
             self.accepts.append(min(ends)[::-1] if ends else None)
         return got
 
     def _step(self, at: int, c: str) -> int:
-        most, parts = self.sets[at]
-        out: dict = {}
-        for node, k in parts:
-            if node < 0:
-                out[node, k, 0] = 0
-                continue
-            for letter, child in self.child[node].items():
-                out[child, k + (letter != c), 0] = 0  # the same letter, or a changed one
-            if node or most == OWN:
-                out[node, k + 1, 0] = 0  # a letter too many
-        new = self._closed(out, most)
-        return self._state(new) if new[1] else -1
-
-    def _run(self, at: int, word: str) -> tuple[int, int] | None:
+        out = []
+        for node, k in self.sets[at]:
+            out.append((node, k + (node >= 0)))  # a letter too many; what follows a stem is no edit
+            if node >= 0:
+                out += [(child, k + (letter != c)) for letter, child in self.child[node].items()]  # the same letter, or a changed one
+        parts = self._closed(out)
+        return self._state(parts) if parts else -1
+
+    def match(self, word: str) -> tuple[int, int] | None:
+        """Term and edits of the best match, or None."""
+        if len(self.sets) > self.most:
+            self._reset()
+        at = self.start
         for c in word:
             to = self.next[at].get(c)
             if to is None:
@@ -151,23 +141,12 @@ class Lexicon:
             at = to
         return self.accepts[at]
 
-    def match(self, word: str) -> tuple[int, int] | None:
-        """Term and edits of the best match by the word's length, or None."""
-        if len(self.sets) > self.most:
-            self._reset()
-        return self._run(self.start[edits_of(len(word))], word)
-
-    def best(self, word: str) -> tuple[int, int] | None:
-        """The better one of the matches by the word's length and by the terms' own."""
-        got = self.match(word)
-        return got if got and not got[1] else min((m for m in (got, self._run(self.start[OWN], word)) if m), key=lambda m: m[1], default=None)
-
     def hits(self, token: str) -> list[tuple[int, int]]:
         """The matches of a token's words, or of the token with its inner digits and marks."""
         words = words_of(token)
-        found = [m for w in words if (m := self.best(w))]
+        found = [m for w in words if (m := self.match(w))]
         whole = _EDGES.sub("", token.lower())
-        if not found and words and whole not in words and (m := self._run(self.start[OWN], whole)):
+        if not found and words and whole not in words and (m := self.match(whole)):
             found = [m]
         return found
 
@@ -201,9 +180,7 @@ def featured(array: pa.Array, lexicon: Lexicon, context: int) -> np.ndarray:
         d = int(doc[i])
         a, b = max(int(bound[d]), i - context), min(int(bound[d + 1]), i + context + 1)
         before, after = raw[start[a] : start[i] + 4].decode("utf-8", "ignore"), raw[max(int(start[i]), int(end[i]) - 4) : end[b - 1]].decode("utf-8", "ignore")
-        around = raw[start[a] : end[b - 1]].decode("utf-8")
-        marks = any(q in before for q in _QUOTES) and any(q in after for q in _QUOTES)
-        quoted = marks or (any(q in around for q in _QUOTES) and not _REPORTS.isdisjoint(words_of(around)))
+        quoted = any(q in before for q in _QUOTES) and any(q in after for q in _QUOTES)
         hits[d] += [(t, k, quoted) for t, k in got[number[i]]]
     return np.array([_features(int(bound[d + 1] - bound[d]), h) for d, h in enumerate(hits)], np.float64).reshape(-1, len(FEATURES))
 
@@ -216,31 +193,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(featured(array, lexicon, self.context) @ self.weights + self.bias, -30, 30)))
 
 
-def chosen_terms(counts: list[tuple[str, int, int]], least_docs: int, precision: float, most_terms: int) -> list[str]:
+def chosen_terms(counts: list[tuple[str, int, int]], least_docs: int, precision: float) -> list[str]:
     """counts: term, toxic and other documents."""
     good = sorted((c for c in counts if c[1] >= least_docs and c[1] / (c[1] + c[2]) >= precision), key=lambda c: (len(c[0]), -c[1], c[0]))
     stems: set[str] = set()
-    out, beside = [], []
+    out = []
     for term, toxic, _ in good:
         bare = term.rstrip("*")
         cover = [bare[:k] for k in STEMS if bare[:k] in stems]
-        if cover:
-            if term == bare and edits_of(len(bare)) > max(edits_of(len(c)) for c in cover):
-                beside.append((cover, term))
+        if cover and (term != bare or edits_of(len(bare)) <= max(edits_of(len(c)) for c in cover)):
             continue
         out.append((toxic, term))
-        if term.endswith("*"):
+        if term != bare:
             stems.add(bare)
-    chosen = [t for _, t in sorted(out, key=lambda x: (-x[0], x[1]))[:most_terms]]
-    return chosen + [t for cover, t in beside if any(c + "*" in chosen for c in cover)]
+    return [t for _, t in sorted(out, key=lambda x: (-x[0], x[1]))]
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample_docs: int = 12_000, least_docs: int = 5, precision: float = 0.9, most_terms: int = 400, context: int = 6) -> Model:
+def trained(docs: DataFrame, labels: DataFrame, sample_docs: int = 12_000, least_docs: int = 5, precision: float = 0.9, context: int = 6) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic (only rows that may be learned from)."""
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = min(1 << 20, int((1 << 20) * sample_docs / max(1, labels.count())) + 1)
-    inside = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share
-    sample = docs.where(inside).select("doc_id", "text").join(labels.where(inside), "doc_id").select("text", "toxic")
+    marked = docs.select("doc_id", F.xxhash64("text").alias("row")).join(labels, "doc_id")
+    chosen = marked.orderBy(F.xxhash64("doc_id", "row"), "doc_id", "row").limit(sample_docs).distinct()
+    # at most sample_docs narrow rows, so small enough to send to every task
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("row")).join(F.broadcast(chosen), ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
+    sample = written(rows.select("text", "toxic"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -251,8 +227,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample_docs: int = 12_000, least
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.string(), pa.int64(), pa.int64()))], names=["term", "toxic", "other"])
 
     sums = sample.mapInArrow(count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    found = sums.where((F.col("toxic") >= least_docs) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("other")))).orderBy(F.desc("toxic"), "term").limit(50 * most_terms)
-    terms = chosen_terms([tuple(r) for r in found.collect()], least_docs, precision, most_terms)
+    found = sums.where((F.col("toxic") >= least_docs) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("other"))))
+    terms = chosen_terms([tuple(r) for r in found.collect()], least_docs, precision)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(terms)

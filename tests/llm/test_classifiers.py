@@ -40,42 +40,46 @@ def test_op2_rejects_what_two_languages_fit():
 
 
 def test_toxicity_held_out(spark):
-    got = toxicity.op6_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out and toxic is not null").collect()
+    """Of the documents marked toxic, one in nine holds no term at all (its label is noise), so recall can't be whole."""
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out and toxic is not null").collect()
     hit = [r["predicted"] for r in got if r["toxic"] == 1]
     false = [r["predicted"] for r in got if r["toxic"] == 0]
-    assert np.mean(hit) > 0.5 and np.mean(false) < 0.02
+    assert np.mean(hit) > 0.85 and np.mean(false) < 0.005, (np.mean(hit), np.mean(false))
 
 
 def edits(word, term, stem):
-    """Least edits of the word, or of a start of it for a stem, to the term, its first letter not left out."""
+    """Least edits of the word, or of a start of it for a stem, to the term."""
     row = list(range(len(term) + 1))
-    best = row[-1] if stem else None
+    best = row[-1]
     for i, c in enumerate(word, 1):
         new = [i]
         for j, d in enumerate(term, 1):
             new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != d)))
         row = new
-        best = min(best, row[-1]) if stem else None
+        best = min(best, row[-1])
     return best if stem else row[-1]
 
 
-def test_levenshtein_automata_find_the_misspelled():
-    lexicon = toxicity.Lexicon(["stupid", "idiot", "worth*", "pathetic"])
+def test_levenshtein_automata_equal_brute_force():
+    lexicon = toxicity.Lexicon(["stupid", "idiot", "worth*", "pathetic", "dumb", "worthlessness", "contempt*"])
     assert lexicon.match("stupid") == (0, 0) and lexicon.match("worthless") == (2, 0)
-    for w in ("stupd", "stuppid", "stuqid", "idiots", "pathetlc"):
+    for w in ("stupd", "stuppid", "stuqid", "tupid", "xstupid", "idiots", "pathetlc", "orthless"):
         assert lexicon.match(w)[1] == 1, w
-    assert lexicon.match("pathtc") is None and lexicon.match("patheic") == (3, 1)
+    assert lexicon.match("dum") is None and lexicon.match("patetc") is None and lexicon.match("wrthlesnes")[1] == 1
     r = np.random.default_rng(3)
-    alphabet = list("stupidwoh")
-    for _ in range(3000):
-        w = "".join(r.choice(alphabet, r.integers(3, 11)))
-        most = 0 if len(w) < 5 else 1 if len(w) < 9 else 2
-        got = lexicon.match(w)
-        least = min(edits(w, t.rstrip("*"), t.endswith("*")) for t in lexicon.terms)
-        if got:
-            assert got[1] <= most and got[1] >= least
-        elif least <= most:  # only words that leave out or add before a term's first letter may be missed
-            assert all(edits(w, t.rstrip("*"), t.endswith("*")) > most or w[0] != t[0] for t in lexicon.terms)
+    seeds = [t.rstrip("*") for t in lexicon.terms]
+    for n in range(6000):
+        if n % 3:
+            w = list(r.choice(seeds))
+            for _ in range(r.integers(0, 4)):
+                at = r.integers(0, len(w) + 1)
+                w[at : at + r.integers(0, 2)] = list(r.choice(list("stupidwohea"), r.integers(0, 2)))
+            w = "".join(w)
+        else:
+            w = "".join(r.choice(list("stupidwohea"), r.integers(1, 12)))
+        found = [(k, i) for i, t in enumerate(lexicon.terms) if (k := edits(w, t.rstrip("*"), t.endswith("*"))) <= toxicity.edits_of(len(t.rstrip("*")))]
+        assert lexicon.match(w) == (min(found)[::-1] if found else None), w
 
 
 def test_quoted_hits_count_apart():
