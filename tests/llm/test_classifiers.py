@@ -160,8 +160,8 @@ def test_op10_keeps_the_good_and_drops_the_odd(spark):
 
 
 def test_op10_edges(edge, empty):
-    for words in (None, {}):
-        got = quality.judged(edge, words).collect()
+    for refs in (None, quality.References({}, {})):
+        got = quality.judged(edge, refs).collect()
         assert len(got) == 12
         for r in got:
             text = next(x["text"] for x in edge.collect() if x["doc_id"] == r["doc_id"])
