@@ -6,16 +6,25 @@ is padded with spaces to a positive multiple of 192.
 
 Sniffing. One Aho-Corasick automaton over all formats' magic bytes finds every place in a blob where a medium may
 start. A validator of that format confirms it: chunk layout, header fields, lengths that agree with each other and with
-what follows, checksums where the format has them. The format confirmed at the start corrects the declared type;
-confirmed media elsewhere, outside those already taken, are carved out.
+what follows, checksums where the format has them; of a PNG the image is inflated too. The format confirmed at the start
+corrects the declared type; confirmed media elsewhere, outside those already taken, are carved out. Formats: those
+five in all their usual forms (WAV chunks in any order, BMP and PNG of any depth, PGM with comments), PPM, GIF and JPEG.
 
-Nulls: a null text is an empty payload (192 spaces). A null blob has no media. Equal texts give equal values. Each row
-is handled on its own, in one pass without a shuffle.
+Reading. Samples are the bytes of the medium's samples, rows without padding and filters; media whose samples aren't
+plain (GIF, JPEG, interlaced PNG, packed BMP) are confirmed and carved, but have no samples.
+
+Texts have no declared type, so `stored` makes one up, from the same checksum, that is often wrong.
+
+Nulls: a null text is an empty payload (192 spaces). A null blob, or an empty one, has no media. A null doc_id is kept.
+Equal texts give equal values, repeated rows too; an empty table gives no rows. Columns other than doc_id and text (or
+those that `read_back` and `carved` name) are not read, whatever their names. Each row is handled on its own, in one pass
+without a shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -48,20 +57,36 @@ def _wav(p: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 36 + len(p)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(p)) + p
 
 
+def _wav_parts(b: bytes | memoryview, at: int) -> tuple[tuple, int, int, int] | None:
+    """The fields of the format chunk, where the samples start and end, and the end of the medium."""
+    if len(b) < at + 12 or b[at + 8 : at + 12] != b"WAVE":
+        return None
+    end, place, form, data = at + 8 + struct.unpack_from("<I", b, at + 4)[0], at + 12, None, None
+    if end > len(b):
+        return None
+    while place + 8 <= end:
+        kind, n = bytes(b[place : place + 4]), struct.unpack_from("<I", b, place + 4)[0]
+        if place + 8 + n > end:
+            return None
+        if kind == b"fmt " and form is None and n >= 16:
+            form = struct.unpack_from("<HHIIHH", b, place + 8)
+        elif kind == b"data" and data is None and form:
+            data = place + 8, place + 8 + n
+        place += 8 + n + (n & 1)
+    return (form, *data, end) if form and data and place in (end, end + 1) else None
+
+
 def _wav_end(b: memoryview, at: int) -> int:
-    if len(b) < at + 44 or b[at + 8 : at + 16] != b"WAVEfmt ":
-        return 0
-    size, fmt, channels, rate, per_second, frame, bits = struct.unpack_from("<IHHIIHH", b, at + 16)
-    data = at + 20 + size
-    if size < 16 or fmt != 1 or frame != channels * bits // 8 or per_second != rate * frame or b[data : data + 4] != b"data":
+    parts = _wav_parts(b, at)
+    if not parts:
         return 0
-    (n,) = struct.unpack_from("<I", b, data + 4)
-    end = data + 8 + n
-    return end if end <= len(b) and struct.unpack_from("<I", b, at + 4)[0] == end - at - 8 else 0
+    (fmt, channels, rate, per_second, frame, bits), start, stop, end = parts
+    return end if fmt == 1 and channels and frame == channels * ((bits + 7) // 8) and per_second == rate * frame and (stop - start) % frame == 0 else 0
 
 
 def _wav_read(b: bytes) -> bytes:
-    return b[28 + struct.unpack_from("<I", b, 16)[0] :]
+    _, start, stop, _ = _wav_parts(b, 0)
+    return b[start:stop]
 
 
 def _au(p: bytes) -> bytes:
@@ -90,12 +115,21 @@ def _bmp_end(b: memoryview, at: int) -> int:
         return 0
     size, r1, r2, data = struct.unpack_from("<IHHI", b, at + 2)
     head, width, height, planes, bits, packing, image = struct.unpack_from("<IiiHHII", b, at + 14)
-    good = not r1 and not r2 and head == 40 and planes == 1 and bits == 8 and not packing and width > 0 and height
-    return at + size if good and image == (width + 3) // 4 * 4 * abs(height) and size == data + image and at + size <= len(b) else 0
+    good = not r1 and not r2 and head in (40, 52, 56, 108, 124) and planes == 1 and bits in (1, 4, 8, 16, 24, 32) and packing in (0, 1, 2, 3) and width > 0 and height and data >= 14 + head
+    if not good or at + size > len(b):
+        return 0
+    plain = (width * bits + 31) // 32 * 4 * abs(height)
+    return at + size if image <= size - data and (packing in (1, 2) and image or image in (0, plain) and size >= data + plain and size - data - plain < 4) else 0
 
 
-def _bmp_read(b: bytes) -> bytes:
-    return b[struct.unpack_from("<I", b, 10)[0] :]
+def _bmp_read(b: bytes) -> bytes | None:
+    data, (width, height) = struct.unpack_from("<I", b, 10)[0], struct.unpack_from("<ii", b, 18)
+    bits, packing = struct.unpack_from("<HI", b, 28)
+    if packing in (1, 2):
+        return None
+    row, stride = (width * bits + 7) // 8, (width * bits + 31) // 32 * 4
+    rows = np.frombuffer(b, np.uint8, stride * abs(height), data).reshape(abs(height), stride)[:, :row]
+    return (rows if height < 0 else rows[::-1]).tobytes()
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -108,64 +142,179 @@ def _png(p: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), 1)) + _chunk(b"IEND", b"")
 
 
-def _png_end(b: memoryview, at: int) -> int:
-    place, first = at + 8, True
+#: Channels of each colour type, and the depths it may have.
+_PNG_COLOURS = {0: (1, (1, 2, 4, 8, 16)), 2: (3, (8, 16)), 3: (1, (1, 2, 4, 8)), 4: (2, (8, 16)), 6: (4, (8, 16))}
+
+
+def _png_shape(b: bytes | memoryview, at: int) -> tuple[int, int, int, bool] | None:
+    """Bytes of a row without its filter, rows, bytes from a sample to the next pixel's, and whether it is interlaced."""
+    width, height, depth, colour, packing, filters, interlaced = struct.unpack_from(">IIBBBBB", b, at + 16)
+    channels, depths = _PNG_COLOURS.get(colour, (0, ()))
+    if not width or not height or depth not in depths or packing or filters or interlaced > 1:
+        return None
+    return (width * channels * depth + 7) // 8, height, max(1, channels * depth // 8), bool(interlaced)
+
+
+def _png_chunks(b: bytes | memoryview, at: int) -> Iterator[tuple[bytes, int, int]]:
+    """Kind, start and end of each chunk's body."""
+    place = at + 8
     while place + 12 <= len(b):
         (n,) = struct.unpack_from(">I", b, place)
-        kind, end = bytes(b[place + 4 : place + 8]), place + 12 + n
-        if end > len(b) or first != (kind == b"IHDR") or struct.unpack_from(">I", b, end - 4)[0] != zlib.crc32(b[place + 4 : end - 4]):
+        yield bytes(b[place + 4 : place + 8]), place + 8, place + 8 + n
+        place += 12 + n
+
+
+def _png_end(b: memoryview, at: int) -> int:
+    inflate, size, shape, ended = zlib.decompressobj(), 0, None, False
+    for kind, start, end in _png_chunks(b, at):
+        if end + 4 > len(b) or (shape is None) != (kind == b"IHDR") or struct.unpack_from(">I", b, end)[0] != zlib.crc32(b[start - 4 : end]):
             return 0
-        if kind == b"IEND":
-            return end
-        place, first = end, False
+        if kind == b"IHDR":
+            shape = _png_shape(b, at) if end - start == 13 else None
+            if not shape:
+                return 0
+        elif kind == b"IDAT":
+            try:
+                part = b[start:end]
+                while len(part):  # a piece at a time: only its length is looked at
+                    size += len(inflate.decompress(part, 1 << 20))
+                    part = inflate.unconsumed_tail
+            except zlib.error:
+                return 0
+            ended = inflate.eof
+        elif kind == b"IEND":
+            row, rows, _, interlaced = shape
+            return end + 4 if ended and end == start and (interlaced or size == (row + 1) * rows) else 0
     return 0
 
 
-def _png_read(b: bytes) -> bytes:
-    place, data, width = 8, [], struct.unpack_from(">I", b, 16)[0]
-    while place < len(b):
-        (n,) = struct.unpack_from(">I", b, place)
-        if b[place + 4 : place + 8] == b"IDAT":
-            data.append(b[place + 8 : place + 8 + n])
-        place += 12 + n
-    rows = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(-1, width + 1)
-    if rows[:, 0].any():
-        raise ValueError("filtered rows are not written here")
-    return rows[:, 1:].tobytes()
+def _png_read(b: bytes) -> bytes | None:
+    row, rows, back, interlaced = _png_shape(b, 0)
+    if interlaced:
+        return None
+    raw = np.frombuffer(zlib.decompress(b"".join(b[start:end] for kind, start, end in _png_chunks(b, 0) if kind == b"IDAT")), np.uint8).reshape(rows, row + 1)
+    if not raw[:, 0].any():
+        return raw[:, 1:].tobytes()
+    out, above = np.zeros((rows, row), np.uint8), np.zeros(row, np.uint8)
+    for i, (how, line) in enumerate(zip(raw[:, 0].tolist(), raw[:, 1:])):
+        if how == 0:
+            out[i] = line
+        elif how == 1:  # each channel is a running sum, modulo 256
+            for c in range(back):
+                out[i, c::back] = np.cumsum(line[c::back], dtype=np.uint8)
+        elif how == 2:
+            out[i] = line + above
+        elif how in (3, 4):
+            _unfiltered(line.tolist(), above.tolist(), back, how, out[i])
+        else:
+            return None
+        above = out[i]
+    return out.tobytes()
+
+
+def _unfiltered(line: list[int], above: list[int], back: int, how: int, out: np.ndarray) -> None:
+    """Rows whose bytes follow from the ones before: by the mean of left and above, or by the nearest of three."""
+    got: list[int] = []
+    for x, value in enumerate(line):
+        left, corner = (got[x - back], above[x - back]) if x >= back else (0, 0)
+        if how == 3:
+            guess = (left + above[x]) // 2
+        else:
+            slope = left + above[x] - corner
+            guess = min((left, above[x], corner), key=lambda near: abs(slope - near))
+        got.append((value + guess) & 255)
+    out[:] = got
 
 
 def _pgm(p: bytes) -> bytes:
     return b"P5\n%d %d\n255\n" % (WIDTH, len(p) // WIDTH) + p
 
 
-def _pgm_head(b: bytes) -> tuple[int, int, int] | None:
-    """Width, height and length of the header."""
-    lines = b[:64].split(b"\n", 3)
-    size = lines[1].split(b" ") if len(lines) == 4 else []
-    if len(size) != 2 or not all(s.isdigit() for s in size) or lines[2] != b"255":
+_PNM = re.compile(rb"P[56](?:\s|#[^\n]*\n)+(\d{1,9})(?:\s|#[^\n]*\n)+(\d{1,9})(?:\s|#[^\n]*\n)+(\d{1,5})\s")
+
+
+def _pnm_parts(b: bytes, at: int) -> tuple[int, int] | None:
+    """Where the samples start and end."""
+    head = _PNM.match(b, at, at + 4096)
+    if not head:
         return None
-    return int(size[0]), int(size[1]), sum(map(len, lines[:3])) + 3
+    width, height, most = map(int, head.groups())
+    n = width * height * (3 if head[0][1:2] == b"6" else 1) * (1 if most < 256 else 2)
+    return (head.end(), head.end() + n) if n and 0 < most < 65536 else None
+
+
+def _pnm_end(b: memoryview, at: int) -> int:
+    parts = _pnm_parts(b, at)
+    return parts[1] if parts and parts[1] <= len(b) else 0
+
+
+def _pnm_read(b: bytes) -> bytes:
+    start, stop = _pnm_parts(b, 0)
+    return b[start:stop]
+
 
+def _gif_end(b: memoryview, at: int) -> int:
+    """Screen, then blocks up to the trailer; each block's parts state their lengths."""
 
-def _pgm_end(b: memoryview, at: int) -> int:
-    head = _pgm_head(bytes(b[at : at + 64]))
-    end = at + head[2] + head[0] * head[1] if head else 0
-    return end if head and head[0] * head[1] and end <= len(b) else 0
+    def past(place: int) -> int:
+        while place < len(b) and b[place]:
+            place += 1 + b[place]
+        return place + 1
+
+    if len(b) < at + 13 or b[at + 4 : at + 6] not in (b"7a", b"9a"):
+        return 0
+    flags, place, images = b[at + 10], at + 13, 0
+    place += 3 << ((flags & 7) + 1) if flags & 128 else 0
+    while place < len(b):
+        if b[place] == 0x3B:
+            return place + 1 if images else 0
+        if b[place] == 0x21:
+            place = past(place + 2)
+        elif b[place] == 0x2C and place + 10 < len(b):
+            flags = b[place + 9]
+            place = past(place + 11 + (3 << ((flags & 7) + 1) if flags & 128 else 0))
+            images += 1
+        else:
+            return 0
+    return 0
 
 
-def _pgm_read(b: bytes) -> bytes:
-    return b[_pgm_head(b)[2] :]
+_SCAN_END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 
 
-#: Type: magic bytes, writer, validator, reader.
-FORMATS: dict[str, tuple[bytes, Callable, Callable, Callable]] = {
+def _jpeg_end(b: memoryview, at: int) -> int:
+    """Segments with their lengths, a frame before a scan, scans up to the end mark."""
+    place, frame, scan = at + 2, False, False
+    while place + 4 <= len(b) and b[place] == 0xFF:
+        mark, n = b[place + 1], struct.unpack_from(">H", b, place + 2)[0]
+        if mark < 0xC0 or 0xD0 <= mark <= 0xD9 or n < 2 or place + 2 + n > len(b):
+            break
+        frame |= 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC)
+        place += 2 + n
+        if mark == 0xDA:
+            found = _SCAN_END.search(b, place) if frame else None
+            if not found:
+                return 0
+            place, scan = found.start(), True
+    return place + 2 if scan and bytes(b[place : place + 2]) == b"\xff\xd9" else 0
+
+
+def _unread(b: bytes) -> None:
+    """Samples that aren't plain."""
+
+
+#: Type: magic bytes, writer (None: only read), validator, reader.
+FORMATS: dict[str, tuple[bytes, Callable | None, Callable, Callable]] = {
     "audio/wav": (b"RIFF", _wav, _wav_end, _wav_read),
     "audio/basic": (b".snd", _au, _au_end, _au_read),
     "image/bmp": (b"BM", _bmp, _bmp_end, _bmp_read),
     "image/png": (b"\x89PNG\r\n\x1a\n", _png, _png_end, _png_read),
-    "image/x-portable-graymap": (b"P5\n", _pgm, _pgm_end, _pgm_read),
+    "image/x-portable-graymap": (b"P5", _pgm, _pnm_end, _pnm_read),
+    "image/x-portable-pixmap": (b"P6", None, _pnm_end, _pnm_read),
+    "image/gif": (b"GIF8", None, _gif_end, _unread),
+    "image/jpeg": (b"\xff\xd8\xff", None, _jpeg_end, _unread),
 }
-KINDS = tuple(FORMATS)
+KINDS = tuple(kind for kind, (_, write, *_) in FORMATS.items() if write)
 
 
 @lru_cache(maxsize=1)
@@ -196,8 +345,8 @@ def store(payload: bytes, kind: str) -> bytes:
     return FORMATS[kind][1](payload)
 
 
-def read(blob: bytes, medium: Medium) -> bytes:
-    """The samples of a confirmed medium."""
+def read(blob: bytes, medium: Medium) -> bytes | None:
+    """The samples of a confirmed medium; None where they aren't plain."""
     return FORMATS[medium.kind][3](blob[medium.start : medium.end])
 
 
@@ -233,10 +382,12 @@ def stored(docs: DataFrame) -> DataFrame:
 
 
 def read_back(blobs: DataFrame) -> DataFrame:
-    """Adds what the blob's bytes say: the corrected type, the medium, the payload, and how many media it embeds.
+    """Adds what the blob's bytes say: the corrected type, the medium, the payload, and the media it embeds.
 
-    Rows whose blob holds no confirmed medium keep their declared type and have nulls for the rest."""
-    kinds = "mime string, corrected boolean, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, n_embedded int"
+    embedded: type:start:end of each medium carved out of the blob behind its own one, or out of the samples ("samples:" in
+    front). Rows whose blob doesn't start with a confirmed medium keep their declared type, those whose samples can't
+    be read keep the medium; both have nulls for the rest."""
+    kinds = "mime string, corrected boolean, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, n_embedded int, embedded string"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,15 +395,19 @@ def read_back(blobs: DataFrame) -> DataFrame:
             for blob, declared in zip(column(batch, "blob").to_pylist(), column(batch, "declared").to_pylist()):
                 found = sniff(blob)
                 own = next((m for m in found if m.start == 0), None)
+                listed = [f"{m.kind}:{m.start}:{m.end}" for m in found if m is not own]
                 if not own:
-                    rows.append((declared, False, *[None] * 6, len(found)))
+                    rows.append((declared, False, *[None] * 6, len(listed), ",".join(listed)))
+                    continue
+                samples, medium = read(blob, own), (own.kind, own.kind != declared, own.end, hashlib.sha256(blob[: own.end]).hexdigest())
+                if samples is None:
+                    rows.append((*medium, *[None] * 4, len(listed), ",".join(listed)))
                     continue
-                samples = read(blob, own)
                 # media that the samples themselves hold, told from the payload as it was before it was stored
-                inside = len(sniff(samples))
-                rows.append((own.kind, own.kind != declared, own.end, hashlib.sha256(blob[: own.end]).hexdigest(), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), features(own.kind, samples), len(found) - 1 + inside))
-            types = [pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32()]
-            names = ["mime", "corrected", "media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "feature", "n_embedded"]
+                listed += [f"samples:{m.kind}:{m.start}:{m.end}" for m in sniff(samples)]
+                rows.append((*medium, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), features(own.kind, samples), len(listed), ",".join(listed)))
+            types = [pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string()]
+            names = ["mime", "corrected", "media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "feature", "n_embedded", "embedded"]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "n_bytes"), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types))], names=["doc_id", "n_bytes", *names])
 
     return blobs.mapInArrow(task, f"doc_id long, n_bytes long, {kinds}")
@@ -271,4 +426,4 @@ def carved(blobs: DataFrame, blob: str = "blob", key: str = "doc_id") -> DataFra
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(stored(table(spark, sf_dir, "documents"))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "mime", "corrected", "n_embedded")
+    return read_back(stored(table(spark, sf_dir, "documents"))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "mime", "corrected", "n_embedded", "embedded")
