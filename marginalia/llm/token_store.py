@@ -11,7 +11,7 @@ A lookup hashes the key to an index file, then to a slot, compares the fingerpri
 
 Work: documents are range-partitioned by doc_id (one shuffle of the texts), each task encodes its range and writes
 its shard; keys with their places go to the index files by hash. A retried task writes the same bytes to a name of
-its own and then renames it. Files go through pyarrow's file systems, so the folder may be any shared store.
+its own and then renames it, or leaves the file that a lost task has renamed already. Files go through pyarrow's file systems, so the folder may be any shared store.
 
 Nulls: a null text is empty (its end id alone). A null doc_id is stored first, under the key -2**63. Rows of one
 doc_id are stored next to each other, in order of their text; the key leads to all of them, and the lengths kept
@@ -47,6 +47,23 @@ def _store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
+def _settle(fs: pafs.FileSystem, part: str, name: str) -> None:
+    """A finished file gets its name. Stores differ in whether a move replaces a file, so where a lost task has already
+    left the same file there, this copy goes instead."""
+    there = fs.get_file_info(name)
+    if there.type == pafs.FileType.File:
+        if there.size == fs.get_file_info(part).size:
+            fs.delete_file(part)
+            return
+        fs.delete_file(name)
+    try:
+        fs.move(part, name)
+    except OSError:  # another attempt of this task was faster
+        if fs.get_file_info(name).type != pafs.FileType.File:
+            raise
+        fs.delete_file(part)
+
+
 def _put(folder: str, name: str, parts: list[bytes]) -> None:
     fs, root = _store(folder)
     fs.create_dir(root, recursive=True)
@@ -54,7 +71,7 @@ def _put(folder: str, name: str, parts: list[bytes]) -> None:
     with fs.open_output_stream(part) as out:
         for p in parts:
             out.write(p)
-    fs.move(part, f"{root}/{name}")
+    _settle(fs, part, f"{root}/{name}")
 
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: tuple[str, str, str], end_id: int, partitions: int) -> DataFrame:
@@ -76,7 +93,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: tuple[str, str, str],
             done += len(ids)
         if out:
             out.close()
-            fs.move(part, name)
+            _settle(fs, part, name)
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return ordered.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(task, PLACES)
@@ -147,8 +164,10 @@ def look_up(keys: DataFrame, folder: str, files: int) -> DataFrame:
     return keys.select(key.alias("doc_id")).withColumn("file", F.pmod(F.xxhash64("doc_id"), F.lit(files)).cast("int")).groupBy("file").applyInArrow(task, PLACES)
 
 
-def read_back(found: DataFrame, folder: str, width: str = "<u2", most: int = 8 << 20) -> DataFrame:
-    """The places with ids (binary, as stored), read from the shards: tasks take whole shards, neighbours in one read."""
+def read_back(found: DataFrame, folder: str, width: str = "<u2", most: int = 8 << 20, tasks: int = 0) -> DataFrame:
+    """The places with ids (binary, as stored), read from the shards: tasks take whole shards, neighbours in one read.
+
+    tasks: how many share the shards (else as the session sets); places are narrow, so their bytes don't tell."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _store(folder)
@@ -173,7 +192,7 @@ def read_back(found: DataFrame, folder: str, width: str = "<u2", most: int = 8 <
             opened.close()
 
     schema = T.StructType([*found.schema.fields, T.StructField("ids", T.BinaryType())])
-    return found.repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(task, schema)
+    return (found.repartition(tasks, "shard") if tasks else found.repartition("shard")).sortWithinPartitions("shard", "offset").mapInArrow(task, schema)
 
 
 class Store:
@@ -187,7 +206,7 @@ class Store:
         spark = keys.sparkSession
         starts = spark.createDataFrame(pd.DataFrame({"shard": pd.array(list(self.starts), "int32"), "base": pd.array(list(self.starts.values()), "int64")}), "shard int, base long")
         found = look_up(keys, self.folder, self.files).join(starts, "shard").withColumn("start", F.col("base") + F.col("offset"))
-        return read_back(found, self.folder, self.width).select(F.nullif("doc_id", F.lit(NO_KEY)).alias("doc_id"), "start", "n_tokens", "ids")
+        return read_back(found, self.folder, self.width, tasks=len(self.starts)).select(F.nullif("doc_id", F.lit(NO_KEY)).alias("doc_id"), "start", "n_tokens", "ids")
 
 
 def store(docs: DataFrame, folder: str | None = None, vocabulary: tuple[str, str, str] | None = None, end_id: int = 2, partitions: int | None = None, keys_per_file: int = 1_000_000) -> Store:

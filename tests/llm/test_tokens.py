@@ -139,3 +139,32 @@ def test_op8_edges_and_misses(spark, edge, empty):
     assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:]))
     assert made.get(spark.createDataFrame([(77,), (5,)], "doc_id long")).count() == 1
     assert token_store.store(empty, partitions=2).get(edge.select("doc_id")).count() == 0
+
+
+def test_a_retried_task_finds_its_file_there(tmp_path):
+    fs = token_store.pafs.LocalFileSystem()
+
+    class Strict:
+        """A store in which a move never replaces a file."""
+
+        def __getattr__(self, name):
+            return getattr(fs, name)
+
+        def move(self, a, b):
+            if fs.get_file_info(b).type == token_store.pafs.FileType.File:
+                raise OSError("there is such a file")
+            fs.move(a, b)
+
+    name = str(tmp_path / "ids.bin")
+    for content in (b"abc", b"abc", b"longer"):
+        part = str(tmp_path / ".part")
+        with open(part, "wb") as out:
+            out.write(content)
+        token_store._settle(Strict(), part, name)
+        assert open(name, "rb").read() == content and [p.name for p in tmp_path.iterdir()] == ["ids.bin"]
+
+
+def test_store_written_twice_to_one_folder_reads_the_same(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    got = [sorted(map(tuple, token_store.store(docs, f"file://{tmp_path}/s", partitions=4).get(docs.select("doc_id")).collect())) for _ in range(2)]
+    assert got[0] == got[1] and len(got[0]) == 40
