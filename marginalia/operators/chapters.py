@@ -5,8 +5,6 @@ All of it works on the top lines (one short string a page), partitioned by book;
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,41 +46,43 @@ def chapters(groups: DataFrame) -> DataFrame:
     return groups.groupBy("book_id", "chapter_no", "chapter_key").agg(F.coalesce(best, F.lit("Front matter")).alias("title"), F.sort_array(F.collect_list("page_index")).alias("pages"))
 
 
-_CHAPTER = "book_id string, chapter_no long, chapter_key string, title string, pages array<long>"
-
-
 def merged_oscillating(chapters: DataFrame, least_run: int = 3) -> DataFrame:
     """From left to right, the longest run over at most two keys becomes one chapter if it has both and is long enough.
 
-    Where a run ends decides where the next may start, so a book's (short) list is gone through in order."""
-
-    def book(rows: pd.DataFrame) -> pd.DataFrame:
-        todo, out, i = rows.sort_values("chapter_no").to_dict("records"), [], 0
-        while i < len(todo):
-            keys, j = set(), i
-            while j < len(todo) and len(keys | {todo[j]["chapter_key"]}) <= 2:
-                keys.add(todo[j]["chapter_key"])
-                j += 1
-            if j - i >= least_run and len(keys) == 2:
-                run = todo[i:j]
-                lead = next((c for c in run if ":" in c["chapter_key"]), None) or max(run, key=lambda c: len(c["pages"]))
-                out.append({**lead, "pages": [p for c in run for p in c["pages"]]})
-                i = j
-            else:
-                out.append(todo[i])
-                i += 1
-        for n, c in enumerate(out):
-            c["chapter_no"] = n + 1
-        return pd.DataFrame(out, columns=["book_id", "chapter_no", "chapter_key", "title", "pages"])
-
-    return chapters.select("book_id", F.col("chapter_no").cast("long").alias("chapter_no"), "chapter_key", "title", "pages").groupBy("book_id").applyInPandas(book, _CHAPTER)
+    Neighbours have different keys (as grouped() makes them), so a run from a chapter goes on while each key equals the one
+    two places before; where it would end is a window's minimum. Which runs are taken depends on where the one before
+    ended: a fold over the book's run ends (two numbers a chapter) picks their starts. The lead is the first chapter with a
+    colon in its key, else the first of those with most pages."""
+    order = Window.partitionBy("book_id").orderBy("chapter_no")
+    placed = chapters.select("book_id", "chapter_key", "title", "pages", F.row_number().over(order).alias("at"), F.lag("chapter_key", 2).over(order).alias("before"), F.count("*").over(Window.partitionBy("book_id")).alias("n"))
+    breaks = F.when(F.col("chapter_key") != F.col("before"), F.col("at"))
+    ends = placed.withColumn("last", F.coalesce(F.min(breaks).over(Window.partitionBy("book_id").orderBy("at").rowsBetween(2, Window.unboundedFollowing)) - 1, "n"))
+
+    def step(done, x):
+        run = F.when(x["last"] - x["at"] + 1 >= least_run, x["last"]).otherwise(x["at"])
+        return F.when(x["at"] < done["free"], done).otherwise(F.struct(F.array_append(done["starts"], x["at"]).alias("starts"), (run + 1).cast("long").alias("free")))
+
+    runs = ends.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), F.col("last").cast("long").alias("last")))).alias("runs"))
+    none = F.struct(F.array().cast("array<bigint>").alias("starts"), F.lit(0).cast("long").alias("free"))
+    starts = runs.select("book_id", F.posexplode(F.aggregate("runs", none, step, lambda done: done["starts"])).alias("pos", "at"))
+    marked = ends.join(starts.withColumn("at", F.col("at").cast("int")), ["book_id", "at"], "left").withColumn("chapter_no", F.last("pos", ignorenulls=True).over(Window.partitionBy("book_id").orderBy("at")) + 1)
+    colon = F.when(F.contains("chapter_key", F.lit(":")), 0).otherwise(1)
+    lead = F.struct(colon, F.when(colon == 0, 0).otherwise(-F.size("pages")), "at")
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "pages"))), lambda c: c["pages"]))
+    return marked.groupBy("book_id", F.col("chapter_no").cast("long").alias("chapter_no")).agg(F.min_by("chapter_key", lead).alias("chapter_key"), F.min_by("title", lead).alias("title"), whole.alias("pages"))
+
+
+#: Fixed patterns: keys that head a chapter or part, an entry of a contents page, and what follows a name in it.
+HEADED = r"^(CHAPTER \d+|PART )"
+CONTENTS_ENTRY = r"CHAPTER\s+(\d+)\s+([A-Z][A-Za-z].*)"
+LEADERS = r"[\s.·…]+\d+\s*$"
 
 
 def absorbed_strays(chapters: DataFrame) -> DataFrame:
     """A section of at most two pages between two reference sections joins the section put out before it."""
     order = Window.partitionBy("book_id").orderBy("chapter_no")
     own = T.is_reference(F.col("title"))
-    stray = F.coalesce((F.size("pages") <= 2) & ~F.col("chapter_key").rlike(r"^(CHAPTER \d+|PART )") & ~own & F.lag(own).over(order) & F.lead(own).over(order), F.lit(False))
+    stray = F.coalesce((F.size("pages") <= 2) & ~F.col("chapter_key").rlike(HEADED) & ~own & F.lag(own).over(order) & F.lead(own).over(order), F.lit(False))
     target = chapters.withColumn("stray", stray).withColumn("target", F.sum(F.when(F.col("stray"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     lead = F.struct(F.col("stray").cast("int"), "chapter_no")
     return target.groupBy("book_id", "target").agg(F.min_by("chapter_key", lead).alias("chapter_key"), F.min_by("title", lead).alias("title"), F.sort_array(F.flatten(F.collect_list("pages"))).alias("pages")).withColumnRenamed("target", "chapter_no")
@@ -92,9 +92,8 @@ def titled_from_contents(chapters: DataFrame, pages: DataFrame) -> DataFrame:
     """Bare 'CHAPTER n' titles get the name that a contents page gives: the first one, up to a colon, without dots and page."""
     listed = chapters.where(F.contains(F.upper("title"), F.lit("CONTENTS"))).select("book_id", F.explode("pages").alias("page_index"))
     lines = pages.join(listed, PAGE).select(*PAGE, F.posexplode(F.split(F.concat_ws("\n", "body", "footnotes"), "\n")).alias("line_no", "line"))
-    entry = r"CHAPTER\s+(\d+)\s+([A-Z][A-Za-z].*)"
-    name = F.trim(F.regexp_replace(F.split_part(F.regexp_extract("line", entry, 2), F.lit(":"), F.lit(1)), r"[\s.·…]+\d+\s*$", ""))
-    names = lines.select("book_id", F.regexp_extract("line", entry, 1).alias("number"), name.alias("name"), F.struct("page_index", "line_no").alias("place")).where("number <> '' and name <> ''").groupBy("book_id", "number").agg(F.min_by("name", "place").alias("name"))
+    name = F.trim(F.regexp_replace(F.split_part(F.regexp_extract("line", CONTENTS_ENTRY, 2), F.lit(":"), F.lit(1)), LEADERS, ""))
+    names = lines.select("book_id", F.regexp_extract("line", CONTENTS_ENTRY, 1).alias("number"), name.alias("name"), F.struct("page_index", "line_no").alias("place")).where("number <> '' and name <> ''").groupBy("book_id", "number").agg(F.min_by("name", "place").alias("name"))
     bare = chapters.withColumn("number", F.regexp_extract(F.trim("title"), r"^CHAPTER (\d+)$", 1))
     return bare.join(names, ["book_id", "number"], "left").withColumn("title", F.when(F.col("name").isNotNull(), F.concat(F.lit("CHAPTER "), F.col("number"), F.lit(": "), F.col("name"))).otherwise(F.col("title"))).drop("number", "name")
 

@@ -38,11 +38,12 @@ def intervals(spans: DataFrame) -> DataFrame:
 
 
 def coverage(norm: DataFrame, merged: DataFrame) -> DataFrame:
-    """Characters of each stream, how many are covered, and their share (1 for an empty stream)."""
+    """Characters of each stream, how many are covered, and their share to three places, halves to even (1 for an empty
+    stream)."""
     got = merged.groupBy(*STREAM).agg(F.sum(F.col("end_at") - F.col("start_at")).alias("covered"))
     sizes = norm.select(*PAGE, F.expr("stack(2, 'body', length(body_norm), 'footnote', length(foot_norm)) as (stream, total_chars)"))
     c = F.coalesce("covered", F.lit(0))
-    return sizes.join(got, STREAM, "left").select(*STREAM, F.col("total_chars").cast("long").alias("total_chars"), c.cast("long").alias("covered_chars"), F.when(F.col("total_chars") == 0, 1.0).otherwise(c.cast("double") / F.col("total_chars")).alias("ratio"))
+    return sizes.join(got, STREAM, "left").select(*STREAM, F.col("total_chars").cast("long").alias("total_chars"), c.cast("long").alias("covered_chars"), F.when(F.col("total_chars") == 0, 1.0).otherwise(F.rint(c.cast("double") / F.col("total_chars") * 1000) / 1000).alias("ratio"))
 
 
 def sentence_places(norm: DataFrame) -> DataFrame:
@@ -53,12 +54,12 @@ def sentence_places(norm: DataFrame) -> DataFrame:
 
 
 def gaps(norm: DataFrame, merged: DataFrame, threshold: float = 0.5, least: int = 15) -> DataFrame:
-    """Sentences of at least `least` characters of which less than `threshold` is covered."""
+    """Sentences of at least `least` characters of which less than `threshold` is covered; the share is given to two places."""
     sents = sentence_places(norm).where(F.length("sent") >= least)
     met = sents.join(merged, STREAM, "left")
     part = F.greatest(F.lit(0), F.least("b", "end_at") - F.greatest("a", "start_at"))
     share = met.groupBy(*STREAM, "sent_no", "a", "b", "sent").agg(F.coalesce(F.sum(part), F.lit(0)).alias("covered")).withColumn("coverage", F.col("covered").cast("double") / (F.col("b") - F.col("a")))
-    return share.where(F.col("coverage") < threshold).select(*STREAM, F.col("sent_no").cast("long").alias("sent_no"), F.col("sent").alias("text"), F.col("coverage"))
+    return share.where(F.col("coverage") < threshold).select(*STREAM, F.col("sent_no").cast("long").alias("sent_no"), F.col("sent").alias("text"), (F.rint(F.col("coverage") * 100) / 100).alias("coverage"))
 
 
 def redo_list(cover: DataFrame, sections: DataFrame, bound: float = 0.5, prose_only: bool = True) -> DataFrame:

@@ -18,7 +18,8 @@ def citation_audit(texts: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def appendix(cited: DataFrame, finals: DataFrame, records: DataFrame, uses: DataFrame, words: DataFrame | None = None) -> DataFrame:
-    """A line for each cited statement, and after it one for each of its evidence.
+    """A line for each cited statement, and after it one for each of its evidence: quote, page, note number and source, and
+    the quote's translation where it has one.
 
     cited: book_id, chapter_no, final_no. uses: the same and evidence, an array of evidence numbers. words: word, shown (translated labels; others stay). Statements go by
     the length of their id and then the id, which is their number."""
@@ -29,8 +30,9 @@ def appendix(cited: DataFrame, finals: DataFrame, records: DataFrame, uses: Data
     quote = F.when(F.length("excerpt") > 240, F.concat(F.left("excerpt", F.lit(237)), F.lit("…"))).otherwise(F.col("excerpt"))
     page = F.coalesce("page_label", F.concat(F.lit("idx"), F.col("page_index").cast("string")))
     note = F.coalesce(F.concat(F.lit(", fn "), F.nullif("locator", F.lit(""))), F.lit(""))
+    gloss = F.coalesce(F.concat(F.lit(" — "), F.nullif("excerpt_translation", F.lit(""))), F.lit("")) if "excerpt_translation" in records.columns else F.lit("")
     each = uses.join(cited, [*CHAPTER, "final_no"], "left_semi").select(*CHAPTER, "final_no", F.posexplode("evidence").alias("pos", "evidence_no")).join(records, [*CHAPTER, "evidence_no"])
-    lines = each.select(*CHAPTER, "final_no", (F.col("pos") + 1).alias("line_no"), F.concat(quote, F.lit(" — p. "), page, note, F.lit(" ("), "source", F.lit(")")).alias("line"))
+    lines = each.select(*CHAPTER, "final_no", (F.col("pos") + 1).alias("line_no"), F.concat(quote, F.lit(" — p. "), page, note, F.lit(" ("), "source", F.lit(")"), gloss).alias("line"))
     return head.unionByName(lines)
 
 
@@ -69,7 +71,7 @@ def digest(finals: DataFrame, terms: DataFrame, relations: DataFrame) -> DataFra
     tail = F.when(F.size("labels") > 0, F.concat(F.lit(" {"), F.array_join("labels", ", "), F.lit("}"))).otherwise("")
     line = F.concat(F.lit("[s-"), "final_no", F.lit("] ("), "type", F.coalesce(F.concat(F.lit("/"), "basis"), F.lit("")), F.lit(") "), "text", tail)
     body = named.groupBy(*CHAPTER).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("final_no", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
-    edge = F.struct("src_no", "dst_no", "rel_type")
+    edge = F.struct("rel_no", "src_no", "dst_no", "rel_type")
     links = relations.groupBy(*CHAPTER).agg(F.array_join(F.transform(F.array_sort(F.collect_list(edge)), lambda r: F.concat(F.lit("s-"), r["src_no"], F.lit(" "), r["rel_type"], F.lit(" s-"), r["dst_no"])), "; ").alias("links"))
     return body.join(links, CHAPTER, "left").select(*CHAPTER, F.concat("body", F.coalesce(F.concat(F.lit("\n\nRELATIONS: "), "links"), F.lit(""))).alias("digest"))
 

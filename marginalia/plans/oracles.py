@@ -41,12 +41,12 @@ VIEWS = {
     "sents": """select book_id, page_index, doc_id, k - 1 as k, s[k] as sent from (select book_id, page_index, doc_id, s, unnest(range(1, len(s) + 1)) as k from (select book_id, page_index, doc_id,
         string_split(regexp_replace(body_norm, '([.!?]) ([A-Z''"(])', '\\1' || chr(10) || '\\2', 'g'), chr(10)) as s from norm where page_type = 'text'))""",
     "evidence": """select book_id, page_index, doc_id, k, 'e-' || k::varchar as evidence_id, case when (k * 7 + doc_id) % 29 = 0 then 'figure' else 'text' end as kind, 'body' as source, case when (k * 31 + doc_id) % 11 = 0 then sent || ' zzqx' else sent end as excerpt,
-        case when k % 37 = 36 then page_index + 1 end as page_override from sents where length(sent) >= 15 and (k + page_index) % 3 = 0
-        union all select book_id, page_index, doc_id, null, 'e-f', 'text', 'footnote', footnotes, null from pages where page_type = 'text' and doc_id % 4 = 0 and trim(footnotes) <> ''""",
+        case when k % 37 = 36 then page_index + 1 end as page_override, null::varchar as locator, case when k % 41 = 5 then 'greek' end as script, case when (k * 7 + doc_id) % 29 = 0 then 'Figure ' || k::varchar end as caption, case when k % 23 = 7 then upper(sent) end as excerpt_translation from sents where length(sent) >= 15 and (k + page_index) % 3 = 0
+        union all select book_id, page_index, doc_id, null, 'e-f', 'text', 'footnote', footnotes, null, (doc_id % 9)::varchar, null, null, null from pages where page_type = 'text' and doc_id % 4 = 0 and trim(footnotes) <> ''""",
     "statements": f"""select book_id, page_index, doc_id, k, 's-' || k::varchar as statement_id, case when (k * 13 + doc_id) % 101 = 0 then 'remark' else {_pick(_TYPES, 'k')} end as type, {_pick(_BASES, 'k')} as basis, left(excerpt, 80) as text,
         case when k % 6 = 0 then [evidence_id, 'e-f'] else [evidence_id] end as refs from evidence where source = 'body'""",
     "refs": "select book_id, page_index, statement_id, pos - 1 as pos, refs[pos] as evidence_id from (select *, unnest(range(1, len(refs) + 1)) as pos from statements)",
-    "relations": f"select book_id, page_index, statement_id as src, 's-' || (k + 3)::varchar as dst, {_pick(_RELATIONS, 'k')} as rel_type from statements",
+    "relations": f"select book_id, page_index, k as pos, statement_id as src, 's-' || (k + 3)::varchar as dst, {_pick(_RELATIONS, 'k')} as rel_type from statements",
     "flagged": f"""select e.*, case when kind <> 'text' then true else contains(coalesce(case when source = 'body' then body_norm else foot_norm end, ''), {_norm('excerpt')}) end as anchored
         from evidence e left join (select book_id, page_index, body_norm, foot_norm from norm) using (book_id, page_index)""",
     "kept_refs": "select r.* from refs r semi join (select * from flagged where anchored) a using (book_id, page_index, evidence_id)",
@@ -84,12 +84,12 @@ VIEWS = {
         join streams using (book_id, page_index, stream) where q <> '' and strpos(norm, q) > 0""",
     "intervals": """select book_id, page_index, stream, min(a) as start_at, max(b) as end_at from (select *, sum(new) over (partition by book_id, page_index, stream order by a, b rows unbounded preceding) as island
         from (select *, case when r is null or a > r then 1 else 0 end as new from (select *, max(b) over (partition by book_id, page_index, stream order by a, b rows between unbounded preceding and 1 preceding) as r from covered_spans))) group by book_id, page_index, stream, island""",
-    "coverage": """select s.book_id, s.page_index, s.stream, length(norm)::bigint as total_chars, coalesce(c, 0)::bigint as covered_chars, case when length(norm) = 0 then 1.0::double else coalesce(c, 0)::double / length(norm) end as ratio
+    "coverage": """select s.book_id, s.page_index, s.stream, length(norm)::bigint as total_chars, coalesce(c, 0)::bigint as covered_chars, case when length(norm) = 0 then 1.0::double else round_even(coalesce(c, 0)::double / length(norm), 3) end as ratio
         from streams s left join (select book_id, page_index, stream, sum(end_at - start_at) as c from intervals group by all) using (book_id, page_index, stream)""",
     "places": """select *, a + length(sent) as b from (select *, coalesce(sum(length(sent) + 1) over (partition by book_id, page_index, stream order by sent_no rows between unbounded preceding and 1 preceding), 0) as a
         from (select book_id, page_index, stream, n - 1 as sent_no, s[n] as sent from (select *, unnest(range(1, len(s) + 1)) as n from (select book_id, page_index, stream,
         string_split(regexp_replace(norm, '([.!?]) ([A-Z''"(])', '\\1' || chr(10) || '\\2', 'g'), chr(10)) as s from streams where norm <> ''))))""",
-    "gaps": """select book_id, page_index, stream, sent_no, text, coverage from (select p.book_id, p.page_index, p.stream, p.sent_no, p.sent as text, coalesce(sum(greatest(0, least(p.b, i.end_at) - greatest(p.a, i.start_at))), 0)::double / (p.b - p.a) as coverage
+    "gaps": """select book_id, page_index, stream, sent_no, text, round_even(coverage, 2) as coverage from (select p.book_id, p.page_index, p.stream, p.sent_no, p.sent as text, coalesce(sum(greatest(0, least(p.b, i.end_at) - greatest(p.a, i.start_at))), 0)::double / (p.b - p.a) as coverage
         from places p left join intervals i using (book_id, page_index, stream) where length(p.sent) >= 15 group by p.book_id, p.page_index, p.stream, p.sent_no, p.sent, p.a, p.b) where coverage < 0.5""",
     "hdr": """select book_id, top_line, count(*) as n, min(page_index) as f from heads where top_line <> '' group by all having count(*) >= 2 or
         (length(regexp_replace(top_line, '[^\\pL]', '', 'g')) >= 4 and 5 * length(regexp_replace(top_line, '[^\\p{Lu}]', '', 'g')) >= 4 * length(regexp_replace(top_line, '[^\\pL]', '', 'g')))""",
@@ -123,13 +123,20 @@ VIEWS = {
     "finals": """select book_id, chapter_no, unit, row_number() over (partition by book_id, chapter_no order by pg, st) as final_no, type, basis, text from (select book_id, chapter_no, unit, min(page_index) as pg, first(statement_id order by page_index, statement_id) as st,
         first(type order by member_no) as type, first(basis order by member_no) as basis, coalesce(any_value(merge_text), first(text)) as text from unit_rows group by book_id, chapter_no, unit)""",
     "members": "select u.book_id, u.chapter_no, u.page_index, u.statement_id, u.key, f.final_no, u.member_no, u.refs from unit_rows u join finals f using (book_id, chapter_no, unit)",
-    "used": """select m.book_id, m.chapter_no, m.page_index, m.final_no, m.member_no, m.pos, m.evidence_id, e.kind, e.source, e.excerpt from (select *, refs[n] as evidence_id, n - 1 as pos from (select *, unnest(range(1, len(refs) + 1)) as n from members)) m
+    "used": """select m.book_id, m.chapter_no, m.page_index, m.final_no, m.member_no, m.pos, m.evidence_id, e.kind, e.source, e.excerpt, e.locator, e.script, e.caption, e.excerpt_translation from (select *, refs[n] as evidence_id, n - 1 as pos from (select *, unnest(range(1, len(refs) + 1)) as n from members)) m
         join kept_evidence e using (book_id, page_index, evidence_id)""",
-    "records": """select book_id, chapter_no, page_index, evidence_id, kind, source, excerpt, row_number() over (partition by book_id, chapter_no order by f, m, p) as evidence_no from (select *, final_no as f, member_no as m, pos as p,
+    "records": """select book_id, chapter_no, page_index, evidence_id, kind, source, excerpt, locator, script, caption, excerpt_translation, row_number() over (partition by book_id, chapter_no order by f, m, p) as evidence_no from (select *, final_no as f, member_no as m, pos as p,
         row_number() over (partition by book_id, chapter_no, page_index, evidence_id order by final_no, member_no, pos) as r from used) where r = 1""",
     "final_terms": "select m.book_id, m.chapter_no, m.final_no, list_sort(list_distinct(list(l.term_id))) as terms from members m join links l using (book_id, page_index, statement_id) group by all",
-    "final_relations": """select distinct a.book_id, a.chapter_no, a.final_no as src_no, b.final_no as dst_no, r.rel_type from (select book_id, 'p' || page_index::varchar || ':' || src as src, 'p' || page_index::varchar || ':' || dst as dst, rel_type from kept_relations
-        union all select book_id, src, dst, rel_type from accepted) r join members a on a.book_id = r.book_id and a.key = r.src join members b on b.book_id = r.book_id and b.key = r.dst and b.chapter_no = a.chapter_no where a.final_no <> b.final_no""",
+    "final_relations": """select book_id, chapter_no, row_number() over (partition by book_id, chapter_no order by part, pg, pos, src_no, dst_no, rel_type) as rel_no, src_no, dst_no, rel_type from (select a.book_id, a.chapter_no, a.final_no as src_no, b.final_no as dst_no, r.rel_type, part, pg, r.pos,
+        row_number() over (partition by a.book_id, a.chapter_no, a.final_no, b.final_no, r.rel_type order by part, pg, r.pos) as once from (select book_id, 'p' || page_index::varchar || ':' || src as src, 'p' || page_index::varchar || ':' || dst as dst, rel_type, 0 as part, page_index as pg, pos from kept_relations
+        union all select book_id, src, dst, rel_type, 1, 0, place from accepted) r join members a on a.book_id = r.book_id and a.key = r.src join members b on b.book_id = r.book_id and b.key = r.dst and b.chapter_no = a.chapter_no where a.final_no <> b.final_no) where once = 1""",
+    "osc": """select *, coalesce(min(chapter_no) filter (brk) over (partition by book_id order by chapter_no rows between 2 following and unbounded following) - 1, max(chapter_no) over (partition by book_id)) as last_no
+        from (select *, chapter_key <> lag(chapter_key, 2) over (partition by book_id order by chapter_no) as brk from chapters)""",
+    "walk": """select book_id, pos, nxt, row_number() over (partition by book_id order by pos) as number from (with recursive w(book_id, pos, nxt) as (select book_id, chapter_no, case when last_no - chapter_no >= 2 then last_no + 1 else chapter_no + 1 end from osc where chapter_no = 1
+        union all select w.book_id, w.nxt, case when o.last_no - w.nxt >= 2 then o.last_no + 1 else w.nxt + 1 end from w join osc o on o.book_id = w.book_id and o.chapter_no = w.nxt) select * from w)""",
+    "oscillating": """select w.book_id, w.number as chapter_no, first(o.chapter_key order by contains(o.chapter_key, ':') desc, case when contains(o.chapter_key, ':') then 0 else -len(o.pages) end, o.chapter_no) as chapter_key,
+        first(o.title order by contains(o.chapter_key, ':') desc, case when contains(o.chapter_key, ':') then 0 else -len(o.pages) end, o.chapter_no) as title, array_to_string(flatten(list(o.pages order by o.chapter_no)), ',') as pages from walk w join osc o on o.book_id = w.book_id and o.chapter_no >= w.pos and o.chapter_no < w.nxt group by all""",
     "tokens": """select doc_id, n - 1 as word_no, tok, sum(length(tok) + 1) over (partition by doc_id order by n rows unbounded preceding) - length(tok) - 1 as c0, total, last_line
         from (select doc_id, toks[n] as tok, n, total, last_line from (select *, unnest(range(1, len(toks) + 1)) as n from (select doc_id, string_split_regex(text, '[ \\n]') as toks, length(text) as total, case when contains(text, chr(10)) then length(list_last(string_split(text, chr(10)))) else 0 end as last_line from documents)))""",
     "words": """select p.book_id, p.page_index, t.word_no, t.tok as text, (6 * ((c0 % 100) % 50) + 320 * ((c0 % 100) // 50))::double as x0, (6 * ((c0 % 100) % 50) + 320 * ((c0 % 100) // 50) + 6 * length(tok))::double as x1, (12 * (c0 // 100))::double as top, (12 * (c0 // 100) + 10)::double as bottom,

@@ -11,7 +11,7 @@ from marginalia.functions import text as T
 from marginalia.operators import anchor, assemble, chapters, cost, coverage, dedup, export, layout, locate, propose, score, terms, validate
 from marginalia.plans.oracles import sql
 from marginalia.sources import notes
-from marginalia.sources.derived import RELATIONS, Corpus, documents, page_numbers, pick
+from marginalia.sources.derived import RELATIONS, Corpus, documents, evidence, pick
 from marginalia.streaming import incremental
 
 PAGE = anchor.PAGE
@@ -19,11 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None):
-    """Registers a function of a Corpus under a name, with its SQL over the views."""
+def query(name: str, oracle: str | None = None, hold: bool = False):
+    """Registers a function of a Corpus under a name, with its SQL over the views. hold: the tables that its branches share
+    are written once (see Corpus)."""
 
     def put(f: Callable[[Corpus], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(Corpus(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(Corpus(spark, sf_dir, hold))
         if oracle:
             ORACLES[name] = sql(oracle)
         return f
@@ -48,36 +49,45 @@ def _(c: Corpus) -> DataFrame:
     return anchor.anchored(c.evidence, c.norm).select(*PAGE, "evidence_id", "kind", "source", "anchored")
 
 
-def gated(c: Corpus) -> tuple[DataFrame, dict[str, DataFrame]]:
-    flagged = anchor.anchored(c.evidence, c.norm)
-    return flagged, anchor.gate(flagged, c.statements, c.references, c.relations)
+def flagged(c: Corpus) -> DataFrame:
+    """Evidence with its flag; held, it stands for the evidence too."""
+    if c.hold and not c.has("evidence"):
+        c.keep("flagged", lambda: anchor.anchored(evidence(c.norm, c.sents), c.norm))
+        c.put("evidence", c.keep("flagged", None).drop("anchored"))
+    return c.keep("flagged", lambda: anchor.anchored(c.evidence, c.norm))
 
 
-@query("p7_gate_statements", "select book_id, page_index, statement_id, type, basis, text, array_to_string(refs, ',') as refs from kept")
+def survivors(c: Corpus, name: str) -> DataFrame:
+    """statements, evidence or relations that survive the gate."""
+    known = flagged(c)
+    return c.keep(f"kept-{name}", lambda: anchor.gate(known, c.statements, c.references, c.relations)[name])
+
+
+@query("p7_gate_statements", "select book_id, page_index, statement_id, type, basis, text, array_to_string(refs, ',') as refs from kept", hold=True)
 def _(c: Corpus) -> DataFrame:
-    return gated(c)[1]["statements"].select(*PAGE, "statement_id", "type", "basis", "text", joined("refs"))
+    return survivors(c, "statements").select(*PAGE, "statement_id", "type", "basis", "text", joined("refs"))
 
 
-@query("p7_gate_evidence", "select book_id, page_index, evidence_id, kind, source, excerpt from kept_evidence")
+@query("p7_gate_evidence", "select book_id, page_index, evidence_id, kind, source, excerpt from kept_evidence", hold=True)
 def _(c: Corpus) -> DataFrame:
-    return gated(c)[1]["evidence"].select(*PAGE, "evidence_id", "kind", "source", "excerpt")
+    return survivors(c, "evidence").select(*PAGE, "evidence_id", "kind", "source", "excerpt")
 
 
-@query("p7_gate_relations", "select book_id, page_index, src, dst, rel_type from kept_relations")
+@query("p7_gate_relations", "select book_id, page_index, src, dst, rel_type from kept_relations", hold=True)
 def _(c: Corpus) -> DataFrame:
-    return gated(c)[1]["relations"].select(*PAGE, "src", "dst", "rel_type")
+    return survivors(c, "relations").select(*PAGE, "src", "dst", "rel_type")
 
 
-@query("p8_dropped_audit", "select * from dropped")
+@query("p8_dropped_audit", "select * from dropped", hold=True)
 def _(c: Corpus) -> DataFrame:
-    return anchor.dropped(anchor.anchored(c.evidence, c.norm), c.statements, c.references)
+    return anchor.dropped(flagged(c), c.statements, c.references)
 
 
 @query("p12_extract_summary", """select book_id, page_index, count(*) filter (w = 's') as n_statements, count(*) filter (w = 'e') as n_evidence, count(*) filter (w = 'r') as n_relations, count(*) filter (w = 'd') as n_dropped
-    from (select book_id, page_index, 's' as w from kept union all select book_id, page_index, 'e' from kept_evidence union all select book_id, page_index, 'r' from kept_relations union all select book_id, page_index, 'd' from dropped) group by all""")
+    from (select book_id, page_index, 's' as w from kept union all select book_id, page_index, 'e' from kept_evidence union all select book_id, page_index, 'r' from kept_relations union all select book_id, page_index, 'd' from dropped) group by all""", hold=True)
 def _(c: Corpus) -> DataFrame:
-    flagged, kept = gated(c)
-    return anchor.summary(kept, anchor.dropped(flagged, c.statements, c.references))
+    found = flagged(c)
+    return anchor.summary({name: survivors(c, name) for name in ("statements", "evidence", "relations")}, anchor.dropped(found, c.statements, c.references))
 
 
 # --- validation ---
@@ -92,7 +102,7 @@ def ref_problems(c: Corpus) -> DataFrame:
     return validate.reference_problems(c.evidence, c.statements, c.references, c.relations)
 
 
-query("v2_references", "select * from ref_problems")(ref_problems)
+query("v2_references", "select * from ref_problems", hold=True)(ref_problems)
 
 
 @query("v3_traceability", "select * from untraced")
@@ -107,7 +117,7 @@ def floor_page(c: Corpus) -> DataFrame:
     return score.floor_page(c.evidence, c.statements, ref_problems(c), validate.schema(c.evidence, c.statements, c.relations), validate.traceability(c.evidence, c.norm))
 
 
-query("f1_floor_page", "select * from floor_page")(floor_page)
+query("f1_floor_page", "select * from floor_page", hold=True)(floor_page)
 
 
 def present(c: Corpus) -> DataFrame:
@@ -116,18 +126,18 @@ def present(c: Corpus) -> DataFrame:
 
 def expected(c: Corpus) -> DataFrame:
     labels = c.table("labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
-    return page_numbers(c.spark, c.sf_dir).join(labels, "doc_id", "left").select(*PAGE, (F.col("q") == 1).alias("expected_notes"))
+    return c.numbers.join(labels, "doc_id", "left").select(*PAGE, (F.col("q") == 1).alias("expected_notes"))
 
 
 def floor_book(c: Corpus) -> DataFrame:
     return score.floor_book(floor_page(c), present(c), expected(c))
 
 
-query("f2_floor_book", "select * from floor_book")(floor_book)
+query("f2_floor_book", "select * from floor_book", hold=True)(floor_book)
 _RATES = "case when excerpts_total = 0 then 1.0::double else excerpts_anchored::double / excerpts_total end as anchored_rate, case when statements_total = 0 then 1.0::double else statements_grounded::double / statements_total end as grounded_rate, case when pages_expected = 0 then 1.0::double else pages_present::double / pages_expected end as complete_rate"
 
 
-@query("f3_floor_rates", f"select book_id, {_RATES} from floor_book")
+@query("f3_floor_rates", f"select book_id, {_RATES} from floor_book", hold=True)
 def _(c: Corpus) -> DataFrame:
     return score.rates(floor_book(c)).select("book_id", "anchored_rate", "grounded_rate", "complete_rate")
 
@@ -135,7 +145,7 @@ def _(c: Corpus) -> DataFrame:
 _CORPUS = "select count(*) as books, " + ", ".join(f"coalesce(sum({n}), 0)::bigint as {n}" for n in score.BOOK_COUNTS) + " from floor_book"
 
 
-@query("f4_floor_corpus", f"select *, {_RATES} from ({_CORPUS}) cross join (select left(sha256(string_agg(book_id, chr(10) order by book_id)), 16) as corpus_hash from floor_book)")
+@query("f4_floor_corpus", f"select *, {_RATES} from ({_CORPUS}) cross join (select left(sha256(string_agg(book_id, chr(10) order by book_id)), 16) as corpus_hash from floor_book)", hold=True)
 def _(c: Corpus) -> DataFrame:
     return score.floor_corpus(floor_book(c))
 
@@ -144,7 +154,7 @@ def generation(c: Corpus) -> DataFrame:
     d = F.col("doc_id")
     effort = F.when((d % 20 % 5 == 0) & (F.col("page_index") % 2 == 1), "high").otherwise("low")
     block = F.when(~((d % 23 == 0) & (d % 20 == 7)), F.struct(F.lit("m-mid").alias("model"), effort.alias("effort"), F.lit(8000).alias("max_tokens")))
-    return page_numbers(c.spark, c.sf_dir).select(*PAGE, block.alias("generation"))
+    return c.numbers.select(*PAGE, block.alias("generation"))
 
 
 @query("f5_generation_book", "select * from generation_book")
@@ -160,7 +170,7 @@ def _(c: Corpus) -> DataFrame:
 
 
 @query("f7_problems", """select * from ref_problems union all select * from schema_problems union all select * from untraced
-    union all select book_id, -1, 'completeness', book_id, missing_pages from floor_book where missing_pages <> '' union all select book_id, -1, 'generation', book_id, distinct_settings from generation_book where setting = 'mixed'""")
+    union all select book_id, -1, 'completeness', book_id, missing_pages from floor_book where missing_pages <> '' union all select book_id, -1, 'generation', book_id, distinct_settings from generation_book where setting = 'mixed'""", hold=True)
 def _(c: Corpus) -> DataFrame:
     none = F.lit(-1).cast("long").alias("page_index")
     lost = floor_book(c).where("missing_pages <> ''").select("book_id", none, F.lit("completeness").alias("rule"), F.col("book_id").alias("item"), F.col("missing_pages").alias("detail"))
@@ -180,7 +190,7 @@ _RUNS = "select regexp_extract(book_id, 'src([0-9]+)', 1)::int % 2 as place, " +
 
 @query("f8_compare_runs", f"""select metric, min_by(value, place) as first_value, min_by(whole, place) as first_whole, max_by(value, place) as last_value, max_by(whole, place) as last_whole, max_by(value, place) - min_by(value, place) as delta
     from (select place, unnest(['anchored rate', 'grounded rate', 'complete rate', 'excerpts', 'statements', 'pages']) as metric, unnest([anchored_rate, grounded_rate, complete_rate, excerpts_anchored::double, statements_grounded::double, pages_present::double]) as value,
-    unnest([null, null, null, excerpts_total::double, statements_total::double, pages_expected::double]) as whole from (select *, {_RATES} from ({_RUNS}))) group by metric""")
+    unnest([null, null, null, excerpts_total::double, statements_total::double, pages_expected::double]) as whole from (select *, {_RATES} from ({_RUNS}))) group by metric""", hold=True)
 def _(c: Corpus) -> DataFrame:
     return score.compare(runs(c))
 
@@ -210,7 +220,7 @@ def _(c: Corpus) -> DataFrame:
     return coverage.sentence_places(c.norm).select(*coverage.STREAM, F.col("sent_no").cast("long").alias("sent_no"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "sent")
 
 
-@query("g4_gaps", "select * from gaps")
+@query("g4_gaps", "select * from gaps", hold=True)
 def _(c: Corpus) -> DataFrame:
     return coverage.gaps(c.norm, merged(c))
 
@@ -234,7 +244,7 @@ def _(c: Corpus) -> DataFrame:
 
 
 def chapter_rows(c: Corpus) -> DataFrame:
-    return chapters.chapters(chapters.grouped(c.heads))
+    return c.keep("chapters", lambda: chapters.chapters(chapters.grouped(c.heads)))
 
 
 @query("c3_chapter_titles", "select book_id, chapter_no, chapter_key, title, len(pages) as n_pages from chapters")
@@ -242,7 +252,7 @@ def _(c: Corpus) -> DataFrame:
     return chapter_rows(c).select("book_id", "chapter_no", "chapter_key", "title", F.size("pages").alias("n_pages"))
 
 
-@query("c4_merge_oscillating")
+@query("c4_merge_oscillating", "select * from oscillating")
 def _(c: Corpus) -> DataFrame:
     return chapters.merged_oscillating(chapter_rows(c)).select("book_id", "chapter_no", "chapter_key", "title", joined("pages"))
 
@@ -270,13 +280,13 @@ def _(c: Corpus) -> DataFrame:
     return chapters.summaries(chapter_rows(c), c.statements, c.evidence)
 
 
-@query("c9_find_stitches")
+@query("c9_find_stitches", hold=True)
 def _(c: Corpus) -> DataFrame:
     return chapters.stitches(c.evidence, c.pages, c.norm)
 
 
 @query("g5_redo_list", """select book_id, page_index, ratio, row_number() over (partition by book_id order by ratio, page_index) as place, string_agg((page_index + 1)::varchar, ',' order by page_index) over (partition by book_id rows between unbounded preceding and unbounded following) as page_spec
-    from coverage join sections using (book_id, page_index) where stream = 'body' and ratio < 0.3 and prose""")
+    from coverage join sections using (book_id, page_index) where stream = 'body' and ratio < 0.3 and prose""", hold=True)
 def _(c: Corpus) -> DataFrame:
     return coverage.redo_list(coverage.coverage(c.norm, merged(c)), sections(c), 0.3)
 
@@ -288,21 +298,25 @@ def edge_rows(c: Corpus) -> DataFrame:
     return dedup.edges(dedup.cited_quotes(c.statements, c.references, c.evidence))
 
 
-query("c10_dedup_blocking", "select * from edges")(edge_rows)
+query("c10_dedup_blocking", "select * from edges", hold=True)(edge_rows)
 
 
-@query("c11_dedup_clusters", "select node, cluster from reach")
+@query("c11_dedup_clusters", "select node, cluster from reach", hold=True)
 def _(c: Corpus) -> DataFrame:
     return dedup.clusters(edge_rows(c))
 
 
-@query("k3_dedup_counts", "select size, count(*) as clusters from (select count(*) as size from reach group by cluster) group by size")
+@query("k3_dedup_counts", "select size, count(*) as clusters from (select count(*) as size from reach group by cluster) group by size", hold=True)
 def _(c: Corpus) -> DataFrame:
     return dedup.cluster_lists(dedup.clusters(edge_rows(c))).groupBy("size").agg(F.count("*").alias("clusters"))
 
 
 def merges(c: Corpus) -> DataFrame:
     """Rule-made decisions: each cluster of up to six becomes one, with its first member's text."""
+    return c.keep("merges", lambda: _merges(c))
+
+
+def _merges(c: Corpus) -> DataFrame:
     members = dedup.clusters(edge_rows(c)).select("cluster", "node", F.split_part("node", F.lit("/"), F.lit(1)).alias("book_id"), F.split_part("node", F.lit("/"), F.lit(2)).alias("key"))
     page = F.regexp_extract("node", r"/p(\d+):", 1).cast("int")
     order = Window.partitionBy("cluster").orderBy(page, "node")
@@ -312,7 +326,7 @@ def merges(c: Corpus) -> DataFrame:
     return first.select("book_id", F.col("cluster").alias("merge_no"), "key", "text", "member_no")
 
 
-@query("c12_apply_adjudication", "select merge_no as cluster, book_id || '/' || key as node, text from merges")
+@query("c12_apply_adjudication", "select merge_no as cluster, book_id || '/' || key as node, text from merges", hold=True)
 def _(c: Corpus) -> DataFrame:
     decided = merges(c).select(F.col("merge_no").alias("cluster"), "merge_no", F.concat_ws("/", "book_id", "key").alias("node"), "text")
     return dedup.accepted(dedup.clusters(edge_rows(c)), decided).select("cluster", "node", "text")
@@ -333,10 +347,10 @@ def _(c: Corpus) -> DataFrame:
 
 
 def links(c: Corpus) -> DataFrame:
-    return terms.link_terms(c.statements, terms.term_store(labels(c)))
+    return c.keep("links", lambda: terms.link_terms(c.statements, terms.term_store(labels(c))))
 
 
-query("t2_link_terms", "select * from links")(links)
+query("t2_link_terms", "select * from links", hold=True)(links)
 
 
 @query("k3_term_counts", "select book_id, n_chapters, count(*) as terms from store group by all")
@@ -345,14 +359,14 @@ def _(c: Corpus) -> DataFrame:
 
 
 def candidates(c: Corpus) -> DataFrame:
-    return terms.relation_candidates(links(c), sections(c))
+    return c.keep("relation-candidates", lambda: terms.relation_candidates(links(c), sections(c)))
 
 
-query("r1_relation_candidates", "select * from candidates")(candidates)
+query("r1_relation_candidates", "select * from candidates", hold=True)(candidates)
 
 
 @query("r2_candidate_payload", """select c.book_id, c.chapter_no, c.page_index, c.statement_id, s.type, s.text, coalesce(t.terms, '') as terms from candidates c semi join (select book_id, chapter_no from candidates group by all having count(*) >= 2) m using (book_id, chapter_no)
-    join statements s using (book_id, page_index, statement_id) left join (select book_id, page_index, statement_id, string_agg(term_id, ',' order by place, term_id) as terms from links group by all) t using (book_id, page_index, statement_id)""")
+    join statements s using (book_id, page_index, statement_id) left join (select book_id, page_index, statement_id, string_agg(term_id, ',' order by place, term_id) as terms from links group by all) t using (book_id, page_index, statement_id)""", hold=True)
 def _(c: Corpus) -> DataFrame:
     return terms.candidate_payload(candidates(c), c.statements, links(c))
 
@@ -363,13 +377,13 @@ def across(c: Corpus) -> DataFrame:
     order = Window.partitionBy("book_id", "chapter_no").orderBy("page_index", "statement_id")
     key = dedup.statement_key()
     proposed = found.select("book_id", "chapter_no", key.alias("src"), F.lead(key).over(order).alias("dst"), F.row_number().over(order).alias("place")).where("dst is not null").withColumn("rel_type", pick(RELATIONS, F.col("place")))
-    return terms.accepted_relations(proposed, found)
+    return c.keep("across", lambda: terms.accepted_relations(proposed, found))
 
 
-query("r3_accept_relations", "select * from accepted")(across)
+query("r3_accept_relations", "select * from accepted", hold=True)(across)
 
 
-@query("k3_relation_type_counts", "select rel_type, count(*) as n from (select rel_type from relations union all select rel_type from accepted) group by rel_type")
+@query("k3_relation_type_counts", "select rel_type, count(*) as n from (select rel_type from relations union all select rel_type from accepted) group by rel_type", hold=True)
 def _(c: Corpus) -> DataFrame:
     return c.relations.select("rel_type").union(across(c).select("rel_type")).groupBy("rel_type").agg(F.count("*").alias("n"))
 
@@ -377,46 +391,61 @@ def _(c: Corpus) -> DataFrame:
 # --- assembly ---
 
 
-def assembled(c: Corpus) -> dict[str, DataFrame]:
-    kept, parts = gated(c)[1], sections(c)
-    finals, members = assemble.chapter_statements(kept["statements"], parts, merges(c))
-    records, lists = assemble.chapter_evidence(members, kept["evidence"])
-    return {"finals": finals, "members": members, "records": records, "lists": lists, "kept": kept}
+def units(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    rows = c.keep("unit-rows", lambda: assemble.unit_rows(survivors(c, "statements"), sections(c), merges(c)))
+    return rows, c.keep("units", lambda: assemble.numbered_units(rows))
+
+
+def finals(c: Corpus) -> DataFrame:
+    return units(c)[1].drop("unit")
+
+
+def members(c: Corpus) -> DataFrame:
+    return c.keep("members", lambda: assemble.unit_members(*units(c)))
+
 
+def chapter_evidence(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    return assemble.chapter_evidence(members(c), survivors(c, "evidence"))
 
-@query("a1_chapter_statements", "select book_id, chapter_no, final_no, type, basis, text from finals")
+
+def chapter_relations(c: Corpus) -> DataFrame:
+    return assemble.chapter_relations(members(c), survivors(c, "relations"), across(c))
+
+
+def chapter_terms(c: Corpus) -> DataFrame:
+    return assemble.chapter_terms(members(c), links(c))
+
+
+@query("a1_chapter_statements", "select book_id, chapter_no, final_no, type, basis, text from finals", hold=True)
 def _(c: Corpus) -> DataFrame:
-    return assembled(c)["finals"]
+    return finals(c)
 
 
-@query("a2_chapter_evidence", "select book_id, chapter_no, page_index, evidence_id, kind, source, excerpt, evidence_no from records")
+@query("a2_chapter_evidence", "select book_id, chapter_no, page_index, evidence_id, kind, source, excerpt, locator, script, caption, excerpt_translation, evidence_no from records", hold=True)
 def _(c: Corpus) -> DataFrame:
-    return assembled(c)["records"]
+    return chapter_evidence(c)[0]
 
 
-@query("a2_statement_evidence", "select u.book_id, u.chapter_no, u.final_no, string_agg(r.evidence_no::varchar, ',' order by u.member_no, u.pos) as evidence from used u join records r using (book_id, chapter_no, page_index, evidence_id) group by all")
+@query("a2_statement_evidence", "select u.book_id, u.chapter_no, u.final_no, string_agg(r.evidence_no::varchar, ',' order by u.member_no, u.pos) as evidence from used u join records r using (book_id, chapter_no, page_index, evidence_id) group by all", hold=True)
 def _(c: Corpus) -> DataFrame:
-    return assembled(c)["lists"].select("book_id", "chapter_no", "final_no", joined("evidence"))
+    return chapter_evidence(c)[1].select("book_id", "chapter_no", "final_no", joined("evidence"))
 
 
-@query("a3_chapter_terms", "select book_id, chapter_no, final_no, array_to_string(terms, ',') as terms from final_terms")
+@query("a3_chapter_terms", "select book_id, chapter_no, final_no, array_to_string(terms, ',') as terms from final_terms", hold=True)
 def _(c: Corpus) -> DataFrame:
-    return assemble.chapter_terms(assembled(c)["members"], links(c)).select("book_id", "chapter_no", "final_no", joined("terms"))
+    return chapter_terms(c).select("book_id", "chapter_no", "final_no", joined("terms"))
 
 
-@query("a4_chapter_relations", "select * from final_relations")
+@query("a4_chapter_relations", "select * from final_relations", hold=True)
 def _(c: Corpus) -> DataFrame:
-    made = assembled(c)
-    return assemble.chapter_relations(made["members"], made["kept"]["relations"], across(c))
+    return chapter_relations(c)
 
 
 @query("a5_assemble_document", """select f.book_id, f.chapter_no, row_number() over (partition by f.book_id order by f.chapter_no) as file_no, c.chapter_key, c.title, c.pages[1] as first_page, c.pages[len(c.pages)] as last_page, f.statements, coalesce(e.n, 0) as evidence, coalesce(t.n, 0) as terms, coalesce(r.n, 0) as relations
     from (select book_id, chapter_no, count(*) as statements from finals group by all) f join chapters c using (book_id, chapter_no) left join (select book_id, chapter_no, count(*) as n from records group by all) e using (book_id, chapter_no)
-    left join (select book_id, chapter_no, count(distinct t) as n from (select book_id, chapter_no, unnest(terms) as t from final_terms) group by all) t using (book_id, chapter_no) left join (select book_id, chapter_no, count(*) as n from final_relations group by all) r using (book_id, chapter_no)""")
+    left join (select book_id, chapter_no, count(distinct t) as n from (select book_id, chapter_no, unnest(terms) as t from final_terms) group by all) t using (book_id, chapter_no) left join (select book_id, chapter_no, count(*) as n from final_relations group by all) r using (book_id, chapter_no)""", hold=True)
 def _(c: Corpus) -> DataFrame:
-    made = assembled(c)
-    found = assemble.chapter_terms(made["members"], links(c))
-    return assemble.document(made["finals"], made["records"], found, assemble.chapter_relations(made["members"], made["kept"]["relations"], across(c)), chapter_rows(c))
+    return assemble.document(finals(c), chapter_evidence(c)[0], chapter_terms(c), chapter_relations(c), chapter_rows(c))
 
 
 # --- layout ---
@@ -424,6 +453,10 @@ def _(c: Corpus) -> DataFrame:
 
 def words(c: Corpus) -> DataFrame:
     """The texts laid out on a grid of 100 characters a row, in two columns; the last line is set small."""
+    return c.keep("words", lambda: _words(c))
+
+
+def _words(c: Corpus) -> DataFrame:
     last = F.when(F.contains("text", F.lit("\n")), F.length(F.substring_index("text", "\n", -1))).otherwise(0)
     tokens = documents(c.spark, c.sf_dir).select("doc_id", F.length("text").alias("total"), last.alias("last_line"), F.posexplode(F.split("text", "[ \n]", -1)).alias("word_no", "tok"))
     before = F.sum(F.length("tok") + 1).over(Window.partitionBy("doc_id").orderBy("word_no").rowsBetween(Window.unboundedPreceding, 0)) - F.length("tok") - 1
@@ -431,11 +464,11 @@ def words(c: Corpus) -> DataFrame:
     x0 = 6 * (F.col("c0") % 100 % 50) + 320 * F.expr("(c0 % 100) div 50")
     top = 12 * F.expr("c0 div 100")
     small = (F.col("last_line") > 0) & (F.col("c0") >= F.col("total") - F.col("last_line"))
-    return page_numbers(c.spark, c.sf_dir).join(placed, "doc_id").select(*PAGE, F.col("word_no").cast("long").alias("word_no"), F.col("tok").alias("text"), x0.cast("double").alias("x0"), (x0 + 6 * F.length("tok")).cast("double").alias("x1"), top.cast("double").alias("top"), (top + 10).cast("double").alias("bottom"), F.when(small, 7.0).otherwise(10.0).alias("size"))
+    return c.numbers.join(placed, "doc_id").select(*PAGE, F.col("word_no").cast("long").alias("word_no"), F.col("tok").alias("text"), x0.cast("double").alias("x0"), (x0 + 6 * F.length("tok")).cast("double").alias("x1"), top.cast("double").alias("top"), (top + 10).cast("double").alias("bottom"), F.when(small, 7.0).otherwise(10.0).alias("size"))
 
 
 def sizes(c: Corpus) -> DataFrame:
-    return page_numbers(c.spark, c.sf_dir).join(c.table("documents").select("doc_id", (12 * (F.expr("coalesce(length(text), 0) div 100") + 1)).alias("height")), "doc_id").select(*PAGE, F.lit(640).alias("width"), "height")
+    return c.numbers.join(c.table("documents").select("doc_id", (12 * (F.expr("coalesce(length(text), 0) div 100") + 1)).alias("height")), "doc_id").select(*PAGE, F.lit(640).alias("width"), "height")
 
 
 @query("l1_group_lines", "select * from line_rows")
@@ -453,11 +486,15 @@ def _(c: Corpus) -> DataFrame:
     return layout.gutters(words(c), sizes(c))
 
 
+def gutters(c: Corpus) -> DataFrame:
+    return c.keep("gutters", lambda: layout.gutters(words(c), sizes(c)))
+
+
 def column_words(c: Corpus) -> DataFrame:
-    return layout.columns(words(c), layout.gutters(words(c), sizes(c)))
+    return layout.columns(words(c), gutters(c))
 
 
-@query("l5_assign_column", "select book_id, page_index, word_no, column_no from column_words")
+@query("l5_assign_column", "select book_id, page_index, word_no, column_no from column_words", hold=True)
 def _(c: Corpus) -> DataFrame:
     return column_words(c).select(*PAGE, "word_no", "column_no")
 
@@ -466,7 +503,7 @@ def fn_tops(c: Corpus) -> DataFrame:
     return layout.footnote_tops(column_words(c), sizes(c), layout.body_size(words(c)))
 
 
-query("l6_footnote_top", "select * from fn_tops")(fn_tops)
+query("l6_footnote_top", "select * from fn_tops", hold=True)(fn_tops)
 
 
 @query("l7_page_label", """select book_id, page_index, arg_max(trim(text, '.'), word_no) as page_label from words join sizes using (book_id, page_index)
@@ -485,13 +522,13 @@ def header_bottoms(c: Corpus) -> DataFrame:
 
 
 query("l10_header_band_bottom", """select book_id, page_index, case when count(*) < 2 then 0.0::double else coalesce(arg_min((reach + next_top) / 2, line_no) filter (next_top - line_top > 1.8 * body_size), arg_min(reach + 0.5 * body_size, line_no)) end as header_bottom
-    from (select *, lead(line_top) over w as next_top, max(line_bottom) over (partition by book_id, page_index order by line_no rows unbounded preceding) as reach from line_rows join body_sizes using (book_id, page_index) window w as (partition by book_id, page_index order by line_no)) group by book_id, page_index""")(header_bottoms)
+    from (select *, lead(line_top) over w as next_top, max(line_bottom) over (partition by book_id, page_index order by line_no rows unbounded preceding) as reach from line_rows join body_sizes using (book_id, page_index) window w as (partition by book_id, page_index order by line_no)) group by book_id, page_index""", hold=True)(header_bottoms)
 
 
 @query("l11_classify_page", """select p.book_id, p.page_index, case when coalesce(w.n, 0) < 5 and p.doc_id % 13 <> 0 and p.doc_id % 17 <> 0 then 'blank' when p.doc_id % 17 = 0 then 'table' when p.doc_id % 13 = 0 and coalesce(w.n, 0) < 200 then 'figure' else 'text' end as page_type
     from page_no p left join (select book_id, page_index, count(*) as n from words group by all) w using (book_id, page_index)""")
 def _(c: Corpus) -> DataFrame:
-    numbers = page_numbers(c.spark, c.sf_dir)
+    numbers = c.numbers
     images = numbers.where("doc_id % 13 = 0").select(*PAGE)
     rules = numbers.where("doc_id % 17 = 0").select(*PAGE, F.explode(F.sequence(F.lit(1), F.lit(70))).alias("rule"))
     return layout.classified(numbers, words(c), images, rules)
@@ -502,7 +539,7 @@ def _(c: Corpus) -> DataFrame:
     return layout.demoted(c.norm.select(*PAGE, "page_type", F.col("foot_norm").alias("text"))).select(*PAGE, "page_type")
 
 
-@query("l14_stream_text")
+@query("l14_stream_text", hold=True)
 def _(c: Corpus) -> DataFrame:
     return layout.stream_texts(column_words(c), fn_tops(c), header_bottoms(c))
 
@@ -525,9 +562,9 @@ def _(c: Corpus) -> DataFrame:
     return layout.layout_distribution(c.pages).select("book_id", "page_type", "pages", joined("page_indices"))
 
 
-@query("l20_region_map")
+@query("l20_region_map", hold=True)
 def _(c: Corpus) -> DataFrame:
-    return layout.region_map(sizes(c), header_bottoms(c), layout.gutters(words(c), sizes(c)), fn_tops(c))
+    return layout.region_map(sizes(c), header_bottoms(c), gutters(c), fn_tops(c))
 
 
 # --- locators ---
@@ -605,12 +642,10 @@ def _(c: Corpus) -> DataFrame:
     return c.statements.select(*PAGE, "statement_id", T.without_citations(cited).alias("text"))
 
 
-@query("x6_appendix")
+@query("x6_appendix", hold=True)
 def _(c: Corpus) -> DataFrame:
-    made = assembled(c)
-    labels_of = c.pages.select(*PAGE, "page_label")
-    records = made["records"].join(labels_of, PAGE).withColumn("locator", F.lit(None).cast("string"))
-    return export.appendix(made["finals"].where("final_no % 3 = 1").select("book_id", "chapter_no", "final_no"), made["finals"], records, made["lists"])
+    records, lists = chapter_evidence(c)
+    return export.appendix(finals(c).select("book_id", "chapter_no", "final_no"), finals(c), records.join(c.pages.select(*PAGE, "page_label"), PAGE), lists)
 
 
 def outlines(c: Corpus) -> DataFrame:
@@ -631,11 +666,9 @@ def _(c: Corpus) -> DataFrame:
     return export.book_toc(parts.select("book_id", "file_no", F.col("book_id").alias("title")), export.toc(parts.select("book_id", "file_no", "text")))
 
 
-@query("x9_digest")
+@query("x9_digest", hold=True)
 def _(c: Corpus) -> DataFrame:
-    made = assembled(c)
-    named = assemble.chapter_terms(made["members"], links(c)).withColumnRenamed("terms", "labels")
-    return export.digest(made["finals"], named, assemble.chapter_relations(made["members"], made["kept"]["relations"], across(c)))
+    return export.digest(finals(c), chapter_terms(c).withColumnRenamed("terms", "labels"), chapter_relations(c))
 
 
 @query("x10_translation_coverage", "select book_id, page_index, count(*) as asked, count(*) filter (k % 4 >= 2 and trim(upper(text)) <> trim(text)) as kept, count(*) filter (not (k % 4 >= 2 and trim(upper(text)) <> trim(text))) as missing from statements group by all")
@@ -690,7 +723,7 @@ def _(c: Corpus) -> DataFrame:
 def stored_notes(c: Corpus) -> DataFrame:
     """The derived notes in their nested form, as read back; every 31st document's is spoilt."""
     tables = notes.nested(c.evidence.withColumn("pos", F.coalesce("k", F.lit(1 << 30))), c.statements.withColumn("pos", F.col("k")), c.relations.withColumn("pos", F.regexp_extract("src", r"s-(\d+)", 1).cast("int")))
-    raw = tables.join(page_numbers(c.spark, c.sf_dir), PAGE).select(*PAGE, F.when(F.col("doc_id") % 31 == 0, "{broken").otherwise(F.col("notes")).alias("raw"))
+    raw = tables.join(c.numbers, PAGE).select(*PAGE, F.when(F.col("doc_id") % 31 == 0, "{broken").otherwise(F.col("notes")).alias("raw"))
     return notes.parsed_notes(raw)
 
 
@@ -779,17 +812,19 @@ def _(c: Corpus) -> DataFrame:
     return propose.canonical_relations(p, s, propose.canonical_terms(p, s)).select(*PAGE, "src", "dst", "rel_type")
 
 
-@query("p9_stamp_source", "select k.book_id, k.page_index, k.statement_id, p.doc_id, p.page_label, 'page' as scope from kept k join pages p using (book_id, page_index)")
+@query("p9_stamp_source", "select k.book_id, k.page_index, k.statement_id, p.doc_id, p.page_label, 'page' as scope from kept k join pages p using (book_id, page_index)", hold=True)
 def _(c: Corpus) -> DataFrame:
-    return propose.stamped(gated(c)[1]["statements"].select(*PAGE, "statement_id"), c.pages)
+    return propose.stamped(survivors(c, "statements").select(*PAGE, "statement_id"), c.pages)
 
 
-_LANGUAGE = "select book_id, case when count(distinct lower(trim(lang))) = 0 then 'unknown' when count(distinct lower(trim(lang))) = 1 then max(lower(trim(lang))) else 'mixed' end as language from page_no join (select doc_id, case when doc_id // 20 % 3 = 1 then lang end as lang from documents where doc_id // 20 % 13 <> 0) using (doc_id) where page_index < 12 group by book_id"
+_LANGUAGE = """select book_id, case when count(distinct nullif(lower(trim(lang)), '')) = 0 then 'unknown' when count(distinct nullif(lower(trim(lang)), '')) = 1 then max(nullif(lower(trim(lang)), '')) else 'mixed' end as language
+    from page_no join (select doc_id, case when ends_with(source, '1') or (ends_with(source, '2') and lang = 'en') then case when doc_id % 2 = 0 then upper(lang) || ' ' else lang end when ends_with(source, '3') then '' end as lang from documents) using (doc_id) group by book_id"""
 
 
 def page_languages(c: Corpus) -> DataFrame:
-    lang = c.table("documents").where("doc_id div 20 % 13 <> 0").select("doc_id", F.when(F.expr("doc_id div 20 % 3 = 1"), F.col("lang")).alias("language"))
-    return propose.roll_up_language(page_numbers(c.spark, c.sf_dir).where("page_index < 12").join(lang, "doc_id"))
+    """Every page of a book. By the source's last digit, pages say their language, only that they are English, or nothing."""
+    said = F.when(F.col("source").endswith("1") | (F.col("source").endswith("2") & (F.col("lang") == "en")), F.when(F.col("doc_id") % 2 == 0, F.concat(F.upper("lang"), F.lit(" "))).otherwise(F.col("lang"))).when(F.col("source").endswith("3"), "")
+    return propose.roll_up_language(c.numbers.join(c.table("documents").select("doc_id", said.alias("language")), "doc_id"))
 
 
 query("p10_roll_up_language", _LANGUAGE)(page_languages)
@@ -801,12 +836,19 @@ def _(c: Corpus) -> DataFrame:
     return propose.translation_decision(books, "en", decided=books.where("book_id like 'src1%'").select("book_id", F.lit(True).alias("translate")))
 
 
-@query("v4_validate_chapters", "select book_id, count(distinct chapter_no) as failing from finals where type = 'remark' group by book_id")
+@query("v4_validate_chapters", "select book_id, count(distinct chapter_no) as failing from finals where type = 'remark' group by book_id", hold=True)
 def _(c: Corpus) -> DataFrame:
-    """Chapters whose assembled statements break the rules; their evidence numbers are known to exist by construction."""
-    finals = assembled(c)["finals"].select("book_id", F.col("chapter_no").alias("page_index"), F.concat(F.lit("s-"), F.col("final_no").cast("string")).alias("statement_id"), "type", "basis", "text", F.array(F.lit("e-1")).alias("refs"))
-    none = c.evidence.limit(0), c.relations.limit(0)
-    return validate.schema(none[0], finals, none[1]).groupBy("book_id").agg(F.count_distinct("page_index").alias("failing"))
+    """Chapters whose assembled statements, evidence or relations break the rules, or refer to what isn't there."""
+    records, lists = chapter_evidence(c)
+    place = ["book_id", F.col("chapter_no").alias("page_index")]
+    name = lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    refs = F.transform(F.coalesce("evidence", F.array().cast("array<int>")), lambda n: name("e-", n))
+    statements = finals(c).join(lists, ["book_id", "chapter_no", "final_no"], "left").select(*place, name("s-", F.col("final_no")).alias("statement_id"), "type", "basis", "text", refs.alias("refs"))
+    quotes = records.select(*place, name("e-", F.col("evidence_no")).alias("evidence_id"), "kind", "source", "excerpt")
+    edges = chapter_relations(c).select(*place, name("s-", F.col("src_no")).alias("src"), name("s-", F.col("dst_no")).alias("dst"), "rel_type")
+    references = statements.select(*PAGE, "statement_id", F.explode("refs").alias("evidence_id"))
+    problems = validate.schema(quotes, statements, edges).unionByName(validate.reference_problems(quotes, statements, references, edges))
+    return problems.groupBy("book_id").agg(F.count_distinct("page_index").alias("failing"))
 
 
 @query("i1_input_fingerprint", "select book_id, sha256(string_agg(sha256(page_index::varchar || chr(31) || coalesce(body, '') || chr(31) || coalesce(footnotes, '')), '' order by page_index) || chr(30) || 'effort=low') as fingerprint from pages group by book_id")

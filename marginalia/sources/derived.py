@@ -8,11 +8,13 @@ spoilt, some references lead nowhere and some pages are lost, so that gates and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.sources.shared import spread
+from marginalia.sources.shared import spread, written
 
 TYPES = ("definition", "claim", "method", "question", "background")
 BASES = ("author", "author-data", "reported")
@@ -47,16 +49,11 @@ def top_line() -> Column:
     )
 
 
-def page_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """book_id, page_index, top_line: no text is read."""
-    return page_numbers(spark, sf_dir).select("book_id", "page_index", top_line().alias("top_line"))
-
-
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pages(numbers: DataFrame, documents: DataFrame) -> DataFrame:
     """book_id, page_index, doc_id, body, footnotes, page_label, page_type, top_line."""
     line = F.split("text", "\n", -1)
     cut = (
-        documents(spark, sf_dir).select("doc_id", line.alias("lines")).select(
+        documents.select("doc_id", line.alias("lines")).select(
             "doc_id",
             F.when(F.size("lines") > 1, F.array_join(F.slice("lines", F.lit(1), F.size("lines") - 1), "\n")).otherwise(F.element_at("lines", 1)).alias("body"),
             F.when(F.size("lines") > 1, F.element_at("lines", -1)).otherwise("").alias("footnotes"),
@@ -65,12 +62,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("page_index")
     label = F.when(i == 0, "i").when(i == 1, "ii").when(i == 7, F.lit(None)).when(i >= 30, (i - 29).cast("string")).otherwise((i - 1).cast("string"))
     kind = F.when(F.length("body") < 20, "blank").when(F.col("doc_id") % 17 == 0, "table").when(F.col("doc_id") % 13 == 0, "figure").otherwise("text")
-    return page_numbers(spark, sf_dir).join(cut, "doc_id").select("book_id", "page_index", "doc_id", "body", "footnotes", label.alias("page_label"), kind.alias("page_type"), top_line().alias("top_line"))
+    return numbers.join(cut, "doc_id").select("book_id", "page_index", "doc_id", "body", "footnotes", label.alias("page_label"), kind.alias("page_type"), top_line().alias("top_line"))
 
 
 def normalized_pages(pages: DataFrame) -> DataFrame:
-    """Both streams of each page in the form that quotes are matched in; done once, read by every later job."""
-    return pages.select("book_id", "page_index", "doc_id", "page_type", T.normalized(F.col("body")).alias("body_norm"), T.normalized(F.col("footnotes")).alias("foot_norm"))
+    """Both streams of each page in the form that quotes are matched in, and the footnotes as they are."""
+    return pages.select("book_id", "page_index", "doc_id", "page_type", "footnotes", T.normalized(F.col("body")).alias("body_norm"), T.normalized(F.col("footnotes")).alias("foot_norm"))
 
 
 def sentence_rows(norm: DataFrame) -> DataFrame:
@@ -79,15 +76,18 @@ def sentence_rows(norm: DataFrame) -> DataFrame:
 
 
 def evidence(pages: DataFrame, sents: DataFrame) -> DataFrame:
-    """book_id, page_index, doc_id, k, evidence_id, kind, source, excerpt, page_override."""
-    k, page, doc = F.col("k"), F.col("page_index"), F.col("doc_id")
+    """book_id, page_index, doc_id, k, evidence_id, kind, source, excerpt, page_override, and the optional fields."""
+    k, page, doc, no = F.col("k"), F.col("page_index"), F.col("doc_id"), F.lit(None).cast("string")
+    figure = (k * 7 + doc) % 29 == 0
     body = sents.where((F.length("sent") >= 15) & ((k + page) % 3 == 0)).select(
-        "book_id", "page_index", "doc_id", "k", F.concat(F.lit("e-"), k.cast("string")).alias("evidence_id"), F.when((k * 7 + doc) % 29 == 0, "figure").otherwise("text").alias("kind"), F.lit("body").alias("source"),
+        "book_id", "page_index", "doc_id", "k", F.concat(F.lit("e-"), k.cast("string")).alias("evidence_id"), F.when(figure, "figure").otherwise("text").alias("kind"), F.lit("body").alias("source"),
         F.when((k * 31 + doc) % 11 == 0, F.concat("sent", F.lit(" zzqx"))).otherwise(F.col("sent")).alias("excerpt"), F.when(k % 37 == 36, page + 1).alias("page_override"),
+        no.alias("locator"), F.when(k % 41 == 5, "greek").alias("script"), F.when(figure, F.concat(F.lit("Figure "), k.cast("string"))).alias("caption"), F.when(k % 23 == 7, F.upper("sent")).alias("excerpt_translation"),
     )
     foot = pages.where((F.col("page_type") == "text") & (doc % 4 == 0) & (F.trim("footnotes") != "")).select(
-        "book_id", "page_index", "doc_id", F.lit(None).cast("int").alias("k"), F.lit("e-f").alias("evidence_id"), F.lit("text").alias("kind"), F.lit("footnote").alias("source"), F.col("footnotes").alias("excerpt"), F.lit(None).cast("long").alias("page_override")
-    )
+        "book_id", "page_index", "doc_id", F.lit(None).cast("int").alias("k"), F.lit("e-f").alias("evidence_id"), F.lit("text").alias("kind"), F.lit("footnote").alias("source"), F.col("footnotes").alias("excerpt"), F.lit(None).cast("long").alias("page_override"),
+        (doc % 9).cast("string").alias("locator"), no.alias("script"), no.alias("caption"), no.alias("excerpt_translation"),
+    )
     return body.unionByName(foot)
 
 
@@ -106,24 +106,68 @@ def references(statements: DataFrame) -> DataFrame:
 
 
 def relations(statements: DataFrame) -> DataFrame:
-    """book_id, page_index, src, dst, rel_type: each statement and the one three sentences on, which may not exist."""
+    """book_id, page_index, pos, src, dst, rel_type: each statement and the one three sentences on, which may not exist."""
     k = F.col("k")
-    return statements.select("book_id", "page_index", F.col("statement_id").alias("src"), F.concat(F.lit("s-"), (k + 3).cast("string")).alias("dst"), pick(RELATIONS, k).alias("rel_type"))
+    return statements.select("book_id", "page_index", k.alias("pos"), F.col("statement_id").alias("src"), F.concat(F.lit("s-"), (k + 3).cast("string")).alias("dst"), pick(RELATIONS, k).alias("rel_type"))
 
 
 class Corpus:
-    """The derived tables of one folder."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-        self.heads = page_heads(spark, sf_dir)
-        self.pages = pages(spark, sf_dir)
-        self.norm = normalized_pages(self.pages)
-        self.sents = sentence_rows(self.norm)
-        self.evidence = evidence(self.pages, self.sents)
-        self.statements = statements(self.evidence)
-        self.references = references(self.statements)
-        self.relations = relations(self.statements)
+    """The derived tables of one folder.
+
+    With hold, tables that several branches of a query read (keep) are written to the shared folder the first time and
+    read from there after that, so the texts are read, numbered and normalised once, however large the plan."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, hold: bool = False):
+        self.spark, self.sf_dir, self.hold = spark, sf_dir, hold
+        self._kept: dict[str, DataFrame] = {}
+
+    def keep(self, name: str, make: Callable[[], DataFrame] | None) -> DataFrame:
+        if name not in self._kept:
+            rows = make()
+            self._kept[name] = written(rows, name) if self.hold else rows
+        return self._kept[name]
+
+    def has(self, name: str) -> bool:
+        return name in self._kept
+
+    def put(self, name: str, rows: DataFrame) -> None:
+        self._kept[name] = rows
+
+    @property
+    def numbers(self) -> DataFrame:
+        return self.keep("numbers", lambda: page_numbers(self.spark, self.sf_dir))
+
+    @property
+    def heads(self) -> DataFrame:
+        return self.numbers.select("book_id", "page_index", top_line().alias("top_line"))
+
+    @property
+    def pages(self) -> DataFrame:
+        return pages(self.numbers, documents(self.spark, self.sf_dir))
+
+    @property
+    def norm(self) -> DataFrame:
+        return self.keep("norm", lambda: normalized_pages(self.pages))
+
+    @property
+    def sents(self) -> DataFrame:
+        return sentence_rows(self.norm)
+
+    @property
+    def evidence(self) -> DataFrame:
+        return self.keep("evidence", lambda: evidence(self.norm, self.sents))
+
+    @property
+    def statements(self) -> DataFrame:
+        return statements(self.evidence)
+
+    @property
+    def references(self) -> DataFrame:
+        return references(self.statements)
+
+    @property
+    def relations(self) -> DataFrame:
+        return relations(self.statements)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
