@@ -5,8 +5,12 @@ Each is a plain built-in expression, so it stays in generated code and can be pu
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Typographic marks and the ASCII mark each folds to.
 FOLD_FROM = "‘’‚‛“”„‟–—―−\u00a0\u202f"
@@ -25,12 +29,16 @@ CLOSERS = ".!?\"'”’)]"
 BLANK = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
 
+#: Fixed patterns of the form that quotes are matched in: private-use signs, note marks, digits glued to a word.
+PRIVATE, NOTE_MARK = r"[\x{E000}-\x{F8FF}]", r"\[\^\d+\]"
+GLUED_DIGITS = r"""(?<=[A-Za-z])\d{1,2}(?=[\s\x1c-\x1f.,;:!?’'")\]]|\z)"""
+
+
 def normalized(text: Column) -> Column:
     """Text as quotes are matched in it. Null is empty. To be applied once: nested note markers aren't stable under it."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x{E000}-\x{F8FF}]", " ")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), PRIVATE, " ")
     t = F.replace(F.translate(t, FOLD_FROM, FOLD_TO), F.lit("…"), F.lit("..."))
-    t = F.regexp_replace(t, r"\[\^\d+\]", "")
-    t = F.regexp_replace(t, r"""(?<=[A-Za-z])\d{1,2}(?=[\s\x1c-\x1f.,;:!?’'")\]]|\z)""", "")
+    t = F.regexp_replace(F.regexp_replace(t, NOTE_MARK, ""), GLUED_DIGITS, "")
     return F.trim(F.regexp_replace(t, BLANK, " "))
 
 
@@ -52,9 +60,13 @@ def by_font(text: Column, font: Column) -> Column:
     return F.when(F.contains(F.coalesce(font, F.lit("")), F.lit("Transliteration")), transliterated(text)).otherwise(text)
 
 
+#: Fixed pattern: a word with one run of digits.
+ONE_NUMBER = r"^(\D*)(\d+)(\D*)$"
+
+
 def footnote_marker(text: Column, size: Column, median: Column) -> Column:
     """The one run of digits of a small word becomes a note marker."""
-    return F.when((size < 0.75 * median) & text.rlike(r"^\D*\d+\D*$"), F.regexp_replace(text, r"^(\D*)(\d+)(\D*)$", "$1[^$2]$3")).otherwise(text)
+    return F.when((size < 0.75 * median) & text.rlike(ONE_NUMBER), F.regexp_replace(text, ONE_NUMBER, "$1[^$2]$3")).otherwise(text)
 
 
 def is_page_label(text: Column) -> Column:
@@ -106,16 +118,21 @@ def ends_open(text: Column) -> Column:
     return (t != "") & ~F.contains(F.lit(CLOSERS), F.right(t, F.lit(1)))
 
 
+#: Fixed patterns: the first sentence end of a text, and where a normalised stream is cut into sentences.
+FIRST_SENTENCE = r"""(?s)\A(.*?[.!?]["'”’)\]]*(?:\[\^\d+\])?)(?=\s|\z)"""
+SENTENCE_CUT = r"""(?<=[.!?]) (?=[A-Z'"(])"""
+
+
 def completion(body: Column, most: int = 400) -> Column:
     """The head of a text up to its first sentence end, or `most` characters where that comes sooner."""
     head = F.regexp_replace(F.coalesce(body, F.lit("")), r"\A" + BLANK, "")
-    first = F.regexp_extract(head, r"""(?s)\A(.*?[.!?]["'”’)\]]*(?:\[\^\d+\])?)(?=\s|\z)""", 1)
+    first = F.regexp_extract(head, FIRST_SENTENCE, 1)
     return F.trim(F.when((first != "") & (F.length(first) <= most), first).otherwise(F.left(head, F.lit(most))))
 
 
 def sentences(norm: Column) -> Column:
     """A normalised stream cut after .!? before a capital, quote or bracket."""
-    return F.split(norm, r"""(?<=[.!?]) (?=[A-Z'"(])""")
+    return F.split(norm, SENTENCE_CUT)
 
 
 def singular(word: Column) -> Column:
@@ -132,6 +149,17 @@ def term_key(text: Column) -> Column:
     return F.array_join(F.transform(words, singular), " ")
 
 
+@F.pandas_udf(StringType())
+def unaccented(text: pd.Series) -> pd.Series:
+    """Compatibility forms taken apart and everything beyond ASCII left out; there is no built-in function for it."""
+    return text.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+
+
+def slug(text: Column, prefix: str = "t-") -> Column:
+    """Accents folded, lower case, hyphens between runs of letters and digits."""
+    return ascii_slug(unaccented(text), prefix)
+
+
 def ascii_slug(text: Column, prefix: str = "t-") -> Column:
     return F.concat(F.lit(prefix), F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", ""))
 
@@ -148,11 +176,20 @@ STATEMENT_ID = "s-[0-9a-z-]+"
 SOURCES = r"(?s)\n+(?:-{3,}\n+)?#{2,4} +Notes & Sources\b.*\z"
 
 
+#: Fixed patterns, in order: what goes from a study text for reading, and what is left in its place.
+READING = (
+    (SOURCES, ""),
+    (rf"[ \t]*{CITATION}(?:[ \t,]*{CITATION})*", ""),
+    (r"[ \t]+([.,;:!?)])", "$1"),
+    (r"\(\s*\)", ""),
+    (r"(?<=\S) {2,}(?=\S)", " "),
+    (r"\s+\z", ""),
+)
+
+
 def without_citations(text: Column) -> Column:
-    """A study text for reading: no sources at its end, no citations, and no gaps, empty brackets or double spaces left by them."""
-    t = F.regexp_replace(F.regexp_replace(text, SOURCES, ""), rf"[ \t]*{CITATION}(?:[ \t,]*{CITATION})*", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+([.,;:!?)])", "$1"), r"\(\s*\)", "")
-    return F.concat(F.regexp_replace(F.regexp_replace(t, r"(?<=\S) {2,}(?=\S)", " "), r"\s+\z", ""), F.lit("\n"))
+    """A study text for reading, without sources and citations and what these leave behind, ending in one line feed."""
+    return F.concat(reduce(lambda t, change: F.regexp_replace(t, *change), READING, text), F.lit("\n"))
 
 
 def linked_citations(text: Column, known: Column) -> Column:

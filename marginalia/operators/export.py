@@ -36,14 +36,18 @@ def appendix(cited: DataFrame, finals: DataFrame, records: DataFrame, uses: Data
     return head.unionByName(lines)
 
 
+#: Fixed patterns: a heading of level 2 or 3, and the number that it may begin with.
+HEADING, LEADING_NUMBER = r"^(#{2,3})\s+(.*)$", r"^\d+(\.\d+)*\.?\s+"
+
+
 def toc(texts: DataFrame) -> DataFrame:
     """Numbered headings: level 2 as 1, 2, ..., level 3 as 1.1 (0.1 before any level 2), with anchors.
 
     texts: keys..., text. Lines of a text are numbered by running counts over its own headings alone."""
     keys = [c for c in texts.columns if c != "text"]
     lines = texts.select(*keys, F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
-    head = lines.withColumn("hashes", F.regexp_extract("line", r"^(#{2,3})\s+(.*)$", 1)).where("hashes <> ''")
-    bare = F.regexp_replace(F.trim(F.regexp_extract("line", r"^(#{2,3})\s+(.*)$", 2)), r"^\d+(\.\d+)*\.?\s+", "")
+    head = lines.withColumn("hashes", F.regexp_extract("line", HEADING, 1)).where("hashes <> ''")
+    bare = F.regexp_replace(F.trim(F.regexp_extract("line", HEADING, 2)), LEADING_NUMBER, "")
     title = F.trim(F.regexp_replace(bare, rf"\[[^\]\n]*{T.STATEMENT_ID}[^\]\n]*\]", ""))
     order = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     first = F.when(F.col("hashes") == "##", 1).otherwise(0)

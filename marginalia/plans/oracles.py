@@ -41,7 +41,7 @@ VIEWS = {
     "sents": """select book_id, page_index, doc_id, k - 1 as k, s[k] as sent from (select book_id, page_index, doc_id, s, unnest(range(1, len(s) + 1)) as k from (select book_id, page_index, doc_id,
         string_split(regexp_replace(body_norm, '([.!?]) ([A-Z''"(])', '\\1' || chr(10) || '\\2', 'g'), chr(10)) as s from norm where page_type = 'text'))""",
     "evidence": """select book_id, page_index, doc_id, k, 'e-' || k::varchar as evidence_id, case when (k * 7 + doc_id) % 29 = 0 then 'figure' else 'text' end as kind, 'body' as source, case when (k * 31 + doc_id) % 11 = 0 then sent || ' zzqx' else sent end as excerpt,
-        case when k % 37 = 36 then page_index + 1 end as page_override, null::varchar as locator, case when k % 41 = 5 then 'greek' end as script, case when (k * 7 + doc_id) % 29 = 0 then 'Figure ' || k::varchar end as caption, case when k % 23 = 7 then upper(sent) end as excerpt_translation from sents where length(sent) >= 15 and (k + page_index) % 3 = 0
+        case when k % 37 = 36 then page_index + 1 end as page_override, null::varchar as locator, case when k % 41 = 5 then 'greek' end as script, case when (k * 7 + doc_id) % 29 = 0 then 'Figure ' || k::varchar end as caption, case when k % 23 = 7 then 'in other words: ' || sent end as excerpt_translation from sents where length(sent) >= 15 and (k + page_index) % 3 = 0
         union all select book_id, page_index, doc_id, null, 'e-f', 'text', 'footnote', footnotes, null, (doc_id % 9)::varchar, null, null, null from pages where page_type = 'text' and doc_id % 4 = 0 and trim(footnotes) <> ''""",
     "statements": f"""select book_id, page_index, doc_id, k, 's-' || k::varchar as statement_id, case when (k * 13 + doc_id) % 101 = 0 then 'remark' else {_pick(_TYPES, 'k')} end as type, {_pick(_BASES, 'k')} as basis, left(excerpt, 80) as text,
         case when k % 6 = 0 then [evidence_id, 'e-f'] else [evidence_id] end as refs from evidence where source = 'body'""",

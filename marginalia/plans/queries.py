@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.operators import anchor, assemble, chapters, cost, coverage, dedup, export, layout, locate, propose, score, terms, validate
-from marginalia.plans.oracles import sql
+from marginalia.plans.oracles import _norm, sql
 from marginalia.sources import notes
+from marginalia.sources.shared import new_path
 from marginalia.sources.derived import RELATIONS, Corpus, documents, evidence, pick
 from marginalia.streaming import incremental
 
@@ -195,9 +196,13 @@ def _(c: Corpus) -> DataFrame:
     return score.compare(runs(c))
 
 
-@query("f9_comparability", f"select true as comparable, count(*) filter (pages_present < pages_expected) as incomplete_runs, 0::bigint as mixed_runs from ({_RUNS})")
+@query("f9_comparability", f"""select count(distinct corpus_hash) = 1 as comparable, count(*) filter (pages_present < pages_expected) as incomplete_runs, count(*) filter (setting = 'mixed') as mixed_runs from ({_RUNS})
+    join (select regexp_extract(book_id, 'src([0-9]+)', 1)::int % 2 as place, left(sha256(string_agg(book_id, chr(10) order by book_id)), 16) as corpus_hash, case when count(distinct setting) = 1 then max(setting) else 'mixed' end as setting from floor_book join generation_book using (book_id) group by 1) using (place)""", hold=True)
 def _(c: Corpus) -> DataFrame:
-    return score.comparability(runs(c).withColumns({"corpus_hash": F.lit(None).cast("string"), "setting": F.lit("unknown")}))
+    half = F.pmod(F.regexp_extract("book_id", r"src(\d+)", 1).cast("int"), F.lit(2)).cast("int").alias("place")
+    known = floor_book(c).select("book_id").join(score.generation_book(generation(c)), "book_id")
+    marks = known.groupBy(half).agg(F.left(F.sha2(F.array_join(F.sort_array(F.collect_list("book_id")), "\n"), 256), F.lit(16)).alias("corpus_hash"), F.when(F.count_distinct("setting") == 1, F.max("setting")).otherwise("mixed").alias("setting"))
+    return score.comparability(runs(c).join(marks, "place"))
 
 
 # --- coverage ---
@@ -280,7 +285,14 @@ def _(c: Corpus) -> DataFrame:
     return chapters.summaries(chapter_rows(c), c.statements, c.evidence)
 
 
-@query("c9_find_stitches", hold=True)
+_BLANKS = r"[\s\pZ\x{1c}-\x{1f}\x{85}]+"
+_HEAD = f"regexp_replace(body, '^{_BLANKS}', '')"
+_FIRST = rf"""regexp_extract({_HEAD}, '(?s)^(.*?[.!?]["''”’)\]]*(?:\[\^[0-9]+\])?)(?:\s|$)', 1)"""
+
+
+@query("c9_find_stitches", f"""select e.book_id, e.page_index, e.page_index + 1 as next_page_index, e.evidence_id, e.excerpt as tail, rtrim(e.excerpt) || ' ' || x.completion as stitched from (select *, regexp_replace(excerpt, '{_BLANKS}$', '') as bare, {_norm('excerpt')} as quote from evidence where source = 'body') e join norm n on n.book_id = e.book_id and n.page_index = e.page_index
+    join (select book_id, page_index - 1 as page_index, trim(case when {_FIRST} <> '' and length({_FIRST}) <= 400 then {_FIRST} else left({_HEAD}, 400) end) as completion from pages where page_type = 'text') x on x.book_id = e.book_id and x.page_index = e.page_index
+    where n.page_type = 'text' and bare <> '' and not contains('.!?"''”’)]', right(bare, 1)) and ends_with(n.body_norm, quote) and completion <> ''""", hold=True)
 def _(c: Corpus) -> DataFrame:
     return chapters.stitches(c.evidence, c.pages, c.norm)
 
@@ -517,12 +529,15 @@ def _(c: Corpus) -> DataFrame:
     return layout.top_lines(layout.lined(words(c)))
 
 
+_HEADER_BOTTOM = """select book_id, page_index, case when count(*) < 2 then 0.0::double else coalesce(arg_min((reach + next_top) / 2, line_no) filter (next_top - line_top > 1.8 * body_size), arg_min(reach + 0.5 * body_size, line_no)) end as header_bottom
+    from (select *, lead(line_top) over w as next_top, max(line_bottom) over (partition by book_id, page_index order by line_no rows unbounded preceding) as reach from line_rows join body_sizes using (book_id, page_index) window w as (partition by book_id, page_index order by line_no)) group by book_id, page_index"""
+
+
 def header_bottoms(c: Corpus) -> DataFrame:
     return layout.header_bottoms(layout.lines(layout.lined(words(c))), layout.body_size(words(c)))
 
 
-query("l10_header_band_bottom", """select book_id, page_index, case when count(*) < 2 then 0.0::double else coalesce(arg_min((reach + next_top) / 2, line_no) filter (next_top - line_top > 1.8 * body_size), arg_min(reach + 0.5 * body_size, line_no)) end as header_bottom
-    from (select *, lead(line_top) over w as next_top, max(line_bottom) over (partition by book_id, page_index order by line_no rows unbounded preceding) as reach from line_rows join body_sizes using (book_id, page_index) window w as (partition by book_id, page_index order by line_no)) group by book_id, page_index""", hold=True)(header_bottoms)
+query("l10_header_band_bottom", _HEADER_BOTTOM, hold=True)(header_bottoms)
 
 
 @query("l11_classify_page", """select p.book_id, p.page_index, case when coalesce(w.n, 0) < 5 and p.doc_id % 13 <> 0 and p.doc_id % 17 <> 0 then 'blank' when p.doc_id % 17 = 0 then 'table' when p.doc_id % 13 = 0 and coalesce(w.n, 0) < 200 then 'figure' else 'text' end as page_type
@@ -534,9 +549,10 @@ def _(c: Corpus) -> DataFrame:
     return layout.classified(numbers, words(c), images, rules)
 
 
-@query("l12_demote_empty_text", "select book_id, page_index, case when page_type = 'text' and length(trim(foot_norm)) < 20 then 'blank' else page_type end as page_type from norm")
+@query("l12_demote_empty_text", "select book_id, page_index, case when page_type = 'text' and length(trim(left(body, (doc_id % 40)::int))) < 20 then 'blank' else page_type end as page_type from pages")
 def _(c: Corpus) -> DataFrame:
-    return layout.demoted(c.norm.select(*PAGE, "page_type", F.col("foot_norm").alias("text"))).select(*PAGE, "page_type")
+    """Pages of which only so many characters were read."""
+    return layout.demoted(c.pages.select(*PAGE, "page_type", F.left("body", (F.col("doc_id") % 40).cast("int")).alias("text"))).select(*PAGE, "page_type")
 
 
 @query("l14_stream_text", hold=True)
@@ -562,7 +578,8 @@ def _(c: Corpus) -> DataFrame:
     return layout.layout_distribution(c.pages).select("book_id", "page_type", "pages", joined("page_indices"))
 
 
-@query("l20_region_map", hold=True)
+@query("l20_region_map", f"""select s.book_id, s.page_index, f.column_no, coalesce(h.header_bottom, 0.0::double) as header_bottom, case when f.column_no = 0 then 0.0::double else g.gutter::double end as x0, case when f.column_no = 0 and g.gutter is not null then g.gutter::double else s.width::double end as x1, f.fn_top, s.height::double as height
+    from sizes s join fn_tops f using (book_id, page_index) left join ({_HEADER_BOTTOM}) h using (book_id, page_index) left join gutters g using (book_id, page_index)""", hold=True)
 def _(c: Corpus) -> DataFrame:
     return layout.region_map(sizes(c), header_bottoms(c), gutters(c), fn_tops(c))
 
@@ -636,13 +653,15 @@ def _(c: Corpus) -> DataFrame:
     return texts.select(*PAGE, T.linked_citations(F.col("text"), F.col("known")).alias("text"))
 
 
-@query("n19_strip_citations", "select book_id, page_index, statement_id, 'It is so.' || chr(10) as text from statements")
+@query("n19_strip_citations", "select book_id, page_index, statement_id, 'Claim ' || statement_id || ' and, so ' || type || '.' || chr(10) as text from statements")
 def _(c: Corpus) -> DataFrame:
-    cited = F.concat(F.lit("It is so ["), "statement_id", F.lit("][s-x], [s-2].\n\n---\n## Notes & Sources\n["), "statement_id", F.lit("] text"))
+    cited = F.concat(F.lit("Claim "), "statement_id", F.lit(" ["), "statement_id", F.lit("][s-x], [s-2](#note-s-2) ([s-1]) and [s-"), F.col("k").cast("string"), F.lit("] , so "), "type", F.lit(".  \n\n---\n## Notes & Sources\n["), "statement_id", F.lit("] text"))
     return c.statements.select(*PAGE, "statement_id", T.without_citations(cited).alias("text"))
 
 
-@query("x6_appendix", hold=True)
+@query("x6_appendix", """select book_id, chapter_no, final_no, 0 as line_no, '[s-' || final_no::varchar || '] ' || type || coalesce(', ' || basis, '') || ': ' || text as line from finals
+    union all select u.book_id, u.chapter_no, u.final_no, row_number() over (partition by u.book_id, u.chapter_no, u.final_no order by member_no, pos), case when length(excerpt) > 240 then left(excerpt, 237) || '…' else excerpt end || ' — p. ' || coalesce(page_label, 'idx' || page_index::varchar) || coalesce(', fn ' || nullif(locator, ''), '') || ' (' || source || ')' || coalesce(' — ' || nullif(excerpt_translation, ''), '')
+    from used u join (select book_id, page_index, page_label from pages) using (book_id, page_index)""", hold=True)
 def _(c: Corpus) -> DataFrame:
     records, lists = chapter_evidence(c)
     return export.appendix(finals(c).select("book_id", "chapter_no", "final_no"), finals(c), records.join(c.pages.select(*PAGE, "page_label"), PAGE), lists)
@@ -654,19 +673,23 @@ def outlines(c: Corpus) -> DataFrame:
     return rows.groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chapter_no", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
 
 
-@query("x7_toc", """select book_id, line_no, case when main then 1 else 2 end as level, case when main then c1::varchar else c1::varchar || '.' || c2::varchar end as number, title, case when main then 'sec-' || c1::varchar else 'sec-' || c1::varchar || '-' || c2::varchar end as anchor
-    from (select *, sum(1 - main::int) over (partition by book_id, c1 order by line_no)::bigint as c2 from (select *, sum(main::int) over (partition by book_id order by line_no)::bigint as c1 from (select distinct book_id, chapter_no - 1 as line_no, prose as main, title from sections)))""")
+_TOC = """select book_id, line_no, case when main then 1 else 2 end as level, case when main then c1::varchar else c1::varchar || '.' || c2::varchar end as number, title, case when main then 'sec-' || c1::varchar else 'sec-' || c1::varchar || '-' || c2::varchar end as anchor
+    from (select *, sum(1 - main::int) over (partition by book_id, c1 order by line_no)::bigint as c2 from (select *, sum(main::int) over (partition by book_id order by line_no)::bigint as c1 from (select distinct book_id, chapter_no - 1 as line_no, prose as main, title from sections)))"""
+
+
+@query("x7_toc", _TOC)
 def _(c: Corpus) -> DataFrame:
     return export.toc(outlines(c))
 
 
-@query("x8_book_toc")
+@query("x8_book_toc", f"select book_id, 1 as file_no, -1 as line_no, 0 as level, '1' as number, book_id as title, 'c001-chap' as anchor from sections group by book_id union all select book_id, 1, line_no, level, '1.' || number, title, 'c001-' || anchor from ({_TOC})")
 def _(c: Corpus) -> DataFrame:
     parts = outlines(c).withColumn("file_no", F.lit(1))
     return export.book_toc(parts.select("book_id", "file_no", F.col("book_id").alias("title")), export.toc(parts.select("book_id", "file_no", "text")))
 
 
-@query("x9_digest", hold=True)
+@query("x9_digest", """select b.book_id, b.chapter_no, body || coalesce(chr(10) || chr(10) || 'RELATIONS: ' || rels, '') as digest from (select book_id, chapter_no, string_agg('[s-' || final_no::varchar || '] (' || type || coalesce('/' || basis, '') || ') ' || text || case when len(terms) > 0 then ' {' || array_to_string(terms, ', ') || '}' else '' end, chr(10) order by final_no) as body
+    from finals left join final_terms using (book_id, chapter_no, final_no) group by all) b left join (select book_id, chapter_no, string_agg('s-' || src_no::varchar || ' ' || rel_type || ' s-' || dst_no::varchar, '; ' order by rel_no) as rels from final_relations group by all) using (book_id, chapter_no)""", hold=True)
 def _(c: Corpus) -> DataFrame:
     return export.digest(finals(c), chapter_terms(c).withColumnRenamed("terms", "labels"), chapter_relations(c))
 
@@ -722,9 +745,12 @@ def _(c: Corpus) -> DataFrame:
 
 def stored_notes(c: Corpus) -> DataFrame:
     """The derived notes in their nested form, as read back; every 31st document's is spoilt."""
+    return notes.parsed_notes(stored_raw(c))
+
+
+def stored_raw(c: Corpus) -> DataFrame:
     tables = notes.nested(c.evidence.withColumn("pos", F.coalesce("k", F.lit(1 << 30))), c.statements.withColumn("pos", F.col("k")), c.relations.withColumn("pos", F.regexp_extract("src", r"s-(\d+)", 1).cast("int")))
-    raw = tables.join(c.numbers, PAGE).select(*PAGE, F.when(F.col("doc_id") % 31 == 0, "{broken").otherwise(F.col("notes")).alias("raw"))
-    return notes.parsed_notes(raw)
+    return tables.join(c.numbers, PAGE).select(*PAGE, F.when(F.col("doc_id") % 31 == 0, "{broken").otherwise(F.col("notes")).alias("raw"))
 
 
 @query("s2_read_notes", "select book_id, page_index, doc_id % 31 <> 0 as readable from (select distinct book_id, page_index, doc_id from (select book_id, page_index, doc_id from evidence union all select book_id, page_index, doc_id from statements))")
@@ -743,9 +769,9 @@ def _(c: Corpus) -> DataFrame:
     return notes.flattened(stored_notes(c))["statements"].select(*PAGE, "statement_id", "type", "basis", "text", joined("refs"))
 
 
-@query("s4_flatten_evidence", "select book_id, page_index, evidence_id, kind, source, excerpt from evidence where doc_id % 31 <> 0")
+@query("s4_flatten_evidence", "select book_id, page_index, evidence_id, kind, source, excerpt, locator, script, caption, excerpt_translation, coalesce(page_override, -1) as page_override from evidence where doc_id % 31 <> 0")
 def _(c: Corpus) -> DataFrame:
-    return notes.flattened(stored_notes(c))["evidence"].select(*PAGE, "evidence_id", "kind", "source", "excerpt")
+    return notes.flattened(stored_notes(c))["evidence"].select(*PAGE, "evidence_id", "kind", "source", "excerpt", "locator", "script", "caption", "excerpt_translation", F.coalesce("page_override", F.lit(-1)).alias("page_override"))
 
 
 @query("s6_merge_source_pages", """select book_id, page_index, case when page_index % 2 = 0 and body <> '' then body else body || ' new' end as text, footnotes, case when page_index % 2 = 0 then true end as expected_notes from pages""")
@@ -860,3 +886,100 @@ def _(c: Corpus) -> DataFrame:
     join (select book_id, 'p' || page_index::varchar || ':' || statement_id as key, list_distinct(list_filter(string_split_regex(lower(text), '[\\s\\pZ]+'), lambda x: x <> '')) as t from statements) b on a.book_id = b.book_id and a.key < b.key where len(list_intersect(a.t, b.t)) >= 0.8 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))""")
 def _(c: Corpus) -> DataFrame:
     return dedup.similar_texts(c.statements)
+
+
+# --- what only small inputs had tried ---
+
+
+@query("n3_transliterate", f"select book_id, page_index, statement_id, replace(replace(translate(text, '{T.MDC_FROM}', '{T.MDC_TO}'), '$', 'H' || chr(817)), '£', 'H' || chr(817)) as text from statements")
+def _(c: Corpus) -> DataFrame:
+    return c.statements.select(*PAGE, "statement_id", T.transliterated(F.col("text")).alias("text"))
+
+
+@query("n4_transliterate_by_font", f"select book_id, page_index, word_no, case when word_no % 3 = 0 then replace(replace(translate(text, '{T.MDC_FROM}', '{T.MDC_TO}'), '$', 'H' || chr(817)), '£', 'H' || chr(817)) else text end as text from words")
+def _(c: Corpus) -> DataFrame:
+    font = F.when(F.col("word_no") % 3 == 0, "Transliteration-Roman").when(F.col("word_no") % 3 == 1, "Serif")
+    return words(c).select(*PAGE, "word_no", T.by_font(F.col("text"), font).alias("text"))
+
+
+@query("n5_footnote_marker", r"select book_id, page_index, word_no, case when size < 0.75 * 10 and regexp_full_match(text, '[^0-9]*[0-9]+[^0-9]*') then regexp_replace(text, '^([^0-9]*)([0-9]+)([^0-9]*)$', '\1[^\2]\3') else text end as text from words")
+def _(c: Corpus) -> DataFrame:
+    return words(c).select(*PAGE, "word_no", T.footnote_marker(F.col("text"), F.col("size"), F.lit(10.0)).alias("text"))
+
+
+@query("l16_strip_label_lines", "select book_id, page_index, trim(array_to_string(list_filter(string_split(body || chr(10) || '..' || coalesce(page_label, 'x') || '.', chr(10)), lambda x: coalesce(trim(trim(x), '.') <> page_label, true)), chr(10))) as text from pages")
+def _(c: Corpus) -> DataFrame:
+    labelled = F.concat("body", F.lit("\n.."), F.coalesce("page_label", F.lit("x")), F.lit("."))
+    return c.pages.select(*PAGE, layout.without_label_lines(labelled, F.col("page_label")).alias("text"))
+
+
+@query("l17_table_rows_text", """select book_id, page_index, string_agg(t, chr(10) || chr(10) order by table_no) as text from (select book_id, page_index, table_no, string_agg(r, chr(10) order by row_no) as t from (select book_id, page_index, k // 12 as table_no, k // 3 % 4 as row_no, string_agg(replace(coalesce(text, ''), chr(10), ' '), ' | ' order by k % 3) as r from statements group by all) group by all) group by all""")
+def _(c: Corpus) -> DataFrame:
+    k = F.col("k")
+    return layout.table_texts(c.statements.select(*PAGE, F.expr("k div 12").alias("table_no"), F.expr("k div 3 % 4").alias("row_no"), (k % 3).alias("cell_no"), F.col("text").alias("cell")))
+
+
+@query("f10_validate_artifacts", "select book_id, case when pages_expected % 3 = 1 then 'kind' when pages_expected % 3 = 2 or pages_present % 2 = 1 then 'schema_version' end as reason from floor_book", hold=True)
+def _(c: Corpus) -> DataFrame:
+    kind = F.when(F.col("pages_expected") % 3 == 1, "model-score").otherwise("floor-score")
+    version = F.when(F.col("pages_expected") % 3 == 2, 2).when(F.col("pages_present") % 2 == 1, F.lit(None)).otherwise(1)
+    good, bad = score.valid_artifacts(floor_book(c).select("book_id", kind.alias("kind"), version.alias("schema_version")))
+    return good.select("book_id", F.lit(None).cast("string").alias("reason")).union(bad.select("book_id", "reason"))
+
+
+@query("s1_read_pages", "select book_id, page_index, coalesce(body, '') as text, case when doc_id % 3 = 0 then '' else footnotes end as footnotes, case when doc_id % 2 = 0 then true end as expected_notes from pages where doc_id % 7 <> 0")
+def _(c: Corpus) -> DataFrame:
+    """Page streams as JSON lines, some without a number, some without footnotes."""
+    path = new_path(c.spark, "pages-json")
+    d = F.col("doc_id")
+    c.pages.select("book_id", F.when(d % 7 != 0, F.col("page_index")).alias("page_index"), F.col("body").alias("text"), F.when(d % 3 != 0, F.col("footnotes")).alias("footnotes"), F.when(d % 2 == 0, True).alias("expected_notes")).write.json(path)
+    return notes.read_pages(c.spark, path)
+
+
+@query("p3_propose", "select book_id, page_index, case when page_index % 5 = 3 then 'failed' else 'ok' end as status, case when page_index % 5 <> 3 then length(coalesce(body, '')) else -1 end as letters, case when page_index % 5 = 3 then 'ValueError: page ' || page_index::varchar end as error from pages")
+def _(c: Corpus) -> DataFrame:
+    def extractor(page: dict) -> dict:
+        if page["page_index"] % 5 == 3:
+            raise ValueError(f"page {page['page_index']}")
+        return {"letters": len(page["body"] or "")}
+
+    rows = propose.propose(c.pages.select(*PAGE, "body"), extractor)
+    return rows.select(*PAGE, "status", F.coalesce(F.get_json_object("proposal", "$.letters").cast("long"), F.lit(-1)).alias("letters"), "error")
+
+
+def arriving(c: Corpus) -> str:
+    """The derived notes as JSON lines in a folder, every 31st document's spoilt."""
+    path = new_path(c.spark, "arriving")
+    stored_raw(c).write.json(path)
+    return path
+
+
+@query("i3_gate_stream", "select book_id, page_index, statement_id, type, nullif(basis, 'author') as basis, text, array_to_string(refs, ',') as refs from kept where doc_id % 31 <> 0", hold=True)
+def _(c: Corpus) -> DataFrame:
+    sink, checkpoint = new_path(c.spark, "gated"), new_path(c.spark, "gated-progress")
+    incremental.gate_stream(incremental.arriving_notes(c.spark, arriving(c)), c.norm, sink, checkpoint).awaitTermination()
+    return c.spark.read.parquet(f"{sink}/statements").select(*PAGE, "statement_id", "type", "basis", "text", joined("refs"))
+
+
+@query("i4_first_page_wins", "select book_id, page_index, 1::bigint as n from (select distinct book_id, page_index from (select book_id, page_index from evidence union all select book_id, page_index from statements))", hold=True)
+def _(c: Corpus) -> DataFrame:
+    """The same notes arrive twice, in two batches; each page is there once."""
+    sink, checkpoint, folder = new_path(c.spark, "gated"), new_path(c.spark, "gated-progress"), arriving(c)
+    for again in (False, True):
+        if again:
+            stored_raw(c).write.mode("append").json(folder)
+        incremental.gate_stream(incremental.arriving_notes(c.spark, folder), c.norm, sink, checkpoint).awaitTermination()
+    return c.spark.read.parquet(f"{sink}/pages").groupBy(*PAGE).agg(F.count("*").alias("n"))
+
+
+@query("i5_running_counts", """select book_id, coalesce(sum(s) filter (ok), 0)::bigint as statements, coalesce(sum(s) filter (ok), 0)::bigint as grounded, coalesce(sum(e) filter (ok), 0)::bigint as evidence, coalesce(sum(t) filter (ok), 0)::bigint as excerpts, coalesce(sum(m) filter (ok), 0)::bigint as missing_evidence, count(*) filter (not ok) as unreadable
+    from (select p.book_id, p.page_index, p.doc_id % 31 <> 0 as ok, coalesce(e.n, 0) as e, coalesce(e.t, 0) as t, coalesce(s.n, 0) as s, coalesce(m.n, 0) as m from page_no p left join (select book_id, page_index, count(*) as n, count(*) filter (kind = 'text') as t from evidence group by all) e using (book_id, page_index)
+    left join (select book_id, page_index, count(*) as n from statements group by all) s using (book_id, page_index) left join (select book_id, page_index, count(*) as n from ref_problems where rule = 'missing evidence' group by all) m using (book_id, page_index) where e.n is not null or s.n is not null) group by book_id""", hold=True)
+def _(c: Corpus) -> DataFrame:
+    out = new_path(c.spark, "running")
+    counts = incremental.running_counts(incremental.arriving_notes(c.spark, arriving(c)))
+    put = lambda rows, number: rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", new_path(c.spark, "running-progress")).trigger(availableNow=True).start().awaitTermination()
+    done = c.spark.read.parquet(out)
+    last = done.agg(F.max("batch")).first()[0]  # one number
+    return done.where(F.col("batch") == last).drop("batch")

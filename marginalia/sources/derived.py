@@ -82,7 +82,7 @@ def evidence(pages: DataFrame, sents: DataFrame) -> DataFrame:
     body = sents.where((F.length("sent") >= 15) & ((k + page) % 3 == 0)).select(
         "book_id", "page_index", "doc_id", "k", F.concat(F.lit("e-"), k.cast("string")).alias("evidence_id"), F.when(figure, "figure").otherwise("text").alias("kind"), F.lit("body").alias("source"),
         F.when((k * 31 + doc) % 11 == 0, F.concat("sent", F.lit(" zzqx"))).otherwise(F.col("sent")).alias("excerpt"), F.when(k % 37 == 36, page + 1).alias("page_override"),
-        no.alias("locator"), F.when(k % 41 == 5, "greek").alias("script"), F.when(figure, F.concat(F.lit("Figure "), k.cast("string"))).alias("caption"), F.when(k % 23 == 7, F.upper("sent")).alias("excerpt_translation"),
+        no.alias("locator"), F.when(k % 41 == 5, "greek").alias("script"), F.when(figure, F.concat(F.lit("Figure "), k.cast("string"))).alias("caption"), F.when(k % 23 == 7, F.concat(F.lit("in other words: "), "sent")).alias("excerpt_translation"),
     )
     foot = pages.where((F.col("page_type") == "text") & (doc % 4 == 0) & (F.trim("footnotes") != "")).select(
         "book_id", "page_index", "doc_id", F.lit(None).cast("int").alias("k"), F.lit("e-f").alias("evidence_id"), F.lit("text").alias("kind"), F.lit("footnote").alias("source"), F.col("footnotes").alias("excerpt"), F.lit(None).cast("long").alias("page_override"),

@@ -48,7 +48,7 @@ def flattened(rows: DataFrame) -> dict[str, DataFrame]:
         return good.select(*PAGE, F.posexplode(f"notes.{name}").alias("pos", alias))
 
     s = part("statements", "s").select(*PAGE, "pos", F.col("s.id").alias("statement_id"), "s.type", F.col("s.basis").alias("basis"), F.coalesce("s.text", F.lit("")).alias("text"), F.coalesce("s.terms", F.array().cast("array<string>")).alias("terms"), F.coalesce("s.evidence", F.array().cast("array<string>")).alias("refs"))
-    e = part("evidence", "e").select(*PAGE, "pos", F.col("e.id").alias("evidence_id"), F.coalesce("e.kind", F.lit("text")).alias("kind"), F.col("e.source").alias("source"), F.coalesce("e.excerpt", F.lit("")).alias("excerpt"), "e.locator", "e.script", "e.caption", F.col("e.page_index").alias("page_override"))
+    e = part("evidence", "e").select(*PAGE, "pos", F.col("e.id").alias("evidence_id"), F.coalesce("e.kind", F.lit("text")).alias("kind"), F.col("e.source").alias("source"), F.coalesce("e.excerpt", F.lit("")).alias("excerpt"), "e.locator", "e.script", "e.caption", "e.excerpt_translation", F.col("e.page_index").alias("page_override"))
     return {
         "terms": part("terms", "t").select(*PAGE, "pos", F.col("t.id").alias("term_id"), "t.label"),
         "evidence": e,
@@ -59,17 +59,27 @@ def flattened(rows: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def nested(evidence: DataFrame, statements: DataFrame, relations: DataFrame, order: str = "pos") -> DataFrame:
-    """book_id, page_index and the notes-set as JSON: lists in the order of `order`, empty optional fields left out."""
+def nested(evidence: DataFrame, statements: DataFrame, relations: DataFrame, order: str = "pos", terms: DataFrame | None = None, statement_terms: DataFrame | None = None) -> DataFrame:
+    """book_id, page_index and the notes-set as JSON: lists in the order of `order`, empty optional fields left out.
+
+    Optional: fields of evidence (those columns that it has), terms (term_id, label), statement_terms (statement_id, pos,
+    term_id)."""
 
     def listed(rows: DataFrame, name: str, fields: list[Column]) -> DataFrame:
         return rows.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.struct(*fields).alias("x")))), lambda r: r["x"]).alias(name))
 
-    e = listed(evidence, "evidence", [F.col("evidence_id").alias("id"), F.col("kind"), F.col("excerpt"), F.col("source")])
-    s = listed(statements, "statements", [F.col("statement_id").alias("id"), F.col("type"), F.nullif("basis", F.lit("author")).alias("basis"), F.col("text"), F.col("refs").alias("evidence")])
+    names = {"excerpt_translation": "excerpt_translation", "script": "script", "locator": "locator", "caption": "caption", "page_override": "page_index"}
+    e = listed(evidence, "evidence", [F.col("evidence_id").alias("id"), F.col("kind"), F.col("excerpt"), F.col("source"), *(F.col(c).alias(n) for c, n in names.items() if c in evidence.columns)])
+    own = [F.col("statement_id").alias("id"), F.col("type"), F.nullif("basis", F.lit("author")).alias("basis"), F.col("text"), F.col("refs").alias("evidence")]
+    if statement_terms is not None:
+        used = statement_terms.groupBy(*PAGE, "statement_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term_id"))), lambda t: t["term_id"]).alias("own_terms"))
+        statements, own = statements.join(used, [*PAGE, "statement_id"], "left"), [*own, F.col("own_terms").alias("terms")]
+    s = listed(statements, "statements", own)
     r = listed(relations, "relations", [F.col("src").alias("from"), F.col("dst").alias("to"), F.col("rel_type").alias("type")])
-    all_ = s.join(e, PAGE, "full").join(r, PAGE, "full")
-    body = F.struct(F.lit(1).alias("schema_version"), F.struct(F.lit("page").alias("scope"), F.col("page_index")).alias("source"), "evidence", "statements", "relations")
+    all_, lists = s.join(e, PAGE, "full").join(r, PAGE, "full"), ["evidence", "statements", "relations"]
+    if terms is not None:
+        all_, lists = all_.join(listed(terms, "terms", [F.col("term_id").alias("id"), F.col("label")]), PAGE, "left"), ["terms", *lists]
+    body = F.struct(F.lit(1).alias("schema_version"), F.struct(F.lit("page").alias("scope"), F.col("page_index")).alias("source"), *lists)
     return all_.select(*PAGE, F.to_json(body, {"ignoreNullFields": "true"}).alias("notes"))
 
 

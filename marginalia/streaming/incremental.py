@@ -69,8 +69,19 @@ def _pages_before(spark: SparkSession, sink: str, number: int) -> DataFrame | No
 
 
 def running_counts(arriving: DataFrame) -> DataFrame:
-    """Streaming counts per book of statements, evidence and unreadable notes as they arrive (update or complete mode)."""
+    """Streaming floor counts per book as notes arrive (update or complete mode): statements and how many name evidence, text
+    excerpts, references to evidence that the notes don't have, and notes that can't be read.
+
+    All of them are sums over one notes-set, so the state is a few numbers a book."""
     rows = parsed_notes(arriving)
-    n = lambda c: F.coalesce(F.size(f"notes.{c}"), F.lit(0))
-    seen = lambda c: F.when(F.col("readable"), F.greatest(n(c), F.lit(0))).otherwise(0)
-    return rows.groupBy("book_id").agg(F.sum(seen("statements")).alias("statements"), F.sum(seen("evidence")).alias("evidence"), F.count_if(~F.col("readable")).alias("unreadable"))
+    statements, evidence = (F.coalesce(f"notes.{c}", F.lit(None)) for c in ("statements", "evidence"))
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    grounded = size(F.filter(statements, lambda s: F.coalesce(F.size(s["evidence"]) > 0, F.lit(False))))
+    excerpts = size(F.filter(evidence, lambda e: F.coalesce(e["kind"], F.lit("text")) == "text"))
+    known = F.coalesce(F.transform(evidence, lambda e: e["id"]), F.array().cast("array<string>"))
+    cited = F.flatten(F.transform(statements, lambda s: F.coalesce(s["evidence"], F.array().cast("array<string>"))))
+    loose = size(F.filter(cited, lambda i: ~F.array_contains(known, i)))
+    seen = lambda n: F.sum(F.when(F.col("readable"), n).otherwise(0))
+    return rows.groupBy("book_id").agg(
+        seen(size(statements)).alias("statements"), seen(grounded).alias("grounded"), seen(size(evidence)).alias("evidence"), seen(excerpts).alias("excerpts"), seen(loose).alias("missing_evidence"), F.count_if(~F.col("readable")).alias("unreadable")
+    )
