@@ -266,3 +266,68 @@ def test_unreadable_notes_are_no_pages(spark):
     assert {r["page_index"]: r["readable"] for r in rows.collect()} == {0: True, 1: False, 2: False, 3: False}
     flat = notes.flattened(rows)
     assert flat["statements"].count() == 1 and flat["evidence"].count() == 0
+
+
+def test_slugs_fold_accents(spark):
+    labels = spark.createDataFrame([("b", 1, 1, "ḥm.t"), ("b", 1, 2, "Café  Noir"), ("b", 2, 1, "漢字")], "book_id string, chapter_no long, place int, label string")
+    assert {r["term_id"] for r in terms.term_store(labels).collect()} == {"t-hm-t", "t-cafe-noir"}
+
+
+def test_nested_notes_keep_terms_and_optional_fields(spark):
+    from marginalia.sources import notes
+
+    evidence = spark.createDataFrame([("b", 0, 1, "e-1", "text", "q", "footnote", "7", None, 3), ("b", 0, 2, "e-2", "figure", "", "body", None, "cap", None)], f"{P}, pos int, evidence_id string, kind string, excerpt string, source string, locator string, caption string, page_override long")
+    statements = spark.createDataFrame([("b", 0, 1, "s-1", "claim", "author", "x", ["e-1", "e-2"])], f"{P}, pos int, statement_id string, type string, basis string, text string, refs array<string>")
+    relations = spark.createDataFrame([("b", 0, 1, "s-1", "t-a", "defines")], f"{P}, pos int, src string, dst string, rel_type string")
+    named = spark.createDataFrame([("b", 0, 2, "t-b", "B"), ("b", 0, 1, "t-a", "A")], f"{P}, pos int, term_id string, label string")
+    used = spark.createDataFrame([("b", 0, "s-1", 1, "t-b"), ("b", 0, "s-1", 0, "t-a")], f"{P}, statement_id string, pos int, term_id string")
+    (row,) = notes.nested(evidence, statements, relations, "pos", named, used).collect()
+    assert '"caption":"cap"' in row["notes"] and '"basis"' not in row["notes"]
+    flat = notes.flattened(notes.parsed_notes(spark.createDataFrame([("b", 0, row["notes"])], f"{P}, raw string")))
+    got = {r["evidence_id"]: (r["locator"], r["caption"], r["page_override"]) for r in flat["evidence"].collect()}
+    assert got == {"e-1": ("7", None, 3), "e-2": (None, "cap", None)}
+    assert [r["label"] for r in flat["terms"].orderBy("pos").collect()] == ["A", "B"] and [r["term_id"] for r in flat["statement_terms"].orderBy("pos").collect()] == ["t-a", "t-b"]
+
+
+def test_chapter_relations_in_order_of_first_occurrence(spark):
+    from marginalia.operators import assemble
+
+    members = spark.createDataFrame([("b", 1, "p0:s-1", 1), ("b", 1, "p0:s-2", 2), ("b", 1, "p1:s-1", 3)], "book_id string, chapter_no long, key string, final_no int")
+    within = spark.createDataFrame([("b", 1, 0, "s-1", "s-1", "supports"), ("b", 0, 5, "s-2", "s-1", "supports"), ("b", 0, 2, "s-1", "s-2", "defines"), ("b", 0, 9, "s-1", "s-2", "defines"), ("b", 0, 1, "s-1", "t-x", "defines")], f"{P}, pos int, src string, dst string, rel_type string")
+    across = spark.createDataFrame([("b", 1, "p1:s-1", "p0:s-1", "contrasts"), ("b", 2, "p0:s-2", "p0:s-1", "supports")], "book_id string, place int, src string, dst string, rel_type string")
+    got = assemble.chapter_relations(members, within, across).orderBy("rel_no").collect()
+    assert [(r["rel_no"], r["src_no"], r["dst_no"], r["rel_type"]) for r in got] == [(1, 1, 2, "defines"), (2, 2, 1, "supports"), (3, 3, 1, "contrasts")]
+
+
+def test_hot_keys_join_like_others(spark):
+    from pyspark.sql import functions as F
+
+    from marginalia.operators.components import join_counted
+
+    left = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("key"))
+    right = left.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    got = join_counted(left, right, "key", "n", 1000, share=100)
+    assert sorted(got.columns) == ["id", "key", "least"] and sorted(map(tuple, got.select("id", "least").collect())) == sorted(map(tuple, left.join(right, "key").select("id", "least").collect()))
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from marginalia.sources import shared
+
+    class Context:
+        master = "spark://host:7077"
+
+        class _Conf:
+            def get(self, name):
+                return None
+
+        def getConf(self):
+            return self._Conf()
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared.shared_dir(Session())

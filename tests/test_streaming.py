@@ -44,7 +44,7 @@ def test_running_counts(spark, tmp_path):
     (folder / "1.json").write_text("\n".join(json.dumps(x) for x in ({"book_id": "b", "page_index": 0, "raw": note(["x", "y"])}, {"book_id": "b", "page_index": 1, "raw": "{bad"})))
     q = incremental.running_counts(incremental.arriving_notes(spark, str(folder))).writeStream.format("memory").queryName("running_counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert [tuple(r) for r in spark.table("running_counts").collect()] == [("b", 2, 2, 1)]
+    assert [tuple(r) for r in spark.table("running_counts").collect()] == [("b", 2, 2, 2, 2, 0, 1)]
 
 
 def test_changed_books(spark):
