@@ -11,11 +11,11 @@ miss all with probability (1 - 0.8^5)^25 = 0.00005, more alike ones with less. N
 
 Check. Candidates are joined with their whole sets and linked if at least `LEAST` fifths of the union are shared. Groups
 of a key of up to `SMALL` nodes are checked in full. In larger ones similarity is first estimated, in tasks, from a byte
-of each of the 125 minima: a pair needs `AGREE` equal bytes (of similarity 0.8, a pair has fewer with probability
-0.000004), and each node's best few partners that it isn't connected with yet are checked; then, in groups where some
-node had more, sixteen times as many, until no node has more. So every candidate is checked or already connected, and a
-large group of copies takes a few checks for each member and key. A group of over `BLOCK` nodes is cut into
-blocks at random, and pairs of blocks are compared as tasks of their own.
+of each of `SKETCH` further minima: a pair needs `AGREE` equal bytes (of similarity 0.8, a pair has fewer with probability
+0.000002), and each node's best partner is checked. Then, in groups where some node has more, each node's best sixteen of
+those that it isn't connected with yet, seen from the smaller side, then sixteen times as many, until no node has more.
+So every candidate is checked or already connected, and a large group of copies takes a check or so for each member and
+key. A group of over `BLOCK` nodes is cut into blocks at random, and pairs of blocks are compared as tasks of their own.
 
 Links become components by star joins; of each the row with the least doc_id stays (nulls last).
 
@@ -41,8 +41,8 @@ from marginalia.llm.substring_dedup import window_hashes
 from marginalia.operators.components import components
 
 SHINGLE, BANDS, ROWS, LEAST, SMALL = 5, 25, 5, 4, 8
-AGREE, FEW, BLOCK = 80, 3, 4096
-_SEEDS = np.random.default_rng(42).integers(0, 2**64, (BANDS * ROWS, 2), dtype=np.uint64) | np.array([0, 1], np.uint64)
+SKETCH, AGREE, BLOCK = 512, 368, 1024
+_SEEDS = np.random.default_rng(42).integers(0, 2**64, (BANDS * ROWS + SKETCH, 2), dtype=np.uint64) | np.array([0, 1], np.uint64)
 
 
 def shingle_sets(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,24 +61,33 @@ def shingle_sets(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.searchsorted(of[new], np.arange(len(array) + 1))
 
 
-def sketches(h: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The node of each set, its keys and a byte of each minimum (for the empty set: zeros)."""
-    n = len(bound) - 1
-    node, keys, minima = np.zeros(n, np.uint64), np.zeros((n, BANDS), np.uint64), np.zeros((n, BANDS * ROWS), np.uint8)
+def _minima(h: np.ndarray, at: np.ndarray, seeds: np.ndarray) -> Iterator[np.ndarray]:
+    for flip, times in seeds:
+        yield np.minimum.reduceat((h ^ flip) * times, at)
+
+
+def sketches(h: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The node of each set and its keys (for the empty set: zeros)."""
+    node, keys = np.zeros(len(bound) - 1, np.uint64), np.zeros((len(bound) - 1, BANDS), np.uint64)
     has = np.flatnonzero(np.diff(bound))
     if not len(has):
-        return node, keys, minima
+        return node, keys
     at = bound[has]
     node[has] = ws.mixed(np.add.reduceat(ws.mixed(h), at) ^ np.diff(bound)[has].astype(np.uint64))
     for band in range(BANDS):
         key = np.full(len(has), band, np.uint64)
-        for i in range(band * ROWS, (band + 1) * ROWS):
-            flip, times = _SEEDS[i]
-            least = np.minimum.reduceat((h ^ flip) * times, at)
+        for least in _minima(h, at, _SEEDS[band * ROWS : (band + 1) * ROWS]):
             key = ws.mixed(key + least)
-            minima[has, i] = ws.mixed(least) & np.uint64(255)
         keys[has, band] = key
-    return node, keys, minima
+    return node, keys
+
+
+def estimates(h: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """A byte of each of SKETCH minima of each set; the sets aren't empty."""
+    out = np.zeros((len(bound) - 1, SKETCH), np.uint8)
+    for i, least in enumerate(_minima(h, bound[:-1], _SEEDS[BANDS * ROWS :])):
+        out[:, i] = ws.mixed(least) & np.uint64(255)
+    return out
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -87,17 +96,17 @@ def row_key(docs: DataFrame) -> Column:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, row (with doc_id: the row's key), node, fp, keys and minima of each row."""
+    """doc_id, row (with doc_id: the row's key), node, fp and keys of each row."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             text = column(batch, "text")
-            node, keys, minima = sketches(*shingle_sets(text))
+            node, keys = sketches(*shingle_sets(text))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).reshape(-1)))
             fp = near_dedup.simhashes(text, SHINGLE)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "row"), pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), lists, pa.array([m.tobytes() for m in minima], pa.binary())], names=["doc_id", "row", "node", "fp", "keys", "minima"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "row"), pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), lists], names=["doc_id", "row", "node", "fp", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), "text").mapInArrow(task, "doc_id long, row long, node long, fp long, keys array<long>, minima binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row"), "text").mapInArrow(task, "doc_id long, row long, node long, fp long, keys array<long>")
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,18 +143,33 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield groups(np.concatenate(key), np.concatenate(node))
 
 
-def _sets(docs: DataFrame, first: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and its shingles, for the given nodes; read from the texts of their first rows."""
+def _texts(docs: DataFrame, first: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of the given nodes: that of their first rows."""
+    rows = first.join(nodes, "node", "left_semi").select("node", F.col("first.doc_id").alias("of"), F.col("first.row").alias("row"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("hash"), "text")
+    return text.join(rows, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("row"))).select("node", "text")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """node and its shingles."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             h, bound = shingle_sets(column(batch, "text"))
             yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(h.view(np.int64)))], names=["node", "set"])
 
-    rows = first.join(nodes, "node", "left_semi").select("node", F.col("first.doc_id").alias("of"), F.col("first.row").alias("row"))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("hash"), "text")
-    found = text.join(rows, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("row")))
-    return found.select("node", "text").mapInArrow(task, "node long, set array<long>").dropDuplicates(["node"])
+    return texts.mapInArrow(task, "node long, set array<long>").dropDuplicates(["node"])
+
+
+def _sketched(texts: DataFrame) -> DataFrame:
+    """node and the bytes of its minima."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            minima = estimates(*shingle_sets(column(batch, "text")))
+            yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array([m.tobytes() for m in minima], pa.binary())], names=["node", "minima"])
+
+    return texts.mapInArrow(task, "node long, minima binary").dropDuplicates(["node"])
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -159,23 +183,26 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def partners(nodes: np.ndarray, component: np.ndarray, minima: np.ndarray, second: np.ndarray, few: int) -> tuple[np.ndarray, bool]:
-    """Pairs of nodes that aren't connected and agree in at least AGREE minima: for each node those with the `few`
-    highest estimates; and whether some node has more. second: rows of the second block (none: one block, all pairs)."""
+def partners(nodes: np.ndarray, component: np.ndarray, minima: np.ndarray, second: np.ndarray, few: int, least: int = AGREE) -> tuple[np.ndarray, bool]:
+    """Pairs of nodes that aren't connected and agree in at least `least` minima: for each node those with the `few`
+    highest estimates, but none in components smaller here than its own; and whether some node has more.
+    second: rows of the second block (none: one block, all pairs)."""
     left = np.flatnonzero(~second)
     right = np.flatnonzero(second) if second.any() else left
+    _, place, sizes = np.unique(component, return_inverse=True, return_counts=True)
+    size = sizes[place]
     out, more = [np.zeros((0, 2), np.int64)], False
     for rows, others in ((left, right), (right, left))[: 2 if second.any() else 1]:
         step = max(1, (1 << 20) // max(1, len(others)))
         theirs = np.ascontiguousarray(minima[others].T)
         for at in range(0, len(rows), step):
             mine = rows[at : at + step]
-            agree = np.zeros((len(mine), len(others)), np.uint8)
+            agree = np.zeros((len(mine), len(others)), np.uint16)
             for i, theirs_i in enumerate(theirs):
                 agree += minima[mine, i][:, None] == theirs_i
-            agree[(component[mine][:, None] == component[others]) | (agree < AGREE)] = 0
+            agree[(component[mine][:, None] == component[others]) | (size[mine][:, None] > size[others]) | (agree < least)] = 0
             more |= bool(((agree > 0).sum(axis=1) > few).any())
-            best = np.argpartition(-agree.astype(np.int16), few, axis=1)[:, :few] if few < len(others) else np.broadcast_to(np.arange(len(others)), agree.shape)
+            best = np.argpartition(-agree.astype(np.int32), few, axis=1)[:, :few] if few < len(others) else np.broadcast_to(np.arange(len(others)), agree.shape)
             row, col = np.nonzero(np.take_along_axis(agree, best, axis=1))
             out.append(np.stack([nodes[mine[row]], nodes[others[best[row, col]]]], axis=1))
     pair = np.concatenate(out)
@@ -210,16 +237,17 @@ def _simhash_pairs(nodes: DataFrame) -> DataFrame:
 
 def joined(docs: DataFrame, marks: DataFrame, first: DataFrame) -> DataFrame:
     """node and component of every node that has a link."""
-    nodes = written(marks.where("node <> 0").groupBy("node").agg(F.first("keys").alias("keys"), F.first("minima").alias("minima"), F.first("fp").alias("fp")), "nodes")
+    nodes = written(marks.where("node <> 0").groupBy("node").agg(F.first("keys").alias("keys"), F.first("fp").alias("fp")), "nodes")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = written(nodes.select("node", F.explode("keys").alias("key")).repartition(tasks, "key").sortWithinPartitions("key", "node").mapInArrow(_meet, "u long, v long, key long, size long"), "candidates")
-    big = written(met.where("size > 0").select("key", F.col("u").alias("node"), "size").join(nodes.select("node", "minima"), "node"), "groups")
-    found = _estimated(big.withColumn("component", F.col("node")), FEW)
+    large = met.where("size > 0").select("key", F.col("u").alias("node"), "size")
+    big = written(large.join(_sketched(_texts(docs, first, large.select("node").distinct())), "node"), "groups")
+    found = _estimated(big.withColumn("component", F.col("node")), 1)
     simhash = written(_simhash_pairs(nodes.select("node", "fp")), "simhash")
     small = met.where("size = 0").select(*_pair("u", "v"))
     known = simhash.select(F.explode(F.array("u", "v")).alias("node")).union(small.select(F.explode(F.array("u", "v")).alias("node"))).union(big.select("node")).distinct()
-    sets = written(_sets(docs, first, known), "sets")
-    few, links = FEW, None
+    sets = written(_sets(_texts(docs, first, known)), "sets")
+    few, links = 1, None
     while True:
         tried = written(found, "tried")
         pairs = tried.where("u is not null").select("u", "v")

@@ -86,16 +86,27 @@ def test_estimates_offer_all_unconnected_candidates():
         at = r.choice(125, r.integers(0, 70), replace=False)
         row[at] = r.integers(0, 256, len(at))
     agree = (minima[:, None] == minima[None]).sum(axis=2)
-    nodes, component = np.arange(300) * 7, np.arange(300) // 3
-    want = {(7 * a, 7 * b) for a in range(300) for b in range(a + 1, 300) if agree[a, b] >= near_copies.AGREE and a // 3 != b // 3}
+    nodes, component = np.arange(300) * 7, np.where(np.arange(300) < 100, 0, np.arange(300) // 3)  # one large component, others of three
+    want = {(7 * a, 7 * b) for a in range(300) for b in range(a + 1, 300) if agree[a, b] >= 80 and component[a] != component[b]}
     for second in (np.zeros(300, bool), np.arange(300) % 2 == 1):
-        pairs, more = near_copies.partners(nodes, component, minima, second, 300)
+        pairs, more = near_copies.partners(nodes, component, minima, second, 300, 80)
         mine = {p for p in want if not second.any() or second[p[0] // 7] != second[p[1] // 7]}
         assert set(map(tuple, pairs.tolist())) == mine and not more
-        pairs, more = near_copies.partners(nodes, component, minima, second, 3)
+        pairs, more = near_copies.partners(nodes, component, minima, second, 3, 80)
         assert more and set(map(tuple, pairs.tolist())) < mine and len(pairs) <= 900
 
 
+def test_estimates_of_pairs_at_the_limit_pass():
+    r = np.random.default_rng(5)
+    low = 1.0
+    for _ in range(40):
+        a = np.sort(r.integers(0, 2**64, 900, dtype=np.uint64))
+        b = np.sort(np.concatenate([a[100:], r.integers(0, 2**64, 100, dtype=np.uint64)]))  # 800 of 1000 shared
+        e = near_copies.estimates(np.concatenate([a, b]), np.array([0, 900, 1800]))
+        low = min(low, (e[0] == e[1]).sum() / near_copies.AGREE)
+    assert low >= 1
+
+
 def test_blocks_of_a_large_group_equal_one_group(spark, sf, monkeypatch):
     r = np.random.default_rng(9)
     base = [f"w{i}" for i in range(200)]
