@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from marginalia.llm import forced_bpe, language_id, media, merge_replay, near_dedup, packing, quality, secrets, substring_dedup, token_store, toxicity
+from marginalia.llm import forced_bpe, language_id, media, merge_replay, near_dedup, packing, quality, secrets, substring_dedup, token_alignment, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_quality": quality.op10_quality,
         "op12_merge_replay": merge_replay.op12_merge_replay,
+        "op13_token_alignment": token_alignment.op13_token_alignment,
         "pipeline": corpus_pipeline.run,
     }
 
