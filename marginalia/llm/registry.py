@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from marginalia.llm import forced_bpe, language_id, media, merge_replay, near_dedup, packing, quality, secrets, substring_dedup, token_alignment, token_store, toxicity
+from marginalia.llm import forced_bpe, language_id, lexical_search, media, merge_replay, near_dedup, packing, quality, secrets, substring_dedup, token_alignment, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_store": token_store.op8_token_store,
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_quality": quality.op10_quality,
+        "op11_lexical_search": lexical_search.op11_lexical_search,
         "op12_merge_replay": merge_replay.op12_merge_replay,
         "op13_token_alignment": token_alignment.op13_token_alignment,
         "pipeline": corpus_pipeline.run,
@@ -31,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """The others are beyond SQL, or too slow in it on whole tables; tests/llm hold them against brute force."""
     pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {"op4_substring_dedup": substring_dedup.ORACLE_SQL, **pipeline}
+    return {"op4_substring_dedup": substring_dedup.ORACLE_SQL, "op11_lexical_search": lexical_search.ORACLE_SQL, **pipeline}
