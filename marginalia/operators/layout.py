@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.operators.anchor import PAGE
+from marginalia.operators.boxes import points_in_boxes
 
 LINE_TOLERANCE, WORD_GAP, WORD_GAP_SHARE = 3.0, 1.2, 0.18
 FOOTNOTE_SHARE, LABEL_BELOW, LOW_TEXT = 0.85, 0.92, 40
@@ -126,11 +127,12 @@ def demoted(pages: DataFrame, least: int = 20) -> DataFrame:
 def split_words(words: DataFrame, chars: DataFrame) -> DataFrame:
     """Words cut where the gap between two of their characters is as wide as a word gap of that size.
 
-    chars: book_id, page_index, text, x0, x1, top, size. Words without at least two characters stay as they are."""
-    w = words.select(*PAGE, "word_no", F.col("x0").alias("wx0"), F.col("x1").alias("wx1"), F.col("top").alias("wtop"), F.col("size").alias("wsize"))
+    chars: book_id, page_index, text, x0, x1 (not less than x0), top, size. A character belongs to a word if it lies in its
+    box, half a point wider, and on its line; they meet in cells of the page (points_in_boxes). Words without at least two
+    characters stay as they are."""
+    w = words.select(*PAGE, "word_no", (F.col("x0") - 0.5).alias("wx0"), (F.col("x1") + 0.5).alias("wx1"), (F.col("top") - LINE_TOLERANCE).alias("above"), (F.col("top") + LINE_TOLERANCE).alias("below"), F.col("size").alias("wsize"))
     c = chars.select(*PAGE, F.col("text").alias("ch"), F.col("x0").alias("cx0"), F.col("x1").alias("cx1"), F.col("top").alias("ctop"), F.col("size").alias("csize"))
-    inside = (F.col("cx0") >= F.col("wx0") - 0.5) & (F.col("cx1") <= F.col("wx1") + 0.5) & (F.abs(F.col("ctop") - F.col("wtop")) <= LINE_TOLERANCE)
-    met = w.join(c, PAGE).where(inside)
+    met = points_in_boxes(w, c, PAGE, (F.col("wx0"), F.col("wx1"), F.col("cx0")), (F.col("above"), F.col("below"), F.col("ctop")), (64.0, 4 * LINE_TOLERANCE)).where("cx1 <= wx1")
     order = Window.partitionBy(*PAGE, "word_no").orderBy("cx0")
     size = F.coalesce(F.nullif("csize", F.lit(0.0)), F.nullif(F.lag("csize").over(order), F.lit(0.0)), F.nullif("wsize", F.lit(0.0)), F.lit(10.0))
     gap = F.col("cx0") - F.lag("cx1").over(order)
@@ -145,7 +147,7 @@ def glyph_ids(points: DataFrame) -> DataFrame:
     """glyph (its key columns) and an id that is the same wherever and however large the sign is drawn.
 
     points: book_id, page_index, gap_no, x, y. Points are moved and scaled to 0 to 1000, rounded half to even, sorted and
-    hashed; one with no points has the id of zeros."""
+    hashed."""
     keys = [*PAGE, "gap_no"]
     box = points.groupBy(*keys).agg(F.min("x").alias("mx"), F.min("y").alias("my"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"))
     span = F.when(F.col("span") == 0, 1.0).otherwise(F.col("span"))
@@ -155,12 +157,25 @@ def glyph_ids(points: DataFrame) -> DataFrame:
 
 
 def gap_shapes(lined_words: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Shapes drawn in the gap before a word of its line: the word, and which shape. shapes: ..., shape_no, x0, x1, top, bottom."""
+    """Shapes drawn in the gap before a word of its line: the word, and which shape. shapes: ..., shape_no, x0, x1, top, bottom.
+
+    Gaps and the middles of shapes meet in cells of the page, so a shape is compared with the gaps near it alone."""
     order = Window.partitionBy(*PAGE, "line_no").orderBy("x0", "word_no")
     line = Window.partitionBy(*PAGE, "line_no")
     gaps = lined_words.select(*PAGE, "word_no", F.col("x0").alias("right"), F.lag("x1").over(order).alias("left"), F.min("top").over(line).alias("ltop"), F.max("bottom").over(line).alias("lbottom")).where(F.col("right") - F.col("left") > 2)
     s = shapes.select(*PAGE, "shape_no", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("top") + F.col("bottom")) / 2).alias("cy"))
-    return gaps.join(s, PAGE).where((F.col("cx") > F.col("left") - 1) & (F.col("cx") < F.col("right") + 1) & (F.col("cy") > F.col("ltop") - 3) & (F.col("cy") < F.col("lbottom") + 3)).select(*PAGE, F.col("word_no").alias("gap_no"), "shape_no")
+    inside = points_in_boxes(
+        gaps, s, PAGE, (F.col("left") - 1, F.col("right") + 1, F.col("cx")), (F.col("ltop") - 3, F.col("lbottom") + 3, F.col("cy")), (32.0, 16.0),
+    )
+    return inside.where((F.col("cx") > F.col("left") - 1) & (F.col("cx") < F.col("right") + 1) & (F.col("cy") > F.col("ltop") - 3) & (F.col("cy") < F.col("lbottom") + 3)).select(*PAGE, F.col("word_no").alias("gap_no"), "shape_no")
+
+
+def gap_glyphs(found: DataFrame, points: DataFrame) -> DataFrame:
+    """gap_no and glyph_id of each gap that shapes are drawn in: the id of all their points, zeros where they have none.
+
+    found: as gap_shapes gives it; points: book_id, page_index, shape_no, x, y."""
+    ids = glyph_ids(found.join(points, [*PAGE, "shape_no"]).select(*PAGE, "gap_no", "x", "y"))
+    return found.select(*PAGE, "gap_no").distinct().join(ids, [*PAGE, "gap_no"], "left").select(*PAGE, "gap_no", F.coalesce("glyph_id", F.lit("00000000")).alias("glyph_id"))
 
 
 def dehyphenated(line_texts: DataFrame, keys: list[str]) -> DataFrame:

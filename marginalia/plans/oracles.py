@@ -154,6 +154,13 @@ VIEWS = {
         from (select book_id, page_index, column_no, top as line_top, median(size) as line_size, count(*) as n_words, trim(string_agg(text, ' ' order by x0, word_no)) as line_text from column_words group by all) join body_sizes using (book_id, page_index)""",
     "fn_tops": """select f.book_id, f.page_index, f.column_no, coalesce(found, s.height::double) as fn_top from (select book_id, page_index, column_no, min(line_top) filter (not label and small and (stop is null or r < stop)) as found
         from (select *, min(r) filter (not label and not small) over (partition by book_id, page_index, column_no) as stop from column_lines) group by all) f join sizes s using (book_id, page_index)""",
+    "shapes_v": "select book_id, page_index, word_no, word_no * 2 + k as shape_no, x0 - 5 + k as x0, x0 - 3 + k as x1, top + 2 as top, top + 6 as bottom from words cross join (values (0), (1)) v(k) where word_no % 6 = 1",
+    "gaps_v": "select * from (select book_id, page_index, word_no as gap_no, top as row_top, x0 as right_x, lag(x1) over (partition by book_id, page_index, top order by x0, word_no) as left_x from words) where right_x - left_x > 2",
+    "gap_shapes": "select g.book_id, g.page_index, g.gap_no, s.shape_no from gaps_v g join shapes_v s on s.book_id = g.book_id and s.page_index = g.page_index and s.top - 2 = g.row_top and (s.x0 + s.x1) / 2 > left_x - 1 and (s.x0 + s.x1) / 2 < right_x + 1",
+    "gap_points": "select book_id, page_index, gap_no, p.x, p.y from (select g.book_id, g.page_index, g.gap_no, unnest([{x: s.x0, y: s.top}, {x: s.x1, y: s.top + s.word_no % 3}, {x: s.x0 + 1, y: s.bottom}]) as p from gap_shapes g join shapes_v s using (book_id, page_index, shape_no) where s.word_no % 4 <> 3)",
+    "gap_scaled": "select book_id, page_index, gap_no, round_even((x - mx) / span * 1000, 0)::bigint as sx, round_even((y - my) / span * 1000, 0)::bigint as sy from (select *, min(x) over w as mx, min(y) over w as my, case when greatest(max(x) over w - min(x) over w, max(y) over w - min(y) over w) = 0 then 1.0 else greatest(max(x) over w - min(x) over w, max(y) over w - min(y) over w) end as span from gap_points window w as (partition by book_id, page_index, gap_no))",
+    "glyphs": """select distinct book_id, page_index, gap_no, coalesce(glyph_id, '00000000') as glyph_id from gap_shapes left join
+        (select book_id, page_index, gap_no, left(sha1('[' || string_agg('(' || sx::varchar || ', ' || sy::varchar || ')', ', ' order by sx, sy) || ']'), 8) as glyph_id from gap_scaled group by all) using (book_id, page_index, gap_no)""",
     "usage_v": """select conv_id, ['m-small', 'm-mid', 'm-large', 'm-other'][conv_id % 4 + 1] as model, i as input_tokens, o as output_tokens, i // 2 as cache_create, i // 8 as cache_1h, i // 3 as cache_read
         from (select conv_id, coalesce(sum(length(text)) filter (role = 'user'), 0)::bigint as i, coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as o from conversations group by conv_id)""",
     "prices_v": "select * from (values ('m-small', 1.0::double, 5.0::double, 1.25::double, 2.0::double, 0.1::double), ('m-mid', 3.0, 15.0, 3.75, 6.0, 0.3), ('m-large', 5.0, 25.0, 6.25, 10.0, 0.5)) p(model, p_input, p_output, p_write_5m, p_write_1h, p_read)",

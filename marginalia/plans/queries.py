@@ -555,9 +555,69 @@ def _(c: Corpus) -> DataFrame:
     return layout.demoted(c.pages.select(*PAGE, "page_type", F.left("body", (F.col("doc_id") % 40).cast("int")).alias("text"))).select(*PAGE, "page_type")
 
 
-@query("l14_stream_text", hold=True)
+def run_together(c: Corpus) -> DataFrame:
+    """Two neighbouring words of a line each as one, as a text layer with narrow spaces gives them."""
+    pair = [*PAGE, F.expr("word_no div 2").alias("pair"), "top"]
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda w: w["text"]), "")
+    rows = words(c).groupBy(*pair).agg(F.min("word_no").alias("word_no"), text.alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("size").alias("size"))
+    return rows.select(*PAGE, "word_no", "text", "x0", "x1", "top", "size")
+
+
+def characters(c: Corpus) -> DataFrame:
+    """The letters of the words with their boxes: some narrower, some lower, some without a size."""
+    each = words(c).select(*PAGE, "x0", "top", "size", F.posexplode(F.split("text", "")).alias("i", "text"))
+    left, i = F.col("x0") + 6 * F.col("i"), F.col("i")
+    size = F.when(i % 4 == 1, F.lit(None)).when(i % 4 == 2, 0.0).otherwise(F.col("size"))
+    return each.select(*PAGE, "text", left.alias("x0"), (left + 6 - F.when(i % 7 == 3, 1.5).otherwise(0.0)).alias("x1"), (F.col("top") + i % 3).alias("top"), size.alias("size"))
+
+
+_CHARS = """select book_id, page_index, row_top, text[i] as ch, x0 + 6 * (i - 1) as cx0, x0 + 6 * i - case when (i - 1) % 7 = 3 then 1.5 else 0 end as cx1, case when (i - 1) % 4 = 1 then null when (i - 1) % 4 = 2 then 0.0 else size end as csize
+    from (select book_id, page_index, top as row_top, text, x0, size, unnest(range(1, length(text) + 1)) as i from words)"""
+
+
+@query("l2_split_words", f"""select book_id, page_index, word_no, coalesce(part, 0)::bigint as part, coalesce(ptext, text) as text, coalesce(px0, x0) as x0, coalesce(px1, x1) as x1, top, size from
+    (select book_id, page_index, min(word_no) as word_no, top, string_agg(text, '' order by word_no) as text, min(x0) as x0, max(x1) as x1, max(size) as size from words group by book_id, page_index, word_no // 2, top) w left join
+    (select * from (select *, count(*) over (partition by book_id, page_index, word_no) as parts from (select book_id, page_index, word_no, part, string_agg(ch, '' order by cx0) as ptext, min(cx0) as px0, arg_max(cx1, cx0) as px1 from
+        (select *, sum(new) over (partition by book_id, page_index, word_no order by cx0) as part from (select *, case when cx0 - lag(cx1) over o >= greatest(1.2, 0.18 * coalesce(nullif(csize, 0), nullif(lag(csize) over o, 0), nullif(wsize, 0), 10.0)) then 1 else 0 end as new from
+            (select c.*, m.word_no, m.size as wsize from (select book_id, page_index, min(word_no) as word_no, top, min(x0) as x0, max(x1) as x1, max(size) as size from words group by book_id, page_index, word_no // 2, top) m join ({_CHARS}) c
+             on c.book_id = m.book_id and c.page_index = m.page_index and c.row_top = m.top and c.cx0 >= m.x0 - 0.5 and c.cx1 <= m.x1 + 0.5) window o as (partition by book_id, page_index, word_no order by cx0))) group by all)) where parts > 1) using (book_id, page_index, word_no)""", hold=True)
+def _(c: Corpus) -> DataFrame:
+    return layout.split_words(run_together(c), characters(c)).select(*PAGE, "word_no", F.col("part").cast("long").alias("part"), "text", "x0", "x1", "top", "size")
+
+
+def signs(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    """Shapes drawn before every sixth word, two each, and the points of most of them."""
+    left = F.col("x0") - 5 + F.col("k")
+    shapes = words(c).where("word_no % 6 = 1").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).select(*PAGE, "word_no", (F.col("word_no") * 2 + F.col("k")).alias("shape_no"), left.alias("x0"), (left + 2).alias("x1"), (F.col("top") + 2).alias("top"), (F.col("top") + 6).alias("bottom"))
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    corners = F.array(point(F.col("x0"), F.col("top")), point(F.col("x1"), F.col("top") + F.col("word_no") % 3), point(F.col("x0") + 1, F.col("bottom")))
+    return shapes.drop("word_no"), shapes.where("word_no % 4 <> 3").select(*PAGE, "shape_no", F.explode(corners).alias("p")).select(*PAGE, "shape_no", "p.x", "p.y")
+
+
+def shapes_in_gaps(c: Corpus) -> DataFrame:
+    return layout.gap_shapes(layout.lined(words(c)), signs(c)[0])
+
+
+query("j7_gap_shapes", "select book_id, page_index, gap_no, shape_no from gap_shapes", hold=True)(shapes_in_gaps)
+
+
+def glyphs(c: Corpus) -> DataFrame:
+    return layout.gap_glyphs(shapes_in_gaps(c), signs(c)[1])
+
+
+query("l13_glyph_ids", "select * from glyphs", hold=True)(glyphs)
+
+
+@query("l14_stream_text", r"""select * from (with hb as (""" + _HEADER_BOTTOM + r"""), sw as (select w.book_id, w.page_index, w.column_no, w.word_no, w.text, w.x0, w.x1, w.top, w.size, case when w.top < f.fn_top then 'body' else 'footnote' end as stream from column_words w join fn_tops f using (book_id, page_index, column_no) left join hb using (book_id, page_index) where w.top >= coalesce(header_bottom, 0)),
+    sm as (select *, median(size) over (partition by book_id, page_index, column_no, stream) as median_size from sw),
+    sp as (select s.*, case when size < 0.75 * median_size and regexp_full_match(text, '[^0-9]*[0-9]+[^0-9]*') then regexp_replace(text, '^([^0-9]*)([0-9]+)([^0-9]*)$', '[^]') else text end as mark, s.x0 - lag(s.x1) over o as gap, g.glyph_id from sm s left join glyphs g on g.book_id = s.book_id and g.page_index = s.page_index and g.gap_no = s.word_no window o as (partition by s.book_id, s.page_index, s.column_no, s.stream, s.top order by s.x0, s.word_no)),
+    sl as (select book_id, page_index, column_no, stream, top, string_agg(case when gap is null then '' when gap > 2 and glyph_id is not null then ' ⟨glyph-' || glyph_id || '⟩ ' when gap >= greatest(1.2, 0.18 * size) then ' ' else '' end || mark, '' order by x0, word_no) as line from sp group by all),
+    sj as (select *, coalesce(regexp_matches(lag(line) over w, '\pL-$') and regexp_matches(line, '^\pL'), false) as j from sl window w as (partition by book_id, page_index, column_no, stream order by top)),
+    sr as (select *, sum(1 - j::int) over (partition by book_id, page_index, column_no, stream order by top) as run from sj),
+    st as (select book_id, page_index, column_no, stream, trim(string_agg(line, chr(10) order by run)) as text from (select book_id, page_index, column_no, stream, run, string_agg(line, '' order by top) as line from sr group by all) group by all)
+    select book_id, page_index, coalesce(max(text) filter (stream = 'body'), '') as body, coalesce(max(text) filter (stream = 'footnote'), '') as footnotes from (select book_id, page_index, stream, string_agg(text, chr(10) || chr(10) order by column_no) as text from st where text <> '' group by all) group by all)""", hold=True)
 def _(c: Corpus) -> DataFrame:
-    return layout.stream_texts(column_words(c), fn_tops(c), header_bottoms(c))
+    return layout.stream_texts(column_words(c), fn_tops(c), header_bottoms(c), glyphs(c))
 
 
 @query("l15_dehyphenate", """select book_id, page_index, run as line_no, string_agg(line, '' order by n) as line from (select *, sum(1 - j::int) over (partition by book_id, page_index order by n) as run from (select *, coalesce(regexp_matches(lag(line) over w, '\\pL-$') and regexp_matches(line, '^\\pL'), false) as j
