@@ -2,16 +2,18 @@
 
 Index. The texts are read once and become segments of some MB: the rows' ids and numbers of terms, and for each term that
 is asked for its documents and occurrences. From all segments come the corpus' counts (documents, terms, and in how many
-documents each term is). With these a second step stores impacts, that is what a term adds to a document's score, and the
-intersection lists: for each pair of terms that are neighbours in some item's order (by rising weight, then by term) the
-documents that hold both, and with each list the highest joint impact. It is often far below the sum of both terms' own
-maxima, since few documents are the best for both.
+documents each term is). With these a second step stores impacts, that is what a term adds to a document's score (without
+the term's weight, which is one number for all), and the intersection lists: for each pair of terms that are neighbours in
+some item's order (by rising weight, then by term) the documents that hold both, and with each list the highest joint
+impact. It is often far below the sum of both terms' own maxima, since few documents are the best for both.
 
 Search. A task goes through its segments with the k best scores of each item so far; the last of them is the threshold.
 The bound of an item's first i terms is the least of two combinations: that of i-1 terms and the i-th term's maximum, or
 that of i-2 terms and the bound of the pair (the highest of its joint maximum and of either term's own). Terms whose bound
-is below the threshold only complete documents that others name; a document is given up as soon as its score so far and
-the bound of the terms that are left are below. Equal scores are never given up, so ties by doc_id come out right.
+is below the threshold only complete documents that others name. Of the pairs after them, as far as documents without both
+terms of a pair stay below, only the intersection lists name documents, not the terms' own. A document is given up as soon
+as its score so far and the bound of the terms that are left are below. Equal scores are never given up, so ties by doc_id
+come out right.
 
 Each task gives at most k rows an item; the best k are chosen among groups of tasks, then among those. Items are taken in
 blocks of `block_items`, a pass over the texts each: their terms and counts are what is sent to the tasks, so its size is
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from marginalia.llm import wordspans as ws
 from marginalia.llm.common import column, ints, offsets, slices, table, written
 
-TOP, SEGMENT_BYTES, SEGMENT_ROWS, BLOCK_ITEMS = 50, 16 << 20, 1 << 16, 1000
+TOP, SEGMENT_BYTES, SEGMENT_ROWS, BLOCK_ITEMS = 50, 8 << 20, 1 << 16, 1000
 #: Bytes that no term has: ASCII but for digits and letters.
 CUT = np.zeros(256, bool)
 CUT[:128] = [not chr(b).isalnum() for b in range(128)]
@@ -135,38 +137,42 @@ def weight(holding: int, df: int) -> int:
     return math.floor(1000 * math.log((2 * holding + 2) / (2 * df + 1)))
 
 
-def impacts(weights: np.ndarray, tf: np.ndarray, n: np.ndarray, holding: int, total: int) -> np.ndarray:
-    """What terms of these weights add to documents with so many occurrences of them and n terms in all."""
+def impacts(tf: np.ndarray, n: np.ndarray, holding: int, total: int) -> np.ndarray:
+    """What a term of weight 1 adds to documents with so many occurrences of it and n terms in all; below 10^6."""
     m = 100 - 50 + (50 * n * holding) // total
-    return weights * ((1_000_000_000 * tf) // (1000 * tf + 20 * m))
+    return (1_000_000_000 * tf) // (1000 * tf + 20 * m)
 
 
-_INDEX = "segment long, ids array<long>, term binary, bound binary, doc binary, impact binary, pair binary, pair_bound binary, pair_doc binary, joint binary, highest binary"
+_INDEX = "segment long, ids array<long>, term binary, bound binary, doc binary, impact binary, pair binary, pair_bound binary, pair_doc binary, joint binary"
 
 
 def index(parts: DataFrame, weights: np.ndarray, pairs: np.ndarray, holding: int, total: int) -> DataFrame:
-    """The segments with impacts, and the intersection lists of pairs (two columns of term numbers) with their highest joint
-    impact."""
+    """The segments with impacts, and the intersection lists of pairs (two columns of term numbers, sorted) with their
+    highest joint impact."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 term, bound = np.array(row["term"], np.int64), offsets(np.array(row["df"], np.int64))
                 doc, tf, n = (np.frombuffer(row[c], d).astype(np.int64) for c, d in (("doc", "<u2"), ("tf", "<u4"), ("n", "<u4")))
-                impact = impacts(np.repeat(weights[term], np.diff(bound)), tf, n[doc], holding, total)
+                impact = impacts(tf, n[doc], holding, total)
                 at = np.full(len(weights), -1)
                 at[term] = np.arange(len(term))
                 mine = np.flatnonzero((at[pairs[:, 0]] >= 0) & (at[pairs[:, 1]] >= 0))
-                lists, joint, kept = [], [], []
+                lists, joint, kept, left, of_left = [], [], [], -1, np.zeros(len(n), np.int64)
                 for p, (a, b) in zip(mine.tolist(), at[pairs[mine]].tolist()):
-                    x, y = slice(bound[a], bound[a + 1]), slice(bound[b], bound[b + 1])
-                    both, i, j = np.intersect1d(doc[x], doc[y], assume_unique=True, return_indices=True)
-                    if len(both):
+                    if a != left:  # pairs of one term follow each other
+                        of_left[doc[bound[left] : bound[left + 1]] if left >= 0 else []] = 0
+                        of_left[doc[bound[a] : bound[a + 1]]] = weights[term[a]] * impact[bound[a] : bound[a + 1]] + 1
+                        left = a
+                    also = of_left[doc[bound[b] : bound[b + 1]]]
+                    both = also > 0
+                    if both.any():
                         kept.append(p)
-                        lists.append(both)
-                        joint.append(impact[x][i] + impact[y][j])
-                empty = [np.zeros(0, np.int64)]
-                columns = [term.astype("<i4"), bound.astype("<i8"), doc.astype("<u2"), impact.astype("<i8"), np.array(kept, "<i4"), offsets(np.array([len(x) for x in lists], np.int64)).astype("<i8"), np.concatenate(lists or empty).astype("<u2"), np.concatenate(joint or empty).astype("<i8"), np.array([x.max() for x in joint], "<i8")]
+                        lists.append(doc[bound[b] : bound[b + 1]][both])
+                        joint.append(int((also[both] - 1 + weights[term[b]] * impact[bound[b] : bound[b + 1]][both]).max()))
+                columns = [term.astype("<i4"), bound.astype("<i8"), doc.astype("<u2"), impact.astype("<u4"), np.array(kept, "<i4"), offsets(np.array([len(x) for x in lists], np.int64)).astype("<i8"), np.concatenate(lists or [np.zeros(0, np.int64)]).astype("<u2"), np.array(joint, "<i8")]
                 yield pa.RecordBatch.from_arrays([pa.array([row["segment"]], pa.int64()), pa.array([row["ids"]], pa.list_(pa.int64())), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], names=[f.split()[0] for f in _INDEX.split(", ")])
 
     return parts.select("segment", "ids", "n", "term", "df", "doc", "tf").mapInArrow(task, _INDEX)
@@ -191,25 +197,32 @@ class Best:
 class Segment:
     """One row of the index, opened."""
 
-    def __init__(self, row: dict, terms: int, pairs: int):
-        read = lambda c, d: np.frombuffer(row[c], d).astype(np.int64)
-        self.rows = len(row["ids"])
+    def __init__(self, row: dict, weights: np.ndarray, pairs: int):
+        read = lambda c, d: np.frombuffer(row[c], d)
+        self.rows, self.weights = len(row["ids"]), weights
         self.none = np.array([i is None for i in row["ids"]], bool)
         self.ids = np.array([i or 0 for i in row["ids"]], np.int64)
-        term, self.bound, self.doc, self.impact = read("term", "<i4"), read("bound", "<i8"), read("doc", "<u2"), read("impact", "<i8")
-        self.at, self.most = np.full(terms, -1), np.zeros(terms, np.int64)
+        term, self.bound, self.doc, self.impact = read("term", "<i4"), read("bound", "<i8"), read("doc", "<u2"), read("impact", "<u4")
+        self.at, self.most = np.full(len(weights), -1), np.zeros(len(weights), np.int64)
         self.at[term] = np.arange(len(term))
         if len(term):
-            self.most[term] = np.maximum.reduceat(self.impact, self.bound[:-1])
-        self.joint = np.zeros(pairs, np.int64)
-        self.joint[read("pair", "<i4")] = read("highest", "<i8")
+            self.most[term] = weights[term] * np.maximum.reduceat(self.impact, self.bound[:-1]).astype(np.int64)
+        pair, self.pair_bound, self.pair_doc = read("pair", "<i4"), read("pair_bound", "<i8"), read("pair_doc", "<u2")
+        self.pair_at, self.joint = np.full(pairs, -1), np.zeros(pairs, np.int64)
+        self.pair_at[pair], self.joint[pair] = np.arange(len(pair)), read("joint", "<i8")
 
     def postings(self, term: int) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.bound[self.at[term]], self.bound[self.at[term] + 1]
-        return self.doc[a:b], self.impact[a:b]
+        """A term's documents and what it adds to them."""
+        i = self.at[term]
+        part = slice(self.bound[i], self.bound[i + 1]) if i >= 0 else slice(0)
+        return self.doc[part].astype(np.int64), self.weights[term] * self.impact[part].astype(np.int64)
+
+    def holding_both(self, pair: int) -> np.ndarray:
+        i = self.pair_at[pair]
+        return self.pair_doc[self.pair_bound[i] : self.pair_bound[i + 1]] if i >= 0 else self.pair_doc[:0]
 
     def bounds(self, terms: np.ndarray, pairs: np.ndarray) -> list[int]:
-        """For i from 0, the most that the first i terms add to any document; pairs: of each term and the one before it."""
+        """For i from 0, the most that the first i terms add to any document; pairs: of each term and the one after it."""
         most, joint = self.most[terms].tolist(), self.joint[pairs].tolist()
         out = [0]
         for i, x in enumerate(most):
@@ -224,11 +237,19 @@ class Segment:
         if bounds[-1] < least:
             return
         split = next(i for i in range(len(terms), -1, -1) if bounds[i] < least)  # bounds[0] is 0
-        named = [self.postings(t) for t in terms[split:].tolist() if self.at[t] >= 0]
-        if not named:
-            return
-        score = np.bincount(np.concatenate([d for d, _ in named]), np.concatenate([x for _, x in named]), self.rows).astype(np.int64)
-        doc = np.flatnonzero(score)
+        apart, listed = bounds[split], []  # the most that a document adds which no list names
+        while split + 2 <= len(terms) and apart + (one := max(self.most[terms[split]], self.most[terms[split + 1]])) < least:
+            listed.append(self.holding_both(pairs[split]))
+            apart, split = apart + one, split + 2
+        score = np.zeros(self.rows, np.int64)
+        named = np.zeros(self.rows, bool)
+        for t in terms[split:].tolist():
+            d, x = self.postings(t)
+            score[d] += x
+            named[d] = True
+        for d in listed:
+            named[d] = True
+        doc = np.flatnonzero(named)
         score = score[doc]
         for i in range(split, 0, -1):
             open_ = score + bounds[i] >= least
@@ -236,29 +257,29 @@ class Segment:
                 doc, score = doc[open_], score[open_]
             if not len(doc):
                 return
-            if self.at[terms[i - 1]] >= 0:
-                d, x = self.postings(int(terms[i - 1]))
+            d, x = self.postings(int(terms[i - 1]))
+            if len(d):
                 at = np.minimum(np.searchsorted(d, doc), len(d) - 1)
                 score = score + np.where(d[at] == doc, x[at], 0)
         keep = score >= least
         best.add(score[keep], self.ids[doc[keep]], self.none[doc[keep]])
 
 
-def found(indexed: DataFrame, items: list[tuple[np.ndarray, np.ndarray]], terms: int, pairs: int, k: int = TOP) -> DataFrame:
+def found(indexed: DataFrame, items: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray, pairs: int, k: int = TOP) -> DataFrame:
     """item (its number), task, doc_id and score: each task's k best of each item."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [Best(k) for _ in items]
         for batch in batches:
-            for row in batch.to_pylist():
-                segment = Segment(row, terms, pairs)
+            for i in range(batch.num_rows):
+                segment = Segment(batch.slice(i, 1).to_pylist()[0], weights, pairs)
                 for (own, neighbours), b in zip(items, best):
                     segment.search(own, neighbours, b)
         size = [len(b.score) for b in best]
         ids = pa.array(np.concatenate([b.id for b in best]), mask=np.concatenate([b.none for b in best]))
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(items)), size), pa.int32()), pa.array(np.full(sum(size), TaskContext.get().partitionId()), pa.int32()), ids, pa.array(np.concatenate([b.score for b in best]))], names=["item", "task", "doc_id", "score"])
 
-    return indexed.select("ids", "term", "bound", "doc", "impact", "pair", "highest").mapInArrow(task, "item int, task int, doc_id long, score long")
+    return indexed.drop("segment").mapInArrow(task, "item int, task int, doc_id long, score long")
 
 
 def _ranked(docs: DataFrame, block: dict[int | None, set[bytes]], k: int, segment_bytes: int) -> DataFrame:
@@ -276,7 +297,7 @@ def _ranked(docs: DataFrame, block: dict[int | None, set[bytes]], k: int, segmen
     place = {p: i for i, p in enumerate(pairs)}
     items = [(np.array(own, np.int64), np.array([place[p] for p in zip(own, own[1:])], np.int64)) for own in orders.values()]
     indexed = written(index(parts, weights, np.array(pairs, np.int64).reshape(-1, 2), holding, total), "impacts")
-    hits = written(found(indexed, items, len(terms), len(pairs), k), "hits")
+    hits = written(found(indexed, items, weights, len(pairs), k), "hits")
     order = [F.desc("score"), F.asc_nulls_last("doc_id")]
     some = hits.withColumn("place", F.row_number().over(Window.partitionBy("item", F.expr("task div 512")).orderBy(*order))).where(F.col("place") <= k)
     top = some.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(*order))).where(F.col("rank") <= k)

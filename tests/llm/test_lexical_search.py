@@ -80,7 +80,7 @@ def test_pair_bounds_hold_and_are_tighter(spark, sf):
     pairs = sorted({p for o in orders for p in zip(o.tolist(), o[1:].tolist())})
     place = {p: i for i, p in enumerate(pairs)}
     indexed = ls.index(parts, weights, np.array(pairs), row["holding"], row["total"]).collect()[0]
-    segment, tighter = ls.Segment(indexed.asDict(), len(terms), len(pairs)), 0
+    segment, tighter = ls.Segment(indexed.asDict(), weights, len(pairs)), 0
     for order in orders:
         own = np.array([place[p] for p in zip(order.tolist(), order[1:].tolist())], int)
         bounds = segment.bounds(order, own)
