@@ -210,3 +210,17 @@ def generation_label(g: Column) -> Column:
     """effort@max_tokens, else effort, else model, else unknown."""
     effort, most, model = (F.nullif(g[k].cast("string"), F.lit("")) for k in ("effort", "max_tokens", "model"))
     return F.coalesce(F.when(effort.isNotNull() & most.isNotNull(), F.concat_ws("@", effort, most)), effort, model, F.lit("unknown"))
+
+
+def rounded(x: Column, places: int) -> Column:
+    """x rounded to so many decimal places as its exact value asks for; exact halves to even.
+
+    x times ten to the places, rounded to a double, can be a half though x is a little more or less. What that product lost
+    is told exactly (the factor is multiplied with the two halves of x's digits), and then decides."""
+    by = float(10**places)
+    product = x * by
+    high = x * 134217729.0 - (x * 134217729.0 - x)  # 2 to the 27th, and one: the leading half of the digits
+    lost = (high * by - product) + (x - high) * by
+    down = F.floor(product).cast("double")
+    half = product - down == 0.5
+    return F.when(half & (lost > 0), down + 1).when(half & (lost < 0), down).otherwise(F.rint(product)) / by

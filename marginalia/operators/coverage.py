@@ -38,12 +38,11 @@ def intervals(spans: DataFrame) -> DataFrame:
 
 
 def coverage(norm: DataFrame, merged: DataFrame) -> DataFrame:
-    """Characters of each stream, how many are covered, and their share to three places, halves to even (1 for an empty
-    stream)."""
+    """Characters of each stream, how many are covered, and their share to three places (1 for an empty stream)."""
     got = merged.groupBy(*STREAM).agg(F.sum(F.col("end_at") - F.col("start_at")).alias("covered"))
     sizes = norm.select(*PAGE, F.expr("stack(2, 'body', length(body_norm), 'footnote', length(foot_norm)) as (stream, total_chars)"))
     c = F.coalesce("covered", F.lit(0))
-    return sizes.join(got, STREAM, "left").select(*STREAM, F.col("total_chars").cast("long").alias("total_chars"), c.cast("long").alias("covered_chars"), F.when(F.col("total_chars") == 0, 1.0).otherwise(F.rint(c.cast("double") / F.col("total_chars") * 1000) / 1000).alias("ratio"))
+    return sizes.join(got, STREAM, "left").select(*STREAM, F.col("total_chars").cast("long").alias("total_chars"), c.cast("long").alias("covered_chars"), F.when(F.col("total_chars") == 0, 1.0).otherwise(T.rounded(c.cast("double") / F.col("total_chars"), 3)).alias("ratio"))
 
 
 def sentence_places(norm: DataFrame) -> DataFrame:
@@ -53,13 +52,26 @@ def sentence_places(norm: DataFrame) -> DataFrame:
     return sents.withColumn("a", F.coalesce(before, F.lit(0))).withColumn("b", F.col("a") + F.length("sent"))
 
 
+def covered_parts(parts: DataFrame, merged: DataFrame, number: str, text: str) -> DataFrame:
+    """parts (STREAM, number, text, a, b) with `covered`: how much of a to b the merged intervals cover.
+
+    One sweep over each stream's sorted places: what is covered up to a place is, of the intervals' starts and ends up to
+    there, the place times the number that are open, less the sum of the starts, plus that of the ends. A part is the
+    difference of two such values, so parts never meet intervals. The text travels with its end alone."""
+    ends = merged.select(*STREAM, F.expr("stack(2, cast(start_at as bigint), 1, cast(end_at as bigint), -1) as (x, open)"))
+    places = parts.select(*STREAM, number, F.expr(f"stack(2, a, -1, cast(null as string), b, 1, {text}) as (x, side, {text})"))
+    order = Window.partitionBy(*STREAM).orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # dealt out after the union: its two sides are, each, but their partitions may be coalesced apart
+    swept = places.unionByName(ends, allowMissingColumns=True).repartition(*STREAM)
+    upto = F.col("x") * F.coalesce(F.sum("open").over(order), F.lit(0)) - F.coalesce(F.sum(F.col("x") * F.col("open")).over(order), F.lit(0))
+    return swept.withColumn("upto", upto).where("side is not null").groupBy(*STREAM, number).agg(F.max(text).alias(text), F.min("x").alias("a"), F.max("x").alias("b"), F.sum(F.col("upto") * F.col("side")).alias("covered"))
+
+
 def gaps(norm: DataFrame, merged: DataFrame, threshold: float = 0.5, least: int = 15) -> DataFrame:
     """Sentences of at least `least` characters of which less than `threshold` is covered; the share is given to two places."""
     sents = sentence_places(norm).where(F.length("sent") >= least)
-    met = sents.join(merged, STREAM, "left")
-    part = F.greatest(F.lit(0), F.least("b", "end_at") - F.greatest("a", "start_at"))
-    share = met.groupBy(*STREAM, "sent_no", "a", "b", "sent").agg(F.coalesce(F.sum(part), F.lit(0)).alias("covered")).withColumn("coverage", F.col("covered").cast("double") / (F.col("b") - F.col("a")))
-    return share.where(F.col("coverage") < threshold).select(*STREAM, F.col("sent_no").cast("long").alias("sent_no"), F.col("sent").alias("text"), (F.rint(F.col("coverage") * 100) / 100).alias("coverage"))
+    share = covered_parts(sents, merged, "sent_no", "sent").withColumn("coverage", F.col("covered").cast("double") / (F.col("b") - F.col("a")))
+    return share.where(F.col("coverage") < threshold).select(*STREAM, F.col("sent_no").cast("long").alias("sent_no"), F.col("sent").alias("text"), T.rounded(F.col("coverage"), 2).alias("coverage"))
 
 
 def redo_list(cover: DataFrame, sections: DataFrame, bound: float = 0.5, prose_only: bool = True) -> DataFrame:

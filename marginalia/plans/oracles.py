@@ -84,12 +84,12 @@ VIEWS = {
         join streams using (book_id, page_index, stream) where q <> '' and strpos(norm, q) > 0""",
     "intervals": """select book_id, page_index, stream, min(a) as start_at, max(b) as end_at from (select *, sum(new) over (partition by book_id, page_index, stream order by a, b rows unbounded preceding) as island
         from (select *, case when r is null or a > r then 1 else 0 end as new from (select *, max(b) over (partition by book_id, page_index, stream order by a, b rows between unbounded preceding and 1 preceding) as r from covered_spans))) group by book_id, page_index, stream, island""",
-    "coverage": """select s.book_id, s.page_index, s.stream, length(norm)::bigint as total_chars, coalesce(c, 0)::bigint as covered_chars, case when length(norm) = 0 then 1.0::double else round_even(coalesce(c, 0)::double / length(norm), 3) end as ratio
+    "coverage": """select s.book_id, s.page_index, s.stream, length(norm)::bigint as total_chars, coalesce(c, 0)::bigint as covered_chars, case when length(norm) = 0 then 1.0::double else printf('%.3f', coalesce(c, 0)::double / length(norm))::double end as ratio
         from streams s left join (select book_id, page_index, stream, sum(end_at - start_at) as c from intervals group by all) using (book_id, page_index, stream)""",
     "places": """select *, a + length(sent) as b from (select *, coalesce(sum(length(sent) + 1) over (partition by book_id, page_index, stream order by sent_no rows between unbounded preceding and 1 preceding), 0) as a
         from (select book_id, page_index, stream, n - 1 as sent_no, s[n] as sent from (select *, unnest(range(1, len(s) + 1)) as n from (select book_id, page_index, stream,
         string_split(regexp_replace(norm, '([.!?]) ([A-Z''"(])', '\\1' || chr(10) || '\\2', 'g'), chr(10)) as s from streams where norm <> ''))))""",
-    "gaps": """select book_id, page_index, stream, sent_no, text, round_even(coverage, 2) as coverage from (select p.book_id, p.page_index, p.stream, p.sent_no, p.sent as text, coalesce(sum(greatest(0, least(p.b, i.end_at) - greatest(p.a, i.start_at))), 0)::double / (p.b - p.a) as coverage
+    "gaps": """select book_id, page_index, stream, sent_no, text, printf('%.2f', coverage)::double as coverage from (select p.book_id, p.page_index, p.stream, p.sent_no, p.sent as text, coalesce(sum(greatest(0, least(p.b, i.end_at) - greatest(p.a, i.start_at))) filter (i.start_at is not null), 0)::double / (p.b - p.a) as coverage
         from places p left join intervals i using (book_id, page_index, stream) where length(p.sent) >= 15 group by p.book_id, p.page_index, p.stream, p.sent_no, p.sent, p.a, p.b) where coverage < 0.5""",
     "hdr": """select book_id, top_line, count(*) as n, min(page_index) as f from heads where top_line <> '' group by all having count(*) >= 2 or
         (length(regexp_replace(top_line, '[^\\pL]', '', 'g')) >= 4 and 5 * length(regexp_replace(top_line, '[^\\p{Lu}]', '', 'g')) >= 4 * length(regexp_replace(top_line, '[^\\pL]', '', 'g')))""",
