@@ -55,9 +55,12 @@ VIEWS = {
     "kept_relations": "select r.* from relations r semi join (select book_id, page_index, statement_id as src from kept) a using (book_id, page_index, src) semi join (select book_id, page_index, statement_id as dst from kept) b using (book_id, page_index, dst)",
     "dropped": """select book_id, page_index, 'evidence' as kind, evidence_id as id, 'quote not found on page' as reason from flagged where not anchored
         union all select book_id, page_index, 'statement', statement_id, 'ungrounded after anchor gate' from statements anti join kept using (book_id, page_index, statement_id)""",
+    "page_terms": "select book_id, page_index, 't-' || k::varchar as term_id from statements where k % 5 = 0",
+    "all_relations": "select book_id, page_index, src, dst from relations union all select book_id, page_index, statement_id, 't-' || (k - k % 5)::varchar from statements where k % 4 = 0",
     "ref_problems": """select book_id, page_index, 'missing evidence' as rule, statement_id as item, evidence_id as detail from refs anti join evidence using (book_id, page_index, evidence_id)
-        union all select book_id, page_index, 'unknown endpoint', item, detail from (select book_id, page_index, src as item, src as detail from relations union all select book_id, page_index, src, dst from relations) x
-        anti join (select book_id, page_index, statement_id as detail from statements) y using (book_id, page_index, detail)""",
+        union all select book_id, page_index, 'unknown endpoint', item, detail from (select book_id, page_index, src as item, src as detail from all_relations union all select book_id, page_index, src, dst from all_relations) x
+        anti join (select book_id, page_index, statement_id as detail from statements union all select book_id, page_index, term_id from page_terms) y using (book_id, page_index, detail)
+        union all select book_id, page_index, 'missing term', statement_id, term_id from (select book_id, page_index, statement_id, 't-' || (k - k % 5)::varchar as term_id from statements) anti join page_terms using (book_id, page_index, term_id)""",
     "schema_problems": "select book_id, page_index, 'type' as rule, statement_id as item, type as detail from statements where type = 'remark'",
     "untraced": f"""select e.book_id, e.page_index, case when n.book_id is null then 'missing page' else 'not found' end as rule, e.evidence_id as item, e.cited::varchar as detail
         from (select *, coalesce(page_override, page_index) as cited from evidence where kind = 'text') e left join norm n on n.book_id = e.book_id and n.page_index = e.cited

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.operators import anchor, assemble, chapters, cost, coverage, dedup, export, layout, locate, propose, score, terms, validate
+from marginalia.operators import anchor, assemble, chapters, cost, coverage, dedup, export, layout, locate, propose, score, shape, terms, validate
 from marginalia.plans.oracles import _norm, sql
 from marginalia.sources import notes
 from marginalia.sources.shared import new_path
@@ -94,13 +94,58 @@ def _(c: Corpus) -> DataFrame:
 # --- validation ---
 
 
-@query("v1_schema", "select * from schema_problems")
+#: For every 23rd document: what of its notes is replaced by what, and the problems (rule, path, detail) that this makes.
+SPOILT = [
+    ('"schema_version":1', '"schema_version":2', [("const", "schema_version", "2")]),
+    ('"schema_version":1,', "", [("required", "<root>", "schema_version")]),
+    ('"schema_version":1', '"more":[2],"extra":{},"schema_version":1', [("unknown", "<root>", "extra,more")]),
+    ('"scope":"page"', '"scope":"book"', [("enum", "source/scope", "book")]),
+    ('"scope":"page"', '"scope":"chapter"', [("required", "source", "page_range")]),
+    ('"scope":"page","page_index"', '"page_ind"', [("unknown", "source", "page_ind"), ("required", "source", "page_index")]),
+    ('"document":"', '"document":"","page_label":"', [("minLength", "source/document", "")]),
+    ('"scope":"page"', '"scope":"chapter","page_range":[4,-1,9]', [("maxItems", "source/page_range", "3"), ("minimum", "source/page_range/1", "-1")]),
+    ('"schema_version":1', '"schema_version":1,"terms":[{"id":"t-a"},{"id":"T","label":""}]', [("required", "terms/0", "label"), ("pattern", "terms/1/id", "T"), ("minLength", "terms/1/label", "")]),
+    ('"evidence":[{', '"evidence":[{"bbox":[1,2,"x"],', [("minItems", "evidence/0/bbox", "3"), ("type", "evidence/0/bbox/2", "string")]),
+    ('"relations":[{"from":"s', '"relations":[{"from":"S', None),
+    ('"schema_version":1', '"schema_version":1,"generation":{"model":5,"temperature":1}', [("type", "generation/model", "number"), ("unknown", "generation", "temperature")]),
+    ('"schema_version":1', '"schema_version":1,"detected_language":""', [("minLength", "detected_language", "")]),
+    ('"statements":[', '"statements":[{"id":"e-1","type":"claim","text":"","evidence":[],"terms":["t-1","x"]},', [("pattern", "statements/0/id", "e-1"), ("minLength", "statements/0/text", ""), ("minItems", "statements/0/evidence", "0"), ("pattern", "statements/0/terms/1", "x")]),
+    ('"evidence":[{', '"evidence":[7,{"id":"e-new"},{"id":"e-old","kind":"figure"},{', [("type", "evidence/0", "number"), ("required", "evidence/1", "excerpt"), ("required", "evidence/1", "source")]),
+    ('{"schema_version"', '[{"schema_version"', [("type", "<root>", "list")]),
+]
+
+
+def spoilt_notes(c: Corpus) -> DataFrame:
+    """The nested notes of pages with statements, some of them spoilt."""
+    raw = F.col("notes")
+    for i, (old, new, _) in enumerate(SPOILT):
+        raw = F.when(F.col("doc_id") % 23 == i, F.concat(F.replace("notes", F.lit(old), F.lit(new)), F.lit("]" if new.startswith("[{") else ""))).otherwise(raw)
+    return nested_notes(c).join(c.numbers, PAGE).join(c.statements.select(*PAGE).distinct(), PAGE, "left_semi").select(*PAGE, raw.alias("notes"))
+
+
+def _planted() -> str:
+    rows = ", ".join("(%d, '%s', '%s', '%s')" % (i, rule, path, detail) for i, (_, _, found) in enumerate(SPOILT) for rule, path, detail in found or ())
+    pages = "(select distinct book_id, page_index, doc_id from statements)"
+    at = "case when doc_id % 23 = 13 then n else n - 1 end"  # one more statement stands before these
+    return f"""select book_id, page_index, rule, item, detail from {pages} p join (values {rows}) v(i, rule, item, detail) on p.doc_id % 23 = v.i
+        union all select book_id, page_index, 'pattern', 'relations/0/from', 'S' || substr(min_by(statement_id, k), 2) from statements where doc_id % 23 = 10 group by all
+        union all select book_id, page_index, 'enum', 'statements/' || ({at})::varchar || '/type', 'remark' from (select *, row_number() over (partition by book_id, page_index order by k) as n from statements) where type = 'remark' and doc_id % 23 <> 15"""
+
+
+@query("v1_schema", _planted())
 def _(c: Corpus) -> DataFrame:
-    return validate.schema(c.evidence, c.statements, c.relations)
+    return shape.notes_problems(spoilt_notes(c))
+
+
+def schema_problems(c: Corpus) -> DataFrame:
+    return validate.schema(c.evidence, c.statements, c.all_relations, c.terms, c.statement_terms)
+
+
+query("v1_flat_schema", "select * from schema_problems", hold=True)(schema_problems)
 
 
 def ref_problems(c: Corpus) -> DataFrame:
-    return validate.reference_problems(c.evidence, c.statements, c.references, c.relations)
+    return validate.reference_problems(c.evidence, c.statements, c.references, c.all_relations, c.terms, c.statement_terms)
 
 
 query("v2_references", "select * from ref_problems", hold=True)(ref_problems)
@@ -115,7 +160,7 @@ def _(c: Corpus) -> DataFrame:
 
 
 def floor_page(c: Corpus) -> DataFrame:
-    return score.floor_page(c.evidence, c.statements, ref_problems(c), validate.schema(c.evidence, c.statements, c.relations), validate.traceability(c.evidence, c.norm))
+    return score.floor_page(c.evidence, c.statements, ref_problems(c), schema_problems(c), validate.traceability(c.evidence, c.norm))
 
 
 query("f1_floor_page", "select * from floor_page", hold=True)(floor_page)
@@ -176,7 +221,7 @@ def _(c: Corpus) -> DataFrame:
     none = F.lit(-1).cast("long").alias("page_index")
     lost = floor_book(c).where("missing_pages <> ''").select("book_id", none, F.lit("completeness").alias("rule"), F.col("book_id").alias("item"), F.col("missing_pages").alias("detail"))
     mixed = score.generation_book(generation(c)).where("setting = 'mixed'").select("book_id", none, F.lit("generation").alias("rule"), F.col("book_id").alias("item"), F.col("distinct_settings").alias("detail"))
-    return ref_problems(c).unionByName(validate.schema(c.evidence, c.statements, c.relations)).unionByName(validate.traceability(c.evidence, c.norm)).unionByName(lost).unionByName(mixed)
+    return ref_problems(c).unionByName(schema_problems(c)).unionByName(validate.traceability(c.evidence, c.norm)).unionByName(lost).unionByName(mixed)
 
 
 def runs(c: Corpus) -> DataFrame:
@@ -808,9 +853,12 @@ def stored_notes(c: Corpus) -> DataFrame:
     return notes.parsed_notes(stored_raw(c))
 
 
+def nested_notes(c: Corpus) -> DataFrame:
+    return notes.nested(c.evidence.withColumn("pos", F.coalesce("k", F.lit(1 << 30))), c.statements.withColumn("pos", F.col("k")), c.relations.withColumn("pos", F.regexp_extract("src", r"s-(\d+)", 1).cast("int")))
+
+
 def stored_raw(c: Corpus) -> DataFrame:
-    tables = notes.nested(c.evidence.withColumn("pos", F.coalesce("k", F.lit(1 << 30))), c.statements.withColumn("pos", F.col("k")), c.relations.withColumn("pos", F.regexp_extract("src", r"s-(\d+)", 1).cast("int")))
-    return tables.join(c.numbers, PAGE).select(*PAGE, F.when(F.col("doc_id") % 31 == 0, "{broken").otherwise(F.col("notes")).alias("raw"))
+    return nested_notes(c).join(c.numbers, PAGE).select(*PAGE, F.when(F.col("doc_id") % 31 == 0, "{broken").otherwise(F.col("notes")).alias("raw"))
 
 
 @query("s2_read_notes", "select book_id, page_index, doc_id % 31 <> 0 as readable from (select distinct book_id, page_index, doc_id from (select book_id, page_index, doc_id from evidence union all select book_id, page_index, doc_id from statements))")
@@ -933,7 +981,9 @@ def _(c: Corpus) -> DataFrame:
     quotes = records.select(*place, name("e-", F.col("evidence_no")).alias("evidence_id"), "kind", "source", "excerpt")
     edges = chapter_relations(c).select(*place, name("s-", F.col("src_no")).alias("src"), name("s-", F.col("dst_no")).alias("dst"), "rel_type")
     references = statements.select(*PAGE, "statement_id", F.explode("refs").alias("evidence_id"))
-    problems = validate.schema(quotes, statements, edges).unionByName(validate.reference_problems(quotes, statements, references, edges))
+    used = chapter_terms(c).select(*place, name("s-", F.col("final_no")).alias("statement_id"), F.explode("terms").alias("term_id"))
+    known = used.select(*PAGE, "term_id", F.col("term_id").alias("label")).distinct()
+    problems = validate.schema(quotes, statements, edges, known, used).unionByName(validate.reference_problems(quotes, statements, references, edges, known, used))
     return problems.groupBy("book_id").agg(F.count_distinct("page_index").alias("failing"))
 
 

@@ -111,6 +111,23 @@ def relations(statements: DataFrame) -> DataFrame:
     return statements.select("book_id", "page_index", k.alias("pos"), F.col("statement_id").alias("src"), F.concat(F.lit("s-"), (k + 3).cast("string")).alias("dst"), pick(RELATIONS, k).alias("rel_type"))
 
 
+def terms(statements: DataFrame) -> DataFrame:
+    """book_id, page_index, pos, term_id, label: a term at every fifth sentence that gives a statement."""
+    k = F.col("k")
+    return statements.where(k % 5 == 0).select("book_id", "page_index", k.alias("pos"), F.concat(F.lit("t-"), k.cast("string")).alias("term_id"), F.concat(F.lit("term "), k.cast("string")).alias("label"))
+
+
+def statement_terms(statements: DataFrame) -> DataFrame:
+    """The term of the fifth sentence before a statement, which may not exist."""
+    return statements.select("book_id", "page_index", "statement_id", F.lit(0).alias("pos"), F.concat(F.lit("t-"), (F.col("k") - F.col("k") % 5).cast("string")).alias("term_id"))
+
+
+def term_relations(statements: DataFrame) -> DataFrame:
+    """Relations of every fourth statement with that term."""
+    k = F.col("k")
+    return statements.where(k % 4 == 0).select("book_id", "page_index", k.alias("pos"), F.col("statement_id").alias("src"), F.concat(F.lit("t-"), (k - k % 5).cast("string")).alias("dst"), F.lit("elaborates").alias("rel_type"))
+
+
 class Corpus:
     """The derived tables of one folder.
 
@@ -169,5 +186,18 @@ class Corpus:
     def relations(self) -> DataFrame:
         return relations(self.statements)
 
+    @property
+    def terms(self) -> DataFrame:
+        return terms(self.statements)
+
+    @property
+    def statement_terms(self) -> DataFrame:
+        return statement_terms(self.statements)
+
+    @property
+    def all_relations(self) -> DataFrame:
+        """The relations between statements, and those with terms."""
+        return self.relations.unionByName(term_relations(self.statements))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

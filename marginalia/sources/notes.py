@@ -60,7 +60,8 @@ def flattened(rows: DataFrame) -> dict[str, DataFrame]:
 
 
 def nested(evidence: DataFrame, statements: DataFrame, relations: DataFrame, order: str = "pos", terms: DataFrame | None = None, statement_terms: DataFrame | None = None) -> DataFrame:
-    """book_id, page_index and the notes-set as JSON: lists in the order of `order`, empty optional fields left out.
+    """book_id, page_index and the notes-set as JSON: lists in the order of `order`, empty optional fields left out, evidence and
+    statements always there. The document is the book.
 
     Optional: fields of evidence (those columns that it has), terms (term_id, label), statement_terms (statement_id, pos,
     term_id)."""
@@ -79,7 +80,9 @@ def nested(evidence: DataFrame, statements: DataFrame, relations: DataFrame, ord
     all_, lists = s.join(e, PAGE, "full").join(r, PAGE, "full"), ["evidence", "statements", "relations"]
     if terms is not None:
         all_, lists = all_.join(listed(terms, "terms", [F.col("term_id").alias("id"), F.col("label")]), PAGE, "left"), ["terms", *lists]
-    body = F.struct(F.lit(1).alias("schema_version"), F.struct(F.lit("page").alias("scope"), F.col("page_index")).alias("source"), *lists)
+    for name in ("evidence", "statements"):
+        all_ = all_.withColumn(name, F.coalesce(name, F.array().cast(all_.schema[name].dataType)))
+    body = F.struct(F.lit(1).alias("schema_version"), F.struct(F.col("book_id").alias("document"), F.lit("page").alias("scope"), F.col("page_index")).alias("source"), *lists)
     return all_.select(*PAGE, F.to_json(body, {"ignoreNullFields": "true"}).alias("notes"))
 
 

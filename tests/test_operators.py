@@ -40,6 +40,13 @@ def test_problems(gate_tables):
     norm, evidence, statements, references, relations = gate_tables
     assert sorted((r["rule"], r["item"]) for r in validate.traceability(evidence, norm).collect()) == [("missing page", "e-7"), ("not found", "e-2")]
     assert sorted((r["rule"], r["item"], r["detail"]) for r in validate.reference_problems(evidence, statements, references, relations).collect()) == [("missing evidence", "s-3", "e-9"), ("unknown endpoint", "s-1", "t-a"), ("unknown endpoint", "s-9", "s-9"), ("unknown endpoint", "s-9", "t-b")]
+    spark = evidence.sparkSession
+    terms = spark.createDataFrame([("b", 0, "t-a", "a"), ("b", 0, "x", "")], f"{P}, term_id string, label string")
+    used = spark.createDataFrame([("b", 0, "s-1", "t-a"), ("b", 0, "s-1", "t-none"), ("b", 0, "s-2", "e-1")], f"{P}, statement_id string, term_id string")
+    more = sorted((r["rule"], r["item"], r["detail"]) for r in validate.reference_problems(evidence, statements, references, relations, terms, used).collect())
+    assert more == [("missing evidence", "s-3", "e-9"), ("missing term", "s-1", "t-none"), ("missing term", "s-2", "e-1"), ("unknown endpoint", "s-9", "s-9"), ("unknown endpoint", "s-9", "t-b")]
+    extra = [(r["rule"], r["item"], r["detail"]) for r in validate.schema(evidence, statements, relations, terms, used).subtract(validate.schema(evidence, statements, relations)).collect()]
+    assert sorted(extra) == [("id", "x", "x"), ("label", "x", "empty"), ("reference", "s-2", "e-1")]
     found = sorted((r["rule"], r["item"]) for r in validate.schema(evidence, statements, relations).collect())
     assert found == [("source", "e-3"), ("text", "s-3"), ("type", "s-3")]
 
