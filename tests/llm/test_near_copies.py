@@ -4,6 +4,7 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -79,21 +80,36 @@ def test_rows_alike_but_for_a_column_leave_the_same_one_each_time(spark, sf):
     assert got[0] == got[1] == got[2] and len(got[0]) == 2
 
 
-def test_estimates_offer_all_unconnected_candidates():
+def test_links_within_and_across_blocks_connect_all_alike_nodes():
+    """Sets around a base, in components that are known in part; every alike pair whose first shared key this is gets connected."""
     r = np.random.default_rng(2)
-    minima = r.integers(0, 256, (1, 125)).repeat(300, axis=0).astype(np.uint8)
-    for row in minima:
-        at = r.choice(125, r.integers(0, 70), replace=False)
-        row[at] = r.integers(0, 256, len(at))
-    agree = (minima[:, None] == minima[None]).sum(axis=2)
-    nodes, component = np.arange(300) * 7, np.where(np.arange(300) < 100, 0, np.arange(300) // 3)  # one large component, others of three
-    want = {(7 * a, 7 * b) for a in range(300) for b in range(a + 1, 300) if agree[a, b] >= 80 and component[a] != component[b]}
-    for second in (np.zeros(300, bool), np.arange(300) % 2 == 1):
-        pairs, more = near_copies.partners(nodes, component, minima, second, 300, 80)
-        mine = {p for p in want if not second.any() or second[p[0] // 7] != second[p[1] // 7]}
-        assert set(map(tuple, pairs.tolist())) == mine and not more
-        pairs, more = near_copies.partners(nodes, component, minima, second, 3, 80)
-        assert more and set(map(tuple, pairs.tolist())) < mine and len(pairs) <= 900
+    base = np.sort(r.integers(0, 2**63, 300).astype(np.uint64))
+    sets = [np.sort(np.concatenate([r.choice(base, 300 - n, replace=False), r.integers(0, 2**63, n).astype(np.uint64)])) for n in r.integers(0, 60, 90)]
+    minima = near_copies.estimates(np.concatenate(sets), np.arange(91) * 300)
+    keys = r.integers(0, 3, (90, 25)) + np.arange(25) * 10  # key 10 * band + value
+    group_key = 41
+    keys[:, 4] = group_key
+    component, block, met = np.where(np.arange(90) < 20, 0, np.arange(90)), np.arange(90) % 2, np.arange(90) % 5 == 0
+    table = pa.table({"node": np.arange(90) * 7, "component": component, "minima": [m.tobytes() for m in minima], "set": pa.array([s.view(np.int64).tolist() for s in sets]), "keys": pa.array(keys.tolist()), "block": block, "met": met})
+    for a, b in ((0, 0), (1, 1), (0, 1)):
+        want = set()
+        for i, j in itertools.combinations(range(90), 2):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            first = keys[i][np.argmax(keys[i] == keys[j])]
+            if sorted((block[i], block[j])) == [a, b] and not (met[i] and met[j]) and first == group_key and component[i] != component[j] and 5 * shared >= 4 * (600 - shared):
+                want.add((i, j))
+        links = near_copies.Group(table).links(group_key, a, b) // 7
+        assert want and all(tuple(sorted(x)) in want for x in links.tolist())
+        assert parts(links.tolist(), component) == parts(want, component)
+
+
+def parts(links, component):
+    """The component of each node once links are in."""
+    label = list(component)
+    for i, j in links:
+        a, b = sorted((label[i], label[j]))
+        label = [a if x == b else x for x in label]
+    return label
 
 
 def test_estimates_of_pairs_at_the_limit_pass():
