@@ -11,8 +11,10 @@ letter and most words end after a few. A term of 5 letters or more may have one
 place, its first letter included; a stem also takes what follows it. Where no part of a token matches, the token is
 matched as it stands, with the digits and marks inside it. Each distinct word of a slice of texts is matched once.
 
-Context. A hit weighs 1, or half of that for each edit. An opening quotation mark at most `context` words before it and a
-closing one at most as many after it mark it as quoted; quoted and free hits are counted apart. A logistic regression over
+Context. A hit weighs 1, or half of that for each edit. It is quoted if a quotation is open where it stands: a mark at most
+`context` words before it opens one that no mark between them closes, and the first mark of that kind at most as many words
+after it closes it. Marks within a word (apostrophes) are none; straight marks open before and close behind what they
+touch. Quoted and free hits are counted apart. A logistic regression over
 free and quoted hits, their share of the words, the number of different terms and the edits gives the score; its weights are
 fitted on the same sample.
 
@@ -40,8 +42,9 @@ from marginalia.llm.language_id import id_hash_mod
 STEMS = range(5, 8)
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-#: Marks that open or close a quotation.
-_QUOTES = "\"“”„«»‘’‹›"
+#: Marks that open a quotation, and those that may close it.
+_CLOSES = {'"': '"', "“": "”“", "”": "”", "„": "“”", "«": "»", "»": "«»", "‹": "›", "›": "‹›", "‘": "’", "‚": "‘’"}
+_QUOTES = frozenset("".join((*_CLOSES, *_CLOSES.values())))
 
 
 def words_of(text: str) -> list[str]:
@@ -151,6 +154,33 @@ class Lexicon:
         return found
 
 
+def _marks(text: str) -> Iterator[tuple[str, bool, bool]]:
+    """Quotation marks of a text, and whether each may open or close a quotation; its ends count as parts of words."""
+    for i, c in enumerate(text):
+        if c in _QUOTES and 0 < i < len(text) - 1:
+            before, after = text[i - 1], text[i + 1]
+            if not (before.isalnum() and after.isalnum()):
+                yield c, not after.isspace() and not before.isalnum(), not before.isspace()
+
+
+def in_quotation(before: str, after: str) -> bool:
+    """Whether what stands between the two texts (a blank at the outer end of each) is quoted. before ends and after starts
+    with a letter of it."""
+    opened = None
+    for c, opens, closes in _marks(before):
+        if opened and c in _CLOSES[opened] and closes:
+            opened = None
+        elif not opened and c in _CLOSES and opens:
+            opened = c
+    if opened:
+        for c, opens, closes in _marks(after):
+            if c in _CLOSES[opened] and closes:
+                return True
+            if c == opened and opens:
+                return False
+    return False
+
+
 FEATURES = ("free", "quoted", "share", "different", "edited", "exact")
 
 
@@ -179,8 +209,10 @@ def featured(array: pa.Array, lexicon: Lexicon, context: int) -> np.ndarray:
     for i in at.tolist():
         d = int(doc[i])
         a, b = max(int(bound[d]), i - context), min(int(bound[d + 1]), i + context + 1)
-        before, after = raw[start[a] : start[i] + 4].decode("utf-8", "ignore"), raw[max(int(start[i]), int(end[i]) - 4) : end[b - 1]].decode("utf-8", "ignore")
-        quoted = any(q in before for q in _QUOTES) and any(q in after for q in _QUOTES)
+        token = raw[start[i] : end[i]].decode("utf-8")
+        letters = list(_WORD.finditer(token))
+        lead, rest = token[: letters[0].start() + 1], token[letters[-1].end() - 1 :]
+        quoted = in_quotation(f" {raw[start[a] : start[i]].decode('utf-8')}{lead}", f"{rest}{raw[end[i] : end[b - 1]].decode('utf-8')} ")
         hits[d] += [(t, k, quoted) for t, k in got[number[i]]]
     return np.array([_features(int(bound[d + 1] - bound[d]), h) for d, h in enumerate(hits)], np.float64).reshape(-1, len(FEATURES))
 
