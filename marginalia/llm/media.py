@@ -7,8 +7,9 @@ is padded with spaces to a positive multiple of 192.
 Sniffing. One Aho-Corasick automaton over all formats' magic bytes finds every place in a blob where a medium may
 start. A validator of that format confirms it: chunk layout, header fields, lengths that agree with each other and with
 what follows, checksums where the format has them; of a PNG the image is inflated too. The format confirmed at the start
-corrects the declared type; confirmed media elsewhere, outside those already taken, are carved out. Formats: those
-five in all their usual forms (WAV chunks in any order, BMP and PNG of any depth, PGM with comments), PPM, GIF and JPEG.
+corrects the declared type; confirmed media elsewhere, outside those already taken, are carved out. Formats: WAV (linear,
+float, A-law and mu-law samples, chunks in any order), AU (linear, float, A-law, mu-law, of stated length or up to the end), BMP
+and PNG of any depth, PGM and PPM with comments of any length, GIF and JPEG.
 
 Reading. Samples are the bytes of the medium's samples, rows without padding and filters; media whose samples aren't
 plain (GIF, JPEG, interlaced PNG, packed BMP) are confirmed and carved, but have no samples.
@@ -76,12 +77,19 @@ def _wav_parts(b: bytes | memoryview, at: int) -> tuple[tuple, int, int, int] |
     return (form, *data, end) if form and data and place in (end, end + 1) else None
 
 
+#: Codings whose samples all take as many bytes: linear, float, A-law, mu-law, and those told further on in the header.
+_WAV_PLAIN = (1, 3, 6, 7, 0xFFFE)
+#: Bytes that a sample takes by coding: mu-law, linear of 8 to 32 bits, float, double, A-law.
+_AU_BYTES = {1: 1, 2: 1, 3: 2, 4: 3, 5: 4, 6: 4, 7: 8, 27: 1}
+_AU_OPEN = 0xFFFFFFFF  # the length isn't stated: up to the end
+
+
 def _wav_end(b: memoryview, at: int) -> int:
     parts = _wav_parts(b, at)
     if not parts:
         return 0
     (fmt, channels, rate, per_second, frame, bits), start, stop, end = parts
-    return end if fmt == 1 and channels and frame == channels * ((bits + 7) // 8) and per_second == rate * frame and (stop - start) % frame == 0 else 0
+    return end if fmt in _WAV_PLAIN and channels and frame == channels * ((bits + 7) // 8) and per_second == rate * frame and (stop - start) % frame == 0 else 0
 
 
 def _wav_read(b: bytes) -> bytes:
@@ -97,8 +105,9 @@ def _au_end(b: memoryview, at: int) -> int:
     if len(b) < at + 24:
         return 0
     head, n, coding, rate, channels = struct.unpack_from(">IIIII", b, at + 4)
-    end = at + head + n
-    return end if head >= 24 and coding == 2 and rate and 0 < channels < 9 and end <= len(b) else 0
+    n = len(b) - at - head if n == _AU_OPEN else n
+    end, frame = at + head + n, _AU_BYTES.get(coding, 0) * channels
+    return end if head >= 24 and frame and rate and channels < 9 and n >= 0 and n % frame == 0 and end <= len(b) else 0
 
 
 def _au_read(b: bytes) -> bytes:
@@ -235,7 +244,7 @@ _PNM = re.compile(rb"P[56](?:\s|#[^\n]*\n)+(\d{1,9})(?:\s|#[^\n]*\n)+(\d{1,9})(?
 
 def _pnm_parts(b: bytes, at: int) -> tuple[int, int] | None:
     """Where the samples start and end."""
-    head = _PNM.match(b, at, at + 4096)
+    head = _PNM.match(b, at)
     if not head:
         return None
     width, height, most = map(int, head.groups())

@@ -117,3 +117,35 @@ def test_carved_media_are_listed(spark):
     (got,) = media.read_back(rows).collect()
     assert got["n_embedded"] == 2 and got["embedded"] == f"image/gif:{len(outer)}:{len(blob)},samples:image/png:0:{len(inner)}"
     assert [(r["mime"], bytes(r["media"])) for r in media.carved(rows).orderBy("place").collect()] == [("audio/wav", outer), ("image/gif", gif)]
+
+
+def wav(fmt, channels, bits, data, extra=b""):
+    frame = channels * bits // 8
+    body = b"WAVE" + b"fmt " + struct.pack("<IHHIIHH", 16 + len(extra), fmt, channels, 8000, 8000 * frame, frame, bits) + extra + b"data" + struct.pack("<I", len(data)) + data
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+@pytest.mark.parametrize("fmt,bits,extra", [(1, 16, b""), (1, 24, b""), (3, 32, b"\0\0"), (3, 64, b"\0\0"), (6, 8, b"\0\0"), (7, 8, b"\0\0"), (0xFFFE, 16, b"\x16\0" + bytes(22))])
+def test_wav_of_all_plain_codings(fmt, bits, extra):
+    data = bytes(range(240))
+    blob = wav(fmt, 2, bits, data, extra)
+    assert media.sniff(b"x" + blob) == [media.Medium("audio/wav", 1, 1 + len(blob))]
+    assert media.read(blob, media.Medium("audio/wav", 0, len(blob))) == data
+    assert not media.sniff(wav(fmt, 2, bits, data[:-1], extra)) and not media.sniff(wav(2, 2, bits, data, extra))
+
+
+@pytest.mark.parametrize("coding,size", [(1, 1), (2, 1), (3, 2), (4, 3), (5, 4), (6, 4), (7, 8), (27, 1)])
+def test_au_of_all_plain_codings(coding, size):
+    data = bytes(48 * size)
+    for n in (len(data), 0xFFFFFFFF):
+        blob = b".snd" + struct.pack(">IIIII", 28, n, coding, 8000, 2) + b"note" + data
+        assert media.sniff(blob) == [media.Medium("audio/basic", 0, len(blob))]
+        assert media.read(blob, media.Medium("audio/basic", 0, len(blob))) == data
+    assert not media.sniff(b".snd" + struct.pack(">IIIII", 24, 3, 7, 8000, 2) + data)
+    assert not media.sniff(b".snd" + struct.pack(">IIIII", 24, len(data), 23, 8000, 2) + data)
+
+
+def test_a_comment_of_any_length():
+    blob = b"P5 #" + b"c" * 50_000 + b"\n#\n3 2\n# max\n255 " + b"abcdef"
+    assert media.sniff(blob) == [media.Medium("image/x-portable-graymap", 0, len(blob))]
+    assert media.read(blob, media.Medium("image/x-portable-graymap", 0, len(blob))) == b"abcdef"
