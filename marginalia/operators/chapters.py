@@ -1,6 +1,8 @@
 """Chapters from running headers: titles, forward-filled sections, runs and strays, stitches across pages.
 
-All of it works on the top lines (one short string a page), partitioned by book; a page's text is only read to stitch.
+All of it works on the top lines (one short string a page); a page's text is only read to stitch. A book may have any
+number of pages and chapters: running numbers and fills are two-level scans, neighbours meet by number, and the rule that runs
+from left to right is cut where a chapter certainly starts, so no task gets a whole book.
 """
 
 from __future__ import annotations
@@ -9,11 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.operators import scan
 from marginalia.operators.anchor import PAGE
 
 
-def _by_page():
-    return Window.partitionBy("book_id").orderBy("page_index")
+BOOK = ["book_id"]
 
 
 def running_headers(heads: DataFrame) -> DataFrame:
@@ -30,14 +32,13 @@ def book_title(heads: DataFrame) -> DataFrame:
 def grouped(heads: DataFrame) -> DataFrame:
     """heads with header (the despaced top line where it heads a section), chapter_no (from 1) and chapter_key."""
     known = running_headers(heads).select("book_id", "top_line", F.lit(True).alias("is_header"))
-    order = _by_page()
-    up_to = order.rowsBetween(Window.unboundedPreceding, 0)
-    marked = heads.join(known, ["book_id", "top_line"], "left").join(book_title(heads), "book_id", "left")
+    marked = scan.placed(heads.select(*PAGE, "top_line"), BOOK, ["page_index"]).join(known, ["book_id", "top_line"], "left").join(book_title(heads), "book_id", "left")
     heading = F.col("is_header") & (F.col("top_line") != F.col("title"))
-    marked = marked.select(*PAGE, F.when(heading, T.despaced(F.col("top_line"))).alias("header"), F.when(heading, T.section_key(F.col("top_line"))).alias("own_key"))
-    filled = marked.withColumn("chapter_key", F.coalesce(F.last("own_key", ignorenulls=True).over(up_to), F.lit("FRONT-MATTER"))).drop("own_key")
-    before = F.lag("chapter_key").over(order)
-    return filled.withColumn("new", F.when(before.isNull() | (before != F.col("chapter_key")), 1).otherwise(0)).withColumn("chapter_no", F.sum("new").over(up_to)).drop("new")
+    marked = marked.select(*PAGE, scan.PART, F.when(heading, T.despaced(F.col("top_line"))).alias("header"), F.when(heading, T.section_key(F.col("top_line"))).alias("own_key"))
+    filled = scan.carried(marked, BOOK, ["page_index"], "own_key", "chapter_key").withColumn("chapter_key", F.coalesce("chapter_key", F.lit("FRONT-MATTER")))
+    compared = scan.previous(filled.select(*PAGE, scan.PART, "header", "chapter_key"), BOOK, ["page_index"], "chapter_key", "before")
+    new = compared.withColumn("new", F.when(F.col("before").isNull() | (F.col("before") != F.col("chapter_key")), 1).otherwise(0))
+    return scan.totalled(new, BOOK, ["page_index"], "new", "chapter_no").drop("new", "before", scan.PART)
 
 
 def chapters(groups: DataFrame) -> DataFrame:
@@ -46,30 +47,40 @@ def chapters(groups: DataFrame) -> DataFrame:
     return groups.groupBy("book_id", "chapter_no", "chapter_key").agg(F.coalesce(best, F.lit("Front matter")).alias("title"), F.sort_array(F.collect_list("page_index")).alias("pages"))
 
 
+def _beside(rows: DataFrame, steps: int, column: str, name: str) -> DataFrame:
+    """rows with a column of the row so many numbers (at) further on in the book."""
+    return rows.join(rows.select("book_id", (F.col("at") - steps).alias("at"), F.col(column).alias(name)), ["book_id", "at"], "left")
+
+
 def merged_oscillating(chapters: DataFrame, least_run: int = 3) -> DataFrame:
-    """From left to right, the longest run over at most two keys becomes one chapter if it has both and is long enough.
+    """From left to right, the longest run over at most two keys becomes one chapter if it has both and is long enough (3 or
+    more).
 
     Neighbours have different keys (as grouped() makes them), so a run from a chapter goes on while each key equals the one
-    two places before; where it would end is a window's minimum. Which runs are taken depends on where the one before
-    ended: a fold over the book's run ends (two numbers a chapter) picks their starts. The lead is the first chapter with a
-    colon in its key, else the first of those with most pages."""
-    order = Window.partitionBy("book_id").orderBy("chapter_no")
-    placed = chapters.select("book_id", "chapter_key", "title", "pages", F.row_number().over(order).alias("at"), F.lag("chapter_key", 2).over(order).alias("before"), F.count("*").over(Window.partitionBy("book_id")).alias("n"))
-    breaks = F.when(F.col("chapter_key") != F.col("before"), F.col("at"))
-    ends = placed.withColumn("last", F.coalesce(F.min(breaks).over(Window.partitionBy("book_id").orderBy("at").rowsBetween(2, Window.unboundedFollowing)) - 1, "n"))
+    two places before. Which runs are taken depends on where the one before ended, but where neither a chapter nor the next
+    one has the key two places before, no run of three reaches over its start: it starts anew there. Between two such
+    starts, which lie as far apart as keys oscillate, a fold over run ends (two numbers a chapter) picks the starts. The lead
+    is the first chapter with a colon in its key, else the first of those with most pages."""
+    at = scan.numbered(scan.placed(chapters.select("book_id", "chapter_no", "chapter_key", "title", "pages"), BOOK, ["chapter_no"]), BOOK, ["chapter_no"], "at")
+    keys = at.select("book_id", "at", "chapter_key")
+    broken = _beside(keys, -2, "chapter_key", "before").withColumn("broken", F.col("before").isNotNull() & (F.col("chapter_key") != F.col("before")))
+    sure = _beside(broken.select("book_id", "at", "broken"), 1, "broken", "next_broken").withColumn("sure", (((F.col("at") <= 2) | F.col("broken")) & F.coalesce("next_broken", F.lit(True)) | (F.col("at") == 1)).cast("int"))
+    parts = scan.totalled(at.join(sure.select("book_id", "at", "broken", "sure"), ["book_id", "at"]), BOOK, ["at"], "sure", "stretch")
+    stretch = Window.partitionBy("book_id", "stretch")
+    ends = parts.withColumn("last", F.coalesce(F.min(F.when(F.col("broken"), F.col("at"))).over(stretch.orderBy("at").rowsBetween(2, Window.unboundedFollowing)) - 1, F.max("at").over(stretch)))
 
     def step(done, x):
         run = F.when(x["last"] - x["at"] + 1 >= least_run, x["last"]).otherwise(x["at"])
         return F.when(x["at"] < done["free"], done).otherwise(F.struct(F.array_append(done["starts"], x["at"]).alias("starts"), (run + 1).cast("long").alias("free")))
 
-    runs = ends.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), F.col("last").cast("long").alias("last")))).alias("runs"))
+    runs = ends.groupBy("book_id", "stretch").agg(F.array_sort(F.collect_list(F.struct("at", F.col("last").cast("long").alias("last")))).alias("runs"))
     none = F.struct(F.array().cast("array<bigint>").alias("starts"), F.lit(0).cast("long").alias("free"))
-    starts = runs.select("book_id", F.posexplode(F.aggregate("runs", none, step, lambda done: done["starts"])).alias("pos", "at"))
-    marked = ends.join(starts.withColumn("at", F.col("at").cast("int")), ["book_id", "at"], "left").withColumn("chapter_no", F.last("pos", ignorenulls=True).over(Window.partitionBy("book_id").orderBy("at")) + 1)
+    starts = runs.select("book_id", F.explode(F.aggregate("runs", none, step, lambda done: done["starts"])).alias("at"), F.lit(1).alias("start"))
+    marked = scan.totalled(at.join(starts, ["book_id", "at"], "left").drop("chapter_no"), BOOK, ["at"], "start", "chapter_no")
     colon = F.when(F.contains("chapter_key", F.lit(":")), 0).otherwise(1)
     lead = F.struct(colon, F.when(colon == 0, 0).otherwise(-F.size("pages")), "at")
     whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "pages"))), lambda c: c["pages"]))
-    return marked.groupBy("book_id", F.col("chapter_no").cast("long").alias("chapter_no")).agg(F.min_by("chapter_key", lead).alias("chapter_key"), F.min_by("title", lead).alias("title"), whole.alias("pages"))
+    return marked.groupBy("book_id", "chapter_no").agg(F.min_by("chapter_key", lead).alias("chapter_key"), F.min_by("title", lead).alias("title"), whole.alias("pages"))
 
 
 #: Fixed patterns: keys that head a chapter or part, an entry of a contents page, and what follows a name in it.
@@ -80,10 +91,11 @@ LEADERS = r"[\s.·…]+\d+\s*$"
 
 def absorbed_strays(chapters: DataFrame) -> DataFrame:
     """A section of at most two pages between two reference sections joins the section put out before it."""
-    order = Window.partitionBy("book_id").orderBy("chapter_no")
-    own = T.is_reference(F.col("title"))
-    stray = F.coalesce((F.size("pages") <= 2) & ~F.col("chapter_key").rlike(HEADED) & ~own & F.lag(own).over(order) & F.lead(own).over(order), F.lit(False))
-    target = chapters.withColumn("stray", stray).withColumn("target", F.sum(F.when(F.col("stray"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    at = scan.numbered(scan.placed(chapters, BOOK, ["chapter_no"]), BOOK, ["chapter_no"], "at").withColumn("own", T.is_reference(F.col("title")))
+    beside = _beside(_beside(at.select("book_id", "at", "own"), -1, "own", "before"), 1, "own", "after").select("book_id", "at", "before", "after")
+    stray = F.coalesce((F.size("pages") <= 2) & ~F.col("chapter_key").rlike(HEADED) & ~F.col("own") & F.col("before") & F.col("after"), F.lit(False))
+    marked = at.join(beside, ["book_id", "at"]).withColumn("stray", stray).withColumn("kept", F.when(F.col("stray"), 0).otherwise(1))
+    target = scan.totalled(marked, BOOK, ["chapter_no"], "kept", "target")
     lead = F.struct(F.col("stray").cast("int"), "chapter_no")
     return target.groupBy("book_id", "target").agg(F.min_by("chapter_key", lead).alias("chapter_key"), F.min_by("title", lead).alias("title"), F.sort_array(F.flatten(F.collect_list("pages"))).alias("pages")).withColumnRenamed("target", "chapter_no")
 

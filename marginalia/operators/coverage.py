@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.operators import scan
 from marginalia.operators.anchor import PAGE
 
 STREAM = [*PAGE, "stream"]
@@ -79,5 +80,5 @@ def redo_list(cover: DataFrame, sections: DataFrame, bound: float = 0.5, prose_o
     low = cover.where((F.col("stream") == "body") & (F.col("ratio") < bound)).join(sections.select(*PAGE, "prose"), PAGE)
     low = low.where("prose") if prose_only else low
     lists = low.groupBy("book_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("page_index")), lambda i: (i + 1).cast("string")), ",").alias("page_spec"))
-    place = F.row_number().over(Window.partitionBy("book_id").orderBy("ratio", "page_index"))
-    return low.select(*PAGE, "ratio", place.alias("place")).join(lists, "book_id")
+    placed = scan.placed(low.select(*PAGE, "ratio"), ["book_id"], ["ratio", "page_index"])
+    return scan.numbered(placed, ["book_id"], ["ratio", "page_index"], "place").select(*PAGE, "ratio", F.col("place").cast("int").alias("place")).join(lists, "book_id")

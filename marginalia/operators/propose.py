@@ -9,13 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.operators import scan
 from marginalia.operators.anchor import PAGE
 
 
 def page_context(pages: DataFrame, selected: DataFrame, window: int = 1) -> DataFrame:
     """Neighbours of each selected page: text pages at most `window` places away among the book's pages."""
-    place = F.row_number().over(Window.partitionBy("book_id").orderBy("page_index"))
-    placed = pages.select(*PAGE, "page_type", place.alias("place"))
+    rows = scan.placed(pages.select(*PAGE, "page_type"), ["book_id"], ["page_index"])
+    placed = scan.numbered(rows, ["book_id"], ["page_index"], "place").drop(scan.PART)
     mine = placed.join(selected.select(*PAGE), PAGE, "left_semi").select("book_id", "page_index", F.explode(F.array(*(F.col("place") + d for d in range(-window, window + 1) if d))).alias("place"))
     return mine.join(placed.where("page_type = 'text'").select("book_id", "place", F.col("page_index").alias("context_index")), ["book_id", "place"]).select(*PAGE, "context_index")
 

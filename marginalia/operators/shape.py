@@ -86,11 +86,11 @@ def _found(broken: Column, rule: str, path: Column, detail: Column) -> Column:
     return F.when(F.coalesce(broken, F.lit(False)), F.array(one)).otherwise(F.array().cast(_NONE))
 
 
-def _kind(value: Column) -> Column:
-    """object, list, string, number, boolean or null."""
+def _scalar(value: Column) -> Column:
+    """string, number, boolean or null."""
     name = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
     number = name.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
-    return F.when(name == "OBJECT", "object").when(name == "ARRAY", "list").when(name == "STRING", "string").when(number, "number").when(name == "BOOLEAN", "boolean").otherwise("null")
+    return F.when(name == "STRING", "string").when(number, "number").when(name == "BOOLEAN", "boolean").otherwise("null")
 
 
 def _with(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -100,15 +100,18 @@ def _with(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def problems_of(value: Column, shape: Shape, path: Column) -> Column:
     """The violations within a value, as a list of rule, item (the path) and detail."""
-    return _with(F.struct(value.alias("value"), _kind(value).alias("kind")), lambda x: _problems(x["value"], x["kind"], shape, path))
+    read = lambda as_type: F.try_variant_get(value, "$", as_type)
+    opened = F.struct(value.alias("value"), read("map<string,variant>").alias("own"), read("array<variant>").alias("all"))
+    kind = lambda x: F.when(x["own"].isNotNull(), "object").when(x["all"].isNotNull(), "list").otherwise(_scalar(x["value"]))
+    return _with(opened, lambda x: _with(kind(x), lambda k: _problems(x, k, shape, path)))
 
 
-def _problems(value: Column, kind: Column, shape: Shape, path: Column) -> Column:
-    read = lambda as_type: F.try_variant_get(value, "$", as_type)
-    number = F.when(kind == "number", read("double"))
+def _problems(opened: Column, kind: Column, shape: Shape, path: Column) -> Column:
+    value = opened["value"]
+    number = F.when(kind == "number", F.try_variant_get(value, "$", "double"))
     right = (kind == "number") & (number == F.floor(number)) if shape.kind == "integer" else kind == shape.kind
     parts = [_found(~right, "type", path, kind)]
-    text = F.when(kind == "string", read("string"))
+    text = F.when(kind == "string", F.try_variant_get(value, "$", "string"))
     shown = F.coalesce(text, F.to_json(value))
     if shape.one_of:
         parts.append(_found(text.isNull() | ~text.isin(*shape.one_of), "enum", path, shown))
@@ -121,9 +124,9 @@ def _problems(value: Column, kind: Column, shape: Shape, path: Column) -> Column
     if shape.least is not None:
         parts.append(_found(number < shape.least, "minimum", path, shown))
     if shape.kind == "list":
-        parts.append(_with(F.when(kind == "list", read("array<variant>")), lambda all_: _listed(all_, shape, path)))
+        parts.append(_listed(opened["all"], shape, path))
     if shape.kind == "object":
-        parts.append(_with(F.when(kind == "object", read("map<string,variant>")), lambda own: _members(own, shape, path)))
+        parts.append(_members(opened["own"], shape, path))
     return F.concat(*parts)
 
 
@@ -143,7 +146,7 @@ def _members(own: Column, shape: Shape, path: Column) -> Column:
     parts = [_found(F.size(extra) > 0, "unknown", path, F.array_join(F.sort_array(extra), ","))]
     parts += [_found(~F.array_contains(names, n), "required", path, F.lit(n)) for n in shape.needs]
     if shape.also:
-        text = lambda n: F.when(_kind(own[n]) == "string", F.try_variant_get(own[n], "$", "string"))
+        text = lambda n: F.when(_scalar(own[n]) == "string", F.try_variant_get(own[n], "$", "string"))
         parts += [_found(asked & ~F.array_contains(names, n), "required", path, F.lit(n)) for asked, n in shape.also(text, names)]
     for name, inner in shape.members.items():
         at = F.when(path == "", F.lit(name)).otherwise(F.concat(path, F.lit(f"/{name}")))

@@ -27,7 +27,7 @@ def singular(w: str) -> str:
 
 #: Each view's SQL; a view may use any that stands before it.
 VIEWS = {
-    "page_no": "select doc_id, source || '-' || (doc_id // 2000)::varchar as book_id, row_number() over (partition by source || '-' || (doc_id // 2000)::varchar order by doc_id) - 1 as page_index from documents",
+    "page_no": "select doc_id, coalesce(source, '') as book_id, row_number() over (partition by coalesce(source, '') order by doc_id) - 1 as page_index from documents",
     "heads": """select book_id, page_index, case when page_index < 2 then '' when page_index % 50 between 30 and 35 then case when page_index % 2 = 0 then 'TABLE B: TOOLS' else 'ACCESSORIES' end
         when page_index % 50 between 40 and 41 then 'TABLE L' when page_index % 50 = 42 then 'FAMILY' when page_index % 50 between 43 and 44 then 'TABLE M' when page_index % 50 >= 47 then 'BIBLIOGRAPHY'
         when page_index % 3 = 0 then 'THE ' || upper(book_id) || ' BOOK' when page_index % 5 = 1 then 'CHAPTER ' || (1 + page_index // 8)::varchar || ': PART ' || (page_index // 8)::varchar
@@ -107,7 +107,7 @@ VIEWS = {
         join statements s using (book_id, page_index, statement_id) where length(e.quote) >= 25""",
     "edges": """select distinct book_id || '/' || key as u, v from cited join (select book_id, type, quote, min(book_id || '/' || key) as v from cited group by all having count(*) > 1) f using (book_id, type, quote) where book_id || '/' || key <> v""",
     "labels_v": """select book_id, chapter_no, place, label from (select book_id, chapter_no, word as label, row_number() over (partition by book_id, chapter_no order by count(*) desc, word) as place
-        from (select s.book_id, c.chapter_no, unnest(regexp_extract_all(lower(s.text), '[a-z]{5,}')) as word from statements s join sections c using (book_id, page_index) where c.prose) group by book_id, chapter_no, word) where place <= 10""",
+        from (select s.book_id, c.chapter_no, unnest(regexp_extract_all(lower(s.text), '[a-z]{5,}')) as word from statements s join sections c using (book_id, page_index) where c.prose) group by book_id, chapter_no, word)""",
     "store": f"""select book_id, term_id, label, key, n_chapters, row_number() over (partition by book_id order by n_chapters desc, key) as place from (select *, row_number() over (partition by book_id, term_id order by n_chapters desc, key) as r
         from (select book_id, key, count(*) as n_chapters, first(label order by chapter_no, place) as label, 't-' || first(label order by chapter_no, place) as term_id from (select *, {singular('label')} as key from labels_v) group by book_id, key)) where r = 1""",
     "words_of": f"""select book_id, page_index, statement_id, array_to_string(list_transform(list_filter(string_split_regex(lower(text), '[\\s\\pZ]+'), lambda w: w <> ''), lambda w: {singular('w')}), ' ') as words from statements""",
@@ -119,7 +119,7 @@ VIEWS = {
     "accepted": "select book_id, min(chapter_no) as chapter_no, src, dst, rel_type, min(place) as place from proposed where regexp_extract(src, '^p([0-9]+):', 1) <> regexp_extract(dst, '^p([0-9]+):', 1) group by book_id, src, dst, rel_type",
     "reach": """select node, min(other) as cluster from (with recursive r(node, other) as (select u, v from edges union select v, u from edges union select r.node, x.b from r join (select u as a, v as b from edges union select v, u from edges) x on r.other = x.a) select node, least(node, other) as other from r) group by node""",
     "merges": """select book_id, merge_no, key, text, member_no from (select m.*, first_value(s.text) over (partition by m.merge_no order by m.member_no) as text from (select split_part(cluster, '/', 1) as book_id, split_part(node, '/', 2) as key, cluster as merge_no,
-        row_number() over (partition by cluster order by regexp_extract(node, '/p([0-9]+):', 1)::int, node) as member_no, count(*) over (partition by cluster) as size from reach) m join (select book_id, 'p' || page_index::varchar || ':' || statement_id as key, text from statements) s using (book_id, key) where size <= 6)""",
+        row_number() over (partition by cluster order by regexp_extract(node, '/p([0-9]+):', 1)::int, node) as member_no, count(*) over (partition by cluster) as size from reach) m join (select book_id, 'p' || page_index::varchar || ':' || statement_id as key, text from statements) s using (book_id, key))""",
     "own": "select k.*, c.chapter_no, 'p' || k.page_index::varchar || ':' || k.statement_id as key from kept k join sections c using (book_id, page_index)",
     "member_merge": """select * from (select o.book_id, o.chapter_no, o.key, m.merge_no, m.member_no, m.text as merge_text, count(*) over (partition by o.book_id, o.chapter_no, m.merge_no) as n from own o join merges m using (book_id, key)) where n >= 2""",
     "unit_rows": "select o.*, m.merge_no, coalesce(m.member_no, 0) as member_no, m.merge_text, coalesce('m' || m.merge_no, o.key) as unit from own o left join member_merge m using (book_id, chapter_no, key)",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.operators import anchor, assemble, chapters, cost, coverage, dedup, export, layout, locate, propose, score, shape, terms, validate
+from marginalia.operators import anchor, assemble, chapters, cost, coverage, dedup, export, layout, locate, propose, scan, score, shape, terms, validate
 from marginalia.plans.oracles import _norm, sql
 from marginalia.sources import notes
 from marginalia.sources.shared import new_path
@@ -369,18 +369,18 @@ def _(c: Corpus) -> DataFrame:
 
 
 def merges(c: Corpus) -> DataFrame:
-    """Rule-made decisions: each cluster of up to six becomes one, with its first member's text."""
+    """Rule-made decisions: each cluster becomes one, with its first member's text."""
     return c.keep("merges", lambda: _merges(c))
 
 
 def _merges(c: Corpus) -> DataFrame:
     members = dedup.clusters(edge_rows(c)).select("cluster", "node", F.split_part("node", F.lit("/"), F.lit(1)).alias("book_id"), F.split_part("node", F.lit("/"), F.lit(2)).alias("key"))
     page = F.regexp_extract("node", r"/p(\d+):", 1).cast("int")
-    order = Window.partitionBy("cluster").orderBy(page, "node")
-    small = members.withColumns({"member_no": F.row_number().over(order), "size": F.count("*").over(Window.partitionBy("cluster"))}).where("size <= 6")
+    rows = scan.placed(members.withColumn("page", page), ["cluster"], ["page", "node"])
     texts = c.statements.select("book_id", dedup.statement_key().alias("key"), "text")
-    first = small.join(texts, ["book_id", "key"]).withColumn("text", F.first("text").over(Window.partitionBy("cluster").orderBy("member_no")))
-    return first.select("book_id", F.col("cluster").alias("merge_no"), "key", "text", "member_no")
+    each = scan.numbered(rows, ["cluster"], ["page", "node"], "member_no").withColumn("member_no", F.col("member_no").cast("int"))
+    first = each.where("member_no = 1").join(texts, ["book_id", "key"]).select("cluster", "text")
+    return each.join(first, "cluster").select("book_id", F.col("cluster").alias("merge_no"), "key", "text", "member_no")
 
 
 @query("c12_apply_adjudication", "select merge_no as cluster, book_id || '/' || key as node, text from merges", hold=True)
@@ -395,7 +395,7 @@ def _(c: Corpus) -> DataFrame:
 def labels(c: Corpus) -> DataFrame:
     words = c.statements.join(sections(c).where("prose"), PAGE).select("book_id", "chapter_no", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), 1)).alias("label"))
     order = Window.partitionBy("book_id", "chapter_no").orderBy(F.desc("n"), "label")
-    return words.groupBy("book_id", "chapter_no", "label").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(order)).where("place <= 10").drop("n")
+    return words.groupBy("book_id", "chapter_no", "label").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(order)).drop("n")
 
 
 @query("t1_term_store", "select book_id, term_id, label, key, n_chapters, place from store")
@@ -951,14 +951,17 @@ def _(c: Corpus) -> DataFrame:
     return propose.stamped(survivors(c, "statements").select(*PAGE, "statement_id"), c.pages)
 
 
-_LANGUAGE = """select book_id, case when count(distinct nullif(lower(trim(lang)), '')) = 0 then 'unknown' when count(distinct nullif(lower(trim(lang)), '')) = 1 then max(nullif(lower(trim(lang)), '')) else 'mixed' end as language
-    from page_no join (select doc_id, case when ends_with(source, '1') or (ends_with(source, '2') and lang = 'en') then case when doc_id % 2 = 0 then upper(lang) || ' ' else lang end when ends_with(source, '3') then '' end as lang from documents) using (doc_id) group by book_id"""
+_SAID = "nullif(lower(trim(lang)), '')"
+_LANGUAGE = f"""select book_id, case when count(distinct {_SAID}) = 0 then 'unknown' when count(distinct {_SAID}) = 1 then max({_SAID}) else 'mixed' end as language
+    from (select coalesce(source, '') as book_id, lang from documents union all select coalesce(source, '') || '-' || coalesce(lang, ''), lang from documents) group by book_id"""
 
 
 def page_languages(c: Corpus) -> DataFrame:
-    """Every page of a book. By the source's last digit, pages say their language, only that they are English, or nothing."""
-    said = F.when(F.col("source").endswith("1") | (F.col("source").endswith("2") & (F.col("lang") == "en")), F.when(F.col("doc_id") % 2 == 0, F.concat(F.upper("lang"), F.lit(" "))).otherwise(F.col("lang"))).when(F.col("source").endswith("3"), "")
-    return propose.roll_up_language(c.numbers.join(c.table("documents").select("doc_id", said.alias("language")), "doc_id"))
+    """The languages of all pages: for each book, and for the pages of each language of it as a book of their own."""
+    said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.upper("lang"))).otherwise(F.col("lang"))
+    pages = c.numbers.join(c.table("documents").select("doc_id", "lang"), "doc_id").withColumn("language", said)
+    own = pages.withColumn("book_id", F.concat_ws("-", "book_id", F.coalesce("lang", F.lit(""))))
+    return propose.roll_up_language(pages.unionByName(own))
 
 
 query("p10_roll_up_language", _LANGUAGE)(page_languages)

@@ -1,7 +1,6 @@
 """A notes corpus derived from the given tables, so that every operator has whole tables to run on.
 
-A document is a page. Its book is its source and a run of 2,000 document numbers, so that a book has a bounded number of
-pages however many documents a source has. The last line of a text is the page's footnotes, the rest its body.
+A document is a page and its source is its book, of any number of pages. The last line of a text is the page's footnotes, the rest its body.
 Sentences of text pages become quoted evidence, statements and relations by rules of arithmetic; some quotes are
 spoilt, some references lead nowhere and some pages are lost, so that gates and checks have something to find.
 """
@@ -10,16 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.operators import scan
 from marginalia.sources.shared import spread, written
 
 TYPES = ("definition", "claim", "method", "question", "background")
 BASES = ("author", "author-data", "reported")
 RELATIONS = ("defines", "supports", "contrasts", "elaborates", "exemplifies", "motivates")
-BOOK_PAGES = 2000
 
 
 def pick(values: tuple[str, ...], number: Column) -> Column:
@@ -32,8 +31,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book_id, page_index, doc_id: the narrow part of pages, numbered without carrying the texts through the sort."""
-    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat_ws("-", "source", F.expr(f"doc_id div {BOOK_PAGES}").cast("string")).alias("book_id"))
-    return ids.withColumn("page_index", F.row_number().over(Window.partitionBy("book_id").orderBy("doc_id")).cast("long") - 1)
+    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("source", F.lit("")).alias("book_id"))
+    numbered = scan.numbered(scan.placed(ids, ["book_id"], ["doc_id"]), ["book_id"], ["doc_id"], "page_no")
+    return numbered.select("doc_id", "book_id", (F.col("page_no") - 1).alias("page_index"))
 
 
 def top_line() -> Column:
