@@ -5,7 +5,7 @@ Each is a plain built-in expression, so it stays in generated code and can be pu
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -164,9 +164,27 @@ def ascii_slug(text: Column, prefix: str = "t-") -> Column:
     return F.concat(F.lit(prefix), F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", ""))
 
 
+@lru_cache(maxsize=1)
+def foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """Full case folding by the language's own rule: characters that become one other, and those that become several."""
+    changed = {chr(c): chr(c).casefold() for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c)}
+    return {c: f for c, f in changed.items() if len(f) == 1}, {c: f for c, f in changed.items() if len(f) > 1}
+
+
+def folded(text: Column) -> Column:
+    """Full case folding, so that ß meets ss: one translation, and replacements for texts that hold a character which becomes
+    several."""
+    one, many = foldings()
+    simple = F.translate(text, "".join(one), "".join(one.values()))
+    whole = simple
+    for c, f in many.items():
+        whole = F.replace(whole, F.lit(c), F.lit(f))
+    return F.when(simple.rlike(f"[{''.join(many)}]"), whole).otherwise(simple)
+
+
 def normalized_passage(text: Column) -> Column:
-    """Locator form: white space collapsed, lower case."""
-    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BLANK, " ")))
+    """Locator form: white space collapsed, case folded."""
+    return folded(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BLANK, " ")))
 
 
 #: Fixed patterns: a citation (linked or bare), a run of citations within a line, the heading that the sources stand under.

@@ -53,19 +53,38 @@ def accepted(members: DataFrame, decisions: DataFrame) -> DataFrame:
     return inside.join(size, ["cluster", "merge_no"], "left_semi")
 
 
-def similar_texts(statements: DataFrame, least: float = 0.8) -> DataFrame:
-    """Pairs of statements of a book with token Jaccard of at least `least` (an optional widening of recall).
-
-    A pair that similar shares a token among the first few of each in order of rarity (prefix filter), so only such
-    pairs are compared, and exactly."""
-    tokens = statements.select("book_id", statement_key().alias("key"), F.array_distinct(F.filter(F.split(F.lower("text"), T.BLANK), lambda t: t != "")).alias("tokens")).where("size(tokens) > 0")
-    each = tokens.select("book_id", "key", F.explode("tokens").alias("token"))
+def similar_texts(statements: DataFrame, least: float = 0.8, block: int = 2000) -> DataFrame:
+    """Links between statements of a book with token Jaccard of at least `least` (an optional widening of recall).
+
+    Statements with one set of tokens are linked with the first of them alone, so many equal ones give as many links as there
+    are others. Between different sets each alike pair is a link of their first statements. A pair so alike shares a token
+    among the first few of each in order of rarity (prefix), at places that leave enough tokens after them (position), and
+    its sizes are near (length); sizes go by classes of which a set meets its own and the next. A token that more than
+    `block` sets of a book and class have is dealt out: the one side to as many parts as it takes, the other to each."""
+    tokens = statements.select("book_id", statement_key().alias("key"), F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), T.BLANK), lambda t: t != ""))).alias("tokens")).where("size(tokens) > 0")
+    rows = tokens.select("book_id", "key", "tokens", F.sha2(F.array_join("tokens", " "), 256).alias("set"))
+    first = rows.groupBy("book_id", "set").agg(F.min("key").alias("first"), F.min("tokens").alias("tokens"))
+    copies = rows.join(first.select("book_id", "set", "first"), ["book_id", "set"]).where("key <> first").select("book_id", F.col("first").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("jaccard"))
+    each = first.select("book_id", "set", F.explode("tokens").alias("token"))
     count = each.groupBy("book_id", "token").agg(F.count("*").alias("n"))
-    ranked = each.join(count, ["book_id", "token"]).groupBy("book_id", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda t: t["token"]).alias("tokens"))
-    prefix = F.size("tokens") - F.ceil(F.lit(least) * F.size("tokens")) + 1
-    block = ranked.select("book_id", "key", "tokens", F.explode(F.slice("tokens", F.lit(1), prefix.cast("int"))).alias("token"))
-    a, b = block.alias("a"), block.alias("b")
-    common = F.size(F.array_intersect("a.tokens", "b.tokens"))
-    jaccard = common / (F.size("a.tokens") + F.size("b.tokens") - common)
-    near = (F.col("a.book_id") == F.col("b.book_id")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.key") < F.col("b.key")) & (F.size("a.tokens") >= least * F.size("b.tokens")) & (F.size("b.tokens") >= least * F.size("a.tokens")) & (jaccard >= least)
-    return a.join(b, near).select(F.col("a.book_id").alias("book_id"), F.col("a.key").alias("a"), F.col("b.key").alias("b"), jaccard.alias("jaccard")).distinct()
+    ranked = each.join(count, ["book_id", "token"]).groupBy("book_id", "set").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda t: t["token"]).alias("order"))
+    size = F.size("order")
+    prefix = (size - F.ceil(F.lit(least) * size) + 1).cast("int")
+    klass = F.floor(F.log(size.cast("double")) / F.log(F.lit(1 / least) + 1e-9)).cast("int")
+    places = ranked.select("book_id", "set", size.alias("size"), klass.alias("class"), F.posexplode(F.slice("order", F.lit(1), prefix)).alias("at", "token"))
+    key = ["book_id", "token", "class"]
+    parts = places.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    dealt = places.join(parts, key)
+    left = dealt.select(*key, F.pmod(F.xxhash64("set"), F.col("parts")).cast("int").alias("part"), F.col("set").alias("u"), F.col("size").alias("su"), F.col("at").alias("pu"))
+    # smaller classes come to the larger one's parts, a class to its own
+    probes = places.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1))).join(parts, key)
+    right = probes.select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("set").alias("v"), F.col("size").alias("sv"), F.col("at").alias("pv"))
+    need = F.ceil(F.lit(least / (1 + least)) * (F.col("su") + F.col("sv")) - 1e-9)
+    near = (F.col("sv") >= least * F.col("su") - 1e-9) & (F.col("su") >= least * F.col("sv") - 1e-9) & (1 + F.least(F.col("su") - F.col("pu"), F.col("sv") - F.col("pv")) - 1 >= need)
+    pairs = left.join(right, [*key, "part"]).where((F.col("u") != F.col("v")) & near).select("book_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    of = lambda end: first.select("book_id", F.col("set").alias(end), F.col("first").alias(f"{end}_first"), F.col("tokens").alias(f"{end}_tokens"))
+    met = pairs.join(of("u"), ["book_id", "u"]).join(of("v"), ["book_id", "v"])
+    common = F.size(F.array_intersect("u_tokens", "v_tokens"))
+    jaccard = common / (F.size("u_tokens") + F.size("v_tokens") - common)
+    links = met.withColumn("jaccard", jaccard).where(F.col("jaccard") >= least).select("book_id", F.least("u_first", "v_first").alias("a"), F.greatest("u_first", "v_first").alias("b"), "jaccard")
+    return copies.unionByName(links)

@@ -68,9 +68,15 @@ def corpus_hash(books: DataFrame) -> DataFrame:
     return books.select("book_id").distinct().agg(F.left(F.sha2(F.array_join(F.sort_array(F.collect_list("book_id")), "\n"), 256), F.lit(16)).alias("corpus_hash"))
 
 
+def floor_levels(books: DataFrame) -> DataFrame:
+    """Counts and rates of each book and of the whole corpus (book_id null) from one aggregation."""
+    counts = books.rollup("book_id").agg(F.grouping("book_id").alias("whole"), F.count("*").alias("books"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in BOOK_COUNTS))
+    return rates(counts).drop("whole")
+
+
 def floor_corpus(books: DataFrame) -> DataFrame:
-    total = books.agg(F.count("*").alias("books"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in BOOK_COUNTS))
-    return rates(total).crossJoin(corpus_hash(books))
+    total = floor_levels(books).where("book_id is null").drop("book_id")
+    return total.crossJoin(corpus_hash(books))
 
 
 def generation_book(generation: DataFrame) -> DataFrame:

@@ -20,14 +20,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None, hold: bool = False):
+def query(name: str, oracle: str | None = None, hold: bool = False, nested: bool = False):
     """Registers a function of a Corpus under a name, with its SQL over the views. hold: the tables that its branches share
-    are written once (see Corpus)."""
+    are written once (see Corpus). nested: the SQL has a WITH of its own."""
 
     def put(f: Callable[[Corpus], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(Corpus(spark, sf_dir, hold))
         if oracle:
-            ORACLES[name] = sql(oracle)
+            ORACLES[name] = sql(f"select * from ({oracle})" if nested else oracle)
         return f
 
     return put
@@ -191,6 +191,14 @@ def _(c: Corpus) -> DataFrame:
 _CORPUS = "select count(*) as books, " + ", ".join(f"coalesce(sum({n}), 0)::bigint as {n}" for n in score.BOOK_COUNTS) + " from floor_book"
 
 
+_LEVEL = "select book_id, 1::bigint as books, " + ", ".join(score.BOOK_COUNTS) + " from floor_book"
+
+
+@query("f4_floor_levels", f"select *, {_RATES} from ({_LEVEL} union all select null, books, {', '.join(score.BOOK_COUNTS)} from ({_CORPUS}))", hold=True)
+def _(c: Corpus) -> DataFrame:
+    return score.floor_levels(floor_book(c))
+
+
 @query("f4_floor_corpus", f"select *, {_RATES} from ({_CORPUS}) cross join (select left(sha256(string_agg(book_id, chr(10) order by book_id)), 16) as corpus_hash from floor_book)", hold=True)
 def _(c: Corpus) -> DataFrame:
     return score.floor_corpus(floor_book(c))
@@ -653,14 +661,14 @@ def glyphs(c: Corpus) -> DataFrame:
 query("l13_glyph_ids", "select * from glyphs", hold=True)(glyphs)
 
 
-@query("l14_stream_text", r"""select * from (with hb as (""" + _HEADER_BOTTOM + r"""), sw as (select w.book_id, w.page_index, w.column_no, w.word_no, w.text, w.x0, w.x1, w.top, w.size, case when w.top < f.fn_top then 'body' else 'footnote' end as stream from column_words w join fn_tops f using (book_id, page_index, column_no) left join hb using (book_id, page_index) where w.top >= coalesce(header_bottom, 0)),
+@query("l14_stream_text", r"""with hb as (""" + _HEADER_BOTTOM + r"""), sw as (select w.book_id, w.page_index, w.column_no, w.word_no, w.text, w.x0, w.x1, w.top, w.size, case when w.top < f.fn_top then 'body' else 'footnote' end as stream from column_words w join fn_tops f using (book_id, page_index, column_no) left join hb using (book_id, page_index) where w.top >= coalesce(header_bottom, 0)),
     sm as (select *, median(size) over (partition by book_id, page_index, column_no, stream) as median_size from sw),
     sp as (select s.*, case when size < 0.75 * median_size and regexp_full_match(text, '[^0-9]*[0-9]+[^0-9]*') then regexp_replace(text, '^([^0-9]*)([0-9]+)([^0-9]*)$', '[^]') else text end as mark, s.x0 - lag(s.x1) over o as gap, g.glyph_id from sm s left join glyphs g on g.book_id = s.book_id and g.page_index = s.page_index and g.gap_no = s.word_no window o as (partition by s.book_id, s.page_index, s.column_no, s.stream, s.top order by s.x0, s.word_no)),
     sl as (select book_id, page_index, column_no, stream, top, string_agg(case when gap is null then '' when gap > 2 and glyph_id is not null then ' ⟨glyph-' || glyph_id || '⟩ ' when gap >= greatest(1.2, 0.18 * size) then ' ' else '' end || mark, '' order by x0, word_no) as line from sp group by all),
     sj as (select *, coalesce(regexp_matches(lag(line) over w, '\pL-$') and regexp_matches(line, '^\pL'), false) as j from sl window w as (partition by book_id, page_index, column_no, stream order by top)),
     sr as (select *, sum(1 - j::int) over (partition by book_id, page_index, column_no, stream order by top) as run from sj),
     st as (select book_id, page_index, column_no, stream, trim(string_agg(line, chr(10) order by run)) as text from (select book_id, page_index, column_no, stream, run, string_agg(line, '' order by top) as line from sr group by all) group by all)
-    select book_id, page_index, coalesce(max(text) filter (stream = 'body'), '') as body, coalesce(max(text) filter (stream = 'footnote'), '') as footnotes from (select book_id, page_index, stream, string_agg(text, chr(10) || chr(10) order by column_no) as text from st where text <> '' group by all) group by all)""", hold=True)
+    select book_id, page_index, coalesce(max(text) filter (stream = 'body'), '') as body, coalesce(max(text) filter (stream = 'footnote'), '') as footnotes from (select book_id, page_index, stream, string_agg(text, chr(10) || chr(10) order by column_no) as text from st where text <> '' group by all) group by all""", hold=True, nested=True)
 def _(c: Corpus) -> DataFrame:
     return layout.stream_texts(column_words(c), fn_tops(c), header_bottoms(c), glyphs(c))
 
@@ -725,7 +733,7 @@ def _(c: Corpus) -> DataFrame:
     return locate.strict_spec(specs(c).where("spec <> 'x,5'"))
 
 
-_PASS = "lower(trim(regexp_replace({0}, '[\\s\\pZ]+', ' ', 'g')))"
+_PASS = "replace(replace(lower(trim(regexp_replace({0}, '[\\s\\pZ]+', ' ', 'g'))), 'ß', 'ss'), 'ﬁ', 'fi')"
 
 
 @query("j6_passages_in_pages", f"""select distinct b.item_id as passage_id, p.book_id, p.page_index from (select item_id, {_PASS.format('text')} as needle from benchmark) b join (select book_id, page_index, {_PASS.format('body')} as hay from pages) p on contains(hay, needle) or contains(needle, hay)
@@ -995,8 +1003,9 @@ def _(c: Corpus) -> DataFrame:
     return incremental.fingerprints(c.pages.withColumnRenamed("body", "text"), "effort=low")
 
 
-@query("c13_similar_texts", """select a.book_id, a.key as a, b.key as b, len(list_intersect(a.t, b.t))::double / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) as jaccard from (select book_id, 'p' || page_index::varchar || ':' || statement_id as key, list_distinct(list_filter(string_split_regex(lower(text), '[\\s\\pZ]+'), lambda x: x <> '')) as t from statements) a
-    join (select book_id, 'p' || page_index::varchar || ':' || statement_id as key, list_distinct(list_filter(string_split_regex(lower(text), '[\\s\\pZ]+'), lambda x: x <> '')) as t from statements) b on a.book_id = b.book_id and a.key < b.key where len(list_intersect(a.t, b.t)) >= 0.8 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))""")
+@query("c13_similar_texts", r"""with t as (select book_id, 'p' || page_index::varchar || ':' || statement_id as key, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[\s\pZ]+'), lambda x: x <> ''))) as t from statements), r as (select book_id, t, min(key) as key from t where len(t) > 0 group by all)
+    select book_id, r.key as a, t.key as b, 1.0::double as jaccard from t join r using (book_id, t) where t.key <> r.key
+    union all select a.book_id, least(a.key, b.key), greatest(a.key, b.key), len(list_intersect(a.t, b.t))::double / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) from r a join r b on a.book_id = b.book_id and a.t < b.t where len(list_intersect(a.t, b.t)) >= 0.8 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))""", nested=True)
 def _(c: Corpus) -> DataFrame:
     return dedup.similar_texts(c.statements)
 

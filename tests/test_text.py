@@ -71,3 +71,11 @@ def test_footnote_marker(spark):
 def test_generation_label(spark, given, want):
     row = spark.createDataFrame([(given,)], "g struct<model:string,effort:string,max_tokens:int>")
     assert row.select(T.generation_label(F.col("g"))).first()[0] == want
+
+
+def test_case_folding_equals_pythons_on_all_code_points(spark):
+    rows = [(i, "".join(chr(c) for c in range(i, i + 256) if not 0xD800 <= c < 0xE000 and c != 0)) for i in range(0, 0x1F000, 256)]
+    got = spark.createDataFrame(rows, "i long, t string").select("i", T.folded(F.col("t")).alias("t")).collect()
+    assert {r["i"]: r["t"] for r in got} == {i: t.casefold() for i, t in rows}
+    same = spark.createDataFrame([("Straße  İx",), ("STRASSE i̇X",)], "t string").select(T.normalized_passage(F.col("t")).alias("t")).distinct()
+    assert same.count() == 1
