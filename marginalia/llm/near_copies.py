@@ -296,7 +296,7 @@ def _simhash_pairs(nodes: DataFrame) -> DataFrame:
     """u, v: nodes whose fingerprints are equal or linked in the search of `near_dedup`; nodes: node, fp."""
     of = written(nodes.groupBy("fp").agg(F.min("node").alias("of")), "fingerprints")
     same = nodes.join(of, "fp").where("node <> of").select(*_pair("node", "of"))
-    met = near_dedup.links(of.select("fp"))
+    met = near_dedup.links(of.select("fp")).distinct()  # one link may come of several keys
     for end in ("u", "v"):
         met = met.join(of.select(F.col("fp").alias(end), F.col("of").alias(f"{end}_of")), end)
     return same.union(met.select(*_pair("u_of", "v_of")))
