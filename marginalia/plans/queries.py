@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
 from marginalia.operators import anchor, assemble, chapters, cost, coverage, dedup, export, layout, locate, propose, scan, score, shape, terms, validate
-from marginalia.plans.oracles import _norm, sql
-from marginalia.sources import notes
+from marginalia.plans.oracles import VIEWS, _norm, sql
+from marginalia.sources import notes, page_store
 from marginalia.sources.shared import new_path
 from marginalia.sources.derived import RELATIONS, Corpus, documents, evidence, pick
 from marginalia.streaming import incremental
@@ -1091,7 +1091,7 @@ def _(c: Corpus) -> DataFrame:
         if again:
             stored_raw(c).write.mode("append").json(folder)
         incremental.gate_stream(incremental.arriving_notes(c.spark, folder), c.norm, sink, checkpoint).awaitTermination()
-    return c.spark.read.parquet(f"{sink}/pages").groupBy(*PAGE).agg(F.count("*").alias("n"))
+    return c.spark.read.parquet(f"{sink}/data").groupBy(*PAGE).agg(F.count("*").alias("n"))
 
 
 @query("i5_running_counts", """select book_id, coalesce(sum(s) filter (ok), 0)::bigint as statements, coalesce(sum(s) filter (ok), 0)::bigint as grounded, coalesce(sum(e) filter (ok), 0)::bigint as evidence, coalesce(sum(t) filter (ok), 0)::bigint as excerpts, coalesce(sum(m) filter (ok), 0)::bigint as missing_evidence, count(*) filter (not ok) as unreadable
@@ -1105,3 +1105,47 @@ def _(c: Corpus) -> DataFrame:
     done = c.spark.read.parquet(out)
     last = done.agg(F.max("batch")).first()[0]  # one number
     return done.where(F.col("batch") == last).drop("batch")
+
+
+def full_notes(c: Corpus) -> DataFrame:
+    """The nested notes with terms and relations to them; every 31st document's can't be read."""
+    at = F.regexp_extract("src", r"s-(\d+)", 1).cast("int")
+    rows = notes.nested(c.evidence.withColumn("pos", F.coalesce("k", F.lit(1 << 30))), c.statements.withColumn("pos", F.col("k")), c.all_relations.withColumn("pos", at), "pos", c.terms, c.statement_terms)
+    return rows.join(c.numbers, PAGE).select(*PAGE, "doc_id", F.when(F.col("doc_id") % 31 == 0, "{broken").otherwise(F.col("notes")).alias("raw"))
+
+
+_NOTED = "(select distinct book_id, page_index from (select book_id, page_index, doc_id from evidence union all select book_id, page_index, doc_id from statements) where doc_id % 31 <> 0)"
+
+
+@query("i5_running_floor", "with noted as " + _NOTED + ", noted_list as (" + VIEWS["book_pages_list"].replace("from present)", "from noted)") + ") " + VIEWS["floor_book"].replace("from book_pages_list", "from noted_list").replace("semi join present", "semi join noted"), hold=True, nested=True)
+def _(c: Corpus) -> DataFrame:
+    """Notes arrive twice; the first time those of every third document have a quote and a reference that lead nowhere."""
+    folder, store, checkpoint = new_path(c.spark, "arriving"), new_path(c.spark, "floor"), new_path(c.spark, "floor-progress")
+    rows = c.keep("full-notes", lambda: full_notes(c))
+    wrong = F.replace(F.replace("raw", F.lit('"excerpt":"'), F.lit('"excerpt":"nowhere ')), F.lit('"evidence":["e-'), F.lit('"evidence":["e-9'))
+    for part in (rows.where("doc_id % 2 = 0").withColumn("raw", F.when(F.col("doc_id") % 3 == 0, wrong).otherwise(F.col("raw"))), rows.where("doc_id % 2 = 1 or doc_id % 3 = 0")):
+        part.select(*PAGE, "raw").write.mode("append").json(folder)
+        incremental.floor_stream(incremental.arriving_notes(c.spark, folder), c.norm, store, checkpoint).awaitTermination()
+    return incremental.running_floor(c.spark, store, expected(c))
+
+
+@query("i2_resume", """select book_id, page_index, case when doc_id % 6 = 0 then 'forced' when doc_id % 2 = 0 then 'first' else 'resumed' end as run, length(body) as chars from pages where page_type = 'text'""", hold=True)
+def _(c: Corpus) -> DataFrame:
+    """A run that is killed after its data of some pages, one that resumes, and a forced one; each page is there once."""
+    store, rows = new_path(c.spark, "extracted"), c.pages.where("page_type = 'text'").select(*PAGE, "doc_id", F.length("body").alias("chars"))
+    made = lambda pages, run: pages.select(*PAGE, F.lit(run).alias("run"), "chars")
+    page_store.put(made(rows.where("doc_id % 2 = 0"), "first"), store, page_store.next_batch(c.spark, store))
+    page_store.write_data(made(rows.where("doc_id % 4 = 1"), "killed"), f"{store}/data", page_store.next_batch(c.spark, store))
+    page_store.put(made(page_store.unfinished(rows, store), "resumed"), store, page_store.next_batch(c.spark, store) + 1)
+    out = made(page_store.unfinished(rows.where("doc_id % 6 = 0"), store, force=True), "forced")
+    page_store.put(out, store, page_store.next_batch(c.spark, store))
+    return page_store.current(c.spark, store, out.schema)
+
+
+@query("s5_notes_sink", "select book_id, page_index, count(*) as statements from statements where doc_id % 31 <> 0 group by all", hold=True)
+def _(c: Corpus) -> DataFrame:
+    """The nested notes written to the sink by page and read back."""
+    store, rows = new_path(c.spark, "notes"), full_notes(c).select(*PAGE, "raw")
+    page_store.put(rows, store, 0)
+    back = notes.flattened(notes.parsed_notes(page_store.current(c.spark, store, rows.schema)))
+    return back["statements"].groupBy(*PAGE).agg(F.count("*").alias("statements"))

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from marginalia.operators import anchor
+from marginalia.operators import anchor, score, validate
+from marginalia.sources import page_store
 from marginalia.sources.notes import PAGE, flattened, parsed_notes
 
 
@@ -36,22 +38,23 @@ def arriving_notes(spark: SparkSession, folder: str, max_files: int | None = Non
 def gate_stream(arriving: DataFrame, norm: DataFrame, sink: str, checkpoint: str, then: Callable[[dict[str, DataFrame]], None] | None = None) -> StreamingQuery:
     """Gates each micro-batch against the static page streams and appends what survives and the audit to folders of `sink`.
 
-    A page that the sink already has is not replaced: the batch is anti-joined to the sink's pages, so no state grows
-    with the stream. Of several notes-sets of a page in one batch the least by content is taken. A batch that is run
-    again after a failure writes its own folder (by batch number) anew, so nothing is written twice."""
+    A page that the sink already has is not replaced: the batch is anti-joined to the manifest of finished pages, of which
+    only the batch's buckets are read, so no state grows with the stream. Of several notes-sets of a page in one batch the
+    least by content is taken. A batch that is run again after a failure writes its own folders (by batch number) anew, so
+    nothing is written twice."""
     spark = norm.sparkSession
 
     def one(batch: DataFrame, number: int) -> None:
         first = batch.groupBy(*PAGE).agg(F.min("raw").alias("raw"))
-        done = _pages_before(spark, sink, number)
-        fresh = (first.join(done, PAGE, "left_anti") if done is not None else first).persist()
+        fresh = page_store.unfinished(first, sink, before=number).persist()
         try:
             flat = flattened(parsed_notes(fresh))
             flagged = anchor.anchored(flat["evidence"], norm)
             kept = anchor.gate(flagged, flat["statements"], flat["references"], flat["relations"], flat["statement_terms"])
-            out = {"pages": fresh.select(*PAGE), "evidence": flagged, "statements": kept["statements"], "relations": kept["relations"], "dropped": anchor.dropped(flagged, flat["statements"], flat["references"])}
+            out = {"evidence": flagged, "statements": kept["statements"], "relations": kept["relations"], "dropped": anchor.dropped(flagged, flat["statements"], flat["references"])}
             for name, rows in out.items():
                 rows.write.mode("overwrite").parquet(f"{sink}/{name}/batch={number}")
+            page_store.put(fresh.select(*PAGE), sink, number)
             if then:
                 then(out)
         finally:
@@ -60,12 +63,39 @@ def gate_stream(arriving: DataFrame, norm: DataFrame, sink: str, checkpoint: str
     return arriving.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _pages_before(spark: SparkSession, sink: str, number: int) -> DataFrame | None:
-    """Pages that earlier batches wrote; None before the first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/pages")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return spark.read.schema("book_id string, page_index long, batch int").parquet(f"{sink}/pages").where(F.col("batch") < number).select(*PAGE)
+def floor_stream(arriving: DataFrame, norm: DataFrame, store: str, checkpoint: str, then: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Keeps each page's floor counts in a page store as notes arrive: anchored quotes, problems of references and of schema.
+
+    A notes-set is counted against the static page streams when it arrives. A later one of the same page replaces its
+    counts, so a correction may lower them; unreadable ones count as no notes. then: called with each batch's number."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        fresh = parsed_notes(batch.groupBy(*PAGE).agg(F.min("raw").alias("raw"))).persist()
+        try:
+            page_store.put(page_counts(fresh, norm), store, number)
+            if then:
+                then(number)
+        finally:
+            fresh.unpersist()
+
+    return arriving.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def page_counts(notes: DataFrame, norm: DataFrame) -> DataFrame:
+    """The floor counts of each page with notes, and whether they could be read."""
+    flat = flattened(notes)
+    referential = validate.reference_problems(*(flat[k] for k in ("evidence", "statements", "references", "relations", "terms", "statement_terms")))
+    schema = validate.schema(*(flat[k] for k in ("evidence", "statements", "relations", "terms", "statement_terms")))
+    counts = score.floor_page(flat["evidence"], flat["statements"], referential, schema, validate.traceability(flat["evidence"], norm))
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in score.COUNTS]
+    return notes.select(*PAGE, "readable").join(counts, PAGE, "left").select(*PAGE, "readable", *zero)
+
+
+def running_floor(spark: SparkSession, store: str, expected: DataFrame) -> DataFrame:
+    """The floor of each book from what the store has now."""
+    kind = {"book_id": "string", "page_index": "bigint", "readable": "boolean"} | dict.fromkeys(score.COUNTS, "bigint")
+    rows = page_store.current(spark, store, T.StructType.fromDDL(", ".join(f"{c} {k}" for c, k in kind.items()))).where("readable")
+    return score.floor_book(rows.drop("readable"), rows.select(*PAGE), expected)
 
 
 def running_counts(arriving: DataFrame) -> DataFrame:
