@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
+from marginalia.operators import scan
 from marginalia.operators.anchor import PAGE
 from marginalia.operators.components import components
 
@@ -42,8 +43,14 @@ def clusters(edge_rows: DataFrame) -> DataFrame:
 
 
 def cluster_lists(members: DataFrame) -> DataFrame:
-    """cluster, size and its members in order; sizes are those of components of one book."""
-    return members.groupBy("cluster").agg(F.count("*").alias("size"), F.array_join(F.sort_array(F.collect_list("node")), " ").alias("members"))
+    """book_id, place, cluster, size and members of each cluster: members by page number, then id; the largest cluster of a book
+    first (of equal ones that whose first member comes first)."""
+    page = F.regexp_extract("node", r"/p(\d+):", 1).cast("long")
+    order = F.struct(page.alias("page"), F.length("node").alias("n"), "node")
+    lists = members.groupBy("cluster").agg(F.count("*").alias("size"), F.array_sort(F.collect_list(order)).alias("all"))
+    rows = lists.select(F.split_part("cluster", F.lit("/"), F.lit(1)).alias("book_id"), "cluster", "size", (-F.col("size")).alias("fewer"), F.element_at("all", 1).alias("first"), F.array_join(F.transform("all", lambda x: x["node"]), " ").alias("members"))
+    placed = scan.placed(rows, ["book_id"], ["fewer", "first"])
+    return scan.numbered(placed, ["book_id"], ["fewer", "first"], "place").select("book_id", "place", "cluster", "size", "members")
 
 
 def accepted(members: DataFrame, decisions: DataFrame) -> DataFrame:

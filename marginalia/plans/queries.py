@@ -371,6 +371,12 @@ def _(c: Corpus) -> DataFrame:
     return dedup.clusters(edge_rows(c))
 
 
+@query("c11_cluster_lists", """select book_id, row_number() over (partition by book_id order by size desc, page, n, first) as place, cluster, size, members from (select split_part(cluster, '/', 1) as book_id, cluster, count(*) as size, string_agg(node, ' ' order by page, length(node), node) as members, min(page) as page,
+    first(length(node) order by page, length(node), node) as n, first(node order by page, length(node), node) as first from (select *, regexp_extract(node, '/p([0-9]+):', 1)::bigint as page from reach) group by cluster)""", hold=True)
+def _(c: Corpus) -> DataFrame:
+    return dedup.cluster_lists(dedup.clusters(edge_rows(c)))
+
+
 @query("k3_dedup_counts", "select size, count(*) as clusters from (select count(*) as size from reach group by cluster) group by size", hold=True)
 def _(c: Corpus) -> DataFrame:
     return dedup.cluster_lists(dedup.clusters(edge_rows(c))).groupBy("size").agg(F.count("*").alias("clusters"))

@@ -71,3 +71,37 @@ def test_links_equal_containment(spark):
     want = sorted((b, p, t) for (b, p), text in keyed.items() for c, t, k in keys if b == c and k and k in text)
     assert sorted((g["book_id"], g["page_index"], g["term_id"]) for g in terms.link_terms(statements, store).collect()) == want
     assert terms.link_terms(statements, store.limit(0)).count() == 0
+
+
+def test_equal_statements_give_a_link_each_and_alike_ones_the_links_of_their_first(spark):
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = ["all the same words here"] * 40
+    for _ in range(25):
+        base = r.sample(words, r.randint(4, 20))
+        texts += [" ".join(base), " ".join(base[::-1]), " ".join(base[1:]), " ".join([*base, "more"])]
+    texts += ["", "x", "X"]
+    from marginalia.operators import dedup
+
+    df = spark.createDataFrame([("b", i, f"s-{i}", t) for i, t in enumerate(texts)], f"{P}, statement_id string, text string")
+    sets = {}
+    for i, t in enumerate(texts):
+        if t:
+            sets.setdefault(frozenset(t.lower().split()), []).append(f"p{i}:s-{i}")
+    want = {(min(m), x): 1.0 for m in sets.values() for x in m if x != min(m)}
+    known = list(sets)
+    for i, a in enumerate(known):
+        for b in known[i + 1 :]:
+            if len(a & b) >= 0.8 * len(a | b):
+                want[tuple(sorted((min(sets[a]), min(sets[b]))))] = len(a & b) / len(a | b)
+    for block in (2000, 3):
+        got = {(g["a"], g["b"]): g["jaccard"] for g in dedup.similar_texts(df, block=block).collect()}
+        assert got == want and sum(v == 1.0 for v in got.values()) == sum(len(m) - 1 for m in sets.values())
+
+
+def test_clusters_by_size_and_members_by_page(spark):
+    from marginalia.operators import dedup
+
+    rows = [("b/p10:s-1", "b/p10:s-1"), ("b/p2:s-1", "b/p10:s-1"), ("b/p2:s-12", "b/p10:s-1"), ("b/p2:s-9", "b/p10:s-1"), ("b/p1:s-1", "b/p1:s-1"), ("b/p3:s-1", "b/p1:s-1"), ("c/p1:s-1", "c/p1:s-1"), ("c/p3:s-1", "c/p1:s-1")]
+    got = sorted(map(tuple, dedup.cluster_lists(spark.createDataFrame(rows, "node string, cluster string")).collect()))
+    assert got == [("b", 1, "b/p10:s-1", 4, "b/p2:s-1 b/p2:s-9 b/p2:s-12 b/p10:s-1"), ("b", 2, "b/p1:s-1", 2, "b/p1:s-1 b/p3:s-1"), ("c", 1, "c/p1:s-1", 2, "c/p1:s-1 c/p3:s-1")]
