@@ -20,12 +20,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Queries whose plans name a shared table several times, beside those that say so themselves.
+HELD = {
+    "l1_group_lines", "l4_detect_gutter", "l7_page_label", "s2_read_notes", "s4_flatten_statements", "s4_flatten_evidence", "c5_absorb_stray", "c7_page_sections", "c8_chapter_summaries",
+    "g1_covered_intervals", "g2_coverage_ratio", "v1_schema", "v3_traceability", "p4_canonical_statements", "p4_canonical_evidence", "p4_canonical_terms", "p5_resolve_relations", "t1_term_store", "x5_citation_audit", "x12_select_book_chapters",
+}
+
+
 def query(name: str, oracle: str | None = None, hold: bool = False, nested: bool = False):
     """Registers a function of a Corpus under a name, with its SQL over the views. hold: the tables that its branches share
     are written once (see Corpus). nested: the SQL has a WITH of its own."""
 
     def put(f: Callable[[Corpus], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(Corpus(spark, sf_dir, hold))
+        QUERIES[name] = lambda spark, sf_dir: f(Corpus(spark, sf_dir, hold or name in HELD))
         if oracle:
             ORACLES[name] = sql(f"select * from ({oracle})" if nested else oracle)
         return f
@@ -324,6 +331,17 @@ def _(c: Corpus) -> DataFrame:
     return chapters.absorbed_strays(chapter_rows(c)).select("book_id", "chapter_no", "chapter_key", "title", joined("pages"))
 
 
+@query("c6_titles_from_contents", """select book_id, chapter_no, case when chapter_key = 'FRONT-MATTER' then 'TABLE OF CONTENTS' when regexp_full_match(title, 'CHAPTER [0-9]+') and split_part(title, ' ', 2)::int <= 20 then title || case when split_part(title, ' ', 2)::int % 2 = 1 then ': Part ' else ': Second ' end || split_part(title, ' ', 2) || ' of ' || book_id else title end as title from chapters""", hold=True)
+def _(c: Corpus) -> DataFrame:
+    """The front matter as two contents pages: the first names the odd chapters, the second all of the first twenty."""
+    rows = chapter_rows(c).withColumn("title", F.when(F.col("chapter_key") == "FRONT-MATTER", "TABLE OF CONTENTS").otherwise(F.col("title")))
+    n = F.sequence(F.lit(1), F.lit(20))
+    named = lambda first, last: lambda i: F.concat(F.lit("CHAPTER "), i.cast("string"), F.lit(first), i.cast("string"), F.lit(" of "), "book_id", F.lit(last))
+    odd, all_ = F.transform(F.filter(n, lambda i: i % 2 == 1), named(" Part ", ": and more ... 7")), F.transform(n, named(" Second ", " . . . . 12"))
+    pages = c.numbers.where("page_index < 2").select(*PAGE, F.array_join(F.when(F.col("page_index") == 0, odd).otherwise(all_), "\n").alias("body"), F.lit("").alias("footnotes"))
+    return chapters.titled_from_contents(rows, pages).select("book_id", "chapter_no", "title")
+
+
 def sections(c: Corpus) -> DataFrame:
     return chapters.page_sections(chapter_rows(c))
 
