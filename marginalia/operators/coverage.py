@@ -62,8 +62,7 @@ def covered_parts(parts: DataFrame, merged: DataFrame, number: str, text: str) -
     ends = merged.select(*STREAM, F.expr("stack(2, cast(start_at as bigint), 1, cast(end_at as bigint), -1) as (x, open)"))
     places = parts.select(*STREAM, number, F.expr(f"stack(2, a, -1, cast(null as string), b, 1, {text}) as (x, side, {text})"))
     order = Window.partitionBy(*STREAM).orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    # dealt out after the union: its two sides are, each, but their partitions may be coalesced apart
-    swept = places.unionByName(ends, allowMissingColumns=True).repartition(*STREAM)
+    swept = places.unionByName(ends, allowMissingColumns=True)
     upto = F.col("x") * F.coalesce(F.sum("open").over(order), F.lit(0)) - F.coalesce(F.sum(F.col("x") * F.col("open")).over(order), F.lit(0))
     return swept.withColumn("upto", upto).where("side is not null").groupBy(*STREAM, number).agg(F.max(text).alias(text), F.min("x").alias("a"), F.max("x").alias("b"), F.sum(F.col("upto") * F.col("side")).alias("covered"))
 
