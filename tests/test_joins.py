@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
@@ -105,3 +106,19 @@ def test_clusters_by_size_and_members_by_page(spark):
     rows = [("b/p10:s-1", "b/p10:s-1"), ("b/p2:s-1", "b/p10:s-1"), ("b/p2:s-12", "b/p10:s-1"), ("b/p2:s-9", "b/p10:s-1"), ("b/p1:s-1", "b/p1:s-1"), ("b/p3:s-1", "b/p1:s-1"), ("c/p1:s-1", "c/p1:s-1"), ("c/p3:s-1", "c/p1:s-1")]
     got = sorted(map(tuple, dedup.cluster_lists(spark.createDataFrame(rows, "node string, cluster string")).collect()))
     assert got == [("b", 1, "b/p10:s-1", 4, "b/p2:s-1 b/p2:s-9 b/p2:s-12 b/p10:s-1"), ("b", 2, "b/p1:s-1", 2, "b/p1:s-1 b/p3:s-1"), ("c", 1, "c/p1:s-1", 2, "c/p1:s-1 c/p3:s-1")]
+
+
+@pytest.mark.parametrize("most", [1, 2, 7])
+def test_links_by_blocks_move_statements_and_terms_alone(spark, most):
+    r = random.Random(most)
+    words = ["ab", "abc", "bca", "cab", "x", "tion", "station", "q"]
+    texts = [("b" + str(i % 3), i, f"s-{i % 4}", " ".join(r.choices(words, k=r.randint(0, 6)))) for i in range(120)]
+    keys = [(f"b{b}", f"t-{i}", k) for b in (0, 1) for i, k in enumerate(["ab", "abc bca", "x", "tion st", "station", "abcd"][: 6 - 3 * b])]
+    statements = spark.createDataFrame([*texts, *texts[:5], ("b0", None, "s-1", "ab"), (None, 1, "s-1", "ab"), ("b0", 500, "s-1", None)], f"{P}, statement_id string, text string")
+    store = spark.createDataFrame([(*k, i) for i, k in enumerate(keys)], "book_id string, term_id string, key string, place int")
+    keyed = {(g["book_id"], g["page_index"], g["statement_id"]): g["k"] for g in statements.where("page_index < 500").select("book_id", "page_index", "statement_id", T.term_key(F.col("text")).alias("k")).collect()}
+    want = sorted((b, p, s, t) for (b, p, s), text in keyed.items() for c, t, k in keys if b == c and k in text)
+    assert sorted(tuple(g)[:4] for g in terms.link_terms(statements, store, most=most).collect()) == want
+    dealt = {g["book_id"]: g["blocks"] for g in terms.blocks(statements, store, most).collect()}
+    own, named = {b: sum(t[0] == b for t in statements.collect()) for b in dealt}, {b: sum(k[0] == b for k in keys) for b in dealt}
+    assert set(dealt) == {"b0", "b1"} and all(dealt[b] * named[b] <= own[b] + named[b] for b in dealt)
