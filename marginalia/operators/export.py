@@ -63,7 +63,7 @@ def book_toc(chapters: DataFrame, contents: DataFrame) -> DataFrame:
     headings under them, and anchors carry the chapter's file number."""
     n = F.row_number().over(Window.partitionBy("book_id").orderBy("file_no"))
     numbered = chapters.select("book_id", "file_no", "title", n.alias("n"))
-    prefix = F.concat(F.lit("c"), F.lpad(F.col("file_no").cast("string"), 3, "0"))
+    prefix = F.format_string("c%03d", "file_no")
     top = numbered.select("book_id", "file_no", F.lit(-1).alias("line_no"), F.lit(0).alias("level"), F.col("n").cast("string").alias("number"), "title", F.concat(prefix, F.lit("-chap")).alias("anchor"))
     rest = contents.join(numbered.select("book_id", "file_no", "n"), ["book_id", "file_no"]).select("book_id", "file_no", "line_no", "level", F.concat_ws(".", "n", "number").alias("number"), "title", F.concat_ws("-", prefix, "anchor").alias("anchor"))
     return top.unionByName(rest)

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.operators import coverage, layout, terms
+from marginalia.operators import coverage, export, layout, terms
 from marginalia.operators.boxes import points_in_boxes
+from marginalia.plans.queries import QUERIES
 
 P = "book_id string, page_index long"
 
@@ -122,3 +123,11 @@ def test_links_by_blocks_move_statements_and_terms_alone(spark, most):
     dealt = {g["book_id"]: g["blocks"] for g in terms.blocks(statements, store, most).collect()}
     own, named = {b: sum(t[0] == b for t in statements.collect()) for b in dealt}, {b: sum(k[0] == b for k in keys) for b in dealt}
     assert set(dealt) == {"b0", "b1"} and all(dealt[b] * named[b] <= own[b] + named[b] for b in dealt)
+
+
+def test_page_and_file_numbers_of_any_length_stay_whole(spark, tmp_path):
+    spark.range(10_003).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.lit("src0").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["s3_page_index_of"](spark, str(tmp_path)).where("page_index % 5 <> 4 and parsed <> page_index").count() == 0
+    chapters = spark.createDataFrame([("b", n, "t") for n in (7, 100, 1000, 1001)], "book_id string, file_no int, title string")
+    none = spark.createDataFrame([], "book_id string, file_no int, line_no int, level int, number string, title string, anchor string")
+    assert {g["anchor"] for g in export.book_toc(chapters, none).collect()} == {"c007-chap", "c100-chap", "c1000-chap", "c1001-chap"}
