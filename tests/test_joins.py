@@ -131,3 +131,18 @@ def test_page_and_file_numbers_of_any_length_stay_whole(spark, tmp_path):
     chapters = spark.createDataFrame([("b", n, "t") for n in (7, 100, 1000, 1001)], "book_id string, file_no int, title string")
     none = spark.createDataFrame([], "book_id string, file_no int, line_no int, level int, number string, title string, anchor string")
     assert {g["anchor"] for g in export.book_toc(chapters, none).collect()} == {"c007-chap", "c100-chap", "c1000-chap", "c1001-chap"}
+
+
+def test_words_dealt_by_page_are_not_shuffled_again(spark):
+    row = f"{P}, word_no long, text string, x0 double, x1 double, top double, bottom double, size double, column_no int"
+    made = [("b", i % 3, i, f"w{i}", 9.0 * (i % 7), 9.0 * (i % 7) + 5, 4.0 * (i // 9), 4.0 * (i // 9) + 3, 10.0, i % 2) for i in range(90)]
+    words = spark.createDataFrame(made, row).repartition("book_id", "page_index")
+    shapes = words.select("book_id", "page_index", F.col("word_no").alias("shape_no"), (F.col("x0") - 3).alias("x0"), (F.col("x0") - 1).alias("x1"), "top", "bottom")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for frame in (layout.lines(layout.lined(words)), layout.lines(layout.lined(words, ["book_id", "page_index", "column_no"]), ["book_id", "page_index", "column_no"]), layout.gap_shapes(layout.lined(words), shapes)):
+            assert "ENSURE_REQUIREMENTS" not in frame._jdf.queryExecution().executedPlan().toString()
+            assert frame.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
