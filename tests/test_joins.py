@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from marginalia.functions import text as T
 from marginalia.operators import coverage, export, layout, terms
 from marginalia.operators.boxes import points_in_boxes
+from marginalia.plans import queries
 from marginalia.plans.queries import QUERIES
+from marginalia.sources import derived
 
 P = "book_id string, page_index long"
 
@@ -146,3 +148,10 @@ def test_words_dealt_by_page_are_not_shuffled_again(spark):
             assert frame.count() > 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_texts_are_dealt_over_tasks_by_their_characters(spark, tmp_path, monkeypatch):
+    spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), F.lit(20)).alias("text"), F.lit("src0").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(derived, "PART_CHARS", 100)
+    dealt = queries.words(derived.Corpus(spark, str(tmp_path)))
+    assert dealt.rdd.getNumPartitions() == 41 and dealt.count() == 800
