@@ -75,9 +75,10 @@ def gaps(norm: DataFrame, merged: DataFrame, threshold: float = 0.5, least: int
 
 
 def redo_list(cover: DataFrame, sections: DataFrame, bound: float = 0.5, prose_only: bool = True) -> DataFrame:
-    """Pages whose body is covered by less than `bound`, worst first by `place`, and per book their ascending list."""
+    """Pages whose body is covered by less than `bound`, worst first by `place`, and per book their ascending list. Coverage is
+    worked out once: number and list are both made from the pages as they are written."""
     low = cover.where((F.col("stream") == "body") & (F.col("ratio") < bound)).join(sections.select(*PAGE, "prose"), PAGE)
     low = low.where("prose") if prose_only else low
-    lists = low.groupBy("book_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("page_index")), lambda i: (i + 1).cast("string")), ",").alias("page_spec"))
     placed = scan.placed(low.select(*PAGE, "ratio"), ["book_id"], ["ratio", "page_index"])
+    lists = placed.groupBy("book_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("page_index")), lambda i: (i + 1).cast("string")), ",").alias("page_spec"))
     return scan.numbered(placed, ["book_id"], ["ratio", "page_index"], "place").select(*PAGE, "ratio", F.col("place").cast("int").alias("place")).join(lists, "book_id")
