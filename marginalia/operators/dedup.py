@@ -12,6 +12,7 @@ from marginalia.functions import text as T
 from marginalia.operators import scan
 from marginalia.operators.anchor import PAGE
 from marginalia.operators.components import components
+from marginalia.sources.shared import written
 
 
 def statement_key(page: str = "page_index", statement: str = "statement_id") -> Column:
@@ -69,28 +70,36 @@ def similar_texts(statements: DataFrame, least: float = 0.8, block: int = 2000)
     its sizes are near (length); sizes go by classes of which a set meets its own and the next. A token that more than
     `block` sets of a book and class have is dealt out: the one side to as many parts as it takes, the other to each."""
     tokens = statements.select("book_id", statement_key().alias("key"), F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), T.BLANK), lambda t: t != ""))).alias("tokens")).where("size(tokens) > 0")
-    rows = tokens.select("book_id", "key", "tokens", F.sha2(F.array_join("tokens", " "), 256).alias("set"))
-    first = rows.groupBy("book_id", "set").agg(F.min("key").alias("first"), F.min("tokens").alias("tokens"))
-    copies = rows.join(first.select("book_id", "set", "first"), ["book_id", "set"]).where("key <> first").select("book_id", F.col("first").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("jaccard"))
-    each = first.select("book_id", "set", F.explode("tokens").alias("token"))
+    rows = written(tokens.select("book_id", "key", F.unhex(F.sha2(F.array_join("tokens", " "), 256)).alias("set"), "tokens"), "token-sets")
+    one = rows.groupBy("book_id", "set").agg(F.min("key").alias("first"), F.first("tokens").alias("tokens"))
+    sets = written(one.withColumn("id", F.monotonically_increasing_id()), "sets")
+    copies = rows.select("book_id", "set", "key").join(sets.select("book_id", "set", "first"), ["book_id", "set"]).where("key <> first").select("book_id", F.col("first").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("jaccard"))
+    # from here on a set goes by its number and a token by its hash: tokens that share one count as one in the order of rarity,
+    # which only lets more pairs through to the check
+    coded = sets.select("book_id", F.col("id").alias("set"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
+    each = coded.select("book_id", "set", F.explode("hashes").alias("token"))
     count = each.groupBy("book_id", "token").agg(F.count("*").alias("n"))
     ranked = each.join(count, ["book_id", "token"]).groupBy("book_id", "set").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda t: t["token"]).alias("order"))
     size = F.size("order")
     prefix = (size - F.ceil(F.lit(least) * size) + 1).cast("int")
     klass = F.floor(F.log(size.cast("double")) / F.log(F.lit(1 / least) + 1e-9)).cast("int")
-    places = ranked.select("book_id", "set", size.alias("size"), klass.alias("class"), F.posexplode(F.slice("order", F.lit(1), prefix)).alias("at", "token"))
+    places = written(ranked.select("book_id", "set", size.alias("size"), klass.alias("class"), F.posexplode(F.slice("order", F.lit(1), prefix)).alias("at", "token")), "prefixes")
     key = ["book_id", "token", "class"]
     parts = places.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    dealt = places.join(parts, key)
-    left = dealt.select(*key, F.pmod(F.xxhash64("set"), F.col("parts")).cast("int").alias("part"), F.col("set").alias("u"), F.col("size").alias("su"), F.col("at").alias("pu"))
+    # those dealt out are fewer than one in `block` places, so small enough to send to every task
+    many = F.broadcast(parts.where("parts > 1"))
+    deal = lambda rows: rows.join(many, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    left = deal(places).select(*key, F.pmod(F.xxhash64("set"), F.col("parts")).cast("int").alias("part"), F.col("set").alias("u"), F.col("size").alias("su"), F.col("at").alias("pu"))
     # smaller classes come to the larger one's parts, a class to its own
-    probes = places.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1))).join(parts, key)
+    probes = deal(places.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1))))
     right = probes.select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("set").alias("v"), F.col("size").alias("sv"), F.col("at").alias("pv"))
     need = F.ceil(F.lit(least / (1 + least)) * (F.col("su") + F.col("sv")) - 1e-9)
     near = (F.col("sv") >= least * F.col("su") - 1e-9) & (F.col("su") >= least * F.col("sv") - 1e-9) & (1 + F.least(F.col("su") - F.col("pu"), F.col("sv") - F.col("pv")) - 1 >= need)
-    pairs = left.join(right, [*key, "part"]).where((F.col("u") != F.col("v")) & near).select("book_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    of = lambda end: first.select("book_id", F.col("set").alias(end), F.col("first").alias(f"{end}_first"), F.col("tokens").alias(f"{end}_tokens"))
-    met = pairs.join(of("u"), ["book_id", "u"]).join(of("v"), ["book_id", "v"])
+    pairs = written(left.join(right, [*key, "part"]).where((F.col("u") != F.col("v")) & near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    met = pairs
+    for end in ("u", "v"):  # only tokens of sets that stand in a pair travel
+        own = sets.join(pairs.select(F.col(end).alias("id")).distinct(), "id", "left_semi")
+        met = met.join(own.select("book_id" if end == "u" else F.lit(0).alias("_"), F.col("id").alias(end), F.col("first").alias(f"{end}_first"), F.col("tokens").alias(f"{end}_tokens")), end)
     common = F.size(F.array_intersect("u_tokens", "v_tokens"))
     jaccard = common / (F.size("u_tokens") + F.size("v_tokens") - common)
     links = met.withColumn("jaccard", jaccard).where(F.col("jaccard") >= least).select("book_id", F.least("u_first", "v_first").alias("a"), F.greatest("u_first", "v_first").alias("b"), "jaccard")

@@ -61,3 +61,16 @@ def test_clusters_are_worked_out_once(spark, sf, monkeypatch):
     calls, real = [], dedup.clusters
     monkeypatch.setattr(dedup, "clusters", lambda rows: calls.append(1) or real(rows))
     assert QUERIES["c12_apply_adjudication"](spark, sf).count() > 0 and len(calls) == 1
+
+
+def test_token_sets_are_made_once_and_go_by_number(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        seen.add(1)
+        return " ".join(f"w{j}" for j in range(i % 5, 12))
+
+    rows = spark.range(30).select(F.lit("b").alias("book_id"), (F.col("id") % 15).alias("page_index"), F.lit("s-1").alias("statement_id"), F.udf(text, "string")("id").alias("text"))
+    got = {(g["a"], g["b"]): round(g["jaccard"], 3) for g in dedup.similar_texts(rows).collect()}
+    first = [f"p{i}:s-1" for i in (0, 1, 10, 11, 12, 13, 14, 2, 3, 4)]
+    assert got and all(a in first and v >= 0.8 for (a, _), v in got.items()) and seen.value <= 60
