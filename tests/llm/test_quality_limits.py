@@ -94,3 +94,22 @@ def test_scripts_beyond_latin_have_many_classes():
         want = collections.Counter(map(character_class, text))
         assert sorted(chars[0][chars[0] > 0].tolist()) == sorted(want.values()) and chars[1].sum() == 5 and chars[2].sum() == 0
         assert (chars[0] > 0).sum() >= 4
+
+
+def test_limits_take_all_labelled_documents(spark):
+    """More rows than any bound of a sample: against numpy over all of them."""
+    r = np.random.default_rng(3)
+    n, good = r.integers(75, 900, 9000), r.random(9000) < 0.7
+    dc = 0.1 + 2.0 / np.sqrt(n) + r.normal(0, 0.02, 9000) + np.where(good, 0, 0.07)
+    dw = 0.2 + 1.0 / np.sqrt(n) + r.normal(0, 0.02, 9000) + np.where(good, 0, 0.01)
+    rows = [(i, int(n[i]), False, float(dc[i]), float(dw[i])) for i in range(9000)]
+    measures = spark.createDataFrame(rows, "doc_id long, n_words long, base_failed boolean, class_distance double, word_distance double")
+    got = quality.fitted_on(measures, spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int"))
+    for d, slope, limit in ((dc, got.class_slope, got.class_limit), (dw, got.word_slope, got.word_limit)):
+        line = np.stack([1 / np.sqrt(n[good]), np.ones(good.sum())], axis=1)
+        assert abs(slope - np.linalg.lstsq(line, d[good], rcond=None)[0][0]) < 1e-6
+        left = d - slope / np.sqrt(n)
+        mine, bad = np.sort(left[good]), left[~good]
+        places = [*mine[int(0.995 * (len(mine) - 1)) :], np.inf]
+        gains = [(bad > p).mean() - (mine > p).mean() for p in places]
+        assert abs(limit - places[len(places) - 1 - int(np.argmax(gains[::-1]))]) < 1e-12
