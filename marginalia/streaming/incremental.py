@@ -40,20 +40,27 @@ def gate_stream(arriving: DataFrame, norm: DataFrame, sink: str, checkpoint: str
 
     A page that the sink already has is not replaced: the batch is anti-joined to the manifest of finished pages, of which
     only the batch's buckets are read, so no state grows with the stream. Of several notes-sets of a page in one batch the
-    least by content is taken. A batch that is run again after a failure writes its own folders (by batch number) anew, so
+    least by content is taken. Notes are parsed once, and each table is made from those that the batch has written, so quotes are
+    looked up once. A batch that is run again after a failure writes its own folders (by batch number) anew, so
     nothing is written twice."""
     spark = norm.sparkSession
 
     def one(batch: DataFrame, number: int) -> None:
         first = batch.groupBy(*PAGE).agg(F.min("raw").alias("raw"))
-        fresh = page_store.unfinished(first, sink, before=number).persist()
+        fresh = parsed_notes(page_store.unfinished(first, sink, before=number)).persist()
         try:
-            flat = flattened(parsed_notes(fresh))
-            flagged = anchor.anchored(flat["evidence"], norm)
-            kept = anchor.gate(flagged, flat["statements"], flat["references"], flat["relations"], flat["statement_terms"])
-            out = {"evidence": flagged, "statements": kept["statements"], "relations": kept["relations"], "dropped": anchor.dropped(flagged, flat["statements"], flat["references"])}
-            for name, rows in out.items():
+            flat = flattened(fresh)
+            out = {}
+
+            def put(name: str, rows: DataFrame) -> DataFrame:
                 rows.write.mode("overwrite").parquet(f"{sink}/{name}/batch={number}")
+                out[name] = spark.read.schema(rows.schema).parquet(f"{sink}/{name}/batch={number}")
+                return out[name]
+
+            flagged = put("evidence", anchor.anchored(flat["evidence"], norm))
+            kept = put("statements", anchor.pruned(flat["statements"], anchor.kept_references(flat["references"], flagged)))
+            put("relations", anchor.surviving_relations(kept, flat["relations"], flat["statement_terms"]))
+            put("dropped", anchor.dropped(flagged, flat["statements"], flat["references"]))
             page_store.put(fresh.select(*PAGE), sink, number)
             if then:
                 then(out)

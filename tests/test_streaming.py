@@ -54,3 +54,13 @@ def test_changed_books(spark):
     now = incremental.fingerprints(spark.createDataFrame([("a", 0, "x", ""), ("a", 1, "y!", None), ("b", 0, "z", "")], f"{P}, text string, footnotes string"), "low")
     assert [r["book_id"] for r in incremental.changed(now, stored).collect()] == ["a"]
     assert incremental.changed(incremental.fingerprints(pages, "high"), stored).count() == 2
+
+
+def test_tables_of_a_batch_are_made_from_what_it_has_written(spark, tmp_path):
+    norm = spark.createDataFrame([("b", 0, "page 0 has these words", "")], f"{P}, body_norm string, foot_norm string")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text(json.dumps({"book_id": "b", "page_index": 0, "raw": note(["page 0"])}))
+    seen = []
+    then = lambda out: seen.extend((name, f) for name, rows in out.items() for f in rows.inputFiles())
+    incremental.gate_stream(incremental.arriving_notes(spark, str(tmp_path / "in")), norm, str(tmp_path / "out"), str(tmp_path / "ckpt"), then).awaitTermination(120)
+    assert {name for name, _ in seen} == {"evidence", "statements", "relations", "dropped"} and all(f"/out/{name}/batch=0/" in f for name, f in seen)
