@@ -59,6 +59,34 @@ def flattened(rows: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+_ITEM = {
+    **dict.fromkeys(("evidence_id", "kind", "source", "excerpt"), "string"), "page_override": "long", **dict.fromkeys(("statement_id", "type", "basis", "text"), "string"), "terms": "array<string>", "refs": "array<string>",
+    **dict.fromkeys(("src", "dst", "rel_type", "term_id", "label"), "string"),
+}
+
+
+def items(rows: DataFrame) -> DataFrame:
+    """Evidence, statements, relations and terms of readable rows in one table, from one scan of the notes: book_id, page_index,
+    what (the name of the table in flattened) and the columns that flattened gives them, null where they are another table's."""
+    none = F.array().cast("array<string>")
+    fields = {
+        "evidence": lambda e: {"evidence_id": e["id"], "kind": F.coalesce(e["kind"], F.lit("text")), "source": e["source"], "excerpt": F.coalesce(e["excerpt"], F.lit("")), "page_override": e["page_index"]},
+        "statements": lambda s: {"statement_id": s["id"], "type": s["type"], "basis": s["basis"], "text": F.coalesce(s["text"], F.lit("")), "terms": F.coalesce(s["terms"], none), "refs": F.coalesce(s["evidence"], none)},
+        "relations": lambda r: {"src": r["from"], "dst": r["to"], "rel_type": r["type"]},
+        "terms": lambda t: {"term_id": t["id"], "label": t["label"]},
+    }
+
+    def listed(name: str) -> Column:
+        def item(x: Column) -> Column:
+            own = fields[name](x)
+            return F.struct(F.lit(name).alias("what"), *(own.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in _ITEM.items()))
+
+        return F.transform(f"notes.{name}", item)
+
+    lists = F.filter(F.array(*map(listed, fields)), lambda part: part.isNotNull())
+    return rows.where("readable").select(*PAGE, F.explode(F.flatten(lists)).alias("x")).select(*PAGE, "x.*")
+
+
 def nested(evidence: DataFrame, statements: DataFrame, relations: DataFrame, order: str = "pos", terms: DataFrame | None = None, statement_terms: DataFrame | None = None) -> DataFrame:
     """book_id, page_index and the notes-set as JSON: lists in the order of `order`, empty optional fields left out, evidence and
     statements always there. The document is the book.

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from marginalia.operators import anchor, score, validate
 from marginalia.sources import page_store
-from marginalia.sources.notes import PAGE, flattened, parsed_notes
+from marginalia.sources.notes import PAGE, flattened, items, parsed_notes
 
 
 def fingerprints(pages: DataFrame, options: str = "") -> DataFrame:
@@ -89,13 +89,20 @@ def floor_stream(arriving: DataFrame, norm: DataFrame, store: str, checkpoint: s
 
 
 def page_counts(notes: DataFrame, norm: DataFrame) -> DataFrame:
-    """The floor counts of each page with notes, and whether they could be read."""
-    flat = flattened(notes)
-    referential = validate.reference_problems(*(flat[k] for k in ("evidence", "statements", "references", "relations", "terms", "statement_terms")))
-    schema = validate.schema(*(flat[k] for k in ("evidence", "statements", "relations", "terms", "statement_terms")))
-    counts = score.floor_page(flat["evidence"], flat["statements"], referential, schema, validate.traceability(flat["evidence"], norm))
-    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in score.COUNTS]
-    return notes.select(*PAGE, "readable").join(counts, PAGE, "left").select(*PAGE, "readable", *zero)
+    """The floor counts of each page with notes, and whether they could be read: what score.floor_page gives of the flat tables.
+
+    Notes that are dealt by page already are counted where they are; only the quotes are shuffled, to the pages they cite."""
+    rows = items(notes)
+    what, excerpt = F.col("what"), (F.col("what") == "evidence") & (F.col("kind") == "text")
+    own = rows.groupBy(*PAGE).agg(
+        F.count_if(what == "statements").alias("statements_total"), F.count_if((what == "statements") & (F.size("refs") > 0)).alias("statements_grounded"), F.count_if(excerpt).alias("excerpts_total"), F.sum(validate.schema_count()).alias("schema_problems"),
+    )
+    quotes = rows.where(excerpt).select(*PAGE, "evidence_id", "kind", "source", "excerpt", "page_override")
+    untraced = validate.traceability(quotes, norm).groupBy(*PAGE).agg(F.count("*").alias("untraced"))
+    found = notes.select(*PAGE, "readable").join(own, PAGE, "left").join(validate.reference_count(notes.where("readable")), PAGE, "left").join(untraced, PAGE, "left")
+    anchored = F.greatest(F.col("excerpts_total") - F.coalesce("untraced", F.lit(0)), F.lit(0))
+    counts = found.withColumns({"excerpts_anchored": anchored, "referential_problems": F.col("loose")})
+    return counts.select(*PAGE, "readable", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in score.COUNTS))
 
 
 def running_floor(spark: SparkSession, store: str, expected: DataFrame) -> DataFrame:

@@ -61,3 +61,33 @@ def test_the_running_floor_equals_the_floor_of_what_has_come(spark, tmp_path, st
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
         seen.append({r["book_id"]: (r["excerpts_anchored"], r["referential_problems"], r["pages_present"]) for r in got.collect()})
     assert seen == [{"b": (3, 1, 2), "c": (0, 0, 0)}, {"b": (4, 0, 2), "c": (1, 1, 1)}, {"b": (2, 0, 1), "c": (3, 1, 2)}]
+
+
+def test_counts_of_a_page_need_few_scans_and_no_joins_of_flat_tables(spark):
+    """As from the flat tables, on notes with every kind of problem."""
+    from marginalia.operators import validate
+
+    evidence = [
+        {"id": "e-1", "source": "body", "excerpt": "these words"}, {"id": "e-1", "source": "footnote", "excerpt": "these words"}, {"id": None, "kind": "figure", "excerpt": ""}, {"id": "E", "kind": "photo", "source": "margin", "page_index": -1},
+        {"id": "e-2", "kind": "text", "excerpt": "other", "source": None, "page_index": 1}, None,
+    ]
+    statements = [
+        {"id": "s-1", "type": "claim", "text": "a", "terms": ["t-a", "t-b", None, "x"], "evidence": ["e-1", "e-9", "e-9", None, "q"]}, {"id": None, "type": "odd", "basis": "none", "terms": None, "evidence": []},
+        {"id": "s-1", "type": None, "text": "", "evidence": None}, None,
+    ]
+    relations = [{"from": "s-1", "to": "t-a", "type": "supports"}, {"from": "s-7", "to": None, "type": "other"}, {"from": "s-7", "to": "S 8"}, None]
+    full = {"evidence": evidence, "statements": statements, "relations": relations, "terms": [{"id": "t-a", "label": "a"}, {"id": "T", "label": ""}, {"id": None}, None]}
+    made = [full, {k: v for k, v in full.items() if k != "terms"}, {"terms": full["terms"]}, {"statements": statements}, {"evidence": evidence, "relations": relations}, {}, {"evidence": [], "statements": []}]
+    raw = spark.createDataFrame([("b", i, json.dumps(m)) for i, m in enumerate(made)] + [("c", 0, "{broken"), ("c", 1, None)], f"{P}, raw string")
+    norm = spark.createDataFrame([("b", i, f"page {i} has these words", "") for i in range(3)], f"{P}, body_norm string, foot_norm string")
+    rows = notes.parsed_notes(raw.repartition(4, "book_id", "page_index")).persist()
+    flat = notes.flattened(rows)
+    parts = [flat[k] for k in ("evidence", "statements", "references", "relations", "terms", "statement_terms")]
+    problems = validate.reference_problems(*parts), validate.schema(*(flat[k] for k in ("evidence", "statements", "relations", "terms", "statement_terms")))
+    want = {(r["book_id"], r["page_index"]): tuple(r[c] for c in score.COUNTS) for r in score.floor_page(flat["evidence"], flat["statements"], *problems, validate.traceability(flat["evidence"], norm)).collect()}
+    counts = incremental.page_counts(rows, norm)
+    got = {(r["book_id"], r["page_index"]): tuple(r[c] for c in score.COUNTS) for r in counts.collect()}
+    assert got == {(r["book_id"], r["page_index"]): want.get((r["book_id"], r["page_index"]), (0,) * 6) for r in raw.collect()} and want[("b", 0)][4] > 5 and want[("b", 0)][5] > 10
+    plan = incremental.page_counts(rows, norm)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InMemoryTableScan") <= 4
+    rows.unpersist()
