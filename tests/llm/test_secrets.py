@@ -131,3 +131,28 @@ def test_thresholds_keep_the_recall_and_add_no_false_finding():
     for part in (False, True):
         true = p[(y[held] == 1) & (long == part)]
         assert (true >= net.thresholds[part]).mean() >= 0.95
+
+
+def test_every_candidate_of_every_text_takes_part(spark, net):
+    """More texts than any bound of a sample (20,000 before): counts, sums of a step and held-out scores against all of them."""
+    texts = [f"number {i} is password=word{i:07}" if i % 5000 == 0 else f"é candidate{i:06} of some" for i in range(30_000)] + [None, "", "12345678"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = secrets.Scanned(pa.array(texts))
+    label, held = found.covered(), secrets._sides(found)
+    assert len(label) == 30_001 and label.sum() == 6
+    grams = {r["gram"]: r["n"] for r in secrets.gram_counts(docs, secrets.LEAST).collect()}
+    assert grams.pop(-1) == len(label) and sum(grams.values()) == len(found.raw) + 3 * len(texts)
+    a, b, c, d = b"cand"
+    assert grams[((a * 129 + b) * 129 + c) * 129 + d] == 29_994
+    sums = secrets.step_sums(docs, net, secrets.LEAST)
+    x = net.features(found.windows(np.arange(len(label))))
+    for y in (0, 1):
+        rows = ~held & (label == y)
+        want = secrets._sums(net, x[rows])[y]
+        assert sums[y][0] == rows.sum() and np.allclose(sums[y], want, rtol=1e-3, atol=1e-3 * np.abs(want).max())
+    assert sum(r["n"] for r in secrets.held_scores(docs, net, secrets.LEAST).collect()) == held.sum()
+
+
+def test_the_network_does_not_depend_on_how_texts_are_dealt(spark, net):
+    other = secrets.trained(spark.read.parquet(f"{SF}/documents.parquet").repartition(13))
+    assert np.allclose(other.last, net.last, atol=1e-4) and np.allclose(other.thresholds, net.thresholds, atol=1e-3)
