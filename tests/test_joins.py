@@ -155,3 +155,25 @@ def test_texts_are_dealt_over_tasks_by_their_characters(spark, tmp_path, monkeyp
     monkeypatch.setattr(derived, "PART_CHARS", 100)
     dealt = queries.words(derived.Corpus(spark, str(tmp_path)))
     assert dealt.rdd.getNumPartitions() == 41 and dealt.count() == 800
+
+
+def test_boxes_of_any_width_meet_points_without_a_row_for_each_cell(spark):
+    boxes = spark.createDataFrame([("b", 0, "wide", -1e12, 1e12, 0.0, 5.0), ("b", 0, "far", 0.0, float("inf"), 0.0, float("inf")), ("b", 1, "none", 0.0, 1.0, 0.0, 1.0)], f"{P}, box string, l double, r double, t double, b double")
+    points = spark.createDataFrame([("b", 0, 1, -9e11, 5.0), ("b", 0, 2, 3.0, 0.0), ("b", 0, 3, 3.0, 1e13), ("b", 0, 4, None, 1.0), ("b", 2, 5, 0.5, 0.5)], f"{P}, point int, px double, py double")
+    got = points_in_boxes(boxes, points, ["book_id", "page_index"], (F.col("l"), F.col("r"), F.col("px")), (F.col("t"), F.col("b"), F.col("py")), (64.0, 12.0))
+    assert sorted((r["box"], r["point"]) for r in got.collect()) == [("far", 2), ("far", 3), ("wide", 1), ("wide", 2)]
+
+
+def test_words_are_split_within_their_pages_row(spark):
+    row = f"{P}, word_no int, text string, x0 double, x1 double, top double, bottom double, size double, note string"
+    words = spark.createDataFrame([("b", 0, 0, "ab", 0.0, 1e12, 0.0, 10.0, 0.0, "n"), ("b", 0, 1, "cd", 0.0, 50.0, 20.0, 30.0, None, None), ("b", 1, 0, "e", 0.0, 9.0, 0.0, 10.0, 10.0, "m")], row).repartition("book_id", "page_index")
+    chars = spark.createDataFrame([("b", 0, "b", 40.0, 48.0, 1.0, None), ("b", 0, "a", 0.0, 8.0, 0.0, 0.0), ("b", 0, "d", 9.7, 17.0, 20.0, 10.0), ("b", 0, "c", 0.0, 8.0, 20.0, 10.0), ("b", 0, "z", 60.0, 61.0, 20.0, 10.0), ("b", 2, "y", 0.0, 1.0, 0.0, 1.0)], f"{P}, text string, x0 double, x1 double, top double, size double").repartition("book_id", "page_index")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cut = layout.split_words(words, chars)
+        assert "ENSURE_REQUIREMENTS" not in cut._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r["page_index"], r["word_no"], r["part"], r["text"], r["x0"], r["x1"], r["note"]) for r in cut.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == [(0, 0, 0, "a", 0.0, 8.0, "n"), (0, 0, 1, "b", 40.0, 48.0, "n"), (0, 1, 0, "cd", 0.0, 50.0, None), (1, 0, 0, "e", 0.0, 9.0, "m")]
