@@ -177,3 +177,35 @@ def test_words_are_split_within_their_pages_row(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert got == [(0, 0, 0, "a", 0.0, 8.0, "n"), (0, 0, 1, "b", 40.0, 48.0, "n"), (0, 1, 0, "cd", 0.0, 50.0, None), (1, 0, 0, "e", 0.0, 9.0, "m")]
+
+
+def test_lines_are_found_by_search_and_equal_a_fold_over_heights(spark):
+    tops = [(k * 17 % 101) * 0.7 + (400.0 if k % 3 else 0.0) for k in range(300)] + [None, 12.0]
+    made = [("b", k % 2, k, "7" if k % 5 else "w", 1.0 * k, k + 0.5, t, None if t is None else t + 9, (10.0, 7.0, 0.0, None)[k % 4], k % 3 % 2) for k, t in enumerate(tops)]
+    words = spark.createDataFrame(made, f"{P}, word_no int, text string, x0 double, x1 double, top double, bottom double, size double, column_no int")
+    for keys in (["book_id", "page_index"], ["book_id", "page_index", "column_no"]):
+        want = {}
+        for key in {(w[1], w[9]) if len(keys) > 2 else (w[1],) for w in made}:
+            first, n = None, 0
+            for t in sorted({w[6] for w in made if w[6] is not None and (w[1], w[9])[: len(key)] == key}):
+                if first is None or t - first > layout.LINE_TOLERANCE:
+                    first, n = t, n + 1
+                want[(*key, t)] = (n, first)
+        frame = layout.lined(words, keys)
+        got = frame.collect()
+        assert len(got) == len(made) - 1 and all((r["line_no"], r["line_top"]) == want[(*(r[k] for k in keys[1:]), r["top"])] for r in got)
+        if len(keys) == 2:  # no list of all heights is gone through
+            assert "array_position" not in frame._jdf.queryExecution().optimizedPlan().toString()
+        rows, counted = {(*(r[k] for k in keys), r["line_no"]): r for r in layout.lines(frame, keys).collect()}, layout.line_sizes(layout.heights(words, keys), keys).collect()
+        assert len(rows) == len(counted)
+        for r in counted:
+            line = rows[(*(r[k] for k in keys), r["line_no"])]
+            assert (r["line_top"], r["line_bottom"], r["line_size"], r["n_words"]) == (line["line_top"], line["line_bottom"], line["line_size"], line["n_words"])
+            assert r["label"] == (line["n_words"] == 1 and line["line_text"] == "7")
+
+
+def test_texts_are_measured_once_before_they_become_words(spark, sf):
+    plan = queries.words(derived.Corpus(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    explode = next(line for line in plan.splitlines() if "Generate posexplode" in line)
+    above = plan.split(explode)[0]
+    assert "length(text" not in above and "substring_index" not in above
