@@ -209,3 +209,12 @@ def test_texts_are_measured_once_before_they_become_words(spark, sf):
     explode = next(line for line in plan.splitlines() if "Generate posexplode" in line)
     above = plan.split(explode)[0]
     assert "length(text" not in above and "substring_index" not in above
+
+
+def test_headers_from_counted_heights_equal_those_from_lines(spark, sf):
+    c = derived.Corpus(spark, sf)
+    words = queries.words(c)
+    want = layout.header_bottoms(layout.lines(layout.lined(words)), layout.body_size(words))
+    counted = layout.heights(layout.columns(words, queries.gutters(c)), ["book_id", "page_index", "column_no"])
+    got = layout.header_bottoms(layout.line_sizes(counted), layout.size_medians(counted))
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < got.count()
