@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.operators import assemble, coverage, dedup, terms
+from marginalia.operators import assemble, coverage, dedup, terms, validate
 from marginalia.plans.queries import QUERIES
 
 P = "book_id string, page_index long"
@@ -74,3 +74,22 @@ def test_token_sets_are_made_once_and_go_by_number(spark):
     got = {(g["a"], g["b"]): round(g["jaccard"], 3) for g in dedup.similar_texts(rows).collect()}
     first = [f"p{i}:s-1" for i in (0, 1, 10, 11, 12, 13, 14, 2, 3, 4)]
     assert got and all(a in first and v >= 0.8 for (a, _), v in got.items()) and seen.value <= 60
+
+
+def test_pages_with_loose_references_are_those_with_reference_problems(spark):
+    r = random.Random(5)
+    pick = lambda of: [("b", p, *(None if r.random() < 0.004 else f"{o}-{r.randrange(9)}" for o in of)) for p in range(80) for _ in range(9) if r.random() < 0.9]
+    frame = lambda rows, *names: spark.createDataFrame(rows, ", ".join([P, *(f"{n} string" for n in names)]))
+    every = lambda o: [("b", p, f"{o}-{i}") for p in range(80) for i in range(9) if r.random() < 0.99]
+    tables = frame(every("e"), "evidence_id"), frame(every("s"), "statement_id"), frame(pick("se"), "statement_id", "evidence_id"), frame(pick("ss") + pick("st"), "src", "dst"), frame(every("t"), "term_id"), frame(pick("st"), "statement_id", "term_id")
+    want = {g["page_index"] for g in validate.reference_problems(*tables).select("page_index").collect()}
+    got = [g["page_index"] for g in validate.loose_pages(*tables).collect()]
+    assert sorted(got) == sorted(want) and 0 < len(want) < 80
+
+
+def test_terms_dealt_by_page_are_not_shuffled_to_be_checked(spark):
+    empty = lambda *names: spark.createDataFrame([], ", ".join([P, *(f"{n} string" for n in names)]))
+    used = spark.createDataFrame([("b", i % 3, f"s-{i}", f"t-{i}") for i in range(9)], f"{P}, statement_id string, term_id string").repartition("book_id", "page_index")
+    found = validate.loose_pages(empty("evidence_id"), empty("statement_id"), empty("statement_id", "evidence_id"), empty("src", "dst"), used.select("book_id", "page_index", "term_id").distinct(), used)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 0 and not [line for line in plan.splitlines() if "ENSURE_REQUIREMENTS" in line and "term_id" in line]
